@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import ngram_jaccard_components
+from .packing import pack, token_lengths
+from .quality import judge
+from .scratch import Scratch
+from .sharding import shard
 from .substring_dedup import drop_repeats
 
+#: The byte limit of a shard, before compression.
+SHARD_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "quality")
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), save=lambda seen: scratch.save(seen, "signals"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -22,9 +35,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_lengths(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_sharding": op9_sharding,
+    "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {}
