@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
+from .language import identify
 from .ngram_join import ngram_jaccard_components
 from .packing import pack, token_lengths
 from .quality import judge
@@ -20,12 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), save=lambda seen: scratch.save(seen, "signals"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 4 = 2"))
+    return identify(docs, F.col("lang").isNotNull() & ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -44,7 +55,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op5_language_id": op5_language_id,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
