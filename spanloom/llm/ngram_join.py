@@ -11,13 +11,16 @@ Only entries that can reach the bound are multiplied:
   the cells whose sizes satisfy ``t max(n, m) <= min(n, m)``;
 * a cell that stays gets its whole overlap counted from both rows.
 
-Documents sharing a column are linked to one hub first. Only documents that are
-still in different components are then paired with each other, so a group of g
-near copies costs about g cells a column and not g squared, and no link between
+Documents sharing a column are first held against hubs, those members that share
+most of their columns (the source of a group of copies does). Only documents that
+are still in different components are then paired with each other, so a group of
+g near copies costs about g cells a column and not g squared, and no link between
 components is lost.
 
-The column order is by counts of hashed columns in a fixed-size table (it only
-steers cost, the result is the same for any order).
+The column order is by counts of hashed columns in a fixed-size table; columns
+that turn out crowded in the first product (passages that many texts quote) move
+to the end of the order for a second one. The order only steers cost: the result
+is the same for any.
 
 Null, empty and blank texts have no shingles and are linked with nothing; a text
 of one to four words is one shingle. Repeated rows keep their own output row.
@@ -42,6 +45,10 @@ from .scratch import Scratch, parallelism
 #: Cells of the table of column counts: its size is fixed, whatever the corpus.
 COLUMN_BITS = 22
 PART_BITS = 18
+#: A column in so many prefixes is crowded: it moves behind all others in the order.
+CROWD = 6
+#: Rounds in which each run is held against one hub before the rest is paired.
+HUB_ROUNDS = 3
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
@@ -126,9 +133,8 @@ def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int) ->
             cols, ids, ns = cols[at], ids[at], ns[at]
             ends = np.cumsum(np.bincount(block.astype(np.int64), minlength=blocks))
             rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
-            low = cols.astype(np.uint32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([planes(x[lo:hi]) for _, lo, hi in rows], pa.binary()) for x in (low, ids, ns)],
+                [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([planes(x[lo:hi]) for _, lo, hi in rows], pa.binary()) for x in (cols, ids, ns)],
                 ["block", "columns", "ids", "sizes"],
             )
 
@@ -151,11 +157,13 @@ def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int) ->
 
 
 def multiply(entries: DataFrame, share: int) -> DataFrame:
-    """Rows ``(run, a, n)`` per member of each column with two sets or more, and hub cells ``(null, a, b)``."""
+    """The cells of a block, as runs: rows ``(run, id, n)`` for the members of each column with two sets or more
+    (one run for equal members), rows ``(null, id, columns)`` with the number of such columns of a set, and rows
+    ``(-1, column, members)`` for crowded columns."""
 
     def block(table: pa.Table) -> pa.Table:
         read = lambda c, kind: np.concatenate([from_planes(x.as_py(), kind) for x in table.column(c)])
-        cols, ids, ns = read("columns", np.uint32), read("ids", np.int64), read("sizes", np.uint32).astype(np.int64)
+        cols, ids, ns = read("columns", np.uint64), read("ids", np.int64), read("sizes", np.uint32).astype(np.int64)
         at = np.lexsort((ids, cols))
         cols, ids, ns = cols[at], ids[at], ns[at]
         fresh = np.ones(len(cols), dtype=bool)
@@ -164,19 +172,29 @@ def multiply(entries: DataFrame, share: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]]))
         length = np.diff(np.concatenate([first, [len(cols)]]))
         name = mix(np.add.reduceat(mix(ids.view(U)), first)).view(np.int64)
+        name[name == -1] = -2
         keep = length >= 2
+        degree_ids, degree = np.unique(ids[np.repeat(keep, length)], return_counts=True)
+        crowded = length >= CROWD
+        crowd_col, crowd_m = cols[first[crowded]].view(np.int64), length[crowded]
         _, one = np.unique(name[keep], return_index=True)  # the same members meet in many columns: one run is enough
         first, length, name = first[keep][one], length[keep][one], name[keep][one]
         member = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-        a, n, run = ids[member], ns[member], np.repeat(name, length)
-        hub, hub_n = np.repeat(ids[first], length), np.repeat(ns[first], length)
-        fits = (a != hub) & (needed(np.maximum(n, hub_n), share) <= np.minimum(n, hub_n))
-        cells = np.unique(np.stack([hub[fits], a[fits]]), axis=1) if fits.any() else np.zeros((2, 0), dtype=np.int64)
-        more = np.repeat(length >= 3, length)
-        m, c = int(more.sum()), cells.shape[1]
-        return pa.table({"run": pa.concat_arrays([pa.array(run[more], pa.int64()), pa.nulls(c, pa.int64())]), "a": pa.array(np.concatenate([a[more], cells[0]]), pa.int64()), "b": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(cells[1], pa.int64())]), "n": pa.array(np.concatenate([n[more], np.zeros(c, dtype=np.int64)]), pa.int64())})
+        m, d, c = len(member), len(degree_ids), len(crowd_col)
+        run = pa.concat_arrays([pa.array(np.repeat(name, length), pa.int64()), pa.nulls(d, pa.int64()), pa.array(np.full(c, -1), pa.int64())])
+        return pa.table({"run": run, "id": np.concatenate([ids[member], degree_ids, crowd_col]), "n": np.concatenate([ns[member], degree, crowd_m]).astype(np.int64)})
 
-    return entries.groupBy("block").applyInArrow(lambda t: block(t), "run long, a long, b long, n long")
+    return entries.groupBy("block").applyInArrow(lambda t: block(t), "run long, id long, n long")
+
+
+def demote(counts: np.ndarray, product: DataFrame) -> tuple[np.ndarray, int]:
+    """The counts with crowded columns (in ``CROWD`` prefixes or more) placed after all others, and how many cells they fill."""
+    cells = product.where("run = -1").select(F.expr(f"shiftrightunsigned(id, {64 - COLUMN_BITS})").alias("cell"), "n").groupBy("cell").agg(F.max("n").alias("n"))
+    out, k = np.minimum(counts, (1 << 20) - 1).astype(np.uint32), 0
+    for row in cells.toLocalIterator():  # 1 << COLUMN_BITS rows at most
+        out[row["cell"]] += np.uint32(min(row["n"], 4095)) << np.uint32(20)
+        k += 1
+    return out, k
 
 
 def overlaps(cells: DataFrame, texts: DataFrame, k: int, share: int) -> DataFrame:
@@ -210,25 +228,49 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     entries = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(64, parallelism(spark), -(-entries * (100 - share) // 100 // block_entries))
-    counts = spark.sparkContext.broadcast(column_counts(profiled))
-    product = scratch.save(multiply(prefix_entries(docs, counts, blocks, k, share), share), "product")
-    counts.unpersist()
-    cells = product.where("run is null").select("a", "b").distinct()
-    involved = product.select(F.col("a").alias("id")).unionByName(product.where("b is not null").select(F.col("b").alias("id"))).distinct()
-    texts = scratch.save(docs.join(rows.join(involved, "id", "left_semi").select("doc_id", "id"), "doc_id").select("id", "text"), "texts")
-    links = scratch.save(overlaps(cells, texts, k, share), "links")
-    labels = connected_components(links, scratch)
 
-    # Hubs are settled; members of one column that are still apart are paired with each other.
-    members = product.where("run is not null").select("run", F.col("a").alias("id"), "n").distinct()
-    known = members.join(labels, "id", "left").select("run", "id", "n", F.coalesce("label", "id").alias("label"))
+    def product_of(order: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast(order)
+        out = scratch.save(multiply(prefix_entries(docs, shared, blocks, k, share), share), "product")
+        shared.unpersist()
+        return out
+
+    counts = column_counts(profiled)
+    product = product_of(counts)
+    order, crowded = demote(counts, product)
+    if crowded:  # shared passages leave the prefixes of texts that have anything rarer
+        first, product = product, product_of(order)
+        scratch.drop(first)
+
+    members = product.where("run is not null and run <> -1").distinct()
+    degree = product.where("run is null").groupBy("id").agg(F.sum("n").alias("columns"))
+    involved = degree.select("id")
+    texts = scratch.save(docs.join(rows.join(involved, "id", "left_semi").select("doc_id", "id"), "doc_id").select("id", "text"), "texts")
+    fits = lambda n, m: F.expr(f"{share} * greatest({n}, {m}) <= 100 * least({n}, {m})")
+
+    # A hub a round: the member of a run with the most shared columns for its size is held against all others.
+    open_ = members.join(degree, "id").select("run", "id", "n", (F.col("columns") / F.col("n")).alias("shared"))
+    labels, links = None, None
+    for _ in range(HUB_ROUNDS):
+        known = open_.withColumn("label", F.col("id")) if labels is None else open_.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        apart = known.groupBy("run").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max(F.struct("shared", "id", "n", "label")).alias("hub")).where("l < h")
+        open_ = scratch.save(known.join(apart.select("run", F.col("hub.id").alias("a"), F.col("hub.n").alias("m"), F.col("hub.label").alias("la")), "run"), "open")
+        cells = open_.where((F.col("label") != F.col("la")) & fits("n", "m")).select("a", F.col("id").alias("b")).distinct()
+        new = scratch.save(overlaps(cells, texts, k, share), "links")
+        links = new if links is None else links.unionByName(new)
+        open_ = open_.where("id <> a").select("run", "id", "n", "shared")
+        if new.limit(1).count():
+            labels = connected_components(links, scratch)
+        elif labels is None:
+            labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))  # no link at all
+
+    # What is still apart inside a run is paired.
+    known = open_.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     apart = known.groupBy("run").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("run")
-    open_ = scratch.save(known.join(apart, "run", "left_semi"), "open")
-    x, y = open_.toDF("run", "a", "n", "la"), open_.toDF("run", "b", "m", "lb")
-    fits = F.expr(f"a < b and la <> lb and {share} * greatest(n, m) <= 100 * least(n, m)")
-    rest = x.join(y, x.run == y.run).where(fits).select("a", "b").distinct()
-    done = cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = scratch.save(overlaps(rest.join(done, ["a", "b"], "left_anti"), texts, k, share), "late")
+    last = scratch.save(known.join(apart, "run", "left_semi").select("run", "id", "n", "label"), "open")
+    x, y = last.toDF("run", "a", "n", "la"), last.toDF("run", "b", "m", "lb")
+    rest = x.join(y, "run").where(F.expr("a < b and la <> lb") & fits("n", "m")).select("a", "b").distinct()
+    late = scratch.save(overlaps(rest, texts, k, share), "late")
     if late.limit(1).count():
         labels = connected_components(links.unionByName(late), scratch)
     scratch.drop(texts)
