@@ -11,11 +11,11 @@ Only entries that can reach the bound are multiplied:
   the cells whose sizes satisfy ``t max(n, m) <= min(n, m)``;
 * a cell that stays gets its whole overlap counted from both rows.
 
-Documents sharing a column are first held against hubs, those members that share
-most of their columns (the source of a group of copies does). Only documents that
-are still in different components are then paired with each other, so a group of
-g near copies costs about g cells a column and not g squared, and no link between
-components is lost.
+Documents sharing a column are first held against a hub, the member that shares
+most of its columns (the source of a group of copies does). Members that are still
+in different components are then multiplied tile by tile inside a task, which
+emits a spanning forest of the links and never pairs, so no link between
+components is lost and a group of g near copies sends about g rows.
 
 The column order is by counts of hashed columns in a fixed-size table; columns
 that turn out crowded in the first product (passages that many texts quote) move
@@ -47,8 +47,8 @@ COLUMN_BITS = 22
 PART_BITS = 18
 #: A column in so many prefixes is crowded: it moves behind all others in the order.
 CROWD = 6
-#: Rounds in which each run is held against one hub before the rest is paired.
-HUB_ROUNDS = 3
+#: Rows and shingles that a tile of the last product has at most, as expected numbers.
+TILE_ROWS, TILE_SHINGLES = 400, 1 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
@@ -218,6 +218,57 @@ def overlaps(cells: DataFrame, texts: DataFrame, k: int, share: int) -> DataFram
     return cells.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(count, "a long, b long")
 
 
+def tile_products(dealt: DataFrame, k: int, share: int) -> DataFrame:
+    """Links ``(a, b)`` that join labels within each tile ``(hub, i, j)``: rows of tile i times rows of tile j.
+
+    The product runs over blocks of shared columns and accumulates overlap counts;
+    only links are emitted, and of those one spanning forest of the tile.
+    """
+
+    def tile(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        i, j, mine = (table.column(c).to_numpy() for c in ("i", "j", "tile"))
+        texts = pa.record_batch({"text": table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string())})
+        sets = list(shingle_sets(texts, "text", k))
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        columns, where = np.unique(np.concatenate(sets), return_inverse=True)
+        often = np.bincount(where) >= 2
+        rank = np.cumsum(often) - 1
+        row = np.repeat(np.arange(len(sets)), n)[often[where]]
+        col = rank[where[often[where]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        counts = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        width = 2048
+        edges = np.searchsorted(col, np.arange(0, int(often.sum()) + width, width))
+        for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            if hi > lo:
+                dense = np.zeros((len(sets), width), dtype=np.float32)
+                dense[row[lo:hi], col[lo:hi] - b * width] = 1
+                counts += dense @ dense.T
+        linked = np.triu(100 * counts >= share * (n[:, None] + n[None, :] - counts), 1) & (labels[:, None] != labels[None, :])
+        if len(i) and i[0] != j[0]:
+            linked &= mine[:, None] != mine[None, :]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in np.argwhere(linked).tolist():
+            u, v = find(int(labels[x])), find(int(labels[y]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: tile(t), "a long, b long")
+
+
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 80, block_entries: int = 1 << 19) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row of ``docs``; links need Jaccard >= share/100."""
     spark = docs.sparkSession
@@ -248,29 +299,24 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = scratch.save(docs.join(rows.join(involved, "id", "left_semi").select("doc_id", "id"), "doc_id").select("id", "text"), "texts")
     fits = lambda n, m: F.expr(f"{share} * greatest({n}, {m}) <= 100 * least({n}, {m})")
 
-    # A hub a round: the member of a run with the most shared columns for its size is held against all others.
-    open_ = members.join(degree, "id").select("run", "id", "n", (F.col("columns") / F.col("n")).alias("shared"))
-    labels, links = None, None
-    for _ in range(HUB_ROUNDS):
-        known = open_.withColumn("label", F.col("id")) if labels is None else open_.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        apart = known.groupBy("run").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max(F.struct("shared", "id", "n", "label")).alias("hub")).where("l < h")
-        open_ = scratch.save(known.join(apart.select("run", F.col("hub.id").alias("a"), F.col("hub.n").alias("m"), F.col("hub.label").alias("la")), "run"), "open")
-        cells = open_.where((F.col("label") != F.col("la")) & fits("n", "m")).select("a", F.col("id").alias("b")).distinct()
-        new = scratch.save(overlaps(cells, texts, k, share), "links")
-        links = new if links is None else links.unionByName(new)
-        open_ = open_.where("id <> a").select("run", "id", "n", "shared")
-        if new.limit(1).count():
-            labels = connected_components(links, scratch)
-        elif labels is None:
-            labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))  # no link at all
-
-    # What is still apart inside a run is paired.
-    known = open_.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # Each run is held against its hub, the member with the most shared columns for its size.
+    runs = members.join(degree, "id").select("run", "id", "n", (F.col("columns") / F.col("n")).alias("shared"))
+    hubs = runs.groupBy("run").agg(F.max(F.struct("shared", "id", "n")).alias("hub")).select("run", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    held = scratch.save(runs.join(hubs, "run").where("id <> hub").select("run", "hub", "hub_n", "id", "n"), "held")
+    cells = held.where(F.expr(f"{share} * greatest(n, hub_n) <= 100 * least(n, hub_n)")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    links = scratch.save(overlaps(cells, texts, k, share), "links")
+    labels = connected_components(links, scratch)
+
+    # The members of all runs of one hub that are still apart are multiplied with each other, in tiles.
+    known = held.join(labels, "id", "left").select("run", "hub", "id", "n", F.coalesce("label", "id").alias("label"))
     apart = known.groupBy("run").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("run")
-    last = scratch.save(known.join(apart, "run", "left_semi").select("run", "id", "n", "label"), "open")
-    x, y = last.toDF("run", "a", "n", "la"), last.toDF("run", "b", "m", "lb")
-    rest = x.join(y, "run").where(F.expr("a < b and la <> lb") & fits("n", "m")).select("a", "b").distinct()
-    late = scratch.save(overlaps(rest, texts, k, share), "late")
+    group = scratch.save(known.join(apart, "run", "left_semi").select("hub", "id", "n", "label").distinct(), "apart")
+    sizes = group.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("tiles"))
+    placed = group.join(sizes, "hub").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    dealt = placed.select("hub", "id", "n", "label", "tile", other.alias("other"))
+    dealt = dealt.select("hub", "id", "label", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile")
+    late = scratch.save(tile_products(dealt.join(texts, "id"), k, share), "late")
     if late.limit(1).count():
         labels = connected_components(links.unionByName(late), scratch)
     scratch.drop(texts)
