@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_leaks
+from .html_extract import extract
 from .language import identify
 from .ngram_join import ngram_jaccard_components
 from .packing import pack, token_lengths
@@ -26,6 +27,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), save=lambda seen: scratch.save(seen, "signals"))
@@ -56,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op5_language_id": op5_language_id,
     "op7_ngram_join": op7_ngram_join,
