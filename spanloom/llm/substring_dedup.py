@@ -8,16 +8,18 @@ symbols at the two ends of a repeat depend on what stands around it.
 
 1. All documents send their second-round symbols to blocks dealt by name; a
    block replies to the documents which of their symbols other documents share.
-2. Documents send the fingerprints of those windows of ``size`` words that
-   contain a shared symbol; a block replies which of them also start in a
-   document with a smaller id. This verifies the repeat.
+2. Documents send the fingerprints of those windows of ``size`` words all of whose
+   own symbols are shared; a block replies which of them also start in a document
+   with a smaller id. This verifies the repeat.
 3. Documents drop the covered words.
 
-No repeat escapes step 1. A window with r runs of words has r - 2 runs of known
-extent; at least r - 4 of them lie in first-round symbols that the window alone
-decides, hence at least ceil((r - 4) / 2) such symbols. Three of those hold one
-second-round symbol that the window alone decides, so r >= 9 is enough. Windows
-with fewer runs (words repeated in place) go to step 2 anyway.
+A symbol is a window's own if the window alone decides it. The first and the
+last run of a window may go on outside it; first-round symbols made of the runs
+between are its own, because a run's side depends on its word alone. Among the
+second-round symbols made of those, only the first and the last can hang on a
+neighbour outside. So the symbols inside the inner runs, without the first and
+the last, occur in every document that has the window, and no repeat escapes
+step 1. A window without such symbols goes to step 2 anyway.
 
 Positions travel packed by (block, batch of documents), so a row of the shuffle
 holds thousands of them; a document's replies are at most its own length.
@@ -39,9 +41,6 @@ from pyspark.sql import functions as F
 from .hashing import U, Words, from_planes, grams, mix, pieces, planes
 from .scratch import parallelism
 
-#: A window with at most so many runs of words is always verified.
-FEW_RUNS = 8
-
 
 def _first_of_doc(first: np.ndarray, n: int) -> np.ndarray:
     """Flags the positions 0..n-1 at which a document begins."""
@@ -63,8 +62,8 @@ def compress_pairs(names: np.ndarray, begins: np.ndarray, salt: int) -> tuple[np
     return out[~joined], ~joined
 
 
-def parse(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Second-round symbols: name, first word, word after the last one; and the flags of words that begin a run."""
+def parse(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Second-round symbols: name and first word; and the flags of words that begin a run."""
     n = len(words.hash)
     doc = _first_of_doc(words.first, n)
     run = doc.copy()
@@ -84,7 +83,7 @@ def parse(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     at, names = at[~joined], names[~joined]
     names, begins = compress_pairs(names, doc[at], 0x52)
     at = at[begins]
-    return names, at, np.append(at[1:], n) if len(at) else at, run
+    return names, at, run
 
 
 class Packer:
@@ -176,7 +175,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for piece in pieces(batch.filter(batch.column(0).is_valid()), "text"):
                 words = Words(piece.column(1))
                 if len(words.hash):
-                    names, at, _, _ = parse(words)
+                    names, at, _ = parse(words)
                     ids = _documents(words, piece.column(0))
                     start = np.repeat(words.first[:-1], np.diff(words.first))
                     pack.add(names, ids[at], at - start[at])
@@ -193,20 +192,21 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = len(words.hash)
                 if n < size:
                     continue
-                _, at, end, run = parse(words)
-                lit = np.zeros(n, dtype=bool)
-                lit[_hits(piece.column(2), words)] = True
-                lit = lit[at]
-                s, e = at[lit], end[lit]
-                fits = e - s <= size
-                change = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(change, np.maximum(e[fits] - size, 0), 1)
-                np.add.at(change, s[fits] + 1, -1)
-                runs = np.cumsum(run)
-                last = np.zeros(n, dtype=np.int64)
-                last[: n - size + 1] = runs[size - 1 :] - runs[: n - size + 1] + 1
+                _, at, run = parse(words)
+                shared = np.zeros(n, dtype=bool)
+                shared[_hits(piece.column(2), words)] = True
+                strange = np.concatenate([[0], np.cumsum(~shared[at])])
+                starts = np.zeros(n + 1, dtype=bool)
+                starts[at] = True
+                before = np.concatenate([[0], np.cumsum(starts[:n])])  # symbols that begin before a word
+                starts[n] = True
+                runs = np.cumsum(run) - 1
+                begin = np.append(np.flatnonzero(run), n)
                 room = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(n) >= size
-                out = np.flatnonzero(((np.cumsum(change[:n]) > 0) | (last <= FEW_RUNS)) & room)
+                i = np.flatnonzero(room)
+                lo, hi = begin[runs[i] + 1], begin[runs[i + size - 1]]  # without the first and the last run
+                first, last = before[lo], before[hi] - ~starts[hi]  # symbols wholly inside
+                out = i[(last - first <= 2) | (strange[np.maximum(last - 1, 0)] <= strange[np.minimum(first + 1, len(at))])]
                 whole = grams(words.hash, size)
                 ids = _documents(words, piece.column(0))
                 start = np.repeat(words.first[:-1], np.diff(words.first))
