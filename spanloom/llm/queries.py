@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import find_leaks
 from .html_extract import extract
 from .language import identify
+from .line_dedup import drop_similar_lines
 from .ngram_join import ngram_jaccard_components
 from .packing import pack, token_lengths
 from .quality import judge
@@ -42,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, F.col("lang").isNotNull() & ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_similar_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
