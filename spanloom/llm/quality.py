@@ -95,9 +95,9 @@ def votes() -> dict[str, Column]:
 class LabelModel:
     """Two classes, independent rules, three outcomes each; fitted by expectation-maximisation on pattern counts."""
 
-    def __init__(self, rules: int, prior: float = 0.8):
-        self.prior = prior
-        self.rates = [[[0.35, 0.25, 0.40], [0.04, 0.12, 0.84]] for _ in range(rules)]  # [rule][class][bad, abstains, good]
+    def __init__(self, rules: int, prior: float = 0.8, start=((0.35, 0.25, 0.40), (0.04, 0.12, 0.84)), bounds: tuple[float, float] = (0.5, 0.98)):
+        self.prior, self.bounds = prior, bounds
+        self.rates = [[list(c) for c in start] for _ in range(rules)]  # [rule][class][bad, abstains, good]
 
     def posterior(self, pattern: list[int]) -> float:
         """Probability of good for votes coded 0 bad, 1 abstains, 2 good."""
@@ -123,7 +123,7 @@ class LabelModel:
             for rule in self.rates:  # a rule is never worse than chance: bad votes are no commoner among good texts
                 if rule[1][0] > rule[0][0]:
                     rule[0], rule[1] = [list(rule[1]) for _ in (0, 1)]
-            self.prior = min(0.98, max(0.5, sum(good) / total))
+            self.prior = min(self.bounds[1], max(self.bounds[0], sum(good) / total))
         return self
 
 

@@ -11,6 +11,7 @@ from .language import identify
 from .line_dedup import drop_similar_lines
 from .ngram_join import ngram_jaccard_components
 from .packing import pack, token_lengths
+from .pii import BASE, KINDS, find_pii, listed
 from .quality import judge
 from .scratch import Scratch
 from .sharding import shard
@@ -38,6 +39,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pii")
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), save=lambda x: scratch.save(x, "candidates"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 4 = 2"))
     return identify(docs, F.col("lang").isNotNull() & ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -68,6 +76,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
