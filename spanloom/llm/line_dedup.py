@@ -20,7 +20,8 @@ Lines are the parts between newlines; words are runs outside space and
 0x09-0x0D. Lines without a word are kept. A null text stays null; an empty one
 stays empty. ``doc_id`` names a document: rows that repeat an id are taken as
 the same document and get the same text. Rows with a null id are kept as they
-are. Other columns pass through. Lines are told apart by 64-bit fingerprints.
+are. Other columns pass through, but for
+``n_lines`` and ``n_removed``, which are new. Lines are told apart by 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -91,10 +92,11 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = kept.groupBy(F.col("pos.doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("pos.i").alias("i"), "line"))).alias("_lines"))
     texts = texts.select("_id", F.array_join(F.col("_lines.line"), "\n").alias("_text"), F.size("_lines").alias("_kept"))
     whole = docs.withColumn("_n", F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n"))).otherwise(0))
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     slim = whole.select(*rest, F.col(text_col).isNull().alias("_null"), F.when(F.col(id_col).isNull(), F.col(text_col)).alias("_own"), "_n")
     out = slim.join(texts, slim[id_col] == texts["_id"], "left")
     unnamed = F.col(id_col).isNull()
     text = F.when(unnamed, F.col("_own")).when(~F.col("_null"), F.coalesce("_text", F.lit("")))
     gone = F.when(unnamed, 0).otherwise(F.greatest(F.lit(0), F.col("_n") - F.when(F.col("_null"), F.col("_n")).otherwise(F.coalesce("_kept", F.lit(0)))))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_n").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.col("_n").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))

@@ -156,3 +156,13 @@ def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, save=
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = seen.withColumn("p_good", posterior(model)).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def keep_good(docs: DataFrame, save, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, all columns as they are.
+
+    ``save`` writes the rows once with their votes, so texts are read and measured
+    once; the model is then estimated from the votes and filters the written rows.
+    """
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
+    return judge(packed, "_text", threshold, save).where("kept").select("_row.*")
