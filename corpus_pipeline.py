@@ -1,15 +1,74 @@
-"""Cleaning a corpus: the stages are filled in as their operators are built."""
+"""Cleaning a corpus in five stages: quality, lines, near copies, benchmark leaks, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and
+works on all rows its predecessor kept. Every stage but the last returns those
+columns again; ``run`` writes each result as Parquet and rereads it.
+
+* quality_rules: documents that the weak-supervision verdict or a base rule rejects go.
+* line_dedup: lines similar to an earlier line go, ``n_chars`` follows; a document
+  that had words and has lost them all goes, for all it said stands earlier.
+* near_copies: of each component of 5-word-shingle Jaccard >= 0.8 the document
+  with the smallest id stays; documents without words and without id stay.
+* decontamination: documents that overlap a benchmark item go.
+* packing: each document gets its bucket, batch and slot.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm.decontaminate import find_leaks
+from spanloom.llm.line_dedup import drop_similar_lines
+from spanloom.llm.ngram_join import ngram_jaccard_components
+from spanloom.llm.packing import pack, token_lengths
+from spanloom.llm.quality import keep_good
+from spanloom.llm.scratch import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "quality")
+    return keep_good(docs, lambda seen: scratch.save(seen, "votes"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = drop_similar_lines(docs)
+    stays = (F.col("n_removed") == 0) | (F.length(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", "")) > 0)
+    return out.where(stays).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_jaccard_components(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(token_lengths(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Expectation-maximisation and components are not SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows of ``documents`` in ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        kept, docs = docs, scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(kept)
     return docs
