@@ -5,8 +5,9 @@ each 5-word shingle. Multiplying it by its transpose gives the overlap counts.
 Only entries that can reach the bound are multiplied:
 
 * equal sets are one row, found by a fingerprint of the set;
-* in a global order (rare columns first) two sets with Jaccard >= t share a
-  column among the first ``n - ceil(t n) + 1`` of each, so other entries stay out;
+* in a global order (rare columns first) two sets with Jaccard >= t share l
+  columns among the first ``n - ceil(t n) + l`` of each, so other entries stay out,
+  and so do sets that share fewer with all others together;
 * columns are dealt to blocks by hash; a block multiplies its columns and keeps
   the cells whose sizes satisfy ``t max(n, m) <= min(n, m)``;
 * a cell that stays gets its whole overlap counted from both rows.
@@ -18,8 +19,8 @@ emits a spanning forest of the links and never pairs, so no link between
 components is lost and a group of g near copies sends about g rows.
 
 The column order is by counts of hashed columns in a fixed-size table; columns
-that turn out crowded in the first product (passages that many texts quote) move
-to the end of the order for a second one. The order only steers cost: the result
+that turn out crowded among the prefixes (passages that many texts quote) move to
+the end of the order before the product. The order only steers cost: the result
 is the same for any.
 
 Null, empty and blank texts have no shingles and are linked with nothing; a text
@@ -74,6 +75,14 @@ def needed(n, share: int):
     return -((-share * n) // 100)
 
 
+def spare(n):
+    """How many columns of its prefix a set must share to be linked at all; its prefix is longer by as many less one.
+
+    Of sets that overlap in o columns, the first ``n - o + l`` of each share l at least.
+    """
+    return 1 + n // 32
+
+
 def profile(docs: DataFrame, k: int) -> DataFrame:
     """Rows ``(doc_id, id, n, part, blob)``: one a document (part null), and counts of hashed columns by part."""
 
@@ -120,8 +129,12 @@ def column_counts(profiled: DataFrame) -> np.ndarray:
     return counts
 
 
-def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int) -> DataFrame:
-    """Rows ``(block, columns, ids, sizes)``: the entries of each set's prefix, packed by block."""
+def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int, named: bool = True) -> DataFrame:
+    """Rows ``(block, columns, ids, sizes)``: the entries of each set's prefix, packed by block.
+
+    A block's columns go by the upper 32 bits of their hashes (whole overlaps are
+    counted later from the texts). Without ``named``, ids and sizes are null.
+    """
 
     def run(batches):
         order, seen, held, size = counts.value, set(), [], 0
@@ -130,11 +143,11 @@ def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int) ->
             cols, ids, ns = (np.concatenate([h[j] for h in held]) for j in range(3))
             block = (mix(cols ^ U(0x5851F42D4C957F2D)) >> U(33)) % U(blocks)
             at = np.argsort(block, kind="stable")
-            cols, ids, ns = cols[at], ids[at], ns[at]
+            high, ids, ns = (cols[at] >> U(32)).astype(np.uint32), ids[at], ns[at]
             ends = np.cumsum(np.bincount(block.astype(np.int64), minlength=blocks))
             rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([planes(x[lo:hi]) for _, lo, hi in rows], pa.binary()) for x in (cols, ids, ns)],
+                [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([planes(x[lo:hi]) if named or x is high else None for _, lo, hi in rows], pa.binary()) for x in (high, ids, ns)],
                 ["block", "columns", "ids", "sizes"],
             )
 
@@ -144,7 +157,7 @@ def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int) ->
                 if not n or (name := set_id(s)) in seen:
                     continue
                 seen.add(name)
-                rare = np.lexsort((s, order[(s >> U(64 - COLUMN_BITS)).astype(np.int64)]))[: n - needed(n, share) + 1]
+                rare = np.lexsort((s, order[(s >> U(64 - COLUMN_BITS)).astype(np.int64)]))[: n - needed(n, share) + spare(n)]
                 held.append((s[rare], np.full(len(rare), name, dtype=np.int64), np.full(len(rare), n, dtype=np.uint32)))
                 size += len(rare)
                 if size > 1 << 20:
@@ -158,12 +171,11 @@ def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int) ->
 
 def multiply(entries: DataFrame, share: int) -> DataFrame:
     """The cells of a block, as runs: rows ``(run, id, n)`` for the members of each column with two sets or more
-    (one run for equal members), rows ``(null, id, columns)`` with the number of such columns of a set, and rows
-    ``(-1, column, members)`` for crowded columns."""
+    (one run for equal members) and rows ``(null, id, columns)`` with the number of such columns of a set."""
 
     def block(table: pa.Table) -> pa.Table:
         read = lambda c, kind: np.concatenate([from_planes(x.as_py(), kind) for x in table.column(c)])
-        cols, ids, ns = read("columns", np.uint64), read("ids", np.int64), read("sizes", np.uint32).astype(np.int64)
+        cols, ids, ns = read("columns", np.uint32), read("ids", np.int64), read("sizes", np.uint32).astype(np.int64)
         at = np.lexsort((ids, cols))
         cols, ids, ns = cols[at], ids[at], ns[at]
         fresh = np.ones(len(cols), dtype=bool)
@@ -172,24 +184,26 @@ def multiply(entries: DataFrame, share: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]]))
         length = np.diff(np.concatenate([first, [len(cols)]]))
         name = mix(np.add.reduceat(mix(ids.view(U)), first)).view(np.int64)
-        name[name == -1] = -2
         keep = length >= 2
         degree_ids, degree = np.unique(ids[np.repeat(keep, length)], return_counts=True)
-        crowded = length >= CROWD
-        crowd_col, crowd_m = cols[first[crowded]].view(np.int64), length[crowded]
         _, one = np.unique(name[keep], return_index=True)  # the same members meet in many columns: one run is enough
         first, length, name = first[keep][one], length[keep][one], name[keep][one]
         member = np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-        m, d, c = len(member), len(degree_ids), len(crowd_col)
-        run = pa.concat_arrays([pa.array(np.repeat(name, length), pa.int64()), pa.nulls(d, pa.int64()), pa.array(np.full(c, -1), pa.int64())])
-        return pa.table({"run": run, "id": np.concatenate([ids[member], degree_ids, crowd_col]), "n": np.concatenate([ns[member], degree, crowd_m]).astype(np.int64)})
+        run = pa.concat_arrays([pa.array(np.repeat(name, length), pa.int64()), pa.nulls(len(degree_ids), pa.int64())])
+        return pa.table({"run": run, "id": np.concatenate([ids[member], degree_ids]), "n": np.concatenate([ns[member], degree]).astype(np.int64)})
 
     return entries.groupBy("block").applyInArrow(lambda t: block(t), "run long, id long, n long")
 
 
-def demote(counts: np.ndarray, product: DataFrame) -> tuple[np.ndarray, int]:
+def demote(counts: np.ndarray, entries: DataFrame) -> tuple[np.ndarray, int]:
     """The counts with crowded columns (in ``CROWD`` prefixes or more) placed after all others, and how many cells they fill."""
-    cells = product.where("run = -1").select(F.expr(f"shiftrightunsigned(id, {64 - COLUMN_BITS})").alias("cell"), "n").groupBy("cell").agg(F.max("n").alias("n"))
+
+    def block(table: pa.Table) -> pa.Table:
+        cols, n = np.unique(np.concatenate([from_planes(x.as_py(), np.uint32) for x in table.column("columns")]), return_counts=True)
+        cols, n = cols[n >= CROWD], n[n >= CROWD]
+        return pa.table({"cell": (cols >> np.uint32(32 - COLUMN_BITS)).astype(np.int32), "n": n.astype(np.int64)})
+
+    cells = entries.select("block", "columns").groupBy("block").applyInArrow(lambda t: block(t), "cell int, n long").groupBy("cell").agg(F.max("n").alias("n"))
     out, k = np.minimum(counts, (1 << 20) - 1).astype(np.uint32), 0
     for row in cells.toLocalIterator():  # 1 << COLUMN_BITS rows at most
         out[row["cell"]] += np.uint32(min(row["n"], 4095)) << np.uint32(20)
@@ -280,29 +294,22 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     entries = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(64, parallelism(spark), -(-entries * (100 - share) // 100 // block_entries))
 
-    def product_of(order: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast(order)
-        out = scratch.save(multiply(prefix_entries(docs, shared, blocks, k, share), share), "product")
-        shared.unpersist()
-        return out
-
-    counts = column_counts(profiled)
-    product = product_of(counts)
-    order, crowded = demote(counts, product)
-    if crowded:  # shared passages leave the prefixes of texts that have anything rarer
-        first, product = product, product_of(order)
-        scratch.drop(first)
+    # Shared passages leave the prefixes of texts that have anything rarer.
+    counts = spark.sparkContext.broadcast(column_counts(profiled))
+    order, _ = demote(counts.value, prefix_entries(docs, counts, blocks, k, share, named=False))
+    counts.unpersist()
+    order = spark.sparkContext.broadcast(order)
+    product = scratch.save(multiply(prefix_entries(docs, order, blocks, k, share), share), "product")
+    order.unpersist()
 
-    members = product.where("run is not null and run <> -1").distinct()
+    members = product.where("run is not null").distinct()
     degree = product.where("run is null").groupBy("id").agg(F.sum("n").alias("columns"))
-    involved = degree.select("id")
+    runs = members.join(degree, "id").where("columns >= 1 + floor(n / 32)").select("run", "id", "n", (F.col("columns") / F.col("n")).alias("shared"))
+    hubs = runs.groupBy("run").agg(F.max(F.struct("shared", "id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("run", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    held = scratch.save(runs.join(hubs, "run").where("id <> hub").select("run", "hub", "hub_n", "id", "n"), "held")
+    involved = held.select("id").unionByName(held.select(F.col("hub").alias("id"))).distinct()
     texts = scratch.save(docs.join(rows.join(involved, "id", "left_semi").select("doc_id", "id"), "doc_id").select("id", "text"), "texts")
-    fits = lambda n, m: F.expr(f"{share} * greatest({n}, {m}) <= 100 * least({n}, {m})")
-
     # Each run is held against its hub, the member with the most shared columns for its size.
-    runs = members.join(degree, "id").select("run", "id", "n", (F.col("columns") / F.col("n")).alias("shared"))
-    hubs = runs.groupBy("run").agg(F.max(F.struct("shared", "id", "n")).alias("hub")).select("run", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    held = scratch.save(runs.join(hubs, "run").where("id <> hub").select("run", "hub", "hub_n", "id", "n"), "held")
     cells = held.where(F.expr(f"{share} * greatest(n, hub_n) <= 100 * least(n, hub_n)")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.save(overlaps(cells, texts, k, share), "links")
     labels = connected_components(links, scratch)
