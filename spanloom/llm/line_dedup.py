@@ -13,8 +13,8 @@ so only their first occurrences meet in the join:
   that can still be equal before and after the shared one;
 * the Jaccard similarity of the surviving pairs is verified on the words.
 
-Every word's earliest line is tried first. Lines which that settles need no
-other partner; the rest meet all earlier lines that share a prefix word.
+Two lines of every word are tried first with all others. Lines which that settles
+need no other partner; the rest meet all lines that share a prefix word.
 
 Lines are the parts between newlines; words are runs outside space and
 0x09-0x0D. Lines without a word are kept. A null text stays null; an empty one
@@ -49,35 +49,40 @@ def word_counts(docs: DataFrame) -> Column:
 
 
 def removed_lines(lines: DataFrame, counts: Column, share: int) -> DataFrame:
-    """The fingerprints ``k`` of first occurrences ``lines(k, pos, line)`` that have an earlier similar line."""
+    """The fingerprints ``k`` of first occurrences ``lines(k, m<doc_id, i, line>)`` that have an earlier similar line.
+
+    ``lines`` and ``entries`` are read several times; every reader takes the same
+    columns below their exchanges, so each is shuffled once.
+    """
     token = lambda w: F.shiftleft(F.get(counts, F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
-    solid = lines.where(_solid(F.col("line")))
-    sets = solid.select("k", "pos", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), token))).alias("t"))
+    solid = lines.where(_solid(F.col("m.line")))
+    sets = solid.select("k", F.sort_array(F.array_distinct(F.transform(words_of(F.col("m.line")), token))).alias("t"))
     sets = sets.withColumn("n", F.size("t"))
     reach = F.expr(f"n - cast(ceil({share} * n / 100) as int) + 1")
-    entries = sets.select("k", "pos", "n", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "word"))
+    entries = sets.select("k", "n", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w")).select(F.col("w").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("word"), "k", "n", "p")
     whole = Window.partitionBy("word")
-    entries = entries.withColumn("c", F.count("*").over(whole)).withColumn("hub", F.min(F.struct("pos", "k", "n", "p")).over(whole)).where("c > 1").drop("c")
+    hub = lambda f: f(F.struct("k", "n", "p")).over(whole)
+    entries = entries.where("word is not null").withColumn("c", F.count("*").over(whole)).withColumn("lo", hub(F.min)).withColumn("hi", hub(F.max)).where("c > 1")
 
     def possible(n: str, p: str, m: str, q: str) -> Column:
         need = f"cast(ceil({share} * ({n} + {m}) / {100 + share}) as int)"
         return F.expr(f"{share} * greatest({n}, {m}) <= 100 * least({n}, {m}) and least({p}, {q}) + 1 + least({n} - 1 - {p}, {m} - 1 - {q}) >= {need}")
 
-    words = solid.select("k", "line")
+    mine, others = lines.toDF("k", "a"), lines.toDF("other", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The first of each pair ``(k, other)`` that is similar to the second."""
-        mine = words.select(F.col("k"), F.col("line").alias("a"))
-        others = words.select(F.col("k").alias("other"), F.col("line").alias("b"))
-        both = pairs.join(mine, "k").join(others, "other").select("k", F.array_distinct(words_of(F.col("a"))).alias("a"), F.array_distinct(words_of(F.col("b"))).alias("b"))
+        """The later line of each pair ``(k, other)`` of similar lines."""
+        both = pairs.join(mine, "k").join(others, "other").select("k", "other", F.struct("a.doc_id", "a.i").alias("x"), F.struct("b.doc_id", "b.i").alias("y"), F.array_distinct(words_of(F.col("a.line"))).alias("a"), F.array_distinct(words_of(F.col("b.line"))).alias("b"))
         both = both.withColumn("s", F.size(F.array_intersect("a", "b")))
-        return both.where(F.expr(f"100 * s >= {share} * (size(a) + size(b) - s)")).select("k")
-
-    first = entries.where(F.col("k") != F.col("hub.k")).where(possible("n", "p", "hub.n", "hub.p")).select("k", F.col("hub.k").alias("other")).distinct()
-    settled = verified(first).distinct()
-    rest = entries.where(F.col("k") != F.col("hub.k")).join(settled, "k", "left_anti").select("word", "k", "pos", "n", "p", F.col("hub.k").alias("hub"))
-    earlier = entries.select("word", F.col("k").alias("other"), F.col("pos").alias("pos2"), F.col("n").alias("m"), F.col("p").alias("q"))
-    pairs = rest.join(earlier, "word").where(F.expr("pos2 < pos and other <> hub")).where(possible("n", "p", "m", "q")).select("k", "other").distinct()
+        return both.where(F.expr(f"100 * s >= {share} * (size(a) + size(b) - s)")).select(F.when(F.col("x") > F.col("y"), F.col("k")).otherwise(F.col("other")).alias("k"))
+
+    # The two ends of a word's lines are tried with all of them; what that settles needs no other partner.
+    star = entries.select("k", "n", "p", F.explode(F.array("lo", "hi")).alias("h")).where("k <> h.k").where(possible("n", "p", "h.n", "h.p"))
+    settled = verified(star.select("k", F.col("h.k").alias("other")).distinct()).distinct()
+    rest = entries.join(settled, "k", "left_anti").select("word", "k", "n", "p", F.col("lo.k").alias("lo"), F.col("hi.k").alias("hi"))
+    earlier = entries.select("word", F.col("k").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"))
+    pairs = rest.join(earlier, "word").where("other <> k and other <> lo and other <> hi and k <> lo and k <> hi").where(possible("n", "p", "m", "q"))
+    pairs = pairs.select(F.least("k", "other").alias("k"), F.greatest("k", "other").alias("other")).distinct()
     return settled.unionByName(verified(pairs)).distinct()
 
 
@@ -87,9 +92,9 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = word_counts(docs.select(F.col(text_col).alias("text")))
     each = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     key = F.when(_solid(F.col("line")), F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "i", F.lit("blank")))
-    lines = each.groupBy(key.alias("k")).agg(F.min(F.struct("doc_id", "i")).alias("pos"), F.any_value("line").alias("line"))
+    lines = each.groupBy(key.alias("k")).agg(F.min(F.struct("doc_id", "i", "line")).alias("m"))
     kept = lines.join(removed_lines(lines, counts, share), "k", "left_anti")
-    texts = kept.groupBy(F.col("pos.doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("pos.i").alias("i"), "line"))).alias("_lines"))
+    texts = kept.groupBy(F.col("m.doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("m.i").alias("i"), F.col("m.line").alias("line")))).alias("_lines"))
     texts = texts.select("_id", F.array_join(F.col("_lines.line"), "\n").alias("_text"), F.size("_lines").alias("_kept"))
     whole = docs.withColumn("_n", F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n"))).otherwise(0))
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
