@@ -45,8 +45,7 @@ def token_count(text: Column) -> Column:
 def normalize_answer(c: Column) -> Column:
     """Lower case without ASCII punctuation, articles and surplus white space."""
     plain = F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", "")
-    bare = F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    return F.array_join(F.filter(F.split(plain, r"(?U)\s+"), lambda w: ~w.isin("", "a", "an", "the")), " ")
 
 
 def remove_preamble(c: Column) -> Column:

@@ -23,24 +23,25 @@ def _words(c: Column) -> Column:
     return F.split(c, r"(?U)\s+")
 
 
-def _anchor(c: Column) -> Column:
+def _anchor(words: str) -> Column:
     """The hash of the inner words 1..ANCHOR of a span with ANCHOR + 2 words at least, else null."""
-    w = _words(c)
-    return F.when(F.size(w) >= ANCHOR + 2, F.xxhash64(F.array_join(F.slice(w, 2, ANCHOR), " ")))
+    inner = F.transform(F.slice(words, 2, ANCHOR), lambda x: F.xxhash64(x))
+    return F.when(F.size(words) >= ANCHOR + 2, F.xxhash64(*[F.get(inner, F.lit(j)) for j in range(ANCHOR)]))
 
 
-def _runs(c: Column) -> Column:
-    """The distinct hashes of all runs of ANCHOR words."""
-    w = _words(c)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, ANCHOR), " ")))
-    return F.when(F.size(w) >= ANCHOR, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def _runs(hashes: str) -> Column:
+    """The distinct hashes of all runs of ANCHOR words, from the words' hashes in a column."""
+    parts = ", ".join(f"{hashes}[i + {j}]" for j in range(ANCHOR))
+    runs = F.expr(f"transform(sequence(0, size({hashes}) - {ANCHOR}), i -> xxhash64({parts}))")
+    return F.when(F.size(hashes) >= ANCHOR, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
 def occurrences(spans: DataFrame, docs: DataFrame, form: Callable[[Column], Column] = MODES["exact_match"]) -> DataFrame:
     """All ``(span_id, doc_id, start_pos, end_pos, content)``, first occurrence per document; blank spans have none."""
-    needle = spans.where(F.length(strip(F.col("span"))) > 0).select("span_id", form(F.col("span")).alias("_s")).withColumn("_a", _anchor(F.col("_s")))
+    needle = spans.where(F.length(strip(F.col("span"))) > 0).select("span_id", form(F.col("span")).alias("_s")).withColumn("_w", _words(F.col("_s")))
+    needle = needle.select("span_id", "_s", _anchor("_w").alias("_a"))
     hay = docs.select("doc_id", F.col("text").alias("_text"), form(F.col("text")).alias("_t"))
-    runs = hay.select("doc_id", F.explode(_runs(F.col("_t"))).alias("_a"))
+    runs = hay.select("doc_id", F.transform(_words(F.col("_t")), lambda x: F.xxhash64(x)).alias("_h")).select("doc_id", F.explode(_runs("_h")).alias("_a"))
     near = needle.where("_a is not null").join(runs, "_a").select("span_id", "_s", "doc_id").join(hay, "doc_id").where("contains(_t, _s)")
     short = needle.where("_a is null").drop("_a").join(hay, F.expr("contains(_t, _s)"))
     found = near.select("span_id", "_s", "doc_id", "_t", "_text").unionByName(short.select("span_id", "_s", "doc_id", "_t", "_text"))
