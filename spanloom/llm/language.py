@@ -68,9 +68,11 @@ class Model:
         self.temperature, self.threshold = 1.0, 0.0
         self.table: np.ndarray | None = None
 
-    def train(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 10, rate: float = 8.0, batch: int = 16) -> None:
+    def train(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 10, rate: float = 8.0, batch: int = 16, least_steps: int = 800) -> None:
         rng = np.random.default_rng(11)
-        steps = epochs * -(-len(bags) // batch)
+        per_epoch = -(-len(bags) // batch)
+        epochs = max(epochs, -(-least_steps // per_epoch))
+        steps = epochs * per_epoch
         done = 0
         for _ in range(epochs):
             order = rng.permutation(len(bags))

@@ -7,8 +7,8 @@ so only their first occurrences meet in the join:
 
 * the words of a line are ordered by rarity, counted over the whole corpus in
   ``CELLS`` hashed cells (a table of fixed size);
-* prefix filter: similar sets of sizes n and m share a word among the first
-  ``n - ceil(t n) + 1`` of each;
+* prefix filter: similar sets of sizes n and m share l words among the first
+  ``n - ceil(t n) + l`` of each, with ``l = 1 + n div 8`` of the smaller one;
 * length filter ``t max(n, m) <= min(n, m)`` and positional filter on the words
   that can still be equal before and after the shared one;
 * the Jaccard similarity of the surviving pairs is verified on the words.
@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .quality import BLANKS, words_of
 
-CELLS = 1 << 15
+CELLS = 1 << 18
 
 
 def _solid(line: Column) -> Column:
@@ -58,7 +58,8 @@ def removed_lines(lines: DataFrame, counts: Column, share: int) -> DataFrame:
     solid = lines.where(_solid(F.col("m.line")))
     sets = solid.select("k", F.sort_array(F.array_distinct(F.transform(words_of(F.col("m.line")), token))).alias("t"))
     sets = sets.withColumn("n", F.size("t"))
-    reach = F.expr(f"n - cast(ceil({share} * n / 100) as int) + 1")
+    spare = "1 + {n} div 8"
+    reach = F.expr(f"least(n, n - cast(ceil({share} * n / 100) as int) + {spare.format(n='n')})").cast("int")
     entries = sets.select("k", "n", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w")).select(F.col("w").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("word"), "k", "n", "p")
     whole = Window.partitionBy("word")
     hub = lambda f: f(F.struct("k", "n", "p")).over(whole)
@@ -78,10 +79,15 @@ def removed_lines(lines: DataFrame, counts: Column, share: int) -> DataFrame:
 
     # The two ends of a word's lines are tried with all of them; what that settles needs no other partner.
     star = entries.select("k", "n", "p", F.explode(F.array("lo", "hi")).alias("h")).where("k <> h.k").where(possible("n", "p", "h.n", "h.p"))
-    settled = verified(star.select("k", F.col("h.k").alias("other")).distinct()).distinct()
-    rest = entries.join(settled, "k", "left_anti").select("word", "k", "n", "p", F.col("lo.k").alias("lo"), F.col("hi.k").alias("hi"))
-    earlier = entries.select("word", F.col("k").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"))
-    pairs = rest.join(earlier, "word").where("other <> k and other <> lo and other <> hi and k <> lo and k <> hi").where(possible("n", "p", "m", "q"))
+    star = star.groupBy("k", F.col("h.k").alias("other")).agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"c >= {spare.format(n='n')}")
+    settled = verified(star.select("k", "other")).distinct()
+    rest = entries.join(settled, "k", "left_anti").select("word", "k", "n", "p")
+    # Open lines meet each other once, and the settled ones.
+    other = lambda df: df.select("word", F.col("k").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"))
+    among = rest.join(other(rest), "word").where("k < other")
+    across = rest.join(other(entries.join(settled, "k", "left_semi")), "word")
+    pairs = among.unionByName(across).where(possible("n", "p", "m", "q"))
+    pairs = pairs.groupBy("k", "other").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(f"c >= {spare.format(n='least(n, m)')}")
     pairs = pairs.select(F.least("k", "other").alias("k"), F.greatest("k", "other").alias("other")).distinct()
     return settled.unionByName(verified(pairs)).distinct()
 
