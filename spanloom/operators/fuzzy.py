@@ -55,7 +55,7 @@ def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: in
     packed = packed.select("doc_id", F.col("t.text").alias("words"), F.col("t.start_pos").alias("starts"), F.col("t.end_pos").alias("ends"))
     runs = None
     for w in widths:
-        part = packed.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, greatest(size(words) - {w}, -1)), i -> xxhash64(array_join(slice(words, i + 1, {w}), ' ')))")).alias("at", "h")).where(F.col("at") >= 0)
+        part = packed.where(F.size("words") >= w).select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {w}), i -> xxhash64(array_join(slice(words, i + 1, {w}), ' ')))")).alias("at", "h"))
         part = part.withColumn("width", F.lit(w))
         runs = part if runs is None else runs.unionByName(part)
     near = seeds.join(runs, ["h", "width"]).join(needles.select("span_id", "needle", "k"), "span_id")
