@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .quality import BLANKS, words_of
 
-CELLS = 1 << 18
+CELLS = 1 << 15
 
 
 def _solid(line: Column) -> Column:
