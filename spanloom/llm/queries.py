@@ -85,4 +85,12 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_substring_dedup": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+m AS (SELECT h, min(doc_id) AS d FROM g GROUP BY h),
+r AS (SELECT DISTINCT g.doc_id, i + k AS p FROM g JOIN m ON m.h = g.h, range(13) t(k) WHERE m.d < g.doc_id),
+x AS (SELECT doc_id, list(p) AS p FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed, sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda v, j: NOT list_contains(p, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN x ON x.doc_id = w.doc_id""",
+}
