@@ -2,26 +2,31 @@
 
 A line is removed if an earlier line of the corpus (by document id, then line
 number) has a word set with Jaccard similarity of at least ``share`` percent;
-``removed`` earlier lines count as evidence too. Equal lines are grouped first,
+``removed`` earlier lines count as evidence too. Equal lines are settled first,
 so only their first occurrences meet in the join:
 
 * the words of a line are ordered by rarity, counted over the whole corpus in
   ``CELLS`` hashed cells (a table of fixed size);
-* prefix filter: similar sets of sizes n and m share l words among the first
-  ``n - ceil(t n) + l`` of each, with ``l = 1 + n div 8`` of the smaller one;
+* prefix filter on neighbours in that order: a word of only one of two similar
+  sets parts two neighbours of its own set at most and one pair of shared words,
+  so with sizes n and m some two shared words stand side by side in both, and the
+  first such pair is among the first ``2 n (1 - t) + 1`` of each set (``share`` is
+  75 at least, else small sets could be without one). Two rare words side by side
+  are much rarer than one, so candidates grow with the copies, not with the square
+  of the corpus;
 * length filter ``t max(n, m) <= min(n, m)`` and positional filter on the words
-  that can still be equal before and after the shared one;
+  that can still be equal before and after the shared ones;
 * the Jaccard similarity of the surviving pairs is verified on the words.
 
-Two lines of every word are tried first with all others. Lines which that settles
-need no other partner; the rest meet all lines that share a prefix word.
+Each line is tried first with the earliest line of its pair of words. Lines which
+that settles need no other partner; the rest meet all earlier lines that share a pair.
 
-Lines are the parts between newlines; words are runs outside space and
-0x09-0x0D. Lines without a word are kept. A null text stays null; an empty one
-stays empty. ``doc_id`` names a document: rows that repeat an id are taken as
-the same document and get the same text. Rows with a null id are kept as they
-are. Other columns pass through, but for
-``n_lines`` and ``n_removed``, which are new. Lines are told apart by 64-bit fingerprints.
+Texts are shuffled once, by id. Lines are the parts between newlines; words are
+runs outside space and 0x09-0x0D. Lines without a word are kept. A null text stays
+null; an empty one stays empty. ``doc_id`` names a document: rows that repeat an id
+must repeat the text, and get the same text. Rows with a null id are kept as they
+are. Other columns pass through, but for ``n_lines`` and ``n_removed``, which are
+new. Lines are told apart by 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -48,66 +53,73 @@ def word_counts(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
 
 
-def removed_lines(lines: DataFrame, counts: Column, share: int) -> DataFrame:
-    """The fingerprints ``k`` of first occurrences ``lines(k, m<doc_id, i, line>)`` that have an earlier similar line.
+def _lines(docs: DataFrame, *also: str) -> DataFrame:
+    """A row for each line ``(doc_id, i, line)`` of ``docs``; the outer form keeps filters on the text above its shuffle."""
+    return docs.select("doc_id", *also, F.posexplode_outer(F.split("text", "\n")).alias("i", "line"))
 
-    ``lines`` and ``entries`` are read several times; every reader takes the same
-    columns below their exchanges, so each is shuffled once.
+
+def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int) -> DataFrame:
+    """The lines ``(doc_id, i)`` among first occurrences that have an earlier similar line.
+
+    ``docs(doc_id, text)`` is shuffled by id; ``first`` has ``own`` besides, the numbers of the first occurrences.
+    ``met`` packs its columns in one, so that all its readers share one shuffle.
     """
     token = lambda w: F.shiftleft(F.get(counts, F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
-    solid = lines.where(_solid(F.col("m.line")))
-    sets = solid.select("k", F.sort_array(F.array_distinct(F.transform(words_of(F.col("m.line")), token))).alias("t"))
-    sets = sets.withColumn("n", F.size("t"))
-    spare = "1 + {n} div 8"
-    reach = F.expr(f"least(n, n - cast(ceil({share} * n / 100) as int) + {spare.format(n='n')})").cast("int")
-    entries = sets.select("k", "n", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w")).select(F.col("w").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("word"), "k", "n", "p")
-    whole = Window.partitionBy("word")
-    hub = lambda f: f(F.struct("k", "n", "p")).over(whole)
-    entries = entries.where("word is not null").withColumn("c", F.count("*").over(whole)).withColumn("lo", hub(F.min)).withColumn("hi", hub(F.max)).where("c > 1")
-
-    def possible(n: str, p: str, m: str, q: str) -> Column:
-        need = f"cast(ceil({share} * ({n} + {m}) / {100 + share}) as int)"
-        return F.expr(f"{share} * greatest({n}, {m}) <= 100 * least({n}, {m}) and least({p}, {q}) + 1 + least({n} - 1 - {p}, {m} - 1 - {q}) >= {need}")
-
-    mine, others = lines.toDF("k", "a"), lines.toDF("other", "b")
+    sets = _lines(first, "own").where(F.array_contains("own", F.col("i")) & _solid(F.col("line")))
+    sets = sets.select("doc_id", "i", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), token))).alias("t"))
+    reach = F.expr(f"cast(greatest(1, least(size(t) - 1, {2 * (100 - share)} * size(t) div 100 + 1)) as int)")
+    entries = sets.select("doc_id", "i", "t", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w"))
+    entries = entries.select(F.xxhash64("w", F.coalesce(F.get("t", F.col("p") + 1), F.lit(-1))).alias("pair"), "doc_id", "i", F.size("t").alias("n"), "p")
+    whole = Window.partitionBy("pair")
+    entries = entries.withColumn("lo", F.min(F.struct("doc_id", "i", "n", "p")).over(whole)).withColumn("hi", F.max(F.struct("doc_id", "i")).over(whole))
+    entries = entries.where("lo.doc_id < hi.doc_id or lo.i < hi.i")
+    met = entries.select("pair", F.array(*[F.col(c).cast("long") for c in ("doc_id", "i", "n", "p", "lo.doc_id", "lo.i", "lo.n", "lo.p")]).alias("m")).repartition("pair")
+
+    def side(names: str, at: int = 0) -> list[Column]:
+        return [F.col("m")[at + j].alias(c) for j, c in enumerate(names.split())]
+
+    def possible() -> Column:
+        need = f"cast(ceil({share} * (n + o) / {100 + share}) as long)"
+        return F.expr(f"{share} * greatest(n, o) <= 100 * least(n, o) and least(p, q) + least(n - p, o - q) >= {need}")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The later line of each pair ``(k, other)`` of similar lines."""
-        both = pairs.join(mine, "k").join(others, "other").select("k", "other", F.struct("a.doc_id", "a.i").alias("x"), F.struct("b.doc_id", "b.i").alias("y"), F.array_distinct(words_of(F.col("a.line"))).alias("a"), F.array_distinct(words_of(F.col("b.line"))).alias("b"))
-        both = both.withColumn("s", F.size(F.array_intersect("a", "b")))
-        return both.where(F.expr(f"100 * s >= {share} * (size(a) + size(b) - s)")).select(F.when(F.col("x") > F.col("y"), F.col("k")).otherwise(F.col("other")).alias("k"))
-
-    # The two ends of a word's lines are tried with all of them; what that settles needs no other partner.
-    star = entries.select("k", "n", "p", F.explode(F.array("lo", "hi")).alias("h")).where("k <> h.k").where(possible("n", "p", "h.n", "h.p"))
-    star = star.groupBy("k", F.col("h.k").alias("other")).agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"c >= {spare.format(n='n')}")
-    settled = verified(star.select("k", "other")).distinct()
-    rest = entries.join(settled, "k", "left_anti").select("word", "k", "n", "p")
-    # Open lines meet each other once, and the settled ones.
-    other = lambda df: df.select("word", F.col("k").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"))
-    among = rest.join(other(rest), "word").where("k < other")
-    across = rest.join(other(entries.join(settled, "k", "left_semi")), "word")
-    pairs = among.unionByName(across).where(possible("n", "p", "m", "q"))
-    pairs = pairs.groupBy("k", "other").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(f"c >= {spare.format(n='least(n, m)')}")
-    pairs = pairs.select(F.least("k", "other").alias("k"), F.greatest("k", "other").alias("other")).distinct()
-    return settled.unionByName(verified(pairs)).distinct()
+        """The later line ``(doc_id, i)`` of each pair of similar lines ``(doc_id, i, d, j)``."""
+        ends = pairs.select(F.explode(F.array(F.struct("doc_id", "i"), F.struct(F.col("d").alias("doc_id"), F.col("j").alias("i")))).alias("e"))
+        needed = ends.groupBy(F.col("e.doc_id").alias("doc_id")).agg(F.collect_set("e.i").alias("some"))
+        lines = _lines(docs.join(needed, "doc_id"), "some").where(F.array_contains("some", F.col("i").cast("long")))
+        lines = lines.select("doc_id", F.col("i").cast("long").alias("i"), F.array_distinct(words_of(F.col("line"))).alias("a"))
+        both = pairs.join(lines, ["doc_id", "i"]).join(lines.toDF("d", "j", "b"), ["d", "j"])
+        both = both.select("doc_id", "i", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("s"))
+        return both.where(f"100 * s >= {share} * (n + m - s)").select("doc_id", "i").distinct()
+
+    star = met.select(*side("doc_id i n p d j o q")).where("doc_id <> d or i <> j").where(possible()).select("doc_id", "i", "d", "j").distinct()
+    settled = verified(star)
+    rest = met.select("pair", *side("doc_id i n p lo_d lo_i")).join(settled, ["doc_id", "i"], "left_anti")
+    earlier = met.select("pair", *side("d j o q"))
+    pairs = rest.join(earlier, "pair").where("(d < doc_id or d = doc_id and j < i) and (d <> lo_d or j <> lo_i)").where(possible())
+    return settled.unionByName(verified(pairs.select("doc_id", "i", "d", "j").distinct())).distinct()
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 80) -> DataFrame:
     """``docs`` with the text's later similar lines removed, plus ``n_lines`` and ``n_removed`` (lines, 0 for a null text)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    if share < 75:
+        raise ValueError("share must be 75 at least")
+    rest = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     counts = word_counts(docs.select(F.col(text_col).alias("text")))
-    each = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    key = F.when(_solid(F.col("line")), F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "i", F.lit("blank")))
-    lines = each.groupBy(key.alias("k")).agg(F.min(F.struct("doc_id", "i", "line")).alias("m"))
-    kept = lines.join(removed_lines(lines, counts, share), "k", "left_anti")
-    texts = kept.groupBy(F.col("m.doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("m.i").alias("i"), F.col("m.line").alias("line")))).alias("_lines"))
-    texts = texts.select("_id", F.array_join(F.col("_lines.line"), "\n").alias("_text"), F.size("_lines").alias("_kept"))
-    whole = docs.withColumn("_n", F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n"))).otherwise(0))
-    rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    slim = whole.select(*rest, F.col(text_col).isNull().alias("_null"), F.when(F.col(id_col).isNull(), F.col(text_col)).alias("_own"), "_n")
-    out = slim.join(texts, slim[id_col] == texts["_id"], "left")
-    unnamed = F.col(id_col).isNull()
-    text = F.when(unnamed, F.col("_own")).when(~F.col("_null"), F.coalesce("_text", F.lit("")))
-    gone = F.when(unnamed, 0).otherwise(F.greatest(F.lit(0), F.col("_n") - F.when(F.col("_null"), F.col("_n")).otherwise(F.coalesce("_kept", F.lit(0)))))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.col("_n").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
+    placed = packed.repartition("doc_id")
+    texts = placed.select("doc_id", "text")
+    seen = _lines(texts).where(F.col("doc_id").isNotNull() & _solid(F.col("line")))
+    first = seen.groupBy(F.xxhash64("line").alias("k")).agg(F.min(F.struct("doc_id", "i")).alias("f"))
+    own = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list("f.i").alias("own"))
+    gone = similar_lines(texts, texts.join(own, "doc_id"), counts, share).groupBy("doc_id").agg(F.collect_list(F.col("i").cast("int")).alias("gone"))
+    stays = own.join(gone, "doc_id", "left").select("doc_id", F.array_except("own", F.coalesce("gone", F.array().cast("array<int>"))).alias("stays"))
+    out = placed.join(stays, "doc_id", "left")
+    stay = F.coalesce("stays", F.array().cast("array<int>"))
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~_solid(line) | F.array_contains(stay, i))
+    kept = F.when(F.col("doc_id").isNull(), F.split("text", "\n")).otherwise(kept)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    left = F.when(F.col("text").isNull(), 0).otherwise(F.size("kept"))
+    out = out.select("*", kept.alias("kept")).select("doc_id", *(["rest"] if rest else []), F.array_join("kept", "\n").alias("text"), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"))
+    own_names = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")}
+    return out.select(*[own_names.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -141,3 +141,22 @@ def test_null_ids_keep_their_text(spark):
     assert {r["doc_id"]: r["text"] for r in drop_similar_lines(df).collect()} == {None: text, 1: text, 2: ""}
 
 
+def test_lines_near_the_bound(spark):
+    """Lines of 1 to 40 words from a small vocabulary, edited so that similarities lie around the bound."""
+    r, rows, pool = random.Random(5), [], []
+    for i in range(80):
+        lines = []
+        for _ in range(r.randint(1, 6)):
+            if pool and r.random() < 0.7:
+                w = list(r.choice(pool))
+                for _ in range(r.randint(0, max(1, len(w) // 4))):
+                    at = r.randrange(len(w) + 1)
+                    w[at : at + r.randint(0, 1)] = [f"v{r.randrange(60)}"] * r.randint(0, 1)
+                r.shuffle(w)
+            else:
+                w = r.sample([f"v{k}" for k in range(60)], r.choice([1, 2, 3, 4, 5, 6, 9, 14, 25, 40]))
+            pool += [w] if w else []
+            lines.append(" ".join(w))
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["text"] for x in drop_similar_lines(df).select("doc_id", "text").collect()} == brute_lines(rows)
