@@ -38,6 +38,8 @@ from pyspark.sql.window import Window
 from .quality import BLANKS, words_of
 
 CELLS = 1 << 15
+#: Sizes and positions in a line from here on are not told apart by the filters.
+FULL = (1 << 16) - 1
 
 
 def _solid(line: Column) -> Column:
@@ -62,40 +64,46 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
     """The lines ``(doc_id, i)`` among first occurrences that have an earlier similar line.
 
     ``docs(doc_id, text)`` is shuffled by id; ``first`` has ``own`` besides, the numbers of the first occurrences.
-    ``met`` packs its columns in one, so that all its readers share one shuffle.
+    Readers share the shuffles of texts, entries and ``met``, so nothing may push a filter of one reader below them:
+    columns are made non-null, and ``task`` is a column that no filter passes. Line number, size and position
+    lie in one number; sizes from ``FULL`` on count as equal and any position will do for them.
     """
     token = lambda w: F.shiftleft(F.get(counts, F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
     sets = _lines(first, "own").where(F.array_contains("own", F.col("i")) & _solid(F.col("line")))
     sets = sets.select("doc_id", "i", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), token))).alias("t"))
     reach = F.expr(f"cast(greatest(1, least(size(t) - 1, {2 * (100 - share)} * size(t) div 100 + 1)) as int)")
     entries = sets.select("doc_id", "i", "t", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w"))
-    entries = entries.select(F.xxhash64("w", F.coalesce(F.get("t", F.col("p") + 1), F.lit(-1))).alias("pair"), "doc_id", "i", F.size("t").alias("n"), "p")
+    place = F.expr(f"shiftleft(cast(i as long), 32) + shiftleft(least(size(t), {FULL}), 16) + least(p, {FULL})")
+    entries = entries.select(F.xxhash64("w", F.coalesce(F.get("t", F.col("p") + 1), F.lit(-1))).alias("pair"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.coalesce(place, F.lit(0).cast("long")).alias("at"))
     whole = Window.partitionBy("pair")
-    entries = entries.withColumn("lo", F.min(F.struct("doc_id", "i", "n", "p")).over(whole)).withColumn("hi", F.max(F.struct("doc_id", "i")).over(whole))
-    entries = entries.where("lo.doc_id < hi.doc_id or lo.i < hi.i")
-    met = entries.select("pair", F.array(*[F.col(c).cast("long") for c in ("doc_id", "i", "n", "p", "lo.doc_id", "lo.i", "lo.n", "lo.p")]).alias("m")).repartition("pair")
+    row = F.struct("doc_id", "at")
+    entries = entries.withColumn("lo", F.min(row).over(whole)).withColumn("hi", F.max(row).over(whole)).where("lo <> hi")
+    met = entries.select("pair", F.col("doc_id").alias("d"), "at", F.col("lo.doc_id").alias("lo_d"), F.col("lo.at").alias("lo_at"))
+    met = met.repartition("pair").withColumn("task", F.spark_partition_id()).where("task >= 0")
 
-    def side(names: str, at: int = 0) -> list[Column]:
-        return [F.col("m")[at + j].alias(c) for j, c in enumerate(names.split())]
+    def side(d: str, at: str, names: str) -> list[Column]:
+        parts = [F.col(d), F.shiftright(at, 32), F.shiftright(at, 16).bitwiseAND(F.lit(FULL)), F.col(at).bitwiseAND(F.lit(FULL))]
+        return [F.coalesce(x, F.lit(0).cast("long")).alias(c) for c, x in zip(names.split(), parts, strict=True)]
 
     def possible() -> Column:
         need = f"cast(ceil({share} * (n + o) / {100 + share}) as long)"
-        return F.expr(f"{share} * greatest(n, o) <= 100 * least(n, o) and least(p, q) + least(n - p, o - q) >= {need}")
+        return F.expr(f"greatest(n, o) >= {FULL} or {share} * greatest(n, o) <= 100 * least(n, o) and least(p, q) + least(n - p, o - q) >= {need}")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The later line ``(doc_id, i)`` of each pair of similar lines ``(doc_id, i, d, j)``."""
         ends = pairs.select(F.explode(F.array(F.struct("doc_id", "i"), F.struct(F.col("d").alias("doc_id"), F.col("j").alias("i")))).alias("e"))
         needed = ends.groupBy(F.col("e.doc_id").alias("doc_id")).agg(F.collect_set("e.i").alias("some"))
         lines = _lines(docs.join(needed, "doc_id"), "some").where(F.array_contains("some", F.col("i").cast("long")))
-        lines = lines.select("doc_id", F.col("i").cast("long").alias("i"), F.array_distinct(words_of(F.col("line"))).alias("a"))
-        both = pairs.join(lines, ["doc_id", "i"]).join(lines.toDF("d", "j", "b"), ["d", "j"])
+        lines = lines.select("doc_id", F.col("i").cast("long").alias("i"), "line")
+        both = pairs.join(lines, ["doc_id", "i"]).join(lines.toDF("d", "j", "other"), ["d", "j"])
+        both = both.select("doc_id", "i", F.array_distinct(words_of(F.col("line"))).alias("a"), F.array_distinct(words_of(F.col("other"))).alias("b"))
         both = both.select("doc_id", "i", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("s"))
         return both.where(f"100 * s >= {share} * (n + m - s)").select("doc_id", "i").distinct()
 
-    star = met.select(*side("doc_id i n p d j o q")).where("doc_id <> d or i <> j").where(possible()).select("doc_id", "i", "d", "j").distinct()
+    star = met.select("task", *side("d", "at", "doc_id i n p"), *side("lo_d", "lo_at", "d j o q")).where("doc_id <> d or i <> j").where(possible()).select("doc_id", "i", "d", "j").distinct()
     settled = verified(star)
-    rest = met.select("pair", *side("doc_id i n p lo_d lo_i")).join(settled, ["doc_id", "i"], "left_anti")
-    earlier = met.select("pair", *side("d j o q"))
+    rest = met.select("pair", *side("d", "at", "doc_id i n p"), F.col("lo_d"), F.shiftright("lo_at", 32).alias("lo_i")).join(settled, ["doc_id", "i"], "left_anti")
+    earlier = met.select("pair", *side("d", "at", "d j o q"))
     pairs = rest.join(earlier, "pair").where("(d < doc_id or d = doc_id and j < i) and (d <> lo_d or j <> lo_i)").where(possible())
     return settled.unionByName(verified(pairs.select("doc_id", "i", "d", "j").distinct())).distinct()
 
@@ -107,9 +115,9 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     counts = word_counts(docs.select(F.col(text_col).alias("text")))
     packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
-    placed = packed.repartition("doc_id")
+    placed = packed.where("doc_id is not null").repartition("doc_id")
     texts = placed.select("doc_id", "text")
-    seen = _lines(texts).where(F.col("doc_id").isNotNull() & _solid(F.col("line")))
+    seen = _lines(texts).where(_solid(F.col("line")))
     first = seen.groupBy(F.xxhash64("line").alias("k")).agg(F.min(F.struct("doc_id", "i")).alias("f"))
     own = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_list("f.i").alias("own"))
     gone = similar_lines(texts, texts.join(own, "doc_id"), counts, share).groupBy("doc_id").agg(F.collect_list(F.col("i").cast("int")).alias("gone"))
@@ -117,9 +125,10 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = placed.join(stays, "doc_id", "left")
     stay = F.coalesce("stays", F.array().cast("array<int>"))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~_solid(line) | F.array_contains(stay, i))
-    kept = F.when(F.col("doc_id").isNull(), F.split("text", "\n")).otherwise(kept)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     left = F.when(F.col("text").isNull(), 0).otherwise(F.size("kept"))
     out = out.select("*", kept.alias("kept")).select("doc_id", *(["rest"] if rest else []), F.array_join("kept", "\n").alias("text"), n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_removed"))
+    unnamed = packed.where("doc_id is null").select("doc_id", *(["rest"] if rest else []), "text", n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    out = out.unionByName(unnamed)
     own_names = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")}
     return out.select(*[own_names.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
