@@ -65,7 +65,8 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
 
     ``docs(doc_id, text)`` is shuffled by id; ``first`` has ``own`` besides, the numbers of the first occurrences.
     Readers share the shuffles of texts, entries and ``met``, so nothing may push a filter of one reader below them:
-    columns are made non-null, and ``task`` is a column that no filter passes. Line number, size and position
+    columns are made non-null, and ``task`` is a column that no filter passes. A pair of words is a 48-bit hash (the
+    words themselves are compared in the end). Line number, size and position
     lie in one number; sizes from ``FULL`` on count as equal and any position will do for them.
     """
     token = lambda w: F.shiftleft(F.get(counts, F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
@@ -74,7 +75,7 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
     reach = F.expr(f"cast(greatest(1, least(size(t) - 1, {2 * (100 - share)} * size(t) div 100 + 1)) as int)")
     entries = sets.select("doc_id", "i", "t", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w"))
     place = F.expr(f"shiftleft(cast(i as long), 32) + shiftleft(least(size(t), {FULL}), 16) + least(p, {FULL})")
-    entries = entries.select(F.xxhash64("w", F.coalesce(F.get("t", F.col("p") + 1), F.lit(-1))).alias("pair"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.coalesce(place, F.lit(0).cast("long")).alias("at"))
+    entries = entries.select(F.shiftrightunsigned(F.xxhash64("w", F.coalesce(F.get("t", F.col("p") + 1), F.lit(-1))), 16).alias("pair"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.coalesce(place, F.lit(0).cast("long")).alias("at"))
     whole = Window.partitionBy("pair")
     row = F.struct("doc_id", "at")
     entries = entries.withColumn("lo", F.min(row).over(whole)).withColumn("hi", F.max(row).over(whole)).where("lo <> hi")
@@ -94,7 +95,7 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
         ends = pairs.select(F.explode(F.array(F.struct("doc_id", "i"), F.struct(F.col("d").alias("doc_id"), F.col("j").alias("i")))).alias("e"))
         needed = ends.groupBy(F.col("e.doc_id").alias("doc_id")).agg(F.collect_set("e.i").alias("some"))
         lines = _lines(docs.join(needed, "doc_id"), "some").where(F.array_contains("some", F.col("i").cast("long")))
-        lines = lines.select("doc_id", F.col("i").cast("long").alias("i"), "line")
+        lines = lines.select(*[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in ("doc_id", "i")], F.coalesce("line", F.lit("")).alias("line")).repartition("doc_id", "i")
         both = pairs.join(lines, ["doc_id", "i"]).join(lines.toDF("d", "j", "other"), ["d", "j"])
         both = both.select("doc_id", "i", F.array_distinct(words_of(F.col("line"))).alias("a"), F.array_distinct(words_of(F.col("other"))).alias("b"))
         both = both.select("doc_id", "i", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("s"))
