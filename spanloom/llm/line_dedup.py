@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .quality import BLANKS, words_of
+from .scratch import Scratch
 
 CELLS = 1 << 15
 #: Sizes and positions in a line from here on are not told apart by the filters.
@@ -47,12 +48,15 @@ def _solid(line: Column) -> Column:
 
 
 def word_counts(docs: DataFrame) -> Column:
-    """How often the words of each hashed cell occur in the corpus, as a literal array of ``CELLS`` numbers."""
-    cells = docs.select(F.explode(words_of(F.col("text"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).count()
-    counts = [0] * CELLS
-    for row in cells.collect():  # CELLS rows at most
-        counts[row["cell"]] = min(row["count"], (1 << 22) - 1)
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<bigint>")
+    """How often the words of each hashed cell occur in the corpus: an array of ``CELLS`` numbers.
+
+    It is a written one-row table, read as a scalar subquery: plans name it and need not print its numbers.
+    """
+    spark = docs.sparkSession
+    cells = docs.select(F.explode(words_of(F.col("text"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("id")).count()
+    every = spark.range(CELLS).join(cells, "id", "left").select("id", F.least(F.coalesce("count", F.lit(0)), F.lit((1 << 22) - 1)).cast("long").alias("n"))
+    table = every.agg(F.sort_array(F.collect_list(F.struct("id", "n")))["n"].alias("counts"))  # CELLS rows, whatever the corpus
+    return Scratch(spark, "line_dedup").save(table, "counts").scalar()
 
 
 def _lines(docs: DataFrame, *also: str) -> DataFrame:
@@ -69,9 +73,9 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
     words themselves are compared in the end). Line number, size and position
     lie in one number; sizes from ``FULL`` on count as equal and any position will do for them.
     """
-    token = lambda w: F.shiftleft(F.get(counts, F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
+    token = lambda w: F.shiftleft(F.get("counts", F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
     sets = _lines(first, "own").where(F.array_contains("own", F.col("i")) & _solid(F.col("line")))
-    sets = sets.select("doc_id", "i", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), token))).alias("t"))
+    sets = sets.withColumn("counts", counts).select("doc_id", "i", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), token))).alias("t"))
     reach = F.expr(f"cast(greatest(1, least(size(t) - 1, {2 * (100 - share)} * size(t) div 100 + 1)) as int)")
     entries = sets.select("doc_id", "i", "t", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w"))
     place = F.expr(f"shiftleft(cast(i as long), 32) + shiftleft(least(size(t), {FULL}), 16) + least(p, {FULL})")
