@@ -11,7 +11,8 @@ so only their first occurrences meet in the join:
   sets parts two neighbours of its own set at most and one pair of shared words,
   so with sizes n and m some two shared words stand side by side in both, and the
   first such pair is among the first ``2 n (1 - t) + 1`` of each set (``share`` is
-  75 at least, else small sets could be without one). Two rare words side by side
+  75 at least, else small sets could be without one); of sets of 16 words and more
+  the second is among one more, and both must be shared. Two rare words side by side
   are much rarer than one, so candidates grow with the copies, not with the square
   of the corpus;
 * length filter ``t max(n, m) <= min(n, m)`` and positional filter on the words
@@ -74,9 +75,10 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
     lie in one number; sizes from ``FULL`` on count as equal and any position will do for them.
     """
     token = lambda w: F.shiftleft(F.get("counts", F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
+    shared = "if({n} >= 16, 2, 1)"
     sets = _lines(first, "own").where(F.array_contains("own", F.col("i")) & _solid(F.col("line")))
     sets = sets.withColumn("counts", counts).select("doc_id", "i", F.sort_array(F.array_distinct(F.transform(words_of(F.col("line")), token))).alias("t"))
-    reach = F.expr(f"cast(greatest(1, least(size(t) - 1, {2 * (100 - share)} * size(t) div 100 + 1)) as int)")
+    reach = F.expr(f"cast(greatest(1, least(size(t) - 1, {2 * (100 - share)} * size(t) div 100 + {shared.format(n='size(t)')})) as int)")
     entries = sets.select("doc_id", "i", "t", F.posexplode(F.slice("t", F.lit(1), reach)).alias("p", "w"))
     place = F.expr(f"shiftleft(cast(i as long), 32) + shiftleft(least(size(t), {FULL}), 16) + least(p, {FULL})")
     entries = entries.select(F.shiftrightunsigned(F.xxhash64("w", F.coalesce(F.get("t", F.col("p") + 1), F.lit(-1))), 16).alias("pair"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.coalesce(place, F.lit(0).cast("long")).alias("at"))
@@ -94,6 +96,11 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
         need = f"cast(ceil({share} * (n + o) / {100 + share}) as long)"
         return F.expr(f"greatest(n, o) >= {FULL} or {share} * greatest(n, o) <= 100 * least(n, o) and least(p, q) + least(n - p, o - q) >= {need}")
 
+    def enough(pairs: DataFrame) -> DataFrame:
+        """The pairs of lines that pass the filters with as many pairs of words as they must share."""
+        found = pairs.where(possible()).groupBy("doc_id", "i", "d", "j").agg(F.count("*").alias("c"), F.min(F.least("n", "o")).alias("n"))
+        return found.where(f"c >= {shared.format(n='n')}").select("doc_id", "i", "d", "j")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The later line ``(doc_id, i)`` of each pair of similar lines ``(doc_id, i, d, j)``."""
         ends = pairs.select(F.explode(F.array(F.struct("doc_id", "i"), F.struct(F.col("d").alias("doc_id"), F.col("j").alias("i")))).alias("e"))
@@ -105,12 +112,12 @@ def similar_lines(docs: DataFrame, first: DataFrame, counts: Column, share: int)
         both = both.select("doc_id", "i", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("s"))
         return both.where(f"100 * s >= {share} * (n + m - s)").select("doc_id", "i").distinct()
 
-    star = met.select("task", *side("d", "at", "doc_id i n p"), *side("lo_d", "lo_at", "d j o q")).where("doc_id <> d or i <> j").where(possible()).select("doc_id", "i", "d", "j").distinct()
-    settled = verified(star)
-    rest = met.select("pair", *side("d", "at", "doc_id i n p"), F.col("lo_d"), F.shiftright("lo_at", 32).alias("lo_i")).join(settled, ["doc_id", "i"], "left_anti")
+    star = met.select("task", *side("d", "at", "doc_id i n p"), *side("lo_d", "lo_at", "d j o q")).where("doc_id <> d or i <> j")
+    settled = verified(enough(star))
+    rest = met.select("pair", *side("d", "at", "doc_id i n p")).join(settled, ["doc_id", "i"], "left_anti")
     earlier = met.select("pair", *side("d", "at", "d j o q"))
-    pairs = rest.join(earlier, "pair").where("(d < doc_id or d = doc_id and j < i) and (d <> lo_d or j <> lo_i)").where(possible())
-    return settled.unionByName(verified(pairs.select("doc_id", "i", "d", "j").distinct())).distinct()
+    pairs = rest.join(earlier, "pair").where("d < doc_id or d = doc_id and j < i")
+    return settled.unionByName(verified(enough(pairs))).distinct()
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 80) -> DataFrame:
