@@ -158,11 +158,11 @@ def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, save=
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def keep_good(docs: DataFrame, save, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, save=None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, all columns as they are.
 
-    ``save`` writes the rows once with their votes, so texts are read and measured
-    once; the model is then estimated from the votes and filters the written rows.
+    Texts are measured twice, for the model and for the verdict; with ``save`` the rows
+    are written with their votes in between and measured once, for a copy of the table.
     """
     packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
     return judge(packed, "_text", threshold, save).where("kept").select("_row.*")
