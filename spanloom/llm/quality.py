@@ -158,11 +158,13 @@ def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, save=
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def keep_good(docs: DataFrame, save=None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, save, text_col: str = "text", threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, all columns as they are.
 
-    Texts are measured twice, for the model and for the verdict; with ``save`` the rows
-    are written with their votes in between and measured once, for a copy of the table.
+    ``save`` writes the votes once, without texts; rows go by id and the text's 64-bit
+    fingerprint, on which the verdict depends, so null and repeated ids are told apart.
     """
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    return judge(packed, "_text", threshold, save).where("kept").select("_row.*")
+    name = F.xxhash64(F.col(text_col))
+    seen = docs.select(F.col(id_col).alias("_id"), name.alias("_name"), F.col(text_col).alias("_text"))
+    bad = judge(seen, "_text", threshold, save).where(~F.col("kept")).select("_id", "_name").distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (name == bad["_name"]), "left_anti")
