@@ -1,18 +1,22 @@
 """Benchmark decontamination (1) by spaced-seed hashing.
 
 Tokens are lower-cased words without surrounding ASCII punctuation. A window of
-``SPAN`` tokens is cut into four blocks of three; each of the six masks ignores
-two blocks and hashes the other two, so any substitutions confined to two
-blocks, hence any two substituted tokens, leave one mask untouched. Items
-shorter than a window use one window of their own length and no mask.
+``SPAN`` tokens is cut into six blocks of two; each of twenty masks hashes three
+blocks and ignores the others, so any three substituted tokens leave one mask
+untouched. With one more mask every stretch of 12 or more tokens of which 75 %
+are equal is hit (a search over all seed-avoiding patterns finds none), so for
+the default ``least`` and ``share`` no overlap is missed. Items shorter than a
+window use windows of their own length, cut into two blocks more than they may
+have substitutions, and masks of two blocks.
 
 Hashes of the items are joined with hashes of all windows of all documents. The
 items are sent to the executors in blocks of bounded size (``block_tokens``
 tokens, whatever the benchmark's size); for each block every document is read
 once. Around each hit the item is laid over the document on the hit's diagonal
-and the aligned tokens are compared; the best stretch, scored +1 for an equal
-and -2 for a different token, must be at least ``least`` tokens long (or the
-whole item if it is shorter) with ``share`` percent of them equal.
+and the aligned tokens are compared; any stretch of at least ``least`` tokens (or
+the whole item if it is shorter) with ``share`` percent of them equal is a match.
+The best stretch, scored +1 for an equal and -2 for a different token, is
+reported if it is one, else the first longest that is.
 
 Null, empty or blank texts and items have no tokens and match nothing; items
 under ``shortest`` tokens are no evidence and match nothing. Repeated rows each
@@ -31,9 +35,17 @@ from pyspark.sql import functions as F
 
 from .hashing import U, Words, mix, pieces
 
-SPAN, BLOCK = 12, 3
-#: The token positions each mask keeps.
-MASKS = [np.array([i for b in pair for i in range(b * BLOCK, (b + 1) * BLOCK)]) for pair in combinations(range(SPAN // BLOCK), 2)]
+SPAN = 12
+
+
+def block_masks(size: int, blocks: int, kept: int) -> list[np.ndarray]:
+    """The token positions of each choice of ``kept`` of ``blocks`` blocks of a window."""
+    cut = np.array_split(np.arange(size), blocks)
+    return [np.concatenate(c) for c in combinations(cut, kept)]
+
+
+#: The token positions each mask keeps; the last is for stretches whose windows all have four substitutions.
+MASKS = [*block_masks(SPAN, 6, 3), np.array([0, 2, 3, 5, 7, 9])]
 _FACTOR = mix(np.arange(1, SPAN + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F)) | U(1)
 _FILTER_BITS = 22
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -63,28 +75,26 @@ class Tokens(Words):
             self.hash = mix((sums[self.end] - sums[self.start]) * inverse[rank[self.start]] + U(1))
 
 
-def masked(hashes: np.ndarray, mask: np.ndarray, salt: int) -> np.ndarray:
-    """Hashes of all windows of ``SPAN`` tokens under one mask."""
-    n = len(hashes) - SPAN + 1
+def masked(hashes: np.ndarray, mask: np.ndarray, salt: int, size: int | None = None) -> np.ndarray:
+    """Hashes of all windows of ``size`` tokens (as far as the mask reaches if None) under one mask."""
+    n = len(hashes) - (size or int(mask[-1]) + 1) + 1
     out = np.zeros(max(n, 0), dtype=U)
-    for i in mask:
+    for i in mask if n > 0 else ():
         out += hashes[i : n + i] * _FACTOR[i]
     return mix(out + U(salt))
 
 
-def whole(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows of ``size`` < SPAN tokens, without a mask."""
-    n = len(hashes) - size + 1
-    out = np.zeros(max(n, 0), dtype=U)
-    for i in range(size if n > 0 else 0):
-        out += hashes[i : n + i] * _FACTOR[i]
-    return mix(out + U(1000 + size))
+def short_masked(hashes: np.ndarray, size: int, share: int) -> list[np.ndarray]:
+    """Hashes of all windows of ``size`` < SPAN tokens under masks that spare all substitutions ``share`` allows."""
+    wrong = min(size - 1, size * (100 - share) // 100)
+    blocks = min(size, wrong + 2)
+    return [masked(hashes, m, 1000 * size + s, size) for s, m in enumerate(block_masks(size, blocks, blocks - wrong))]
 
 
 class Probe:
     """The hashes of one block of items, sorted, with a bit filter in front."""
 
-    def __init__(self, ids: list[int], tokens: list[np.ndarray], shortest: int):
+    def __init__(self, ids: list[int], tokens: list[np.ndarray], shortest: int, share: int):
         self.ids, self.tokens = ids, tokens
         keys, items, at = [], [], []
         self.sizes = sorted({len(t) for t in tokens if shortest <= len(t) < SPAN})
@@ -93,22 +103,23 @@ class Probe:
             if len(t) >= SPAN:
                 found = [masked(t, m, s) for s, m in enumerate(MASKS)]
             elif len(t) >= shortest:
-                found = [whole(t, len(t))]
+                found = short_masked(t, len(t), share)
             for h in found:
                 keys.append(h)
-                items.append(np.full(len(h), k))
-                at.append(np.arange(len(h)))
+                items.append(np.full(len(h), k, dtype=np.int32))
+                at.append(np.arange(len(h), dtype=np.int32))
         keys = np.concatenate(keys) if keys else np.zeros(0, dtype=U)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.items = np.concatenate(items)[order] if items else np.zeros(0, dtype=np.int64)
-        self.at = np.concatenate(at)[order] if at else np.zeros(0, dtype=np.int64)
-        self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.filter[(self.keys >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.items = np.concatenate(items)[order] if items else np.zeros(0, dtype=np.int32)
+        self.at = np.concatenate(at)[order] if at else np.zeros(0, dtype=np.int32)
+        self.shift = U(64 - max(_FILTER_BITS, min(26, len(self.keys).bit_length() + 2)))
+        self.filter = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.filter[(self.keys >> self.shift).astype(np.int64)] = True
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window start, item, item position) of every equal pair of hashes."""
-        where = np.flatnonzero(self.filter[(hashes >> U(64 - _FILTER_BITS)).astype(np.int64)])
+        where = np.flatnonzero(self.filter[(hashes >> self.shift).astype(np.int64)])
         lo = np.searchsorted(self.keys, hashes[where], "left")
         count = np.searchsorted(self.keys, hashes[where], "right") - lo
         where, lo, count = where[count > 0], lo[count > 0], count[count > 0]
@@ -125,6 +136,20 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return int(np.argmax(score[: hi + 1] == floor[hi])), hi
 
 
+def passing_stretch(same: np.ndarray, least: int, share: int) -> tuple[int, int] | None:
+    """The best stretch if it has ``least`` tokens and ``share`` percent of them equal, else the first longest that has, else None."""
+    a, b = best_stretch(same)
+    if b - a >= least and 100 * int(np.count_nonzero(same[a:b])) >= share * (b - a):
+        return a, b
+    rest = np.concatenate([[0], np.cumsum(np.where(same, 100 - share, -share))])
+    # The greatest sum at or after each end never rises with the end, so the last end that suffices is found by bisection.
+    ahead = np.maximum.accumulate(rest[::-1])
+    hi = len(same) - np.searchsorted(ahead, rest, "left")
+    width = hi - np.arange(len(rest))
+    lo = int(np.argmax(width))
+    return (lo, lo + int(width[lo])) if width[lo] >= max(1, least) else None
+
+
 def scan(docs: DataFrame, probe, least: int, share: int) -> DataFrame:
     """Verified matches of one block of items."""
 
@@ -136,7 +161,7 @@ def scan(docs: DataFrame, probe, least: int, share: int) -> DataFrame:
                 tokens = Tokens(piece.column(1))
                 if not len(tokens.hash):
                     continue
-                found = [p.hits(masked(tokens.hash, m, s)) for s, m in enumerate(MASKS)] + [p.hits(whole(tokens.hash, n)) for n in p.sizes]
+                found = [p.hits(masked(tokens.hash, m, s)) for s, m in enumerate(MASKS)] + [p.hits(h) for n in p.sizes for h in short_masked(tokens.hash, n, share)]
                 where, item, at = (np.concatenate([f[j] for f in found]) for j in range(3))
                 if not len(where):
                     continue
@@ -149,9 +174,9 @@ def scan(docs: DataFrame, probe, least: int, share: int) -> DataFrame:
                     if hi <= lo:
                         continue
                     same = t[lo:hi] == tokens.hash[shift + lo : shift + hi]
-                    a, b = best_stretch(same)
-                    equal = int(np.count_nonzero(same[a:b]))
-                    if b - a >= min(least, len(t)) and 100 * equal >= share * (b - a):
+                    if found := passing_stretch(same, min(least, len(t)), share):
+                        a, b = found
+                        equal = int(np.count_nonzero(same[a:b]))
                         out.append((ids[d], p.ids[k], len(t), equal, b - a, shift + lo + a - first, lo + a))
             names = ["doc_id", "item_id", "item_words", "n_equal", "n_aligned", "doc_start", "item_start"]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(7)], names)
@@ -159,19 +184,19 @@ def scan(docs: DataFrame, probe, least: int, share: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, item_id long, item_words long, n_equal long, n_aligned long, doc_start long, item_start long")
 
 
-def item_blocks(benchmark: DataFrame, block_tokens: int, shortest: int):
+def item_blocks(benchmark: DataFrame, block_tokens: int, shortest: int, share: int):
     """The items as probes of at most ``block_tokens`` tokens (or one item) each."""
     ids, tokens, held = [], [], 0
     for row in benchmark.toLocalIterator():
         t = Tokens(pa.array([row["text"]], pa.string())).hash
         if held and held + len(t) > block_tokens:
-            yield Probe(ids, tokens, shortest)
+            yield Probe(ids, tokens, shortest, share)
             ids, tokens, held = [], [], 0
         ids.append(row["item_id"])
         tokens.append(t)
         held += len(t)
     if ids:
-        yield Probe(ids, tokens, shortest)
+        yield Probe(ids, tokens, shortest, share)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 12, share: int = 75, shortest: int = 5, block_tokens: int = 1 << 19) -> DataFrame:
@@ -180,7 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").orderBy("item_id", "text")
     found = None
-    for probe in item_blocks(items, block_tokens, shortest):
+    for probe in item_blocks(items, block_tokens, shortest, share):
         part = scan(docs, spark.sparkContext.broadcast(probe), least, share)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -33,6 +33,41 @@ def test_leaks_tolerate_substitutions(spark):
     assert find_leaks(docs, items.where("false")).count() == 0
 
 
+def brute_leaks(docs, items, least=12, share=75, shortest=5):
+    found = set()
+    for d, text in docs:
+        for i, item in items:
+            doc, t = text.split(), item.split()
+            for shift in range(1 - len(t), len(doc)) if len(t) >= shortest else ():
+                lo, hi = max(0, -shift), min(len(t), len(doc) - shift)
+                equal = np.concatenate([[0], np.cumsum([t[k] == doc[shift + k] for k in range(lo, hi)])])
+                size = np.arange(len(equal))[None, :] - np.arange(len(equal))[:, None]
+                if np.any((size >= min(least, len(t))) & (100 * (equal[None, :] - equal[:, None]) >= share * size)):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_leaks_like_brute_force(spark):
+    rng = np.random.default_rng(7)
+    change = lambda words, same: " ".join(w if ok else f"x{rng.integers(10**9)}" for w, ok in zip(words, same, strict=True))
+    sizes = [5, 6, 7, 8, 9, 10, 11, 12, 13, 16, 17, 20, 30, 54, 460]
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate(sizes)]
+    docs = []
+    for _, item in items:
+        t = item.split()
+        pad = " ".join(f"p{rng.integers(10**9)}" for _ in range(5))
+        docs += [f"{pad} {change(t, rng.random(len(t)) >= rate)} {pad}" for rate in (0.1, 0.2, 0.25, 0.3, 0.4, 0.5) for _ in range(6)]
+        docs += [f"{pad} {change(t, [j % 7 not in (2, 5) for j in range(len(t))])} {pad}", change(t, [j < 40 or j % 7 not in (2, 5) for j in range(len(t))])]
+    docs += [f"a {change(items[9][1].split(), [c == '1' for c in p])} z" for p in ("1111101010101111", "1111010101011111", "1111011010101111", "1111000011111111")]
+    docs = list(enumerate(docs))
+    rows = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == brute_leaks(docs, items)
+    for r in rows:
+        doc, item = (dict(x)[r[c]].split()[r[s] :][: r["n_aligned"]] for x, c, s in ((docs, "doc_id", "doc_start"), (items, "item_id", "item_start")))
+        assert sum(a == b for a, b in zip(doc, item, strict=True)) == r["n_equal"] and 100 * r["n_equal"] >= 75 * r["n_aligned"] >= 75 * min(12, r["item_words"])
+
+
 def test_leaks_find_every_contained_item(spark, small):
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op1_decontamination(spark, SMALL).collect()}
