@@ -14,7 +14,8 @@ from .packing import pack, token_lengths
 from .pii import BASE, KINDS, find_pii, listed
 from .quality import judge
 from .scratch import Scratch
-from .sharding import shard
+from .sharding import listed as listed_shards
+from .sharding import write_shards
 from .substring_dedup import drop_repeats
 
 #: The byte limit of a shard, before compression.
@@ -65,7 +66,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+    return listed_shards(write_shards(table(spark, sf_dir, "documents"), f"{Scratch(spark, 'shards').root}/files", limit=SHARD_BYTES))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

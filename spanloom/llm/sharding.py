@@ -6,14 +6,16 @@ ranges get long prefixes and the rest stay coarse. Cells (leading ``bits`` of th
 hash) are summed once; all prefixes of a cell are summed from the cells, and a
 cell belongs to its shortest prefix that fits. Only cells that are still too
 large are summed again with more bits. Rows whose whole hashes agree (repeated
-ids) cannot be told apart by bits: such a bucket is cut into runs of rows by a
-running sum of bytes. A single row over the limit gets a shard of its own.
+ids) cannot be told apart by bits: in such a bucket rows over half the limit get
+shards of their own, and the others are cut into runs by a running sum of bytes
+in steps of the limit less the largest of them, so that no run exceeds it. Only
+a single row over the limit makes a shard over it.
 
 Everything runs as DataFrame operations; the directory is never collected.
 
 A null or empty text counts 0 bytes; null ids hash like the empty string. Rows
-and columns are kept as they are, whatever their names; an empty table gives no
-shards.
+and columns are kept as they are, whatever their names (a column of ours whose
+name is taken gets underscores); an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -62,23 +64,67 @@ def directory(sizes: DataFrame, limit: int, step: int, scratch: Scratch) -> Data
         lo = hi
 
 
-def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
-    """``(doc_id, n_bytes, depth, prefix, part)`` per row; a shard is (depth, prefix, part)."""
+def shard_names(columns: list[str]) -> list[str]:
+    """The names of depth, prefix and part beside ``columns``."""
+    taken = {c.lower() for c in columns}
+    names = []
+    for name in ("depth", "prefix", "part"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    return names
+
+
+def parts(last: DataFrame, limit: int) -> DataFrame:
+    """``last(prefix, n_bytes, tie, ...)`` with a ``part`` whose bytes stay within the limit, or that is one row."""
+    whole = Window.partitionBy("prefix")
+    order = whole.orderBy("n_bytes", "tie")
+    small = F.col("n_bytes") * 2 <= limit
+    out = last.withColumn("step", F.lit(limit) - F.coalesce(F.max(F.when(small, F.col("n_bytes"))).over(whole), F.lit(0)))
+    out = out.withColumn("before", F.coalesce(F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = out.withColumn("run", F.when(small, F.expr("before div step")))
+    # Ordered by size, the large rows come after all runs.
+    rank = F.sum(F.when(small, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    alone = F.coalesce(F.max("run").over(whole), F.lit(-1)) + rank
+    return out.withColumn("part", F.coalesce(F.col("run"), alone).cast("long")).drop("step", "before", "run")
+
+
+def shard_rows(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """All rows and columns with the depth, prefix and part (:func:`shard_names`) that are their shard."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = scratch.save(rows.withColumn("h", hash_bits(F.col("doc_id"))), "sizes")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")
+    sizes = scratch.save(docs.select(n_bytes, hash_bits(F.col(id_col)).alias("h")), "sizes")
+    total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     step = bits or min(BITS, max(4, (max(1, total // max(1, limit))).bit_length() + 3))
-    buckets = scratch.save(directory(rows, limit, step, scratch), "directory")
+    buckets = scratch.save(directory(sizes, limit, step, scratch), "directory")
     # A row finds its bucket by an equi-join on the leading bits of each depth in use.
     depths = [r[0] for r in buckets.select("depth").distinct().collect()]  # 61 at most
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, n_bytes, hash_bits(F.col(id_col)).alias("h"), F.xxhash64(text_col).alias("tie"))
     placed = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in sorted(depths)]))) if depths else rows.withColumn("depth", F.lit(0))
     placed = placed.withColumn("prefix", prefix("h", "depth")).join(buckets, ["depth", "prefix"])
-    # Equal hashes at the last bit: a running sum of bytes cuts the bucket.
-    last = placed.where(F.col("depth") == BITS)
-    w = Window.partitionBy("prefix").orderBy("n_bytes", "doc_id")
-    before = F.coalesce(F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = last.withColumn("part", F.floor(before / F.lit(limit)).cast("long"))
     out = placed.where(F.col("depth") < BITS).withColumn("part", F.lit(0).cast("long"))
-    return out.unionByName(last).select("doc_id", "n_bytes", F.col("depth").cast("long").alias("depth"), "prefix", "part")
+    if BITS in depths:
+        # Equal hashes at the last bit are cut by bytes.
+        out = out.unionByName(parts(placed.where(F.col("depth") == BITS), limit))
+    ours = [F.col(c).cast("long").alias(n) for c, n in zip(("depth", "prefix", "part"), shard_names(docs.columns), strict=True)]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *ours)
+
+
+def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """Writes each shard as one Parquet file of all its rows and columns, in folders depth/prefix/part, and reads them back."""
+    out, names = shard_rows(docs, limit, id_col, text_col, bits), shard_names(docs.columns)
+    out.repartition(*names).write.option("maxRecordsPerFile", 0).partitionBy(*names).parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def listed(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_bytes, depth, prefix, part)`` of sharded rows."""
+    ours = [F.col(n).alias(c) for c, n in zip(("depth", "prefix", "part"), rows.columns[-3:], strict=True)]
+    return rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), *ours)
+
+
+def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """``(doc_id, n_bytes, depth, prefix, part)`` per row, without files; a shard is (depth, prefix, part)."""
+    return listed(shard_rows(docs, limit, id_col, text_col, bits), id_col, text_col)

@@ -16,7 +16,7 @@ from spanloom.llm.decontaminate import find_leaks
 from spanloom.llm.html_extract import main_text, minimum_cut
 from spanloom.llm.language import identify
 from spanloom.llm.scratch import Scratch
-from spanloom.llm.sharding import shard
+from spanloom.llm.sharding import shard, write_shards
 
 from .conftest import EDGES, SMALL, words
 
@@ -202,6 +202,27 @@ def test_sharding(spark, small, edges):
     assert shard(edges.where("false"), 1000).count() == 0
 
 
+def test_shards_of_one_hash_fit(spark, edges, tmp_path):
+    sizes = [600, 600, 30, 9000, 400, 400, 0, 1000, 501, 500, 1001] + [7] * 300
+    rows = [(i, None if n == 0 else chr(97 + k % 26) * n, k) for i in (5, None) for k, n in enumerate(sizes)] + [(9, "solo", -1), (10, "x" * 5000, -2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part long")
+    for out in (shard(docs, 1000).collect(), shard(docs, 1000, bits=7).collect()):
+        assert Counter((r["doc_id"], r["n_bytes"]) for r in out) == Counter((i, len(t or "")) for i, t, _ in rows)
+        filled = {}
+        for r in out:
+            filled.setdefault((r["depth"], r["prefix"], r["part"]), []).append(r["n_bytes"])
+        assert all(sum(x) <= 1000 or len(x) == 1 for x in filled.values())
+        assert len(filled) <= 30
+    back = write_shards(docs, f"{tmp_path}/shards", 1000)
+    assert back.columns == ["doc_id", "text", "part", "depth", "prefix", "part_"]
+    assert Counter((r["doc_id"], r["text"], r["part"]) for r in back.collect()) == Counter(rows)
+    files = [r[0] for r in back.select(F.input_file_name(), "depth", "prefix", "part_").distinct().select(F.count("*")).collect()]
+    assert files == [back.select("depth", "prefix", "part_").distinct().count()]
+    kept = write_shards(edges, f"{tmp_path}/edges", 1000)
+    assert Counter(map(tuple, kept.select(*edges.columns).collect())) == Counter(map(tuple, edges.collect()))
+    assert write_shards(edges.where("false"), f"{tmp_path}/none", 1000).count() == 0
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(2)
     for _ in range(20):
