@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,23 @@ def rouge_n(pairs: DataFrame, key: str, ref: Column, pred: Column, n: int) -> Da
     return sized.select("*", *[c.alias(k) for k, c in prf(F.col("overlap"), F.col("n_ref"), F.col("n_pred")).items() if k != "iou"])
 
 
+def rouge_n_local(pairs: DataFrame, key: str, ref: Column, pred: Column, n: int) -> DataFrame:
+    """:func:`rouge_n` without a shuffle, a result per row whatever its key: whole texts are counted where they stand."""
+
+    def run(batches):
+        grams = lambda words: Counter(zip(*(words[i:] for i in range(n)), strict=False))
+        for batch in batches:
+            out = []
+            for r, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                a, b = grams(r or []), grams(p or [])
+                out.append((sum(min(c, b[g]) for g, c in a.items()), a.total(), b.total()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[j] for x in out], pa.int64()) for j in range(3)]], [key, "overlap", "n_ref", "n_pred"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    sized = pairs.select(key, ref.alias("r"), pred.alias("p")).mapInArrow(run, f"{key} {kind}, overlap long, n_ref long, n_pred long")
+    return sized.select("*", *[c.alias(k) for k, c in prf(F.col("overlap"), F.col("n_ref"), F.col("n_pred")).items() if k != "iou"])
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two arrays, by the row-wise recurrence."""
     zero = F.transform(b, lambda _: F.lit(0))

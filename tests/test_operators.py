@@ -1,8 +1,12 @@
 """Small cases with known answers."""
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom import catalog
 from spanloom.functions import repair
 from spanloom.functions import text as tx
 from spanloom.operators import agreement, fuzzy, grounding, metrics, spans
@@ -125,3 +129,32 @@ def test_jsonl_round_trip(spark, tmp_path):
 def test_guid_keeps_plus(spark):
     row = spark.range(1).select(tx.parse_guid(F.lit("Set.test.a%2Fb+c.d")).alias("g")).first()["g"]
     assert tuple(row) == ("Set", "test", "a/b+c.d")
+
+
+WHOLE = [
+    (0, "en", "The first line: short.\n" + "a long line of an article, word for word\n" * 30 + "the END."),
+    (1, "fr", "\u00c9t\u00e9 \u00e0 la plage\nDeuxi\u00e8me ligne \"entre guillemets\"\n\n\u00c7a va?\nUn, deux..\nla fin"),
+    (2, "de", "Stra\u00dfe\nzwei\ndrei\nvier \\ f\u00fcnf\nsechs"),
+    (3, "es", 'path C:\\dir\\\nhe said "yes", and "no"]\nthird::\n```code```\nfifth {x}'),
+    (4, "en", '"quoted"\n"all", "of", "it"\nends in a backslash \\\n\\"\nlast'),
+    (5, "en", "one"),
+    (6, "en", ""),
+    (7, "fr", "\t tabs and  blanks \n\u00a0\nmore:\n."),
+]
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("whole"))
+    spark.createDataFrame([(i, t, lang, "src1", len(t)) for i, lang, t in WHOLE], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_rouge_scores_whole_texts(spark, whole, n):
+    grams = lambda w: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    got = {r["doc_id"]: (r["overlap"], r["n_ref"], r["n_pred"]) for r in catalog.QUERIES[f"rouge{n}_whole"](spark, whole).collect()}
+    for i, _, t in WHOLE:
+        a = grams(" ".join(x for k, x in enumerate(t.split("\n")) if x and (k * 2 + i) % 3 == 0).split(" "))
+        b = grams(re.split("[ \n]", t))
+        assert got[i] == ((a & b).total(), a.total(), b.total())
