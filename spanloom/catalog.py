@@ -349,9 +349,9 @@ def normalize_answer(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", tx.normalize_answer(F.col("text")).alias("answer"))
 
 
-def completions(spark, d):
-    """Raw completions made of document lines: a JSON array, plain, prefixed, fenced, or cut off."""
-    lines = F.to_json(F.slice(F.split("text", "\n"), 1, 3))
+def completions(spark, d, whole=False):
+    """Raw completions made of document lines (three, or all if ``whole``): a JSON array, plain, prefixed, fenced, or cut off."""
+    lines = F.to_json(F.split("text", "\n") if whole else F.slice(F.split("text", "\n"), 1, 3))
     kind = F.col("doc_id") % 4
     raw = F.when(kind == 0, F.concat(F.lit("Selected Content:\n\n"), lines)).when(kind == 1, F.concat(F.lit("```json\n"), lines, F.lit("\n```"))).when(kind == 2, F.lit("[ Invalid")).otherwise(lines)
     return docs_of(spark, d).select("doc_id", raw.alias("raw"))
@@ -619,6 +619,50 @@ def parse_repair(spark, d):
     return parsed.select("doc_id", F.size("p").cast("long").alias("n_spans"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
+# Over whole texts; the twins of the queries of the same names take three lines or one.
+
+
+@query()
+def parse_selections_whole(spark, d):
+    p = completions(spark, d, whole=True).select("doc_id", tx.parse_selection(F.col("raw")).alias("p"))
+    return p.select("doc_id", F.when(F.col("p").isNotNull(), F.size("p")).cast("long").alias("n_spans"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
+@query()
+def parse_error_ratio_whole(spark, d):
+    p = completions(spark, d, whole=True).select(tx.error_share(tx.parse_selection(F.col("raw"))).alias("e"))
+    return p.agg(F.count("*").alias("n"), F.sum("e").alias("errors"), (F.sum("e") / F.count("*")).alias("ratio"))
+
+
+@query()
+def parse_repair_whole(spark, d):
+    j = F.to_json(F.split("text", "\n"))
+    rows = docs_of(spark, d).withColumn("j", j)
+    broken = F.when(F.col("doc_id") % 2 == 0, F.expr("substr(j, 1, length(j) - 1)")).otherwise(F.concat(F.lit("{"), F.expr("substr(j, 2, length(j) - 2)"), F.lit("}")))
+    parsed = rows.select("doc_id", repair.parse_selection_lenient(broken).alias("p"))
+    return parsed.select("doc_id", F.when(F.col("p").isNotNull(), F.size("p")).cast("long").alias("n_spans"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
+@query()
+def strip_preamble_whole(spark, d):
+    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "assistant\n\nSelected Content: ").otherwise("Selected Content:\n"), F.col("text"), F.lit(" \n"))
+    return docs_of(spark, d).select("doc_id", tx.remove_preamble(raw).alias("rest"))
+
+
+@query()
+def crop_fence_whole(spark, d):
+    raw = F.concat(F.lit("Here it is:\n```text\n"), F.col("text"), F.lit("\n```"))
+    return docs_of(spark, d).select("doc_id", tx.crop_fence(raw).alias("inside"))
+
+
+@query()
+def prompt_format_whole(spark, d):
+    rows = table(spark, d, "documents")
+    doc = F.array(F.struct(F.lit(0).alias("id"), F.col("text")))
+    out = build.prompts(rows, "Find {lang} text from {source}.", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), doc, "You select text.")
+    return out.select("doc_id", F.get("conversations", F.lit(1))["content"].alias("prompt"))
+
+
 @query()
 def html_cards(spark, d):
     return files.html_cards(table(spark, d, "pages"), heading="h1", mark="b")
@@ -631,8 +675,8 @@ def evaluate_completions(spark, d):
     docs = rows.select(F.col("doc_id").cast("string").alias("sample_id"), F.lit(0).alias("doc_id"), "text")
     refs = rater_spans(rows).where("rater < 2").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("rater").alias("group_ord"), F.lit(0).alias("doc_id"), "start_pos", "end_pos")
     every = docs.select("sample_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("group_ord")).withColumns({c: F.lit(None).cast("int") for c in ("doc_id", "start_pos", "end_pos")})
-    predictions = completions(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), F.col("raw").alias("selection"))
-    return evaluate(docs, refs.unionByName(every), predictions, fuzzy=False)["scores"]
+    predictions = completions(spark, d, whole=True).select(F.col("doc_id").cast("string").alias("sample_id"), F.col("raw").alias("selection"))
+    return evaluate(docs, refs.unionByName(every), predictions, fuzzy=True)["scores"]
 
 
 @query("SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 3 = 0) GROUP BY conv_id")

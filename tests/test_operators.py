@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -132,7 +133,7 @@ def test_guid_keeps_plus(spark):
 
 
 WHOLE = [
-    (0, "en", "The first line: short.\n" + "a long line of an article, word for word\n" * 30 + "the END."),
+    (0, "en", "The first line: short.\n" + "".join(f"a long line, number {k} of an article\n" for k in range(30)) + "the END."),
     (1, "fr", "\u00c9t\u00e9 \u00e0 la plage\nDeuxi\u00e8me ligne \"entre guillemets\"\n\n\u00c7a va?\nUn, deux..\nla fin"),
     (2, "de", "Stra\u00dfe\nzwei\ndrei\nvier \\ f\u00fcnf\nsechs"),
     (3, "es", 'path C:\\dir\\\nhe said "yes", and "no"]\nthird::\n```code```\nfifth {x}'),
@@ -158,3 +159,38 @@ def test_rouge_scores_whole_texts(spark, whole, n):
         a = grams(" ".join(x for k, x in enumerate(t.split("\n")) if x and (k * 2 + i) % 3 == 0).split(" "))
         b = grams(re.split("[ \n]", t))
         assert got[i] == ((a & b).total(), a.total(), b.total())
+
+
+def digest(spans):
+    return hashlib.md5("|".join(spans).encode()).hexdigest()
+
+
+def test_completions_hold_all_lines(spark, whole):
+    got = {r["doc_id"]: (r["n_spans"], r["digest"]) for r in catalog.QUERIES["parse_selections_whole"](spark, whole).collect()}
+    lines = {i: t.split("\n") for i, _, t in WHOLE}
+    # Text with a fence of its own leaves the completion's fence alone.
+    assert got == {i: (None, None) if i % 4 == 2 else (len(x), digest(x)) for i, x in lines.items()}
+    e = catalog.QUERIES["parse_error_ratio_whole"](spark, whole).first()
+    assert (e["n"], e["errors"]) == (len(WHOLE), sum(i % 4 == 2 for i, _, _ in WHOLE))
+
+
+def test_repair_reads_quotes_and_backslashes(spark, whole):
+    got = {r["doc_id"]: (r["n_spans"], r["digest"]) for r in catalog.QUERIES["parse_repair_whole"](spark, whole).collect()}
+    assert got == {i: (len(t.split("\n")), digest(t.split("\n"))) for i, _, t in WHOLE}
+
+
+def test_prompts_and_cropping_keep_whole_texts(spark, whole):
+    prompt = {r["doc_id"]: r["prompt"] for r in catalog.QUERIES["prompt_format_whole"](spark, whole).collect()}
+    assert prompt == {i: f"Find {lang} text from src1.\n\nDocument #0:\n{t.strip()}\n\n" for i, lang, t in WHOLE}
+    rest = {r["doc_id"]: r["rest"] for r in catalog.QUERIES["strip_preamble_whole"](spark, whole).collect()}
+    assert rest == {i: t.strip() for i, _, t in WHOLE}
+    inside = {r["doc_id"]: r["inside"] for r in catalog.QUERIES["crop_fence_whole"](spark, whole).collect()}
+    fenced = {i: f"Here it is:\n```text\n{t}\n```" for i, _, t in WHOLE}
+    assert inside == {i: fenced[i].strip() if len(re.findall(r"(?m)^\s*```\w*\s", fenced[i])) != 1 else t.strip() for i, _, t in WHOLE}
+
+
+def test_evaluation_grounds_every_line(spark, whole):
+    got = {r["sample_id"]: r for r in catalog.QUERIES["evaluate_completions"](spark, whole).collect()}
+    assert len(got) == len(WHOLE)
+    n = len(re.findall(r"\w+|[^\w\s]", WHOLE[0][2]))
+    assert got["0"]["n_pred"] > n / 2 and got["2"]["n_pred"] == 0
