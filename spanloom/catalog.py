@@ -619,6 +619,18 @@ def parse_repair(spark, d):
     return parsed.select("doc_id", F.size("p").cast("long").alias("n_spans"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
+@query()
+def normalize_answer_whole(spark, d):
+    """All languages; the twin of normalize_answer takes English."""
+    return docs_of(spark, d).select("doc_id", tx.normalize_answer(F.col("text")).alias("answer"))
+
+
+@query()
+def clean_text_whole(spark, d):
+    """All rows and whole texts, with the quotes, fences and stops the twin of clean_text leaves out."""
+    return docs_of(spark, d).select("doc_id", tx.clean_text(F.concat(F.lit('```\n"'), F.col("text"), F.lit('".\n```'))).alias("cleaned"))
+
+
 # Over whole texts; the twins of the queries of the same names take three lines or one.
 
 

@@ -194,3 +194,21 @@ def test_evaluation_grounds_every_line(spark, whole):
     assert len(got) == len(WHOLE)
     n = len(re.findall(r"\w+|[^\w\s]", WHOLE[0][2]))
     assert got["0"]["n_pred"] > n / 2 and got["2"]["n_pred"] == 0
+
+
+def test_answers_of_all_languages(spark, whole):
+    got = {r["doc_id"]: r["answer"] for r in catalog.QUERIES["normalize_answer_whole"](spark, whole).collect()}
+    plain = lambda t: re.sub(r"[!-/:-@\[-`{-~]", "", t.lower())
+    assert got == {i: " ".join(w for w in plain(t).split() if w not in ("a", "an", "the")) for i, _, t in WHOLE}
+
+
+def test_cleaning_keeps_rows_with_quotes_and_stops(spark, whole):
+    def clean(t):
+        t = re.sub(r"^```\w*\s*|\s*```$", "", t.strip())
+        t = re.sub(r"[:.]$", "", t).strip()
+        if len(t) > 1 and t[0] == t[-1] == '"':
+            t = t[1:-1]
+        return re.sub(r"\.$", "", t).strip()
+
+    got = {r["doc_id"]: r["cleaned"] for r in catalog.QUERIES["clean_text_whole"](spark, whole).collect()}
+    assert got == {i: clean(f'```\n"{t}".\n```') for i, _, t in WHOLE}
