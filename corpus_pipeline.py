@@ -1,21 +1,23 @@
 """Cleaning a corpus in five stages: quality, lines, near copies, benchmark leaks, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and
-works on all rows its predecessor kept. Every stage but the last returns those
+works on all rows its predecessor kept. Rows are told apart by id and text
+together, so null and repeated ids are neither missed nor lost. Every stage but the last returns those
 columns again; ``run`` writes each result as Parquet and rereads it.
 
 * quality_rules: documents that the weak-supervision verdict or a base rule rejects go.
 * line_dedup: lines similar to an earlier line go, ``n_chars`` follows; a document
   that had words and has lost them all goes, for all it said stands earlier.
-* near_copies: of each component of 5-word-shingle Jaccard >= 0.8 the document
-  with the smallest id stays; documents without words and without id stay.
+* near_copies: of each component of 5-word-shingle Jaccard >= 0.8 one row stays,
+  of the document with the smallest id (null after all others); rows without
+  words all stay.
 * decontamination: documents that overlap a benchmark item go.
 * packing: each document gets its bucket, batch and slot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.decontaminate import find_leaks
@@ -26,6 +28,15 @@ from spanloom.llm.quality import keep_good
 from spanloom.llm.scratch import Scratch
 
 
+def row_name() -> Column:
+    """A 64-bit name of a row's id and text, never null."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
+
+
+def has_words() -> Column:
+    return F.coalesce(F.length(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", "")) > 0, F.lit(False))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
     return keep_good(docs, lambda seen: scratch.save(seen, "votes"))
@@ -38,14 +49,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_jaccard_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.withColumn("_name", row_name())
+    once = Scratch(spark, "copies").save(named.where(has_words()).dropDuplicates(["_name"]), "once")
+    groups = ngram_jaccard_components(once, id_col="_name").select(F.col("doc_id").alias("_name"), "component_id")
+    groups = groups.join(once.select("_name", "doc_id"), "_name")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_name")).alias("m"), F.count("*").alias("n"))
+    gone = groups.join(first.where("n > 1"), "component_id").where("_name <> m._name").select("_name")
+    return once.join(gone, "_name", "left_anti").unionByName(named.where(~has_words())).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaks = find_leaks(docs.select(row_name().alias("_name"), "text"), benchmark, id_col="_name")
+    gone = leaks.select(F.col("doc_id").alias("_name")).distinct()
+    return docs.withColumn("_name", row_name()).join(gone, "_name", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

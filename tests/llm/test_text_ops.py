@@ -266,3 +266,17 @@ def test_pipeline(spark, small):
             assert set(after) == {i for i, (_, c) in brute_components(list(before.items())).items() if c == i}
         seen.append(name)
     assert docs.count() == len(after) and seen == ["quality_rules", "line_dedup", "near_copies", "decontamination", "packing"]
+
+
+def test_pipeline_tells_rows_apart(spark, tmp_path):
+    item = " ".join(f"b{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    say = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(None, f"x {item} y"), (None, say("n")), (3, f"x {item} z"), (3, say("c")), (4, None), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter(map(tuple, corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()))
+    assert left == Counter([rows[1], *rows[3:]])
+    rows = [(None, say("n")), (None, say("n")), (5, say("r")), (5, say("r")), (7, say("s")), (6, say("s") + " more"), (6, say("u")), (None, say("s")), (8, None), (8, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter(map(tuple, corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()))
+    assert left == Counter([rows[0], rows[2], rows[5], rows[6], *rows[8:]])
