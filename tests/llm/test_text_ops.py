@@ -238,6 +238,16 @@ def test_boundaries_are_optimal():
             assert padding(packing.boundaries(counts, top, counts * top, k)) == best
 
 
+def test_boundaries_above_128_are_close(spark):
+    n = np.random.default_rng(5).integers(1, 3000, 2000)
+    top, counts = np.unique(n, return_counts=True)
+    bounds = np.array(packing.boundaries(counts, top, counts * top, 16))
+    best = int((bounds[np.searchsorted(bounds, n)] - n).sum())
+    lengths = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "doc_id long, n_tokens long")
+    got = packing.pack(lengths).agg(F.sum(F.col("bucket") - F.col("n_tokens"))).first()[0]
+    assert best <= got <= 1.05 * best
+
+
 def test_packing(spark, small, edges):
     rows = packing.pack(packing.token_lengths(small), buckets=4, budget=2000, group_rows=20).collect()
     assert len(rows) == small.count() == len({(r["bucket"], r["batch"], r["slot"]) for r in rows})
