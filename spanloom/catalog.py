@@ -213,10 +213,12 @@ def span_scatter(spark, d):
     return spans.nearest_gap(rater_spans(docs_of(spark, d)), ["doc_id", "rater"])
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_violations")
+@query(f"WITH {LINES} SELECT count(*) AS n_violations FROM spans WHERE (doc_id + line_no) % 5 = 0")
 def integrity_violations(spark, d):
+    """A fifth of the spans is planted with another content."""
     docs = docs_of(spark, d)
-    return build.violations(rater_spans(docs), docs).agg(F.count("*").alias("n_violations"))
+    planted = rater_spans(docs).withColumn("content", F.when(F.expr("(doc_id + line_no) % 5 = 0"), F.concat("content", F.lit("~"))).otherwise(F.col("content")))
+    return build.violations(planted, docs).agg(F.count("*").alias("n_violations"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -265,15 +267,18 @@ def mean_ci(spark, d):
 
 def _rouge_sql(n: int) -> str:
     gram = "list_transform(range(1, len({w}) - %d), lambda i: array_to_string(list_slice({w}, i, i + %d), ' '))" % (n - 2, n - 1)
-    return f"""WITH p AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS r, string_split(text[:400], ' ') AS q FROM documents),
+    return f"""WITH p AS (SELECT doc_id, string_split(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: length(x) > 0 AND ((i - 1) * 2 + doc_id) % 3 = 0), ' '), ' ') AS r, string_split(replace(text, chr(10), ' '), ' ') AS q FROM documents),
 a AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest({gram.format(w='r')}) AS g FROM p) GROUP BY ALL), b AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest({gram.format(w='q')}) AS g FROM p) GROUP BY ALL),
 o AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, sum(least(coalesce(a.c, 0), coalesce(b.c, 0))) AS overlap, sum(coalesce(a.c, 0)) AS n_ref, sum(coalesce(b.c, 0)) AS n_pred FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.g = b.g GROUP BY 1)
-SELECT p.doc_id, coalesce(overlap, 0)::BIGINT AS overlap, coalesce(n_ref, 0)::BIGINT AS n_ref, coalesce(n_pred, 0)::BIGINT AS n_pred, CASE WHEN coalesce(n_ref, 0) = 0 AND coalesce(n_pred, 0) = 0 THEN 1.0::DOUBLE WHEN overlap = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * overlap / (n_ref + n_pred) END AS f1 FROM p LEFT JOIN o USING (doc_id)"""
+SELECT p.doc_id, coalesce(overlap, 0)::BIGINT AS overlap, coalesce(n_ref, 0)::BIGINT AS n_ref, coalesce(n_pred, 0)::BIGINT AS n_pred,
+ CASE WHEN coalesce(n_ref, 0) = 0 AND coalesce(n_pred, 0) = 0 THEN 1.0::DOUBLE WHEN overlap = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * overlap / (n_ref + n_pred) END AS f1 FROM p LEFT JOIN o ON o.doc_id = p.doc_id"""
 
 
 def _rouge(spark, d, n):
-    pairs = docs_of(spark, d).select("doc_id", F.split(F.split("text", "\n")[0], " ").alias("r"), F.split(F.substring("text", 1, 400), " ").alias("q"))
-    return metrics.rouge_n(pairs, "doc_id", F.col("r"), F.col("q"), n).select("doc_id", "overlap", "n_ref", "n_pred", "f1")
+    """The lines rater 0 chooses as reference against the whole text."""
+    chosen = F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) > 0) & ((i * 2 + F.col("doc_id")) % 3 == 0))
+    pairs = docs_of(spark, d).select("doc_id", F.split(F.array_join(chosen, " "), " ").alias("r"), F.split("text", " |\n").alias("q"))
+    return metrics.rouge_n_local(pairs, "doc_id", F.col("r"), F.col("q"), n).select("doc_id", "overlap", "n_ref", "n_pred", "f1")
 
 
 @query(_rouge_sql(1))
@@ -344,20 +349,23 @@ def rating_recode_hist(spark, d):
 # ---------------------------------------------------------------- parsing and cleaning
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM documents WHERE lang = 'en'")
+ANSWER = r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM documents"""
+
+
+@query(ANSWER)
 def normalize_answer(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", tx.normalize_answer(F.col("text")).alias("answer"))
+    return docs_of(spark, d).select("doc_id", tx.normalize_answer(F.col("text")).alias("answer"))
 
 
-def completions(spark, d, whole=False):
-    """Raw completions made of document lines (three, or all if ``whole``): a JSON array, plain, prefixed, fenced, or cut off."""
-    lines = F.to_json(F.split("text", "\n") if whole else F.slice(F.split("text", "\n"), 1, 3))
+def completions(spark, d):
+    """Raw completions made of all lines of a document: a JSON array, plain, prefixed, fenced, or cut off."""
+    lines = F.to_json(F.split("text", "\n"))
     kind = F.col("doc_id") % 4
     raw = F.when(kind == 0, F.concat(F.lit("Selected Content:\n\n"), lines)).when(kind == 1, F.concat(F.lit("```json\n"), lines, F.lit("\n```"))).when(kind == 2, F.lit("[ Invalid")).otherwise(lines)
     return docs_of(spark, d).select("doc_id", raw.alias("raw"))
 
 
-PARSED = """SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN NULL ELSE list_slice(string_split(text, chr(10)), 1, 3) END AS p FROM documents"""
+PARSED = """SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN NULL ELSE string_split(text, chr(10)) END AS p FROM documents"""
 
 
 @query(f"WITH p AS ({PARSED}) SELECT doc_id, len(p) AS n_spans, md5(array_to_string(p, '|')) AS digest FROM p")
@@ -372,22 +380,35 @@ def parse_error_ratio(spark, d):
     return p.agg(F.count("*").alias("n"), F.sum("e").alias("errors"), (F.sum("e") / F.count("*")).alias("ratio"))
 
 
-@query("SELECT doc_id, string_split(text, chr(10))[1] AS first_line FROM documents")
+STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {STRIPPED.format('text')} AS rest FROM documents")
 def strip_preamble(spark, d):
-    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "assistant\n\nSelected Content: ").otherwise("Selected Content:\n"), F.split("text", "\n")[0], F.lit(" \n"))
-    return docs_of(spark, d).select("doc_id", tx.remove_preamble(raw).alias("first_line"))
+    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "assistant\n\nSelected Content: ").otherwise("Selected Content:\n"), F.col("text"), F.lit(" \n"))
+    return docs_of(spark, d).select("doc_id", tx.remove_preamble(raw).alias("rest"))
 
 
-@query("SELECT doc_id, string_split(text, chr(10))[1] AS inside FROM documents")
+@query(f"SELECT doc_id, {STRIPPED.format('text')} AS inside FROM documents")
 def crop_fence(spark, d):
-    raw = F.concat(F.lit("Here it is:\n```text\n"), F.split("text", "\n")[0], F.lit("\n```"))
+    raw = F.concat(F.lit("Here it is:\n```text\n"), F.col("text"), F.lit("\n```"))
     return docs_of(spark, d).select("doc_id", tx.crop_fence(raw).alias("inside"))
 
 
-@query("SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '[.:]+$', '') AS cleaned FROM documents WHERE NOT regexp_matches(text, '[.:][.:](\\n|$)') AND NOT contains(text, '`') AND NOT contains(text, '\"')")
+def _clean_sql() -> str:
+    inside = lambda c, m: f"SELECT doc_id, CASE WHEN starts_with(c, '{m}') AND ends_with(c, '{m}') THEN {STRIPPED.format(f'substr(c, {len(m) + 1}, greatest(length(c) - {2 * len(m)}, 0))')} ELSE c END AS c FROM ({c})"
+    tail = lambda c, test: f"SELECT doc_id, CASE WHEN {test} THEN {STRIPPED.format('substr(c, 1, length(c) - 1)')} ELSE c END AS c FROM ({c})"
+    raw = "'```' || chr(10) || '\"' || text || '\".' || chr(10) || '```'"
+    c = f"SELECT doc_id, {STRIPPED.format(raw)} AS c FROM documents"
+    c = tail(inside(c, "```"), "ends_with(c, ':') OR ends_with(c, '.')")
+    c = inside(c, '"')
+    c = f"SELECT doc_id, CASE WHEN starts_with(c, chr(39)) AND ends_with(c, chr(39)) THEN {STRIPPED.format('substr(c, 2, greatest(length(c) - 2, 0))')} ELSE c END AS c FROM ({c})"
+    return f"SELECT doc_id, c AS cleaned FROM ({inside(tail(c, "ends_with(c, '.')"), '```')})"
+
+
+@query(_clean_sql())
 def clean_text(spark, d):
-    rows = docs_of(spark, d).where(~F.col("text").rlike(r"[.:][.:](\n|$)") & ~F.contains("text", F.lit("`")) & ~F.contains("text", F.lit('"')))
-    return rows.select("doc_id", tx.clean_text(F.concat(F.lit('```\n"'), F.regexp_replace(F.split("text", "\n")[0], "[.:]+$", ""), F.lit('".\n```'))).alias("cleaned"))
+    return docs_of(spark, d).select("doc_id", tx.clean_text(F.concat(F.lit('```\n"'), F.col("text"), F.lit('".\n```'))).alias("cleaned"))
 
 
 @query("SELECT doc_id, lang AS dataset, 'test' AS split, source || '+x ' || doc_id AS id FROM documents")
@@ -402,11 +423,10 @@ def parse_offsets(spark, d):
     return docs_of(spark, d).select("doc_id", F.posexplode(tx.parse_offsets(text)).alias("ord", "o")).select("doc_id", "ord", "o.start_pos", "o.end_pos")
 
 
-@query("SELECT c_custkey, list_distinct([lower(replace(c_name, '#', '.')) || '@x.org', c_mktsegment || '@y.org'])::VARCHAR <> '' AS ok, 2 AS n FROM customer")
+@query("SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@x.org|' || c_mktsegment || '@y.org' AS addresses FROM customer")
 def split_addresses(spark, d):
     head = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@x.org, "), F.col("c_mktsegment"), F.lit("@y.org,, "), F.col("c_mktsegment"), F.lit("@y.org"))
-    out = tx.split_addresses(head)
-    return table(spark, d, "customer").select("c_custkey", (F.size(out) > 0).alias("ok"), F.size(out).alias("n"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(tx.split_addresses(head), "|").alias("addresses"))
 
 
 @query("SELECT doc_id, CASE WHEN source = 'src1' THEN 'read the code of ' ELSE 'read the text of ' END || lang AS wording FROM documents")
@@ -455,10 +475,10 @@ def cluster_docs(spark, d):
     return out.select("source", "n", F.array_join("langs", ",").alias("langs"), "n_chars_sum")
 
 
-@query("SELECT doc_id, 'Find ' || lang || ' text from ' || source || '.' || chr(10) || chr(10) || 'Document #0:' || chr(10) || regexp_replace(string_split(text, chr(10))[1], '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) AS prompt FROM documents")
+@query("SELECT doc_id, 'Find ' || lang || ' text from ' || source || '.' || chr(10) || chr(10) || 'Document #0:' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) AS prompt FROM documents")
 def prompt_format(spark, d):
     rows = table(spark, d, "documents")
-    doc = F.array(F.struct(F.lit(0).alias("id"), F.split("text", "\n")[0].alias("text")))
+    doc = F.array(F.struct(F.lit(0).alias("id"), F.col("text")))
     out = build.prompts(rows, "Find {lang} text from {source}.", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), doc, "You select text.")
     return out.select("doc_id", F.get("conversations", F.lit(1))["content"].alias("prompt"))
 
@@ -478,11 +498,13 @@ def answer_json(spark, d):
     return nested.select("doc_id", F.size(back).cast("long").alias("n"), F.aggregate(back, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"), sums.alias("sum_start"))
 
 
-@query("SELECT doc_id, true AS ok, sha256(text) AS digest FROM documents")
+@query("SELECT doc_id, doc_id % 4 <> 1 AS ok FROM documents")
 def digest_integrity(spark, d):
+    """Texts restored by id against salted digests; one in four is restored with a change."""
     rows = docs_of(spark, d)
-    known = rows.select("doc_id", F.sha2("text", 256).alias("digest"))
-    return rows.join(known, "doc_id").select("doc_id", (F.sha2("text", 256) == F.col("digest")).alias("ok"), "digest")
+    known = rows.select("doc_id", F.sha2(F.concat(F.lit("salt"), "text"), 512).alias("digest"))
+    restored = rows.select("doc_id", F.when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text")).alias("text"))
+    return build.restored_ok(restored, known, "doc_id", "salt").select("doc_id", "ok")
 
 
 @query("SELECT conv_id, sum(len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s\\p{Z}]')) + 3) + 3 AS tokens FROM conversations GROUP BY conv_id")
@@ -569,9 +591,9 @@ def semi_join(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
 def anti_join(spark, d):
-    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(table(spark, d, "orders").where("o_totalprice > 350000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 2")
@@ -583,23 +605,6 @@ def topk_per_group(spark, d):
 # ---------------------------------------------------------------- without a SQL twin
 
 
-def _rouge_whole(spark, d, n):
-    """The lines rater 0 chooses as reference against the whole text; the twins of rouge1 and rouge2 take 400 characters."""
-    chosen = F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) > 0) & ((i * 2 + F.col("doc_id")) % 3 == 0))
-    pairs = docs_of(spark, d).select("doc_id", F.split(F.array_join(chosen, " "), " ").alias("r"), F.split("text", " |\n").alias("q"))
-    return metrics.rouge_n_local(pairs, "doc_id", F.col("r"), F.col("q"), n).select("doc_id", "overlap", "n_ref", "n_pred", "f1")
-
-
-@query()
-def rouge1_whole(spark, d):
-    return _rouge_whole(spark, d, 1)
-
-
-@query()
-def rouge2_whole(spark, d):
-    return _rouge_whole(spark, d, 2)
-
-
 @query()
 def ground_fuzzy(spark, d):
     """Benchmark items with every eighth word changed, searched in all documents."""
@@ -608,73 +613,15 @@ def ground_fuzzy(spark, d):
     return fuzzy.fuzzy_match(items, docs_of(spark, d))
 
 
-@query(f"WITH p AS (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 3) AS p FROM documents WHERE NOT contains(text, '\"') AND NOT contains(text, '\\')) SELECT doc_id, len(p) AS n_spans, md5(array_to_string(p, '|')) AS digest FROM p")
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n_spans, md5(array_to_string(string_split(text, chr(10)), '|')) AS digest FROM documents")
 def parse_repair(spark, d):
-    """Lists whose last bracket is missing or whose brackets are braces."""
-    raw = F.to_json(F.slice(F.split("text", "\n"), 1, 3))
-    cut = F.expr("substr(j, 1, length(j) - 1)")
-    broken = F.when(F.col("doc_id") % 2 == 0, cut).otherwise(F.concat(F.lit("{"), F.expr("substr(j, 2, length(j) - 2)"), F.lit("}")))
-    rows = docs_of(spark, d).where(~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\"))).withColumn("j", raw)
-    parsed = rows.select("doc_id", repair.parse_selection_lenient(broken).alias("p"))
-    return parsed.select("doc_id", F.size("p").cast("long").alias("n_spans"), F.md5(F.array_join("p", "|")).alias("digest"))
-
-
-@query()
-def normalize_answer_whole(spark, d):
-    """All languages; the twin of normalize_answer takes English."""
-    return docs_of(spark, d).select("doc_id", tx.normalize_answer(F.col("text")).alias("answer"))
-
-
-@query()
-def clean_text_whole(spark, d):
-    """All rows and whole texts, with the quotes, fences and stops the twin of clean_text leaves out."""
-    return docs_of(spark, d).select("doc_id", tx.clean_text(F.concat(F.lit('```\n"'), F.col("text"), F.lit('".\n```'))).alias("cleaned"))
-
-
-# Over whole texts; the twins of the queries of the same names take three lines or one.
-
-
-@query()
-def parse_selections_whole(spark, d):
-    p = completions(spark, d, whole=True).select("doc_id", tx.parse_selection(F.col("raw")).alias("p"))
-    return p.select("doc_id", F.when(F.col("p").isNotNull(), F.size("p")).cast("long").alias("n_spans"), F.md5(F.array_join("p", "|")).alias("digest"))
-
-
-@query()
-def parse_error_ratio_whole(spark, d):
-    p = completions(spark, d, whole=True).select(tx.error_share(tx.parse_selection(F.col("raw"))).alias("e"))
-    return p.agg(F.count("*").alias("n"), F.sum("e").alias("errors"), (F.sum("e") / F.count("*")).alias("ratio"))
-
-
-@query()
-def parse_repair_whole(spark, d):
-    j = F.to_json(F.split("text", "\n"))
-    rows = docs_of(spark, d).withColumn("j", j)
+    """Lists whose last bracket is missing or whose brackets are braces, of all lines of all texts."""
+    rows = docs_of(spark, d).withColumn("j", F.to_json(F.split("text", "\n")))
     broken = F.when(F.col("doc_id") % 2 == 0, F.expr("substr(j, 1, length(j) - 1)")).otherwise(F.concat(F.lit("{"), F.expr("substr(j, 2, length(j) - 2)"), F.lit("}")))
     parsed = rows.select("doc_id", repair.parse_selection_lenient(broken).alias("p"))
     return parsed.select("doc_id", F.when(F.col("p").isNotNull(), F.size("p")).cast("long").alias("n_spans"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-@query()
-def strip_preamble_whole(spark, d):
-    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "assistant\n\nSelected Content: ").otherwise("Selected Content:\n"), F.col("text"), F.lit(" \n"))
-    return docs_of(spark, d).select("doc_id", tx.remove_preamble(raw).alias("rest"))
-
-
-@query()
-def crop_fence_whole(spark, d):
-    raw = F.concat(F.lit("Here it is:\n```text\n"), F.col("text"), F.lit("\n```"))
-    return docs_of(spark, d).select("doc_id", tx.crop_fence(raw).alias("inside"))
-
-
-@query()
-def prompt_format_whole(spark, d):
-    rows = table(spark, d, "documents")
-    doc = F.array(F.struct(F.lit(0).alias("id"), F.col("text")))
-    out = build.prompts(rows, "Find {lang} text from {source}.", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"), doc, "You select text.")
-    return out.select("doc_id", F.get("conversations", F.lit(1))["content"].alias("prompt"))
-
-
 @query()
 def html_cards(spark, d):
     return files.html_cards(table(spark, d, "pages"), heading="h1", mark="b")
@@ -687,7 +634,7 @@ def evaluate_completions(spark, d):
     docs = rows.select(F.col("doc_id").cast("string").alias("sample_id"), F.lit(0).alias("doc_id"), "text")
     refs = rater_spans(rows).where("rater < 2").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("rater").alias("group_ord"), F.lit(0).alias("doc_id"), "start_pos", "end_pos")
     every = docs.select("sample_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("group_ord")).withColumns({c: F.lit(None).cast("int") for c in ("doc_id", "start_pos", "end_pos")})
-    predictions = completions(spark, d, whole=True).select(F.col("doc_id").cast("string").alias("sample_id"), F.col("raw").alias("selection"))
+    predictions = completions(spark, d).select(F.col("doc_id").cast("string").alias("sample_id"), F.col("raw").alias("selection"))
     return evaluate(docs, refs.unionByName(every), predictions, fuzzy=True)["scores"]
 
 

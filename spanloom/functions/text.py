@@ -80,11 +80,17 @@ def parse_lenient(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Fences, one trailing colon or stop, and a pair of quotes off."""
-    c = F.regexp_replace(strip(c), r"^```\w*\s*|\s*```$", "")
-    c = strip(F.regexp_replace(c, r"[:.]$", ""))
-    c = F.when((F.length(c) > 1) & c.startswith('"') & c.endswith('"'), F.regexp_replace(c, '^"|"$', "")).otherwise(c)
-    return strip(F.regexp_replace(c, r"\.$", ""))
+    """Fences, one closing colon or stop, and enclosing quotes off; then once more a stop and fences."""
+
+    def inside(c: Column, mark: str) -> Column:
+        n = len(mark)
+        return F.when(c.startswith(mark) & c.endswith(mark), strip(F.substr(c, F.lit(n + 1), F.greatest(F.length(c) - 2 * n, F.lit(0))))).otherwise(c)
+
+    c = inside(strip(c), "```")
+    c = F.when(c.endswith(":") | c.endswith("."), strip(F.substr(c, F.lit(1), F.length(c) - 1))).otherwise(c)
+    c = inside(inside(c, '"'), "'")
+    c = F.when(c.endswith("."), strip(F.substr(c, F.lit(1), F.length(c) - 1))).otherwise(c)
+    return inside(c, "```")
 
 
 def error_share(parsed: Column) -> Column:
@@ -105,7 +111,7 @@ def parse_offsets(c: Column) -> Column:
 
 def split_addresses(c: Column) -> Column:
     """The distinct addresses of a comma-separated header, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def choose_wording(c: Column, is_code: Column) -> Column:

@@ -103,3 +103,9 @@ def violations(spans: DataFrame, docs: DataFrame) -> DataFrame:
 def token_cost(messages: DataFrame, key: str, n_tokens: Column, per_message: int = 3, per_conversation: int = 3) -> DataFrame:
     """Tokens of each conversation: those of its messages, three a message and three more."""
     return messages.groupBy(key).agg((F.sum(n_tokens + per_message) + per_conversation).alias("tokens"))
+
+
+def restored_ok(restored: DataFrame, known: DataFrame, key: str, salt: str) -> DataFrame:
+    """``(key, ok)``: whether each restored text has the salted SHA-512 digest recorded for it; a key without one is not ok."""
+    both = restored.join(known, key, "left")
+    return both.select(key, F.coalesce(F.sha2(F.concat(F.lit(salt), "text"), 512) == F.col("digest"), F.lit(False)).alias("ok"))

@@ -34,31 +34,35 @@ def closest(needle: list[str], hay: list[str], most: int) -> tuple[int, int, int
     return (best[0], best[2], best[1]) if best else None
 
 
-def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: int = 10) -> DataFrame:
+def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: int = 10, within: list[str] | None = None) -> DataFrame:
     """Best match per span: ``(span_id, doc_id, start_pos, end_pos, content, total_count, best_dist)``.
 
     A span of n tokens may differ in ``min(int(n * share), most)`` tokens; spans
     that may not differ at all match nothing. Best is least distance, then first document, then first end.
+    With ``within``, columns of both sides, a span is searched in the documents that agree in them alone.
+    Runs of all lengths that pieces have come from one pass over the documents' tokens.
     """
+    within = within or []
     form = lambda df, c: df.withColumn("_n", normalize(F.col(c)))
     needles = tokenize(form(spans, "span").select(F.col("span_id").alias("doc_id"), F.col("_n").alias("text"))).withColumnRenamed("doc_id", "span_id")
     needles = needles.groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("tok", "text"))).alias("t")).select("span_id", F.col("t.text").alias("needle"))
     needles = needles.withColumn("k", F.least(F.floor(F.size("needle") * share), F.lit(most)).cast("int")).where("k > 0")
     needles = needles.withColumn("width", F.expr("cast(size(needle) div (k + 1) as int)")).where("width > 0")
-    seeds = needles.select("span_id", "width", F.explode(F.expr("transform(sequence(0, k), i -> named_struct('off', i * width, 'h', xxhash64(array_join(slice(needle, i * width + 1, width), ' '))))")).alias("s"))
-    seeds = seeds.select("span_id", "width", "s.off", "s.h")
-    widths = [r[0] for r in seeds.select("width").distinct().collect()]  # at most as many as span lengths
-    if not widths:
-        return spans.sparkSession.createDataFrame([], f"span_id {spans.schema['span_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, start_pos int, end_pos int, content string, total_count long, best_dist int")
+    if within:
+        needles = needles.join(spans.select("span_id", *within), "span_id")
+    seeds = needles.select("span_id", *within, "width", F.explode(F.expr("transform(sequence(0, k), i -> named_struct('off', i * width, 'h', xxhash64(array_join(slice(needle, i * width + 1, width), ' '))))")).alias("s"))
+    seeds = seeds.select("span_id", *within, "width", "s.off", "s.h")
     hay = tokenize(form(docs, "text").select("doc_id", F.col("_n").alias("text")))
     packed = hay.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok", "text", "start_pos", "end_pos"))).alias("t"))
     packed = packed.select("doc_id", F.col("t.text").alias("words"), F.col("t.start_pos").alias("starts"), F.col("t.end_pos").alias("ends"))
-    runs = None
-    for w in widths:
-        part = packed.where(F.size("words") >= w).select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {w}), i -> xxhash64(array_join(slice(words, i + 1, {w}), ' ')))")).alias("at", "h"))
-        part = part.withColumn("width", F.lit(w))
-        runs = part if runs is None else runs.unionByName(part)
-    near = seeds.join(runs, ["h", "width"]).join(needles.select("span_id", "needle", "k"), "span_id")
+    if within:
+        packed = packed.join(docs.select("doc_id", *within), "doc_id")
+    # The few lengths in use are a one-row table, or one row for each value of ``within``.
+    widths = seeds.groupBy(*within).agg(F.collect_set("width").alias("widths"))
+    runs = packed.join(widths, within) if within else packed.crossJoin(F.broadcast(widths))
+    runs = runs.select("doc_id", *within, "words", F.explode("widths").alias("width")).where("size(words) >= width")
+    runs = runs.select("doc_id", *within, "width", F.posexplode(F.expr("transform(sequence(0, size(words) - width), i -> xxhash64(array_join(slice(words, i + 1, width), ' ')))")).alias("at", "h"))
+    near = seeds.join(runs, ["h", "width", *within]).drop(*within).join(needles.select("span_id", "needle", "k"), "span_id")
     near = near.select("span_id", "doc_id", "needle", "k", F.greatest(F.lit(0), F.col("at") - F.col("off") - F.col("k")).alias("lo"), (F.size("needle") + 2 * F.col("k")).alias("room")).distinct()
     windows = near.join(packed, "doc_id").select("span_id", "doc_id", "needle", "k", "lo", *[F.expr(f"slice({c}, lo + 1, room)").alias(c) for c in ("words", "starts", "ends")])
 

@@ -15,8 +15,12 @@ from ..functions.text import PIECES
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a token, numbered from 0 in its document."""
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(PIECES), F.lit(0))).alias("i", "text"))
+    """One row a token, numbered from 0 in its document.
+
+    Whole documents are dealt by id, so their pieces need no shuffle of their own.
+    """
+    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    pieces = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("i", "text"))
     so_far = Window.partitionBy("doc_id").orderBy("i")
     placed = pieces.withColumn("end_pos", F.sum(F.length("text")).over(so_far).cast("int"))
     solid = placed.where(~F.col("text").rlike(r"^[\s\p{Z}]"))
@@ -27,14 +31,24 @@ def covered_tokens(spans: DataFrame, tokens: DataFrame, keys: list[str]) -> Data
     """Distinct ``(*keys, doc_id, tok)`` that spans touch.
 
     A start in white space takes the token before it, an end there the token after
-    it: token i counts iff its successor starts after the span's start (or it is the
-    last) and its predecessor ends before the span's end (or it is the first).
+    it. The first token is the last that begins no later than the span, the last one
+    the first that ends no earlier; both numbers are running counts over tokens and
+    span ends in order of position, so no token is compared with every span.
     """
-    order = Window.partitionBy("doc_id").orderBy("tok")
-    near = tokens.select("doc_id", "tok", F.lead("start_pos").over(order).alias("_next"), F.lag("end_pos").over(order).alias("_prev"))
-    real = spans.where("doc_id >= 0 and start_pos >= 0").select(*keys, "doc_id", F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"))
-    hit = near.join(real, "doc_id").where("(_next > _s or _next is null) and (_prev < _e or _prev is null)")
-    return hit.select(*keys, "doc_id", "tok").distinct()
+    real = spans.where("start_pos >= 0").select(F.struct(*keys, F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e")).alias("_span"), "doc_id", "start_pos", "end_pos").distinct()
+    none = F.lit(None).cast(real.schema["_span"].dataType).alias("_span")
+
+    def event(rows: DataFrame, at: str, kind: int, span: Column) -> DataFrame:
+        return rows.select("doc_id", F.col(at).alias("_at"), F.lit(kind).alias("_kind"), span)
+
+    # In order at one place: ends of spans, starts of tokens, ends of tokens, starts of spans.
+    events = event(real, "end_pos", 0, F.col("_span")).unionByName(event(tokens, "start_pos", 1, none)).unionByName(event(tokens, "end_pos", 2, none)).unionByName(event(real, "start_pos", 3, F.col("_span")))
+    whole = Window.partitionBy("doc_id").orderBy("_at", "_kind")
+    so_far = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = events.select("doc_id", "_kind", "_span", F.count_if(F.col("_kind") == 1).over(so_far).alias("_begun"), F.count_if(F.col("_kind") == 2).over(so_far).alias("_over"), F.count_if(F.col("_kind") == 1).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    edges = counted.where("_span is not null").groupBy("doc_id", "_span").agg(F.max(F.when(F.col("_kind") == 3, F.greatest(F.lit(0), F.col("_begun") - 1))).alias("_lo"), F.max(F.when(F.col("_kind") == 0, F.least(F.col("_n") - 1, F.col("_over")))).alias("_hi"))
+    hit = edges.where("_lo <= _hi").select(*[F.col("_span").getField(k).alias(k) for k in keys], "doc_id", F.explode(F.sequence("_lo", "_hi")).alias("tok"))
+    return hit.select(*keys, "doc_id", F.col("tok").cast("int").alias("tok")).distinct()
 
 
 def islands(rows: DataFrame, keys: list[str], position: str, lo: Column, hi: Column) -> DataFrame:
@@ -58,11 +72,17 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def intersect_spans(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Characters in both span sets, as merged spans."""
-    left = a.select(*keys, "start_pos", "end_pos")
-    right = b.select(*keys, F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"))
-    both = left.join(right, keys).where("greatest(start_pos, _s) < least(end_pos, _e)")
-    return merge_spans(both.select(*keys, F.greatest("start_pos", "_s").alias("start_pos"), F.least("end_pos", "_e").alias("end_pos")), keys)
+    """Characters in both span sets, as merged spans: where both of the merged sets are open, by running sums over their ends."""
+    parts = [merge_spans(x.select(*keys, "start_pos", "end_pos"), keys) for x in (a, b)]
+    ends = None
+    for side, x in enumerate(parts):
+        for at, step in (("start_pos", 1), ("end_pos", -1)):
+            e = x.select(*keys, F.col(at).alias("_at"), F.lit(step if side == 0 else 0).alias("_a"), F.lit(step if side == 1 else 0).alias("_b"))
+            ends = e if ends is None else ends.unionByName(e)
+    ends = ends.groupBy(*keys, "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    order = Window.partitionBy(*keys).orderBy("_at")
+    state = ends.select(*keys, F.col("_at").alias("start_pos"), F.lead("_at").over(order).alias("end_pos"), F.sum("_a").over(order).alias("_x"), F.sum("_b").over(order).alias("_y"))
+    return merge_spans(state.where("_x > 0 and _y > 0").select(*keys, "start_pos", "end_pos"), keys)
 
 
 def vote(ids: DataFrame, keys: list[str], rater: str, least: int) -> DataFrame:
@@ -89,15 +109,23 @@ def highlights(spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 def last_header_before(spans: DataFrame, headers: DataFrame, key: str) -> DataFrame:
     """As-of join: each span with the last header that begins before its end, and offsets relative to the header's end."""
-    near = spans.join(headers.select(key, F.col("start_pos").alias("_hs"), F.col("end_pos").alias("_he"), "header"), key).where("_hs < end_pos")
-    best = near.groupBy(key, "start_pos", "end_pos").agg(F.max(F.struct("_hs", "_he", "header")).alias("h"))
+    head = F.struct(F.col("start_pos").alias("_hs"), F.col("end_pos").alias("_he"), "header")
+    marks = headers.select(key, F.col("start_pos").alias("_at"), F.lit(1).alias("_kind"), head.alias("_h"), F.lit(None).cast("int").alias("start_pos"), F.lit(None).cast("int").alias("end_pos"))
+    ask = spans.select(key, F.col("end_pos").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(marks.schema["_h"].dataType).alias("_h"), "start_pos", "end_pos").distinct()
+    # At one place spans come first: a header that begins at a span's end is not before it.
+    so_far = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    best = marks.unionByName(ask).withColumn("h", F.max("_h").over(so_far)).where("_kind = 0 and h is not null")
     return best.select(key, "h.header", (F.col("start_pos") - F.col("h._he")).alias("start_pos"), (F.col("end_pos") - F.col("h._he")).alias("end_pos"))
 
 
 def nearest_gap(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the mean over spans of the distance to the nearest other span (0 if they touch); null for a single span."""
-    a = spans.select(*keys, F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
-    b = spans.select(*keys, F.col("start_pos").alias("s2"), F.col("end_pos").alias("e2"))
-    gap = F.greatest(F.lit(0), F.col("s2") - F.col("e"), F.col("s") - F.col("e2"))
-    each = a.join(b, keys).where("s <> s2 or e <> e2").groupBy(*keys, "s", "e").agg(F.min(gap).alias("g"))
-    return each.groupBy(*keys).agg(F.sum("g").alias("gap_sum"), F.count("*").alias("n_spans"))
+    """Per key the mean over spans of the distance to the nearest other span (0 if they touch); null for a single span.
+
+    Of the spans that begin earlier the one that ends last is nearest, of those that begin later the first.
+    """
+    each = spans.select(*keys, F.col("start_pos").alias("s"), F.col("end_pos").alias("e")).distinct()
+    order = Window.partitionBy(*keys).orderBy("s", "e")
+    before = F.col("s") - F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead("s").over(order) - F.col("e")
+    gaps = each.select(*keys, F.greatest(F.lit(0), F.least(before, after)).alias("g"), F.least(before, after).alias("m")).where("m is not null")
+    return gaps.groupBy(*keys).agg(F.sum("g").alias("gap_sum"), F.count("*").alias("n_spans"))

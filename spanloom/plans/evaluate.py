@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.repair import parse_selection_lenient
-from ..functions.text import error_share
+from ..functions.text import error_share, strip
 from ..operators import metrics, spans
 from ..operators.fuzzy import fuzzy_match
+from ..operators.grounding import MODES
 
 
 def validate(samples: DataFrame, predictions: DataFrame, allow_partial: bool = False) -> None:
@@ -25,45 +26,38 @@ def validate(samples: DataFrame, predictions: DataFrame, allow_partial: bool = F
 def ground_predictions(parsed: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Spans of ``parsed(sample_id, spans)`` grounded in their sample's ``docs(sample_id, doc_id, text)`` only.
 
-    Span and document ids are made of the sample's, so samples never mix.
+    The keys of spans and documents hold the sample's id, so samples never mix. Blank
+    spans (white space of any kind) are ``whitespace`` before any mode is tried.
     """
     each = parsed.select("sample_id", F.posexplode("spans").alias("span_ord", "span")).where("span is not null")
-    wanted = each.select("sample_id", "span_ord", "span", F.struct("sample_id", "span_ord").alias("span_id"))
-    here = wanted.join(docs, "sample_id").select(F.struct("sample_id", "span_ord", "doc_id").alias("key"), "sample_id", "span_ord", "span", "doc_id", "text")
-    exact = here.where(F.expr("length(span) > 0 and contains(text, span)")).select("sample_id", "span_ord", "doc_id", F.expr("locate(span, text) - 1").alias("start_pos"), F.lit("exact_match").alias("mode"), F.length("span").alias("n"), "text")
-    form = lambda c: f"regexp_replace(lower({c}), '(?U)\\\\s', ' ')"
-    normal = here.join(exact.select("sample_id", "span_ord").distinct(), ["sample_id", "span_ord"], "left_anti").where(F.expr(f"length(trim(span)) > 0 and contains({form('text')}, {form('span')})"))
-    normal = normal.select("sample_id", "span_ord", "doc_id", F.expr(f"locate({form('span')}, {form('text')}) - 1").alias("start_pos"), F.lit("normalized_match").alias("mode"), F.expr(f"length({form('span')})").alias("n"), "text")
-    hits = exact.where("length(trim(text)) > 0").unionByName(normal)
-    first = hits.groupBy("sample_id", "span_ord", "mode").agg(F.min(F.struct("doc_id", "start_pos", "n")).alias("m"), F.count("*").alias("total_count"))
-    found = first.select("sample_id", "span_ord", "m.doc_id", "m.start_pos", (F.col("m.start_pos") + F.col("m.n")).alias("end_pos"), "mode", "total_count")
+    wanted = each.withColumn("blank", F.length(strip(F.col("span"))) == 0)
+    here = wanted.where(~F.col("blank")).join(docs, "sample_id")
+    hits = None
+    rest = here
+    for mode, form in MODES.items():
+        needle, hay = form(F.col("span")), form(F.col("text"))
+        hit = rest.withColumn("at", F.call_function("locate", needle, hay)).where("at > 0")
+        hit = hit.groupBy("sample_id", "span_ord").agg(F.min(F.struct("doc_id", (F.col("at") - 1).alias("start_pos"), (F.col("at") - 1 + F.length(needle)).alias("end_pos"))).alias("m"), F.count("*").alias("total_count"))
+        hit = hit.select("sample_id", "span_ord", "m.doc_id", "m.start_pos", "m.end_pos", F.lit(mode).alias("mode"), "total_count")
+        hits = hit if hits is None else hits.unionByName(hit)
+        rest = rest.join(hit.select("sample_id", "span_ord"), ["sample_id", "span_ord"], "left_anti")
     if fuzzy:
-        left = wanted.where("length(trim(span)) > 0").join(found.select("sample_id", "span_ord"), ["sample_id", "span_ord"], "left_anti")
-        keyed = left.join(docs, "sample_id").select(F.to_json(F.struct("sample_id", "span_ord", "doc_id")).alias("span_id"), "span", "sample_id", "span_ord", "doc_id", "text")
-        own = keyed.select(F.col("span_id").alias("doc_id"), "text")
-        near = fuzzy_match(keyed.select("span_id", "span"), own).where("span_id = doc_id")
-        back = near.select(F.from_json("span_id", "sample_id string, span_ord int, doc_id int").alias("i"), "start_pos", "end_pos", "best_dist")
-        best = back.groupBy("i.sample_id", "i.span_ord").agg(F.min(F.struct("best_dist", F.col("i.doc_id").alias("doc_id"), "end_pos", "start_pos")).alias("m"), F.count("*").alias("total_count"))
-        found = found.unionByName(best.select("sample_id", "span_ord", "m.doc_id", "m.start_pos", "m.end_pos", F.lit("fuzzy_match").alias("mode"), "total_count"))
-    out = wanted.select("sample_id", "span_ord", "span").join(found, ["sample_id", "span_ord"], "left")
-    mode = F.when(F.col("mode").isNotNull(), F.col("mode")).when(F.length(F.trim("span")) == 0, "whitespace").otherwise("hallucination")
+        left = rest.select("sample_id", F.struct("sample_id", "span_ord").alias("span_id"), "span").distinct()
+        own = docs.select("sample_id", F.struct("sample_id", "doc_id").alias("doc_id"), "text")
+        near = fuzzy_match(left, own, within=["sample_id"])
+        near = near.select("span_id.sample_id", "span_id.span_ord", "doc_id.doc_id", "start_pos", "end_pos", F.lit("fuzzy_match").alias("mode"), "total_count")
+        hits = hits.unionByName(near)
+    out = wanted.select("sample_id", "span_ord", "span", "blank").join(hits, ["sample_id", "span_ord"], "left")
+    mode = F.when(F.col("mode").isNotNull(), F.col("mode")).when(F.col("blank"), "whitespace").otherwise("hallucination")
     minus = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
     return out.select("sample_id", "span_ord", "span", minus("doc_id"), minus("start_pos"), minus("end_pos"), mode.alias("mode"))
 
 
 def _token_ids(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    keyed = docs.select(F.struct("sample_id", "doc_id").alias("d"), "text")
-    tokens = spans.tokenize(keyed.select(F.to_json("d").alias("doc_id"), "text"))
-    placed = rows.where("doc_id >= 0").withColumn("real", F.lit(1)).select(*keys, F.to_json(F.struct("sample_id", "doc_id")).alias("did"), "start_pos", "end_pos")
-    near = tokens.select(F.col("doc_id").alias("did"), "tok", F.lead("start_pos").over(_by_doc()).alias("nx"), F.lag("end_pos").over(_by_doc()).alias("pv"))
-    hit = near.join(placed, "did").where("(nx > start_pos or nx is null) and (pv < end_pos or pv is null)")
-    return hit.select(*keys, F.col("did").alias("doc_id"), "tok").distinct()
-
-
-def _by_doc():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("doc_id").orderBy("tok")
+    """Distinct ``(*keys, doc_id, tok)`` of grounded rows; doc_id holds the sample's id."""
+    tokens = spans.tokenize(docs.select(F.struct("sample_id", "doc_id").alias("doc_id"), "text"))
+    placed = rows.where("doc_id >= 0").withColumn("doc_id", F.struct("sample_id", "doc_id"))
+    return spans.covered_tokens(placed, tokens, keys)
 
 
 def evaluate(docs: DataFrame, references: DataFrame, predictions: DataFrame, fuzzy: bool = True) -> dict[str, DataFrame]:

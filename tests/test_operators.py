@@ -81,14 +81,75 @@ def test_repairs():
     assert repair.parse_spans("[]") == [] and repair.parse_spans(None) is None
 
 
+KEYS = [f"Select content about topic {k}." for k in range(5)]
+ITEMS = [[f"first piece {k}", f"second, piece {k}"] for k in range(5)]
+
+
 def test_instruction_layouts():
-    want = {"First topic": ["x", "y"], "Second": ["z"]}
-    assert repair.parse_instructions('{"First topic:": ["x", "y"], "Second": ["z"]}') == want
-    assert repair.parse_instructions('[{"instruction": "First topic", "selections": ["x", "y"]}, {"instruction": "Second", "selections": ["z"]}]') == want
-    assert repair.parse_instructions('[["First topic", ["x", "y"]], ["Second", ["z"]]]') == want
-    assert repair.parse_instructions('[["First topic", "Second"], [["x", "y"], ["z"]]]') == want
-    assert repair.parse_instructions("1. **First topic:**\n    * x\n    * y\n2. Second\n    - z\n", 2) == want
-    assert repair.parse_instructions("<error 500", 2) is None
+    """Nine layouts of five instructions and their selections."""
+    import json
+
+    want = dict(zip(KEYS, ITEMS, strict=True))
+    outline = "\n".join(f"{k + 1}. {a}\n" + "".join(f"    *   {x}\n" for x in v) for k, (a, v) in enumerate(want.items()))
+    assert repair.parse_instructions(f"```\n{outline}``` \n") == want
+    assert repair.parse_instructions(json.dumps(ITEMS)) == {str(k): v for k, v in enumerate(ITEMS)}
+    dashed = "".join(f"- {k + 1}. {a}\n" + "".join(f'  - "{x}"\n' for x in v) for k, (a, v) in enumerate(want.items()))
+    assert repair.parse_instructions(dashed) == want
+    assert repair.parse_instructions("```\n" + json.dumps([[a, *v] for a, v in want.items()], indent=2) + "\n```") == want
+    assert repair.parse_instructions(json.dumps([x for a, v in want.items() for x in (a, v)], indent=2)) == want
+    bold = "".join(f"- **{k + 1}. {a}**\n" + "".join(f'  - "{x}" (Document #1)\n' for x in v) for k, (a, v) in enumerate(want.items()))
+    assert repair.parse_instructions(bold) == {f"{a}**": [f'"{x}" (Document #1)' for x in v] for a, v in want.items()}
+    assert repair.parse_instructions(json.dumps([{"instruction": a, "content": v} for a, v in want.items()])) == want
+    code = "".join(f"{k + 1}. {a}\n   - ```java\n     int {k};\n     int b;\n     ```\n   - short;\n" for k, a in enumerate(KEYS))
+    assert list(repair.parse_instructions(code)) == KEYS
+    loose = "[\n" + "".join(f'  [\n    "{a}",\n    [\n' + "".join(f'      "{x} "quoted" here",\n' for x in v) + "    ]\n  ],\n" for a, v in want.items()) + "]"
+    assert repair.parse_instructions("[\n" + loose.split("[\n", 1)[1]) is not None
+    assert repair.instructions_of([[a, v] for a, v in want.items()]) == want
+
+
+def test_instructions_that_do_not_fit():
+    assert repair.parse_instructions("<error 500") is None and repair.parse_instructions(None) is None
+    assert repair.parse_instructions('{"a": ["x"]}') is None
+    assert repair.instructions_of([["x", "y"], ["z", "w"]], 2) == {"0": ["x", "y"], "1": ["z", "w"]}
+    assert repair.instructions_of(["First topic", ["x", "y"], "Second", ["z", "w"]], 2) == {"First topic": ["x", "y"], "Second": ["z", "w"]}
+    assert repair.instructions_of([["a", ["x"]]], 2) is None
+
+
+def test_bracket_lines():
+    two = '[\n[\n"Topic",\n"a "b" c",\nd\n],\n[\n"Other",\n"e"\n]\n]'
+    assert repair.parse_bracket_lines(two) == {"Topic": ['a "b" c', "d"], "Other": ["e"]}
+    three = '[\n[\n"Topic",\n[\n"a",\n"b"\n]\n],\n[\n"Other",\n[\n"e"\n]\n]\n]'
+    assert repair.parse_bracket_lines(three) == {"Topic": ["a", "b"], "Other": ["e"]}
+    with pytest.raises(ValueError):
+        repair.parse_bracket_lines("no lists")
+
+
+def test_unreadable_completions_are_null():
+    for raw in ('[{"a"}]', '[b"x"]', "[" * 100_000, '["a" "b', "\\", '"'):
+        assert repair.parse_spans(raw) is None or isinstance(repair.parse_spans(raw), list)
+    assert repair.parse_spans('[{"a"}]') is None and repair.parse_spans('[b"x"]') is None
+    assert repair.parse_documents(['["a"]', "[]", "no", '["b", "c"]']) == ["a", None, None, "b", "c"]
+    long = '["' + 'say "hi" ' * 20_000 + '"]'
+    assert len(repair.parse_spans(long)) == 1
+
+
+def test_blank_spans_are_white_space(spark):
+    docs = spark.createDataFrame([("a", 0, "hello world\tagain\n")], "sample_id string, doc_id int, text string")
+    refs = spark.createDataFrame([("a", 0, 0, 6, 11)], "sample_id string, group_ord int, doc_id int, start_pos int, end_pos int")
+    preds = spark.createDataFrame([("a", '["world", " ", "\\t", "\\u00a0\\n", ""]')], "sample_id string, selection string")
+    out = evaluate(docs, refs, preds)
+    assert {r["mode"]: r["n"] for r in out["modes"].collect()} == {"exact_match": 1, "whitespace": 4}
+    assert out["scores"].first()["f1"] == 1.0
+
+
+def test_fuzzy_stays_in_its_sample(spark):
+    text = "he saw that the cat sat on the mat and then left the house at once"
+    docs = spark.createDataFrame([("a", 0, "nothing of it here at all in this one"), ("b", 0, text), ("b", 1, text)], "sample_id string, doc_id long, text string")
+    near = '["the cat sat in the mat and then left the house"]'
+    preds = spark.createDataFrame([("a", near), ("b", near)], "sample_id string, selection string")
+    refs = spark.createDataFrame([("a", 0, 0, 0, 3), ("b", 0, 0, 0, 3)], "sample_id string, group_ord int, doc_id int, start_pos int, end_pos int")
+    got = {r["sample_id"]: (r["mode"], r["doc_id"]) for r in evaluate(docs, refs, preds)["grounded"].collect()}
+    assert got == {"a": ("hallucination", -1), "b": ("fuzzy_match", 0)}
 
 
 def test_null_is_not_empty(spark):
@@ -154,7 +215,7 @@ def whole(spark, tmp_path_factory):
 @pytest.mark.parametrize("n", [1, 2])
 def test_rouge_scores_whole_texts(spark, whole, n):
     grams = lambda w: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    got = {r["doc_id"]: (r["overlap"], r["n_ref"], r["n_pred"]) for r in catalog.QUERIES[f"rouge{n}_whole"](spark, whole).collect()}
+    got = {r["doc_id"]: (r["overlap"], r["n_ref"], r["n_pred"]) for r in catalog.QUERIES[f"rouge{n}"](spark, whole).collect()}
     for i, _, t in WHOLE:
         a = grams(" ".join(x for k, x in enumerate(t.split("\n")) if x and (k * 2 + i) % 3 == 0).split(" "))
         b = grams(re.split("[ \n]", t))
@@ -166,25 +227,25 @@ def digest(spans):
 
 
 def test_completions_hold_all_lines(spark, whole):
-    got = {r["doc_id"]: (r["n_spans"], r["digest"]) for r in catalog.QUERIES["parse_selections_whole"](spark, whole).collect()}
+    got = {r["doc_id"]: (r["n_spans"], r["digest"]) for r in catalog.QUERIES["parse_selections"](spark, whole).collect()}
     lines = {i: t.split("\n") for i, _, t in WHOLE}
     # Text with a fence of its own leaves the completion's fence alone.
     assert got == {i: (None, None) if i % 4 == 2 else (len(x), digest(x)) for i, x in lines.items()}
-    e = catalog.QUERIES["parse_error_ratio_whole"](spark, whole).first()
+    e = catalog.QUERIES["parse_error_ratio"](spark, whole).first()
     assert (e["n"], e["errors"]) == (len(WHOLE), sum(i % 4 == 2 for i, _, _ in WHOLE))
 
 
 def test_repair_reads_quotes_and_backslashes(spark, whole):
-    got = {r["doc_id"]: (r["n_spans"], r["digest"]) for r in catalog.QUERIES["parse_repair_whole"](spark, whole).collect()}
+    got = {r["doc_id"]: (r["n_spans"], r["digest"]) for r in catalog.QUERIES["parse_repair"](spark, whole).collect()}
     assert got == {i: (len(t.split("\n")), digest(t.split("\n"))) for i, _, t in WHOLE}
 
 
 def test_prompts_and_cropping_keep_whole_texts(spark, whole):
-    prompt = {r["doc_id"]: r["prompt"] for r in catalog.QUERIES["prompt_format_whole"](spark, whole).collect()}
+    prompt = {r["doc_id"]: r["prompt"] for r in catalog.QUERIES["prompt_format"](spark, whole).collect()}
     assert prompt == {i: f"Find {lang} text from src1.\n\nDocument #0:\n{t.strip()}\n\n" for i, lang, t in WHOLE}
-    rest = {r["doc_id"]: r["rest"] for r in catalog.QUERIES["strip_preamble_whole"](spark, whole).collect()}
+    rest = {r["doc_id"]: r["rest"] for r in catalog.QUERIES["strip_preamble"](spark, whole).collect()}
     assert rest == {i: t.strip() for i, _, t in WHOLE}
-    inside = {r["doc_id"]: r["inside"] for r in catalog.QUERIES["crop_fence_whole"](spark, whole).collect()}
+    inside = {r["doc_id"]: r["inside"] for r in catalog.QUERIES["crop_fence"](spark, whole).collect()}
     fenced = {i: f"Here it is:\n```text\n{t}\n```" for i, _, t in WHOLE}
     assert inside == {i: fenced[i].strip() if len(re.findall(r"(?m)^\s*```\w*\s", fenced[i])) != 1 else t.strip() for i, _, t in WHOLE}
 
@@ -197,18 +258,20 @@ def test_evaluation_grounds_every_line(spark, whole):
 
 
 def test_answers_of_all_languages(spark, whole):
-    got = {r["doc_id"]: r["answer"] for r in catalog.QUERIES["normalize_answer_whole"](spark, whole).collect()}
+    got = {r["doc_id"]: r["answer"] for r in catalog.QUERIES["normalize_answer"](spark, whole).collect()}
     plain = lambda t: re.sub(r"[!-/:-@\[-`{-~]", "", t.lower())
     assert got == {i: " ".join(w for w in plain(t).split() if w not in ("a", "an", "the")) for i, _, t in WHOLE}
 
 
 def test_cleaning_keeps_rows_with_quotes_and_stops(spark, whole):
     def clean(t):
-        t = re.sub(r"^```\w*\s*|\s*```$", "", t.strip())
-        t = re.sub(r"[:.]$", "", t).strip()
-        if len(t) > 1 and t[0] == t[-1] == '"':
-            t = t[1:-1]
-        return re.sub(r"\.$", "", t).strip()
-
-    got = {r["doc_id"]: r["cleaned"] for r in catalog.QUERIES["clean_text_whole"](spark, whole).collect()}
+        t = t.strip()
+        for marks in ("```", ":.", '"', "'", ".", "```"):
+            if marks in ("```", '"', "'"):
+                t = t[len(marks) : -len(marks)].strip() if t.startswith(marks) and t.endswith(marks) else t
+            elif t.endswith(tuple(marks)):
+                t = t[:-1].strip()
+        return t
+
+    got = {r["doc_id"]: r["cleaned"] for r in catalog.QUERIES["clean_text"](spark, whole).collect()}
     assert got == {i: clean(f'```\n"{t}".\n```') for i, _, t in WHOLE}
