@@ -1,14 +1,16 @@
 """HTML extraction (2) by minimum-cut labelling.
 
-A page is cut into text blocks (text between block-level tags). A classifier
-gives each block a cost for either label from its text and its DOM ancestors;
-the costs are the capacities to the two terminals. Blocks next to each other on
-the page and blocks under the same parent are joined by smoothness edges whose
-capacity falls with their distance in the tree. A maximum flow separates
-content from boilerplate at the least total cost; the content blocks are the
-text.
-
-Pages are independent: one task holds one page at a time. A null or empty page
+A page is cut into text blocks (text between block-level tags). A logistic
+regression on a block's text and DOM ancestors, fitted by
+:mod:`~spanloom.llm.html_training` on a bounded set of labelled pages, gives the
+costs of either label, the capacities to the two terminals. Blocks next to each
+other on the page and blocks under the same parent are joined by smoothness edges
+whose capacity falls with their distance in the tree; their scale is fitted on
+the same pages. A maximum flow separates content from boilerplate at the least
+total cost; the content blocks are the text.
+
+Pages are independent: one task holds one page at a time. Time is near linear in
+a page's length, however deep its tags nest. A null or empty page
 and a page without content give an empty text. Unclosed, stray and cut-off tags
 are tolerated; scripts, styles, comments and the head never give text. Character
 references are decoded once, white space inside a block becomes one space
@@ -22,6 +24,7 @@ import html
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -51,19 +54,23 @@ _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|copyright|cookie|pri
 _END = re.compile(r"[.!?…。！？:;\"'»”)]\s*$")
 
 
+#: Edges over longer ways in the tree have no capacity worth counting.
+FAR = 40
+
+
 class Element:
-    __slots__ = ("tag", "parent", "depth", "marked", "never", "aside", "article", "chars", "holds", "place")
+    __slots__ = ("tag", "parent", "depth", "marked", "never", "aside", "article", "holds", "owner", "context")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.never = tag in NEVER
+        self.never = tag in NEVER or parent is not None and parent.never
         self.aside = tag in ASIDE
         self.article = tag in ("article", "main")
         self.marked = 0
-        self.chars = 0
         self.holds = False  # an article, main or h1 below
-        self.place = 0
+        self.owner = self if tag in BLOCK or parent is None else parent.owner
+        self.context: tuple[bool, bool, bool] | None = None
         if attrs and tag not in ("html", "body"):
             self._read(attrs)
 
@@ -82,12 +89,29 @@ class Element:
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 self.never = True
 
-    def above(self):
-        e = self
-        while e is not None:
-            yield e
+    def hold(self) -> None:
+        """Tells the elements above, up to the article or main they are in, that they hold an article, main or h1."""
+        e = self.parent
+        while e is not None and not e.holds:
+            e.holds = True
+            if e.tag == "main" or e.article and not e.marked:
+                break
             e = e.parent
 
+    def surroundings(self) -> tuple[bool, bool, bool]:
+        """Whether it stands in page furniture, beside the text, and in an article; known once the page is read."""
+        chain, e = [], self
+        while e is not None and e.context is None:
+            chain.append(e)
+            e = e.parent
+        furniture, aside, inside = e.context if e is not None else (False, False, False)
+        for x in reversed(chain):
+            inside = inside or x.article and not x.marked
+            furniture = furniture or x.marked == 2 and not (x.holds and x.tag in ("body", "html")) or x.marked == 1 and not x.holds and not x.article
+            aside = aside or x.aside and not x.holds and not (x.tag == "header" and inside)
+            x.context = furniture, aside, inside
+        return self.context
+
 
 class Block:
     __slots__ = ("text", "element", "links", "chars")
@@ -100,32 +124,34 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, without those that never show."""
     top = Element("#page", None, "")
     stack, out, held = [top], [], []
+    opened: dict[str, list[int]] = {}  # where the open elements of a tag stand on the stack
+    open_blocks: list[int] = []
     linked = 0  # characters inside links in the block so far
-    links = 0  # open links
 
     def end() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
-            if text and not any(e.never for e in stack[-1].above()):
-                owner = next(e for e in reversed(stack) if e.tag in BLOCK or e is top)
-                out.append(Block(text, owner, min(linked, len(text))))
-                for e in owner.above():
-                    e.chars += len(text)
+            if text and not stack[-1].never:
+                out.append(Block(text, stack[-1].owner, min(linked, len(text))))
             held.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         held.append(text)
-        if links:
+        if opened.get("a"):
             linked += len(text.strip())
 
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     def close(upto: int) -> None:
-        nonlocal links
-        for e in stack[upto:]:
-            links -= e.tag == "a"
-        del stack[upto:]
+        while len(stack) > upto:
+            e = stack.pop()
+            opened[e.tag].pop()
+            if e.tag in BLOCK:
+                open_blocks.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -146,11 +172,8 @@ def blocks_of(page: str) -> list[Block]:
         if m["close"] or m["close2"]:
             if name in BLOCK:
                 end()
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
-            inline = name not in BLOCK
-            if k and not (inline and any(e.tag in BLOCK for e in stack[k + 1 :])):
-                close(k)
-            elif k and name == "a":
+            k = last((name,))
+            if k and (name in BLOCK or name == "a" or not open_blocks or open_blocks[-1] < k):
                 close(k)
             continue
         if name in RAW:
@@ -167,89 +190,51 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             end()
-            if stack[-1].tag != "#page":
-                for i in range(len(stack) - 1, 0, -1):  # an open p ends where a block begins
-                    if stack[i].tag == "p":
-                        close(i)
-                        break
-                    if stack[i].tag in BLOCK:
-                        break
-            if name in CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in CLOSES[name]:
-                        close(i)
-                        break
-                    if stack[i].tag in KEEPS_OPEN[name]:
-                        break
+            if open_blocks and stack[open_blocks[-1]].tag == "p":  # an open p ends where a block begins
+                close(open_blocks[-1])
+            if name in CLOSES and (k := last(CLOSES[name])) > last(KEEPS_OPEN[name]):
+                close(k)
         e = Element(name, stack[-1], attrs)
+        opened.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            open_blocks.append(len(stack))
         stack.append(e)
-        links += name == "a"
         if e.article and not e.marked or name == "h1":
-            for x in e.above():
-                x.holds = x.holds or x is not e
-                if x.tag == "main" or x.article and not x.marked:
-                    if x is not e:
-                        break
-        if len(stack) > 2000:  # runaway nesting of unclosed tags: treat as siblings
-            close(1000)
+            e.hold()
     end()
     return out
 
 
-def costs(blocks: list[Block]) -> tuple[list[float], list[float]]:
-    """Per block the cost of calling it boilerplate and the cost of calling it content."""
-    keep, drop = [], []
-    has_article = any(e.article and not e.marked for b in blocks for e in b.element.above())
-    for b in blocks:
-        good, bad = 0.0, 0.0
-        inside, furniture, aside = False, False, False
-        for e in b.element.above():
-            if e.marked == 2 and not (e.holds and e.tag in ("body", "html")):
-                furniture = True
-            elif e.marked and not e.holds and not e.article:
-                furniture = True
-            if e.aside and not e.holds and not (e.tag == "header" and inside_article(e)):
-                aside = True
-            if e.article and not e.marked:
-                inside = True
-        if furniture:
-            bad += 9
-        if aside:
-            bad += 9
-        if inside:
-            good += 4
-        elif has_article:
-            bad += 4
-        words = b.text.count(" ") + 1
-        density = b.links / max(1, b.chars)
-        if density > 0.5:
-            bad += 3 if not inside else 1
-        good += min(3.0, words / 10)
-        if _END.search(b.text):
-            good += 1
-        if b.element.tag == "h1":
-            good += 3
-        elif b.element.tag in ("p", "blockquote", "pre", "h2", "h3"):
-            good += 1
-        elif b.element.tag == "li" and not inside:
-            bad += 1
-        if words < 6 and not inside:
-            bad += 1.5
-        if _RIGHTS.search(b.text) and not inside:
-            bad += 2.5
-        keep.append(good)
-        drop.append(bad)
-    return keep, drop
-
-
-def inside_article(e: Element) -> bool:
-    return any(x.article and not x.marked for x in e.above())
+#: What the classifier sees of a block, besides a constant.
+FEATURES = ("furniture", "aside", "inside", "beside an article", "link share", "mostly links", "words", "few words", "ends a sentence", "h1", "paragraph", "item outside", "rights or sign-up", "after h1")
+
+
+def features(blocks: list[Block]) -> np.ndarray:
+    """A row of ``FEATURES`` and a 1 for each block."""
+    around = [b.element.surroundings() for b in blocks]
+    has_article = any(inside for _, _, inside in around)
+    out = np.ones((len(blocks), len(FEATURES) + 1))
+    title = False
+    for row, b, (furniture, aside, inside) in zip(out, blocks, around, strict=True):
+        words, tag, links = b.text.count(" ") + 1, b.element.tag, b.links / max(1, b.chars)
+        title = title or tag == "h1"
+        row[:-1] = (
+            furniture, aside, inside, has_article and not inside, links, links > 0.5, min(30, words) / 10, words < 6 and not inside, _END.search(b.text) is not None,
+            tag == "h1", tag in ("p", "blockquote", "pre", "h2", "h3"), tag == "li" and not inside, not inside and _RIGHTS.search(b.text) is not None, title,
+        )
+    return out
+
+
+def costs(blocks: list[Block], weights: np.ndarray, most: float = 12.0) -> tuple[list[float], list[float]]:
+    """Per block the cost of calling it boilerplate and of calling it content: the negative log of the classifier's probabilities, ``most`` at most."""
+    odds = np.clip(features(blocks) @ weights, -most, most)
+    return np.logaddexp(0, odds).tolist(), np.logaddexp(0, -odds).tolist()
 
 
 def distance(a: Element, b: Element) -> int:
-    """Steps between two elements in the tree."""
+    """Steps between two elements in the tree, up to ``FAR``."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
@@ -258,15 +243,15 @@ def distance(a: Element, b: Element) -> int:
     return steps
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def smoothness(blocks: list[Block], scale: float) -> list[tuple[int, int, float]]:
     """Edges between page neighbours and between following blocks under one parent."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         parent = id(b.element.parent)
         if i:
-            edges.append((i - 1, i, 2.0 * 0.6 ** distance(blocks[i - 1].element, b.element)))
+            edges.append((i - 1, i, scale * 0.6 ** distance(blocks[i - 1].element, b.element)))
         if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, 0.7))
+            edges.append((last[parent], i, 0.35 * scale))
         last[parent] = i
     return edges
 
@@ -334,28 +319,39 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
             at = to[k]
 
 
-def main_text(page: str | None) -> str:
-    """The content blocks of a page, joined by newlines."""
-    if not page:
-        return ""
-    blocks = blocks_of(page)
+def content_of(blocks: list[Block], weights: np.ndarray, scale: float) -> list[bool]:
+    """Which blocks are content, by the minimum cut."""
+    keep, drop = costs(blocks, weights)
+    return minimum_cut(keep, drop, smoothness(blocks, scale))
+
+
+def main_text(page: str | None, model: tuple[np.ndarray, float] | None = None) -> str:
+    """The content blocks of a page, joined by newlines; ``model`` has the classifier's weights and the scale of the edges."""
+    blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    keep, drop = costs(blocks)
-    content = minimum_cut(keep, drop, smoothness(blocks))
+    content = content_of(blocks, *(model or fitted()))
     return "\n".join(b.text for b, c in zip(blocks, content, strict=True) if c)
 
 
+def fitted() -> tuple[np.ndarray, float]:
+    """The model of :func:`spanloom.llm.html_training.fit`, fitted once a process."""
+    from .html_training import fit
+
+    return fit()
+
+
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns of each page with ``text`` and ``n_chars`` (code points)."""
     schema = T.StructType([pages.schema[c] for c in keep]).add("text", "string").add("n_chars", "long")
+    model = fitted()
 
     def run(batches):
         for batch in batches:
             last = batch.num_columns - 1
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = [main_text(h.as_py()) for h in part.column(last)]
+                texts = [main_text(h.as_py(), model) for h in part.column(last)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return pages.select(*keep, pages[html_col].alias("_html")).mapInArrow(run, schema)

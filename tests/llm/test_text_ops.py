@@ -1,6 +1,7 @@
 """Decontamination, extraction, quality, personal data, language, sharding, packing and the pipeline."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import packing, pii, quality, queries
+from spanloom.llm import html_extract, html_training, packing, pii, quality, queries
 from spanloom.llm.decontaminate import find_leaks
 from spanloom.llm.html_extract import main_text, minimum_cut
 from spanloom.llm.language import identify
@@ -87,6 +88,44 @@ def test_main_text():
     assert main_text("<article>" + "<p>Some words of text here." * 3000 + "</article>").count("\n") == 2999
 
 
+def test_edges_change_labels():
+    """A short piece without a sentence's end, between paragraphs of an unnamed container, is content by its neighbours alone."""
+    long = "Some plain words that go on for long enough to be told as a text of the page, one after another."
+    page = f"<body><div><p>{long}</p><div>and so</div><p>{long}</p><div>yes</div><p>{long}</p></div><div><span>Log in</span></div></body>"
+    w, scale = html_training.fit()
+    blocks = html_extract.blocks_of(page)
+    assert scale > 0 and html_extract.content_of(blocks, w, 0.0) == [True, False, True, False, True, False]
+    assert main_text(page) == "\n".join([long, "and so", long, "yes", long])
+
+
+def test_labelling_is_the_best_of_all():
+    w, scale = html_training.fit()
+    for blocks, _ in html_training.labelled_pages(40, 9000):
+        blocks = blocks[:10]
+        keep, drop = html_extract.costs(blocks, w)
+        edges = html_extract.smoothness(blocks, scale)
+
+        def cost(side):
+            return sum(k for k, c in zip(keep, side, strict=True) if not c) + sum(d for d, c in zip(drop, side, strict=True) if c) + sum(e for a, b, e in edges if side[a] != side[b])
+
+        best = min(cost([bool(m >> i & 1) for i in range(len(blocks))]) for m in range(1 << len(blocks)))
+        assert cost(html_extract.content_of(blocks, w, scale)) == pytest.approx(best)
+
+
+def test_cut_beats_the_classifier_alone():
+    w, scale = html_training.fit()
+    pages = html_training.labelled_pages(200, 20000)
+    wrong = {s: sum(int((np.array(html_extract.content_of(b, w, s)) != (y > 0)).sum()) for b, y in pages) for s in (0.0, scale)}
+    assert wrong[scale] < wrong[0.0] < 0.02 * sum(len(y) for _, y in pages)
+
+
+def test_deep_and_unclosed_tags():
+    """Nesting has no limit and costs linear time; what stands in a deep advert stays out."""
+    deep = "<div class=ad>" + "<div>" * 50000 + "Buy now" + "</div>" * 50001
+    assert main_text(f"<article><p>First words of it.</p>{deep}<p>Last words of it.</p></article>") == "First words of it.\nLast words of it."
+    assert main_text("<article>" + "<b>" * 20000 + "<p>Words of the page.</p>" * 2000).count("\n") == 1999
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(5)
     for _ in range(40):
@@ -172,6 +211,61 @@ def test_pii_finds_secrets(spark):
     assert {r["doc_id"] for r in got.where(F.size("secret") > 0).collect()} == set(range(30))
 
 
+def test_pii_judges_wider_kinds(spark):
+    """Planted spans of each judged kind among look-alikes; most are found and no look-alike is."""
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(n))
+    cap = lambda: say(1).capitalize() + "el"
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def iban():
+        body = digits(18)
+        check = 98 - int(body + "131400") % 97  # D = 13, E = 14
+        plain = f"DE{check:02d}{body}"
+        return " ".join(plain[k : k + 4] for k in range(0, 22, 4))
+
+    make = {
+        "secret": lambda: (r.choice(["token = \"", "api key: "]), hashlib.sha1(say(2).encode()).hexdigest()),
+        "iban": lambda: (r.choice(["IBAN: ", "pay to "]), iban()),
+        "nationalid": lambda: ("SSN ", f"{r.randint(100, 599)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"),
+        "localphone": lambda: (r.choice(["Tel: ", "call "]), f"({r.randint(200, 899)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"),
+        "address": lambda: ("lives at ", f"{r.randint(1, 900)} {cap()} {r.choice(['Street', 'Avenue', 'Road'])}"),
+        "name": lambda: (r.choice(["Mr. ", "name: ", "with "]), f"{r.choice(pii.FIRST_NAMES)} {cap()}"),
+    }
+    rows, planted = [], {}
+    for i in range(240):
+        kind = pii.JUDGED[i % 6]
+        before, span = make[kind]()
+        head = f"{say(8)} {before}"
+        rows.append((i, f"{head}{span} {say(6)}"))
+        planted[i] = f"{kind}:{len(head)}:{len(head) + len(span)}"
+    for i in range(240, 900):
+        rows.append((i, f"{say(6)}. {cap()} {cap()} {say(4)}, version {digits(3)}.{digits(3)}.{digits(4)} of {digits(3)}-{digits(3)}-{digits(4)} and {say(3)}/{say(1)}{digits(9)}.html on {digits(2)} {say(1)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x["spans"].split(",") for x in pii.find_pii(docs).select("doc_id", pii.listed(pii.JUDGED).alias("spans")).collect()}
+    for kind in pii.JUDGED:
+        mine = [i for i in planted if planted[i].startswith(kind)]
+        assert sum(planted[i] in found[i] for i in mine) >= 0.9 * len(mine), kind
+    assert sum(found[i] != [""] for i in range(240, 900)) <= 6
+
+
+def test_pii_places_of_many_matches(spark):
+    """Places of far more matches than a block holds, in code points, in near linear time; no token is too long."""
+    text = "\U0001f600 " + " ".join(f"é a{k}@b{k}.co" for k in range(9000))
+    long = 'token = "' + "x" * 300 + '1" token = "' + "7" * 300 + 'x"'
+    got = {x["doc_id"]: x for x in pii.find_pii(spark.createDataFrame([(1, text), (2, long)], "doc_id long, text string")).select("doc_id", pii.listed(["email"]).alias("email"), pii.listed(["secret"]).alias("secret")).collect()}
+    assert got[1]["email"] == ",".join(x for x in base_spans(text) if x.startswith("email"))
+    assert got[2]["secret"] == ",".join(f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer('"([^"]*)"', long))
+
+
+def test_pii_keeps_other_columns(spark):
+    rows = [(1, "a@b.co", "x", "r", "n"), (1, None, None, None, None), (None, "a@b.co", "x", "r", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string, row string, m_email string").withColumn("_text", F.lit(1)).withColumn("x", F.lit(2))
+    got = pii.find_pii(docs)
+    assert got.columns == ["doc_id", "t", "row", "m_email", "_text", "x", *pii.BASE, *pii.JUDGED]
+    assert Counter((x["doc_id"], x["t"], len(x["email"])) for x in got.collect()) == Counter([(1, "x", 1), (1, None, 0), (None, "x", 1)])
+
+
 def test_language(spark, small, edges):
     got = {r["doc_id"]: r for r in queries.op5_language_id(spark, SMALL).collect()}
     truth = {r["doc_id"]: r["lang"] for r in small.collect()}
