@@ -44,11 +44,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pii")
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), save=lambda x: scratch.save(x, "candidates"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
+    total = sum((F.size(k) for k in KINDS), F.lit(0)).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, total, F.sha2(listed(BASE), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("crc32(cast(doc_id as string)) % 4 = 2"))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"))
     return identify(docs, F.col("lang").isNotNull() & ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
