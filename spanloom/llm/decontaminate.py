@@ -20,13 +20,15 @@ reported if it is one, else the first longest that is.
 
 Null, empty or blank texts and items have no tokens and match nothing; items
 under ``shortest`` tokens are no evidence and match nothing. Repeated rows each
-get their own matches; equal (document, item) matches keep the longest stretch,
-then the first. Columns other than ids and texts are ignored.
+get their own matches, of documents and of items; a row and an item that overlap in
+several places give one match, with the most equal tokens, then the first. Columns
+other than ids and texts are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -117,15 +119,22 @@ class Probe:
         self.filter = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.filter[(self.keys >> self.shift).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window start, item, item position) of every equal pair of hashes."""
+    def diagonals(self, hashes: np.ndarray, first: np.ndarray, most: int = 1 << 20) -> Iterator[np.ndarray]:
+        """Columns (document, item, shift) of the equal pairs of hashes, at most ``most`` pairs (or those of one window) at a time."""
         where = np.flatnonzero(self.filter[(hashes >> self.shift).astype(np.int64)])
         lo = np.searchsorted(self.keys, hashes[where], "left")
         count = np.searchsorted(self.keys, hashes[where], "right") - lo
         where, lo, count = where[count > 0], lo[count > 0], count[count > 0]
-        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        pick = np.repeat(lo, count) + inside
-        return np.repeat(where, count), self.items[pick], self.at[pick]
+        total, at = np.cumsum(count), 0
+        while at < len(where):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            c = count[at:end]
+            inside = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            pick = np.repeat(lo[at:end], c) + inside
+            start = np.repeat(where[at:end], c)
+            doc = np.searchsorted(first, start, side="right") - 1
+            yield np.unique(np.stack([doc, self.items[pick], start - self.at[pick]]), axis=1)
+            at = end
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
@@ -161,12 +170,19 @@ def scan(docs: DataFrame, probe, least: int, share: int) -> DataFrame:
                 tokens = Tokens(piece.column(1))
                 if not len(tokens.hash):
                     continue
-                found = [p.hits(masked(tokens.hash, m, s)) for s, m in enumerate(MASKS)] + [p.hits(h) for n in p.sizes for h in short_masked(tokens.hash, n, share)]
-                where, item, at = (np.concatenate([f[j] for f in found]) for j in range(3))
-                if not len(where):
+                windows = chain(((m, None) for m in enumerate(MASKS)), ((None, n) for n in p.sizes))
+                held, size = [np.zeros((3, 0), dtype=np.int64)], 0
+                for m, n in windows:
+                    for h in [masked(tokens.hash, m[1], m[0])] if m else short_masked(tokens.hash, n, share):
+                        for part in p.diagonals(h, tokens.first):
+                            held.append(part)
+                            size += part.shape[1]
+                            if size > 1 << 21:
+                                held, size = [np.unique(np.concatenate(held, axis=1), axis=1)], 0
+                if len(held) == 1 and not held[0].size:
                     continue
-                doc = np.searchsorted(tokens.first, where, side="right") - 1
-                diagonal = np.unique(np.stack([doc, item, where - at]), axis=1)
+                diagonal = np.unique(np.concatenate(held, axis=1), axis=1)
+                best: dict[tuple[int, int], tuple] = {}
                 ids = piece.column(0).to_pylist()
                 for d, k, shift in diagonal.T.tolist():
                     t, first, end = p.tokens[k], int(tokens.first[d]), int(tokens.first[d + 1])
@@ -177,7 +193,9 @@ def scan(docs: DataFrame, probe, least: int, share: int) -> DataFrame:
                     if found := passing_stretch(same, min(least, len(t)), share):
                         a, b = found
                         equal = int(np.count_nonzero(same[a:b]))
-                        out.append((ids[d], p.ids[k], len(t), equal, b - a, shift + lo + a - first, lo + a))
+                        row = (equal, first - shift - lo - a, -lo - a, b - a)
+                        best[d, k] = max(best.get((d, k), row), row)
+                out += [(ids[d], p.ids[k], len(p.tokens[k]), equal, size, -start, -at) for (d, k), (equal, start, at, size) in best.items()]
             names = ["doc_id", "item_id", "item_words", "n_equal", "n_aligned", "doc_start", "item_start"]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(7)], names)
 
@@ -200,7 +218,7 @@ def item_blocks(benchmark: DataFrame, block_tokens: int, shortest: int, share: i
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 12, share: int = 75, shortest: int = 5, block_tokens: int = 1 << 19) -> DataFrame:
-    """``(doc_id, item_id, item_words, n_equal, n_aligned, doc_start, item_start)``, one row per document and item that overlap."""
+    """``(doc_id, item_id, item_words, n_equal, n_aligned, doc_start, item_start)``, one row per row of ``docs`` and item that overlap."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").orderBy("item_id", "text")
@@ -210,6 +228,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "doc_id long, item_id long, item_words long, n_equal long, n_aligned long, doc_start long, item_start long")
-    best = F.max(F.struct("n_equal", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"), "n_aligned", "item_words")).alias("m")
-    out = found.groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", "m.item_words", "m.n_equal", "m.n_aligned", (-F.col("m.d")).alias("doc_start"), (-F.col("m.i")).alias("item_start"))
+    return found
