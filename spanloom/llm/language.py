@@ -4,8 +4,8 @@ Subwords are the byte n-grams (2 and 3 bytes) of lower-cased words with a mark
 at both ends; each hashes to one of ``BUCKETS`` embeddings, a text is the mean
 of its subwords' embeddings, and a linear layer with softmax gives the
 languages. Embeddings and layer are trained together by stochastic gradient
-descent in numpy on the driver, on at most ``most_rows`` labelled rows (the
-documented bound; they are the rows with the smallest hashes of their ids, so
+descent in numpy on the driver, on at most ``most_rows`` labelled rows, which
+reach it as bags of at most ``BUCKETS`` numbers (the documented bound; they are the rows with the smallest hashes of their ids, so
 the choice does not depend on partitioning). A part of those rows is held back
 to fit a temperature, which calibrates the scores, and the rejection threshold:
 the score below which ``reject`` percent of the held-back rows that the model
@@ -121,27 +121,27 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], reject: float = 1.0) -> Model | None:
-    """A model from (text, language) rows; every fifth row calibrates. None without a labelled row that has a word."""
-    rows = [(t, lang) for t, lang in rows if t and t.split()]
-    langs = sorted({lang for _, lang in rows})
+def bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's subwords and their shares: ``BUCKETS`` numbers at most, however long the text."""
+    ids, count = np.unique(subwords(pa.array([text], pa.string()))[0], return_counts=True)
+    return ids, (count / max(1, count.sum())).astype(np.float32)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], reject: float = 1.0) -> Model | None:
+    """A model from bags and their languages; every fifth row calibrates. None without a labelled row that has a word."""
+    rows = [r for r in rows if len(r[0])]
+    langs = sorted({r[2] for r in rows})
     if not langs:
         return None
     code = {lang: k for k, lang in enumerate(langs)}
-    bags, labels = [], []
-    for t, lang in rows:
-        ids, _, _ = subwords(pa.array([t], pa.string()))
-        ids, count = np.unique(ids, return_counts=True)
-        bags.append((ids, (count / max(1, count.sum())).astype(np.float32)))
-        labels.append(code[lang])
-    labels = np.array(labels)
+    bags, labels = [r[:2] for r in rows], np.array([code[r[2]] for r in rows])
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), dtype=bool)
     model = Model(langs)
     model.train([b for b, h in zip(bags, held, strict=True) if not h], labels[~held])
     model.finish()
-    texts = [t for (t, _), h in zip(rows, held, strict=True) if h]
-    if texts:
-        model.calibrate(np.concatenate([model.logits(*subwords(pa.array([t], pa.string()))[:2]) for t in texts]), labels[held], reject)
+    aside = [b for b, h in zip(bags, held, strict=True) if h]
+    if aside:
+        model.calibrate(np.stack([(model.table[i].astype(np.float64) * share[:, None]).sum(axis=0) + model.bias for i, share in aside]), labels[held], reject)
     model.embedding = None  # the table replaces it
     return model
 
@@ -153,8 +153,15 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
     chosen = chosen.orderBy("h", "i").limit(most_rows)
     edge = chosen.agg(F.max("h").alias("h")).first()["h"]
     sample = docs.where(learn_from & (F.xxhash64(F.col(id_col).cast("string")) <= F.lit(edge))) if edge is not None else docs.where("false")
-    rows = sample.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "t", "l").limit(most_rows).collect()
-    model = spark.sparkContext.broadcast(fit([(r["t"], r["l"]) for r in rows if r["l"] is not None]))
+
+    def bags(batches):
+        for batch in batches:
+            found = [bag_of(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i.astype(np.uint16).tobytes() for i, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["h", "l", "ids", "shares"])
+
+    sample = sample.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null")
+    rows = sample.mapInArrow(bags, "h long, l string, ids binary, shares binary").orderBy("h", "ids", "shares", "l").limit(most_rows).collect()
+    model = spark.sparkContext.broadcast(fit([(np.frombuffer(r["ids"], dtype=np.uint16).astype(np.int64), np.frombuffer(r["shares"], dtype=np.float32), r["l"]) for r in rows]))
     rest = [c for c in docs.columns if c not in (text_col, lang_col)]
     added = ["lang_pred", "score", "rejected"]
     kept = [c for c in rest if c not in added]
@@ -163,7 +170,7 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
     def run(batches):
         m = model.value
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, batch.schema.names[-1]):
                 texts = piece.column(piece.num_columns - 1)
                 n = len(texts)
                 pred, score = ["und"] * n, np.zeros(n)
@@ -181,4 +188,5 @@ def identify(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_c
                 low = score < (m.threshold if m is not None else 1.0)
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())], [*kept, *added])
 
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`").alias(f"c{j}") for j, c in enumerate([*kept, text_col])]
+    return docs.select(*columns).mapInArrow(run, schema)
