@@ -25,18 +25,6 @@ def normalize(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"(?U)\s", " ")
 
 
-def tokens(text: Column) -> Column:
-    """``array<struct<tok, text, start_pos, end_pos>>`` of the pieces that are not white space."""
-    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
-    return F.filter(_with_offsets(pieces), lambda t: ~F.rlike(t["text"], F.lit(r"^[\s\p{Z}]")))
-
-
-def _with_offsets(pieces: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start_pos:int,end_pos:int>>").alias("out"))
-    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["out"], F.array(F.struct(p.alias("text"), a["at"].alias("start_pos"), (a["at"] + F.length(p)).alias("end_pos")))).alias("out"))
-    return F.aggregate(pieces, zero, step, lambda a: a["out"])
-
-
 def token_count(text: Column) -> Column:
     """How many tokens a text has."""
     return F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}]"))
@@ -109,6 +97,11 @@ def parse_offsets(c: Column) -> Column:
     return F.transform(F.split(c, ";"), lambda x: F.struct(F.split(x, ",")[0].cast("int").alias("start_pos"), F.split(x, ",")[1].cast("int").alias("end_pos")))
 
 
+def document_number(name: Column) -> Column:
+    """The number of a file ``0.txt`` to ``5.txt``, else null."""
+    return F.when(name.rlike(r"^[0-5]\.txt$"), F.substr(name, F.lit(1), F.lit(1)).cast("int"))
+
+
 def split_addresses(c: Column) -> Column:
     """The distinct addresses of a comma-separated header, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
@@ -143,5 +136,21 @@ def sentence_bounds(chunk_ends: Column) -> Column:
 def chunk_ends(sentences: Column) -> Column:
     """Cumulative ends of sentences joined by newlines; the last has none after it. Null for no sentence."""
     n = F.size(sentences)
-    ends = F.transform(sentences, lambda s, i: F.aggregate(F.slice(sentences, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x) + 1) - F.when(i == n - 1, 1).otherwise(0))
-    return F.when(n > 0, ends)
+    lengths = F.transform(sentences, lambda s, i: F.length(s) + F.when(i == n - 1, 0).otherwise(1))
+    # Bound by a lambda, so that the lengths are worked out once.
+    return F.when(n > 0, F.get(F.transform(F.array(lengths), lambda v: _running_of(v)), F.lit(0)))
+
+
+def _running_of(v: Column, block: int = 64) -> Column:
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    sums = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(c) - 1) / block).cast("int")), lambda b: total(F.slice(c, b * block + 1, F.lit(block))))
+
+    def places(s: Column) -> Column:
+        i_block = lambda i: F.floor(i / block).cast("int")
+        outer = lambda i: F.floor(i / (block * block)).cast("int")
+        at = lambda i: total(F.slice(s["c"], F.lit(1), outer(i))) + total(F.slice(s["b"], outer(i) * block + 1, i_block(i) % block)) + total(F.slice(s["a"], i_block(i) * block + 1, i % block + 1))
+        return F.transform(F.sequence(F.lit(0), F.size(s["a"]) - 1), at)
+
+    two = F.transform(F.array(v), lambda a: F.struct(a.alias("a"), sums(a).alias("b")))
+    three = F.transform(two, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), sums(s["b"]).alias("c")))
+    return F.get(F.transform(three, places), F.lit(0))

@@ -77,9 +77,10 @@ def prompts(samples: DataFrame, template: str, context: Column, docs: Column, sy
 
 
 def answer(selections: Column) -> Column:
-    """The answer text of ``array<struct<doc_id, start_pos, end_pos, content>>``: grounded contents in order as JSON."""
+    """The answer text of ``array<struct<doc_id, start_pos, end_pos, content>>``: grounded contents in order as JSON, a line each."""
     real = F.array_sort(F.filter(selections, lambda s: s["doc_id"] >= 0))
-    return F.concat(F.lit("Selected Content:\n\n"), F.to_json(F.transform(real, lambda s: s["content"])))
+    items = F.transform(real, lambda s: F.substr(F.to_json(F.array(s["content"])), F.lit(2), F.length(F.to_json(F.array(s["content"]))) - 2))
+    return F.concat(F.lit("Selected Content:\n\n"), F.when(F.size(real) > 0, F.concat(F.lit("[\n    "), F.array_join(items, ",\n    "), F.lit("\n]"))).otherwise("[]"))
 
 
 def in_context_examples(queries: DataFrame, pool: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:

@@ -153,10 +153,58 @@ def forget(completions: DataFrame, value: str) -> DataFrame:
     return completions.where(~F.col("completion").eqNullSafe(F.lit(value)))
 
 
-def resolve(name: str, tables: dict[str, str]) -> tuple[str, str, str]:
-    """``(path, dataset, split)`` of ``dataset/split`` looked up without case; a real path resolves to itself."""
+def failures(completions: DataFrame) -> DataFrame:
+    """Entries that record an error instead of a completion."""
+    return completions.where(F.col("completion").startswith("<error"))
+
+
+def result_key(predictions: DataFrame, settings: Column) -> DataFrame:
+    """``(file, key)`` of prediction files ``(file, content)``: SHA-256 over content and settings, under which a result is kept."""
+    return predictions.select("file", F.sha2(F.concat_ws("|", F.sha2("content", 256), F.to_json(settings)), 256).alias("key"))
+
+
+def write_eval_rows(rows: DataFrame, path: str) -> None:
+    """Evaluation rows as JSON lines, without the sample; nested selections become JSON strings."""
+    flat = rows.drop("sample")
+    nested = [f.name for f in flat.schema.fields if "selection" in f.name and f.dataType.typeName() in ("array", "struct")]
+    write_jsonl(flat.withColumns({c: F.to_json(c) for c in nested}), path, compress=False)
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of books ``<number>.txt`` as ``(id, text, word_count)``, by id."""
+    from ..functions.text import token_count
+
+    return read_texts(spark, path, r"(\d+)\.txt$").where("id <> ''").select(F.col("id").cast("long").alias("id"), "text", token_count(F.col("text")).alias("word_count")).orderBy("id")
+
+
+def first_rows(rows: DataFrame, order: list[str], n: int, where: Column | None = None) -> DataFrame:
+    """The first ``n`` rows that qualify, in a fixed order."""
+    return (rows if where is None else rows.where(where)).orderBy(*order).limit(n)
+
+
+def random_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows in the order of MD5 of key and seed."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
+def all_sets(sets: dict[str, DataFrame]) -> DataFrame:
+    """All data sets of a split as one, each row with its ``dataset``; missing columns are null."""
+    out = None
+    for name, rows in sets.items():
+        part = rows.withColumn("dataset", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def resolve(name: str, tables: dict[str, str], exists=None) -> tuple[str, str, str]:
+    """``(path, dataset, split)`` of ``dataset/split`` looked up without case, else in ``all/split``; a real path resolves to itself.
+
+    With ``exists``, a test of paths, an unknown name or a missing file is an error.
+    """
     known = {k.lower(): v for k, v in tables.items()}
-    if name.lower() in known:
-        dataset, _, split = name.partition("/")
-        return known[name.lower()], dataset, split
-    return name, "", ""
+    dataset, _, split = name.partition("/")
+    path = known.get(name.lower()) or (known.get(f"all/{split.lower()}") if split and "." not in split else None)
+    found = (path, dataset, split) if path else (name, "", "")
+    if exists is not None and not exists(found[0]):
+        raise FileNotFoundError(found[0])
+    return found
