@@ -9,7 +9,8 @@ conjunction, decides. The base rules of the contract come on top.
 
 A null text has no words, an empty or blank one neither; they fail the base.
 Words are runs outside space and 0x09-0x0D. Rows are judged one by one, so
-repeated rows agree; extra columns are kept or ignored as the caller selects.
+repeated rows agree; extra columns are kept, whatever their names, unless they are
+named like a result.
 On an empty table nothing is estimated and the result is empty.
 """
 
@@ -144,18 +145,25 @@ def posterior(model: LabelModel) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
+#: Names of the columns that judge adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_function_words", "n_lines", "n_dup_lines", "n_repeat_words", *(f"vote_{r}" for r in RULES), "p_good", "base_failed", "kept")
+
+
 def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, save=None) -> DataFrame:
-    """``docs`` without its text, with signals, votes, ``p_good``, ``base_failed`` and ``kept``.
+    """``docs`` without its text and without columns named like ``ADDED``, with signals, votes, ``p_good``, ``base_failed`` and ``kept``.
 
     ``save`` writes the signals once (they are read for the model and for the verdict).
     """
-    seen = signals(docs, text_col)
+    rest = [c for c in docs.columns if c.lower() not in {text_col.lower(), *ADDED}]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.struct(F.col(f"`{c}`").alias("v")).alias(f"c{j}") for j, c in enumerate(rest)]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    seen = signals(packed, "text")
     seen = seen.select("*", *[v.cast("int").alias(f"vote_{r}") for r, v in votes().items()])
     seen = save(seen) if save else seen
     model = label_model(seen)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = seen.withColumn("p_good", posterior(model)).withColumn("base_failed", base)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    return out.select(*[F.col(f"row.c{j}.v").alias(c) for j, c in enumerate(rest)], *ADDED)
 
 
 def keep_good(docs: DataFrame, save, text_col: str = "text", threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
