@@ -132,8 +132,7 @@ def column_counts(profiled: DataFrame) -> np.ndarray:
 def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int, named: bool = True) -> DataFrame:
     """Rows ``(block, columns, ids, sizes)``: the entries of each set's prefix, packed by block.
 
-    A block's columns go by the upper 32 bits of their hashes (whole overlaps are
-    counted later from the texts). Without ``named``, ids and sizes are null.
+    Without ``named``, ids and sizes are null.
     """
 
     def run(batches):
@@ -143,11 +142,11 @@ def prefix_entries(docs: DataFrame, counts, blocks: int, k: int, share: int, nam
             cols, ids, ns = (np.concatenate([h[j] for h in held]) for j in range(3))
             block = (mix(cols ^ U(0x5851F42D4C957F2D)) >> U(33)) % U(blocks)
             at = np.argsort(block, kind="stable")
-            high, ids, ns = (cols[at] >> U(32)).astype(np.uint32), ids[at], ns[at]
+            cols, ids, ns = cols[at], ids[at], ns[at]
             ends = np.cumsum(np.bincount(block.astype(np.int64), minlength=blocks))
             rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([planes(x[lo:hi]) if named or x is high else None for _, lo, hi in rows], pa.binary()) for x in (high, ids, ns)],
+                [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([planes(x[lo:hi]) if named or x is cols else None for _, lo, hi in rows], pa.binary()) for x in (cols, ids, ns)],
                 ["block", "columns", "ids", "sizes"],
             )
 
@@ -175,7 +174,7 @@ def multiply(entries: DataFrame, share: int) -> DataFrame:
 
     def block(table: pa.Table) -> pa.Table:
         read = lambda c, kind: np.concatenate([from_planes(x.as_py(), kind) for x in table.column(c)])
-        cols, ids, ns = read("columns", np.uint32), read("ids", np.int64), read("sizes", np.uint32).astype(np.int64)
+        cols, ids, ns = read("columns", U), read("ids", np.int64), read("sizes", np.uint32).astype(np.int64)
         at = np.lexsort((ids, cols))
         cols, ids, ns = cols[at], ids[at], ns[at]
         fresh = np.ones(len(cols), dtype=bool)
@@ -199,9 +198,9 @@ def demote(counts: np.ndarray, entries: DataFrame) -> tuple[np.ndarray, int]:
     """The counts with crowded columns (in ``CROWD`` prefixes or more) placed after all others, and how many cells they fill."""
 
     def block(table: pa.Table) -> pa.Table:
-        cols, n = np.unique(np.concatenate([from_planes(x.as_py(), np.uint32) for x in table.column("columns")]), return_counts=True)
+        cols, n = np.unique(np.concatenate([from_planes(x.as_py(), U) for x in table.column("columns")]), return_counts=True)
         cols, n = cols[n >= CROWD], n[n >= CROWD]
-        return pa.table({"cell": (cols >> np.uint32(32 - COLUMN_BITS)).astype(np.int32), "n": n.astype(np.int64)})
+        return pa.table({"cell": (cols >> U(64 - COLUMN_BITS)).astype(np.int32), "n": n.astype(np.int64)})
 
     cells = entries.select("block", "columns").groupBy("block").applyInArrow(lambda t: block(t), "cell int, n long").groupBy("cell").agg(F.max("n").alias("n"))
     out, k = np.minimum(counts, (1 << 20) - 1).astype(np.uint32), 0
