@@ -76,6 +76,23 @@ def test_leaks_find_every_contained_item(spark, small):
     assert held <= got
 
 
+def test_leaks_of_repeated_rows(spark):
+    """Rows that repeat an id have their own matches, and so have items; one item in several places gives one match."""
+    item = " ".join(f"b{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, f"x {item}"), (1, f"x y {item} {item}"), (1, "clean words"), (1, f"x {item}"), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, "other " + item)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], r["n_equal"], r["doc_start"]) for r in find_leaks(docs, items).collect())
+    assert got == Counter({(1, 7, 30, 1): 4, (1, 7, 30, 2): 2, (None, 7, 30, 0): 2})
+
+
+def test_leaks_of_one_word_repeated(spark):
+    """A text and an item of one word, over and over, stay within bounded memory."""
+    docs = spark.createDataFrame([(1, "word " * 60_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word " * 40)], "item_id long, text string")
+    (r,) = find_leaks(docs, items).collect()
+    assert (r["n_equal"], r["doc_start"]) == (40, 0)
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body class="page has-sidebar"><header><a href=x>Home</a></header><nav><ul><li><a>One</a></ul></nav>
 <div id=main><div class="cookie-notice">We use cookies to improve things.</div><h1>Big &amp; title</h1><p>First para with <a href=q>a link</a> and text that goes&nbsp;on.
 Second   sentence here.<p>Another paragraph, long enough to be content of its own.<div class="ad-box">Buy now.</div>
@@ -174,6 +191,41 @@ def test_quality(spark, small, edges):
     assert quality.judge(small.where("false").select("doc_id", "text")).count() == 0
 
 
+def test_quality_like_brute_force(spark):
+    """Votes, the model and the verdict against plain Python, on either side of each bound of the votes."""
+    r = random.Random(3)
+    say = lambda n, few: " ".join(r.choice(["the", "of", "and"]) if r.random() < 0.3 and not few else "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 14))) for _ in range(n))
+    texts = [say(r.choice([3, 49, 50, 79, 80, 120]), r.random() < 0.5) + " #" * r.choice([0, 1, 5, 12]) + r.choice(["", "\nsame line here\nsame line here"]) for _ in range(150)]
+    texts += [" ".join(f"r{k % m}" for k in range(90)) for m in (7, 23, 24, 25, 26, 80)]  # so many windows stand twice
+    texts += [t.upper() for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in quality.judge(docs, save=Scratch(spark, "test").save).collect()}
+
+    def votes(t):
+        n, chars, symbols, dup, repeat = base_quality(t)
+        size, lines = chars / max(1, n), len([x for x in t.split("\n") if words(x)])
+        capitals, function = sum(c.isupper() for c in t), sum(w.lower() in quality.FUNCTION_WORDS for w in words(t))
+        tests = [(n < 50, n >= 80), (size < 2.5 or size > 12, 3.5 <= size <= 8), (10 * symbols > n, 100 * symbols <= n), (10 * dup > 3 * lines, dup == 0), (100 * repeat > 30 * n, 100 * repeat <= 15 * n), (10 * capitals > 3 * chars, 10 * capitals <= chars), (100 * function < 2 * n, 100 * function >= 8 * n)]
+        return [0 if bad else 2 if good else 1 for bad, good in tests]
+
+    patterns = Counter(tuple(votes(t)) for t in texts)
+    model = quality.LabelModel(7).fit(sorted((list(p), n) for p, n in patterns.items()))
+    for i, t in enumerate(texts):
+        x, p = got[i], model.posterior(votes(t))
+        assert [1 if x[f"vote_{k}"] is None else 2 * x[f"vote_{k}"] for k in quality.RULES] == votes(t)
+        assert x["n_repeat_words"] == base_quality(t)[4] and x["p_good"] == pytest.approx(p)
+        assert x["kept"] == (p >= 0.5 and not x["base_failed"])
+
+
+def test_quality_keeps_other_columns(spark):
+    rows = [(1, "a b", "own", "w", 1), (1, "a b", "own", "w", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, _w string, row int").withColumn("_text", F.lit("x"))
+    out = quality.judge(docs)
+    assert out.columns == ["doc_id", "_w", "row", "_text", *quality.ADDED]
+    assert Counter((x["doc_id"], x["_w"], x["n_words"]) for x in out.collect()) == Counter({(1, "w", 2): 2, (None, None, 0): 1})
+    assert quality.keep_good(docs, Scratch(spark, "test").save).columns == docs.columns
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -278,6 +330,18 @@ def test_language(spark, small, edges):
     assert {r["lang_pred"] for r in none} == {"und"} and len(none) == len(EDGES)
 
 
+def test_language_of_odd_rows(spark, small):
+    """Null and repeated ids, clashing columns, and texts that repeat."""
+    docs = small.where("doc_id < 60").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(None, "The end of the story", "en"), (None, "The end of the story", None), (7, None, "de"), (7, "?!", None)], "doc_id long, text string, lang string")
+    docs = docs.unionByName(odd).withColumn("_text", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("score", F.lit("x"))
+    out = identify(docs, F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    assert out.columns == ["doc_id", "_text", "c0", "lang_pred", "score", "rejected"]
+    rows = out.where("doc_id is null").collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0]["lang_pred"] == "en"
+    assert sum(r["lang_pred"] == "und" for r in out.where("doc_id = 7").collect()) == 2
+
+
 def test_sharding(spark, small, edges):
     limit = 65536
     got = {r["doc_id"]: r for r in shard(small, limit, bits=3).collect()}
@@ -352,6 +416,28 @@ def test_packing(spark, small, edges):
     assert packing.pack(packing.token_lengths(edges.where("false"))).count() == 0
 
 
+def test_packing_of_odd_rows(spark):
+    """Repeated and null ids and ties have slots of their own."""
+    rows = [(1, "a b c")] * 7 + [(None, "a b")] * 5 + [(2, None), (2, ""), (3, "a " * 500)]
+    got = packing.pack(packing.token_lengths(spark.createDataFrame(rows, "doc_id long, text string")), buckets=2, budget=9).collect()
+    assert len(got) == len(rows) == len({(r["bucket"], r["batch"], r["slot"]) for r in got})
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(words(t))) for i, t in rows)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_tables(spark, small, stage):
+    """Each stage: nulls, blanks, repeated rows and an empty table."""
+    name, run = corpus_pipeline.STAGES[stage]
+    good = small.where("length(text) > 600").orderBy("doc_id").limit(6)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900, "", "en", None, 0), (901, " \n", None, "s", 2), (902, None, None, None, None)], small.schema)
+    docs = good.unionByName(good).unionByName(odd).unionByName(odd)
+    out = run(spark, Scratch(spark, "test").save(docs), SMALL)
+    assert out.count() <= docs.count()
+    if name != "packing":
+        assert out.columns == small.columns
+    assert run(spark, Scratch(spark, "test").save(docs.where("false")), SMALL).count() == 0
+
+
 def test_pipeline(spark, small):
     from .test_dedup import brute_components, brute_lines
 
