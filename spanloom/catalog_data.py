@@ -347,11 +347,14 @@ def consolidated_ratings(spark, d):
     return out.select("l_returnflag", "n", *[F.round(c, 9).alias(c) for c in ("mean", "sd", "var")])
 
 
-@query("""SELECT t.r_name AS topic, n_name AS sample_id, n_name || '!' AS instruction FROM nation JOIN region t ON starts_with(n_name, left(t.r_name, 1))""")
+@query("""SELECT r_name AS topic, r_name || '/' || n_name AS sample_id, n_name || '!' AS instruction FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def matching_samples(spark, d):
-    nations = table(spark, d, "nation").select(F.col("n_name").alias("sample_id"), F.concat("n_name", F.lit("!")).alias("instruction"))
-    topics = table(spark, d, "region").select(F.col("r_name").alias("name"), F.left("r_name", F.lit(1)).alias("topic")).join(nations.select("instruction"))
-    return reports.matching_samples(topics, nations).select(F.col("name").alias("topic"), "sample_id", "instruction")
+    """Every topic asks every instruction; one sample of each instruction has the topic's id."""
+    regions = table(spark, d, "region").select("r_regionkey", "r_name")
+    nations = table(spark, d, "nation").join(regions, F.col("r_regionkey") == F.col("n_regionkey"))
+    held = nations.select(F.concat("r_name", F.lit("/"), "n_name").alias("sample_id"), F.concat("n_name", F.lit("!")).alias("instruction"))
+    topics = regions.select(F.col("r_name").alias("topic")).join(held.select("instruction"))
+    return reports.matching_samples(topics, held).select("topic", "sample_id", "instruction")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND source = 'src1' ORDER BY doc_id LIMIT 30")

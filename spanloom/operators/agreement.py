@@ -15,13 +15,15 @@ def pair_scores(ids: DataFrame, raters: DataFrame, with_self: bool = False, orde
     included; ``ids(sample_id, rater, doc_id, tok)`` is distinct. Pairs are a < b
     unless ``ordered``; ``with_self`` adds (a, a).
     """
-    sizes = raters.join(ids.groupBy("sample_id", "rater").agg(F.count("*").alias("n")), ["sample_id", "rater"], "left").fillna(0, ["n"])
     keep = ((F.col("a") != F.col("b")) if ordered else (F.col("a") < F.col("b"))) | ((F.col("a") == F.col("b")) if with_self else F.lit(False))
-    left, right = sizes.toDF("sample_id", "a", "n_a"), sizes.toDF("sample_id", "b", "n_b")
-    pairs = left.join(right, "sample_id").where(keep)
-    x, y = ids.withColumnRenamed("rater", "a"), ids.withColumnRenamed("rater", "b")
-    hits = x.join(y, ["sample_id", "doc_id", "tok"]).where(keep).groupBy("sample_id", "a", "b").agg(F.count("*").alias("overlap"))
-    scored = pairs.join(hits, ["sample_id", "a", "b"], "left").fillna(0, ["overlap"])
+    pairs = raters.select("sample_id", F.col("rater").alias("a")).join(raters.select("sample_id", F.col("rater").alias("b")), "sample_id").where(keep)
+    # Who chose a token is one row; its pairs of raters, each with itself too, give all overlaps and sizes at once.
+    who = ids.groupBy("sample_id", "doc_id", "tok").agg(F.collect_set("rater").alias("_who"))
+    met = who.select("sample_id", F.explode("_who").alias("a"), "_who").select("sample_id", "a", F.explode("_who").alias("b"))
+    counts = met.groupBy("sample_id", "a", "b").agg(F.count("*").alias("n"))
+    tables = counts.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), "n"))).alias("_n"))
+    of = lambda x, y: F.coalesce(F.try_element_at("_n", F.struct(F.col(x).alias("a"), F.col(y).alias("b"))), F.lit(0).cast("long"))
+    scored = pairs.join(tables, "sample_id", "left").select("sample_id", "a", "b", of("a", "b").alias("overlap"), of("a", "a").alias("n_a"), of("b", "b").alias("n_b"))
     return scored.withColumn("f1", prf(F.col("overlap"), F.col("n_a"), F.col("n_b"))["f1"])
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def prf(overlap: Column, n_ref: Column, n_pred: Column) -> dict[str, Column]:
@@ -31,10 +32,15 @@ def score_groups(ref_ids: DataFrame, pred_ids: DataFrame, groups: DataFrame) ->
     ``groups(sample_id, group_ord)`` lists the references (empty ones included);
     token ids are ``(sample_id, group_ord, doc_id, tok)`` and ``(sample_id, doc_id, tok)``.
     """
-    n_ref = ref_ids.groupBy("sample_id", "group_ord").agg(F.count("*").alias("n_ref"))
-    n_pred = pred_ids.groupBy("sample_id").agg(F.count("*").alias("n_pred"))
-    hit = ref_ids.join(pred_ids, ["sample_id", "doc_id", "tok"], "left_semi").groupBy("sample_id", "group_ord").agg(F.count("*").alias("overlap"))
-    sized = groups.join(n_ref, ["sample_id", "group_ord"], "left").join(n_pred, "sample_id", "left").join(hit, ["sample_id", "group_ord"], "left").fillna(0, ["n_ref", "n_pred", "overlap"])
+    # Each side is read once: a window over a token's marks tells whether it is predicted, counts per sample carry the rest.
+    marks = ref_ids.select("sample_id", "doc_id", "tok", "group_ord", F.lit(0).alias("_p")).unionByName(pred_ids.select("sample_id", "doc_id", "tok", F.lit(None).cast(groups.schema["group_ord"].dataType).alias("group_ord"), F.lit(1).alias("_p")))
+    seen = marks.withColumn("_hit", F.max("_p").over(Window.partitionBy("sample_id", "doc_id", "tok")))
+    counts = seen.groupBy("sample_id", "group_ord").agg(F.count("*").alias("n"), F.sum("_hit").alias("o"))
+    each = F.when(F.col("group_ord").isNotNull(), F.struct("group_ord", "n", "o"))
+    totals = counts.groupBy("sample_id").agg(F.max(F.when(F.col("group_ord").isNull(), F.col("n"))).alias("n_pred"), F.collect_list(each).alias("_g"))
+    mine = F.get(F.filter("_g", lambda g: g["group_ord"] == F.col("group_ord")), F.lit(0))
+    sized = groups.join(totals, "sample_id", "left").withColumn("_m", mine)
+    sized = sized.select(*groups.columns, F.col("_m.n").alias("n_ref"), "n_pred", F.col("_m.o").alias("overlap")).fillna(0, ["n_ref", "n_pred", "overlap"])
     return sized.select("*", *[c.alias(k) for k, c in prf(F.col("overlap"), F.col("n_ref"), F.col("n_pred")).items()])
 
 

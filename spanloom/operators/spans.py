@@ -22,7 +22,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
     pieces = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("i", "text"))
     so_far = Window.partitionBy("doc_id").orderBy("i")
-    placed = pieces.withColumn("end_pos", F.sum(F.length("text")).over(so_far).cast("int"))
+    placed = pieces.withColumn("end_pos", F.sum(F.length("text")).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
     solid = placed.where(~F.col("text").rlike(r"^[\s\p{Z}]"))
     return solid.select("doc_id", (F.row_number().over(so_far) - 1).alias("tok"), "text", (F.col("end_pos") - F.length("text")).alias("start_pos"), "end_pos")
 
@@ -35,18 +35,22 @@ def covered_tokens(spans: DataFrame, tokens: DataFrame, keys: list[str]) -> Data
     the first that ends no earlier; both numbers are running counts over tokens and
     span ends in order of position, so no token is compared with every span.
     """
-    real = spans.where("start_pos >= 0").select(F.struct(*keys, F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e")).alias("_span"), "doc_id", "start_pos", "end_pos").distinct()
+    span = F.struct(*keys, F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"))
+    real = spans.where("start_pos >= 0").select("doc_id", span.alias("_span")).distinct()
     none = F.lit(None).cast(real.schema["_span"].dataType).alias("_span")
 
-    def event(rows: DataFrame, at: str, kind: int, span: Column) -> DataFrame:
-        return rows.select("doc_id", F.col(at).alias("_at"), F.lit(kind).alias("_kind"), span)
+    def event(rows: DataFrame, at: Column, kind: int, span: Column, end: Column) -> DataFrame:
+        return rows.select("doc_id", at.cast("long").alias("_at"), F.lit(kind).alias("_kind"), span, end.cast("long").alias("_end"))
 
-    # In order at one place: ends of spans, starts of tokens, ends of tokens, starts of spans.
-    events = event(real, "end_pos", 0, F.col("_span")).unionByName(event(tokens, "start_pos", 1, none)).unionByName(event(tokens, "end_pos", 2, none)).unionByName(event(real, "start_pos", 3, F.col("_span")))
+    # In order at one place: ends of spans, tokens by their start, starts of spans.
+    no_end = F.lit(None).cast("long")
+    events = event(tokens, F.col("start_pos"), 1, none, F.col("end_pos")).unionByName(event(real, F.col("_span._e"), 0, F.col("_span"), no_end)).unionByName(event(real, F.col("_span._s"), 2, F.col("_span"), no_end))
     whole = Window.partitionBy("doc_id").orderBy("_at", "_kind")
     so_far = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = events.select("doc_id", "_kind", "_span", F.count_if(F.col("_kind") == 1).over(so_far).alias("_begun"), F.count_if(F.col("_kind") == 2).over(so_far).alias("_over"), F.count_if(F.col("_kind") == 1).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
-    edges = counted.where("_span is not null").groupBy("doc_id", "_span").agg(F.max(F.when(F.col("_kind") == 3, F.greatest(F.lit(0), F.col("_begun") - 1))).alias("_lo"), F.max(F.when(F.col("_kind") == 0, F.least(F.col("_n") - 1, F.col("_over")))).alias("_hi"))
+    counted = events.select("doc_id", "_at", "_kind", "_span", F.count("_end").over(so_far).alias("_begun"), F.max("_end").over(so_far).alias("_last"), F.count("_end").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    ended = F.col("_begun") - F.when(F.col("_last") >= F.col("_at"), 1).otherwise(0)
+    lo, hi = F.when(F.col("_kind") == 2, F.greatest(F.lit(0), F.col("_begun") - 1)), F.when(F.col("_kind") == 0, F.least(F.col("_n") - 1, ended))
+    edges = counted.where("_kind <> 1").groupBy("doc_id", "_span").agg(F.max(lo).alias("_lo"), F.max(hi).alias("_hi"))
     hit = edges.where("_lo <= _hi").select(*[F.col("_span").getField(k).alias(k) for k in keys], "doc_id", F.explode(F.sequence("_lo", "_hi")).alias("tok"))
     return hit.select(*keys, "doc_id", F.col("tok").cast("int").alias("tok")).distinct()
 
@@ -58,9 +62,21 @@ def islands(rows: DataFrame, keys: list[str], position: str, lo: Column, hi: Col
 
 
 def tokens_to_spans(ids: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans over consecutive token ids."""
-    placed = ids.join(tokens.select("doc_id", "tok", "start_pos", "end_pos"), ["doc_id", "tok"])
-    return islands(placed, [*keys, "doc_id"], "tok", F.col("start_pos"), F.col("end_pos"))
+    """Spans over consecutive token ids.
+
+    The ends of each run meet their tokens in a window over both, so tokens dealt by document are not shuffled again.
+    """
+    order = Window.partitionBy(*keys, "doc_id").orderBy("tok")
+    runs = ids.withColumn("_g", F.col("tok") - F.row_number().over(order)).groupBy(*keys, "doc_id", "_g").agg(F.min("tok").alias("_lo"), F.max("tok").alias("_hi"))
+    run = F.struct(*keys, "_g").alias("_run")
+    ends = runs.select("doc_id", F.explode(F.array("_lo", "_hi")).alias("tok"), run)
+    none = F.lit(None).cast(ends.schema["_run"].dataType).alias("_run")
+    no_place = [F.lit(None).cast("int").alias(c) for c in ("start_pos", "end_pos")]
+    rows = tokens.select("doc_id", F.col("tok").cast("int").alias("tok"), none, "start_pos", "end_pos").unionByName(ends.select("doc_id", F.col("tok").cast("int").alias("tok"), "_run", *no_place))
+    here = Window.partitionBy("doc_id", "tok")
+    placed = rows.select("doc_id", "_run", F.max("start_pos").over(here).alias("_s"), F.max("end_pos").over(here).alias("_e")).where("_run is not null")
+    out = placed.groupBy("doc_id", "_run").agg(F.min("_s").alias("start_pos"), F.max("_e").alias("end_pos"))
+    return out.select(*[F.col("_run").getField(k).alias(k) for k in keys], "doc_id", "start_pos", "end_pos")
 
 
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
