@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -11,20 +12,29 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's ``spark.checkpoint.dir`` or the context's checkpoint folder; one of our own only on a local master (tests)."""
+    context = spark.sparkContext
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spanloom-")
     return _LOCAL[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose DataFrames are gone; otherwise they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Writes intermediate tables as Parquet under one folder and rereads them.
 
-    A reread table depends on files alone, so a lost executor costs only the
+    Each ``save`` first releases the shuffles of the steps before. A reread table depends on files alone, so a lost executor costs only the
     tasks that ran there. ``drop`` removes tables no later step needs; those a
     returned DataFrame still reads stay until the application's folder goes.
     """
@@ -35,6 +45,7 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
+        release(self.spark)
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{label}"
         schema = df.schema

@@ -1,9 +1,11 @@
 """Line, near-copy and substring dedup against brute force."""
 
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spanloom.llm.line_dedup import drop_similar_lines
 from spanloom.llm.ngram_join import ngram_jaccard_components
@@ -37,17 +39,23 @@ def brute_components(rows):
 
 
 def brute_repeats(rows, size=13):
-    ws, first = {i: words(t) for i, t in rows}, {}
-    for i in sorted(ws):
-        for j in range(len(ws[i]) - size + 1):
-            first.setdefault(tuple(ws[i][j : j + size]), i)
-    out = {}
-    for i, w in ws.items():
+    out = brute_repeat_rows(rows, size)
+    return {i: r for (i, _), r in zip(rows, out, strict=True)}
+
+
+def brute_repeat_rows(rows, size=13):
+    first, out = {}, []
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w = words(t)
+        for j in range(len(w) - size + 1):
+            first.setdefault(tuple(w[j : j + size]), i)
+    for i, t in rows:
+        w = words(t)
         keep = [True] * len(w)
         for j in range(len(w) - size + 1):
             if first[tuple(w[j : j + size])] < i:
                 keep[j : j + size] = [False] * size
-        out[i] = (len(w), keep.count(False), " ".join(x for x, k in zip(w, keep, strict=True) if k))
+        out.append((len(w), keep.count(False), " ".join(x for x, k in zip(w, keep, strict=True) if k)))
     return out
 
 
@@ -110,6 +118,18 @@ def test_repeats(spark, small, edges):
         assert got == brute_repeats(rows_of(df))
 
 
+def test_repeats_of_one_id(spark):
+    """Rows that repeat an id with other texts keep their own places."""
+    w = " ".join(f"w{k}" for k in range(20))
+    r = random.Random(8)
+    rows = [(1, w), (2, "q " * 30 + w), (2, w), (2, w), (2, None), (3, w + " z"), (1, "a " + w)]
+    rows += [(r.randrange(12), " ".join(f"v{r.randrange(3)}" for _ in range(r.randrange(60)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in drop_repeats(df).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute_repeat_rows(rows), strict=True))
+    assert got[2, 50, 20, " ".join(["q"] * 30)] == 1
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcdefghijkl"), max_size=40), min_size=2, max_size=12), st.integers(0, 5))
 def test_repeats_property(spark, texts, cut):
@@ -160,3 +180,37 @@ def test_lines_near_the_bound(spark):
         rows.append((i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {x["doc_id"]: x["text"] for x in drop_similar_lines(df).select("doc_id", "text").collect()} == brute_lines(rows)
+
+
+def test_lines_in_many_tiles(spark, monkeypatch):
+    """Large groups, frequent keys and tiles of few lines: nothing is lost where blocks, flushes and tiles meet."""
+    from spanloom.llm import line_dedup
+
+    for name, value in (("SMALL", 2), ("FREQUENT", 3), ("TILE_LATER", 3), ("TILE_EARLIER", 4)):
+        monkeypatch.setattr(line_dedup, name, value)
+    r, rows = random.Random(12), []
+    passage = [f"p{k}" for k in range(12)]
+    base = [f"b{k}" for k in range(20)]
+    for i in range(90):
+        kind = i % 3
+        w = list(base if kind == 0 else passage)
+        if kind == 0:  # near copies, some of them nearer to each other than to the first
+            for _ in range(r.choice([1, 3, 5])):
+                w[r.randrange(20)] = f"e{r.randrange(12)}"
+        else:  # a passage among words of one's own
+            w = [f"o{r.randrange(40)}" for _ in range(r.choice([2, 3, 4, 9]))] + w
+        rows.append((i, " ".join(w) + "\n" + " ".join(f"x{r.randrange(9)}" for _ in range(r.choice([14, 15, 16, 17, 18])))))
+    rows.append((95, rows[0][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["text"] for x in drop_similar_lines(df).select("doc_id", "text").collect()} == brute_lines(rows)
+
+
+def test_lines_keep_other_columns(spark):
+    """Clashing names, nulls and repeated rows; extra columns stay with their rows."""
+    line = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, line, "a", 1), (1, line, "b", 2), (2, line, None, 3), (None, line, "n", 4), (3, None, "z", 5), (3, None, "z", 5), (4, "", "e", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rest string, n_lines int").withColumn("x", F.lit(0)).withColumn("stays", F.lit("s"))
+    out = drop_similar_lines(df)
+    assert out.columns == ["doc_id", "text", "rest", "x", "stays", "n_lines", "n_removed"]
+    got = Counter((r["doc_id"], r["text"], r["rest"], r["n_removed"]) for r in out.collect())
+    assert got == Counter({(1, line, "a", 0): 1, (1, line, "b", 0): 1, (2, "", None, 1): 1, (None, line, "n", 0): 1, (3, None, "z", 0): 2, (4, "", "e", 0): 1})
