@@ -7,10 +7,11 @@ substrings get equal names in every document without any exchange. Only the
 symbols at the two ends of a repeat depend on what stands around it.
 
 1. All documents send their second-round symbols to blocks dealt by name; a
-   block replies to the documents which of their symbols other documents share.
+   block replies to the documents which of their symbols no other document shares
+   (most are shared, so this is the shorter list).
 2. Documents send the fingerprints of those windows of ``size`` words all of whose
-   own symbols are shared; a block replies which of them also start in a document
-   with a smaller id. This verifies the repeat.
+   own symbols are shared, by names of 80 bits; a block replies which of them also start
+   in a document with a smaller id. This verifies the repeat.
 3. Documents drop the covered words.
 
 A symbol is a window's own if the window alone decides it. The first and the
@@ -25,8 +26,9 @@ Positions travel packed by (block, batch of documents), so a row of the shuffle
 holds thousands of them; a document's replies are at most its own length.
 
 Null, empty and blank texts have no words. Rows with a null id take part in
-nothing and keep all words. Rows that repeat a ``doc_id`` with the same text
-are treated alike. Columns other than id and text are ignored.
+nothing and keep all words. Rows that repeat a ``doc_id`` are one document with
+several texts: each row loses what stands under a smaller id, and equal rows are
+treated alike. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +37,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, Words, from_planes, grams, mix, pieces, planes
-from .scratch import parallelism
+from .scratch import Scratch, parallelism
 
 
 def _first_of_doc(first: np.ndarray, n: int) -> np.ndarray:
@@ -86,66 +89,124 @@ def parse(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, at, run
 
 
+#: Entries of one key in one flush that make it frequent there.
+FREQUENT = 32
+
+
 class Packer:
-    """Collects (key, document, position) and packs them into rows by block."""
+    """Collects (key, row, position) and packs them into rows by block.
+
+    A key that is frequent in a flush and stands in several of its documents answers
+    itself. For ``shared`` the block gets one entry of its smallest id and one of its
+    greatest; else the entries of the smallest id, and the others travel as told, dealt
+    at random. So a key that stands in every document costs a block a bounded number of
+    entries a flush.
+    """
 
-    def __init__(self, blocks: int, kind: type, most: int = 1 << 21):
-        self.blocks, self.kind, self.most = blocks, kind, most
+    def __init__(self, blocks: int, shared: bool, most: int = 1 << 19):
+        self.blocks, self.shared, self.most = blocks, shared, most
         self.held: list[tuple] = []
-        self.size = 0
+        self.rows: list[tuple] = []
+        self.size = self.flushes = self.n_rows = 0
 
-    def add(self, keys: np.ndarray, docs: np.ndarray, positions: np.ndarray) -> None:
-        if len(keys):
-            self.held.append((keys, docs, positions.astype(np.uint32)))
-            self.size += len(keys)
+    def add(self, keys: tuple[np.ndarray, ...], ids: np.ndarray, tags: np.ndarray, rows: np.ndarray, positions: np.ndarray) -> None:
+        """``keys`` are one or two arrays of names; ``rows`` index ``ids`` and ``tags``."""
+        if len(keys[0]):
+            self.held.append((keys[0], keys[-1], rows + self.n_rows, positions.astype(np.uint32)))
+            self.rows.append((ids, tags))
+            self.n_rows += len(ids)
+            self.size += len(keys[0])
 
     def full(self) -> bool:
         return self.size > self.most
 
     def flush(self) -> pa.RecordBatch:
-        keys, docs, positions = (np.concatenate([h[j] for h in self.held]) for j in range(3))
-        self.held, self.size = [], 0
-        block = (keys >> U(40)) % U(self.blocks)
-        at = np.argsort(block, kind="stable")
-        ends = np.cumsum(np.bincount(block.astype(np.int64), minlength=self.blocks)).tolist()
-        keys, docs, positions = keys[at].astype(self.kind), docs[at], positions[at]
+        keys, more, row, positions = (np.concatenate([h[j] for h in self.held]) for j in range(4))
+        ids, tags = (np.concatenate([r[j] for r in self.rows]) for j in (0, 1))
+        self.held, self.rows, self.size, self.n_rows, self.flushes = [], [], 0, 0, self.flushes + 1
+        at = _by_name(keys, more)
+        keys, more, row, positions = keys[at], more[at], row[at], positions[at]
+        docs = ids[row]
+        first, length = _groups(keys, more)
+        least, greatest = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+        several = np.repeat((least != greatest) & (length > FREQUENT), length)
+        if self.shared:
+            told = np.zeros(len(keys), dtype=bool)
+            ask = ~several
+            for ends in (least, greatest):  # one entry of either end
+                which = np.flatnonzero(several & (docs == np.repeat(ends, length)))
+                group = np.repeat(np.arange(len(first)), length)[which]
+                ask[which[np.concatenate([[True], group[1:] != group[:-1]])[: len(which)]]] = True
+        else:
+            told = several & (docs > np.repeat(least, length))
+            ask = ~told
+        block = ((keys >> U(40)) % U(self.blocks)).astype(np.int64)
         rows: list[tuple] = []
+
+        def put(b: int, which: np.ndarray) -> None:
+            mine, place = np.unique(row[which], return_inverse=True)
+            names = planes(keys[which] if not self.shared else keys[which].astype(np.uint32)), planes((more[which] >> U(48)).astype(np.uint16)) if not self.shared else None
+            rows.append((b, *names, planes(ids[mine]), planes(tags[mine]), planes(place.astype(np.uint32)), planes(positions[which])))
+
+        which = np.flatnonzero(ask)
+        which = which[np.argsort(block[which], kind="stable")]
+        ends = np.cumsum(np.bincount(block[which], minlength=self.blocks)).tolist()
         for b, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             if hi > lo:
-                ids, which = np.unique(docs[lo:hi], return_inverse=True)
-                rows.append((b, planes(keys[lo:hi]), planes(ids), planes(which.astype(np.uint32)), planes(positions[lo:hi])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5)], PACKED.split(", "))
+                put(b, which[lo:hi])
+        if told.any():
+            put(self.blocks + (TaskContext.get().partitionId() * 1009 + self.flushes) % (1 << 20), np.flatnonzero(told))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 7)], PACKED.split(", "))
 
 
-PACKED = "block, keys, ids, which, positions"
-PACKED_SCHEMA = "block int, keys binary, ids binary, which binary, positions binary"
+PACKED = "block, keys, more, ids, tags, which, positions"
+PACKED_SCHEMA = "block int, keys binary, more binary, ids binary, tags binary, which binary, positions binary"
 
 
-def reply(packed: DataFrame, kind: type, shared: bool) -> DataFrame:
-    """``(doc_id, hits)`` per document and block: positions whose key other documents have (shared) or a smaller id has."""
+def _by_name(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The order by both names."""
+    at = np.argsort(keys)
+    if more is not keys and np.any((keys[at[1:]] == keys[at[:-1]]) & (more[at[1:]] != more[at[:-1]])):
+        return np.lexsort((more, keys))
+    return at
+
+
+def _groups(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of equal names begins, and its length."""
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])])[: len(keys)])
+    return first, np.diff(np.append(first, len(keys)))
+
+
+def reply(packed: DataFrame, blocks: int, shared: bool) -> DataFrame:
+    """``(doc_id, tag, hits)`` per row name: positions whose key no other document has (shared) or a smaller id has."""
+    kind = np.uint32 if shared else np.uint64
 
     def block(table: pa.Table) -> pa.Table:
-        keys, docs, positions = [], [], []
-        for k, i, w, p in zip(*(table.column(c) for c in ("keys", "ids", "which", "positions")), strict=True):
+        keys, more, docs, tags, positions = [], [], [], [], []
+        for k, m, i, t, w, p in zip(*(table.column(c) for c in ("keys", "more", "ids", "tags", "which", "positions")), strict=True):
+            row = from_planes(w.as_py(), np.uint32)
             keys.append(from_planes(k.as_py(), kind))
-            docs.append(from_planes(i.as_py(), np.int64)[from_planes(w.as_py(), np.uint32)])
+            more.append(keys[-1] if shared else from_planes(m.as_py(), np.uint16))
+            docs.append(from_planes(i.as_py(), np.int64)[row])
+            tags.append(from_planes(t.as_py(), np.int64)[row])
             positions.append(from_planes(p.as_py(), np.uint32))
-        keys, docs, positions = np.concatenate(keys), np.concatenate(docs), np.concatenate(positions)
-        at = np.argsort(keys, kind="stable")
-        keys, docs, positions = keys[at], docs[at], positions[at]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        length = np.diff(np.append(first, len(keys)))
-        least = np.minimum.reduceat(docs, first)
-        told = np.repeat(least != np.maximum.reduceat(docs, first), length) if shared else docs > np.repeat(least, length)
-        docs, positions = docs[told], positions[told]
-        at = np.lexsort((positions, docs))
-        docs, positions = docs[at], positions[at]
-        first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, dtype=np.int64)
+        keys, more, docs, tags, positions = (np.concatenate(x) for x in (keys, more, docs, tags, positions))
+        if table.column("block")[0].as_py() < blocks:
+            at = _by_name(keys, more)
+            keys, more, docs, tags, positions = keys[at], more[at], docs[at], tags[at], positions[at]
+            first, length = _groups(keys, more)
+            least = np.minimum.reduceat(docs, first)
+            told = np.repeat(least == np.maximum.reduceat(docs, first), length) if shared else docs > np.repeat(least, length)
+            docs, tags, positions = docs[told], tags[told], positions[told]
+        at = np.lexsort((positions, tags, docs))
+        docs, tags, positions = docs[at], tags[at], positions[at]
+        first = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])])[: len(docs)])
         ends = np.append(first[1:], len(docs)).tolist()[: len(first)]
-        return pa.table({"doc_id": pa.array(docs[first], pa.int64()), "hits": pa.array([positions[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends, strict=True)], pa.binary())})
+        hits = [positions[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends, strict=True)]
+        return pa.table({"doc_id": pa.array(docs[first], pa.int64()), "tag": pa.array(tags[first], pa.int64()), "hits": pa.array(hits, pa.binary())})
 
-    rows = packed.groupBy("block").applyInArrow(lambda t: block(t), "doc_id long, hits binary")
-    return rows.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
+    rows = packed.groupBy("block").applyInArrow(lambda t: block(t), "doc_id long, tag long, hits binary")
+    return rows.groupBy("doc_id", "tag").agg(F.collect_list("hits").alias("hits"))
 
 
 def _hits(column: pa.Array, words: Words) -> np.ndarray:
@@ -158,34 +219,36 @@ def _hits(column: pa.Array, words: Words) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def _documents(words: Words, ids: pa.Array) -> np.ndarray:
-    return np.repeat(ids.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(words.first))
+def _rows(words: Words, piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and tags of a piece's rows, and the row of each word."""
+    ids, tags = (piece.column(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 2))
+    return ids, tags, np.repeat(np.arange(len(words)), np.diff(words.first))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` per row; kept has the words left, joined by one space."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tag"))
+    scratch = Scratch(spark, "substrings")
     bytes_in = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     blocks = max(32, parallelism(spark), min(-(-bytes_in // block_bytes), 1 << 20))
 
     def symbols(batches):
-        pack = Packer(blocks, np.uint32)
+        pack = Packer(blocks, True)
         for batch in batches:
             for piece in pieces(batch.filter(batch.column(0).is_valid()), "text"):
                 words = Words(piece.column(1))
                 if len(words.hash):
                     names, at, _ = parse(words)
-                    ids = _documents(words, piece.column(0))
-                    start = np.repeat(words.first[:-1], np.diff(words.first))
-                    pack.add(names, ids[at], at - start[at])
+                    ids, tags, row = _rows(words, piece)
+                    pack.add((names,), ids, tags, row[at], at - words.first[row[at]])
                 if pack.full():
                     yield pack.flush()
         if pack.size:
             yield pack.flush()
 
     def windows(batches):
-        pack = Packer(blocks, np.uint64)
+        pack = Packer(blocks, False)
         for batch in batches:
             for piece in pieces(batch.filter(batch.column(0).is_valid()), "text"):
                 words = Words(piece.column(1))
@@ -193,8 +256,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if n < size:
                     continue
                 _, at, run = parse(words)
-                shared = np.zeros(n, dtype=bool)
-                shared[_hits(piece.column(2), words)] = True
+                shared = np.ones(n, dtype=bool)
+                shared[_hits(piece.column(3), words)] = False
                 strange = np.concatenate([[0], np.cumsum(~shared[at])])
                 starts = np.zeros(n + 1, dtype=bool)
                 starts[at] = True
@@ -207,10 +270,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lo, hi = begin[runs[i] + 1], begin[runs[i + size - 1]]  # without the first and the last run
                 first, last = before[lo], before[hi] - ~starts[hi]  # symbols wholly inside
                 out = i[(last - first <= 2) | (strange[np.maximum(last - 1, 0)] <= strange[np.minimum(first + 1, len(at))])]
-                whole = grams(words.hash, size)
-                ids = _documents(words, piece.column(0))
-                start = np.repeat(words.first[:-1], np.diff(words.first))
-                pack.add(whole[out], ids[out], out - start[out])
+                ids, tags, row = _rows(words, piece)
+                names = grams(words.hash, size)[out], grams(mix(words.hash ^ U(0xE7037ED1A0B428DB)), size)[out]
+                pack.add(names, ids, tags, row[out], out - words.first[row[out]])
                 if pack.full():
                     yield pack.flush()
         if pack.size:
@@ -222,7 +284,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = Words(piece.column(1))
                 n = len(words.hash)
                 change = np.zeros(n + size + 1, dtype=np.int64)
-                hits = _hits(piece.column(2), words)
+                hits = _hits(piece.column(3), words)
                 np.add.at(change, hits, 1)
                 np.add.at(change, hits + size, -1)
                 keep = np.cumsum(change[:n]) <= 0
@@ -235,7 +297,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     removed.append(gone)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    first = reply(docs.mapInArrow(symbols, PACKED_SCHEMA), np.uint32, True)
-    second = reply(docs.join(first, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(windows, PACKED_SCHEMA), np.uint64, False)
-    return docs.join(second, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
-
+    told = lambda hits: docs.join(hits, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "hits")
+    first = scratch.save(reply(docs.mapInArrow(symbols, PACKED_SCHEMA), blocks, True), "shared")
+    second = scratch.save(reply(told(first).mapInArrow(windows, PACKED_SCHEMA), blocks, False), "repeats")
+    return told(second).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
