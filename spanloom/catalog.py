@@ -529,18 +529,18 @@ def macro_average(spark, d):
 
 
 @query("""WITH p AS (SELECT lang, doc_id, quality AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)),
-k AS (SELECT lang, b AS draw, ('0x' || substr(md5(lang || ':42:' || b || ':' || pos), 1, 8))::BIGINT % n AS pos FROM p, range(100) t(b)),
+k AS (SELECT lang, b AS draw, ('0x' || substr(md5(lang || ':42:' || b || ':' || pos), 1, 8))::BIGINT % n AS pos FROM p, range(1000) t(b)),
 m AS (SELECT k.lang, draw, sum(v)::DOUBLE / count(*) AS m FROM k JOIN p ON p.lang = k.lang AND p.pos = k.pos GROUP BY ALL), a AS (SELECT draw, avg(m) AS m FROM m GROUP BY draw)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM a""")
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("doc_id").alias("id"), "quality")
-    return stats.bootstrap_macro(rows, "quality", "lang", 100).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
+    return stats.bootstrap_macro(rows, "quality", "lang", 1000).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
 
 
-@query("""WITH p AS (SELECT doc_id AS id, quality - toxic AS d FROM labels), s AS (SELECT b, sum(d * CASE WHEN ('0x' || substr(md5(id || ':42:' || b), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM p, range(100) t(b) GROUP BY b), o AS (SELECT sum(d) AS o FROM p)
-SELECT any_value(o)::BIGINT AS observed, count(*) FILTER (s >= o) AS n_as_large, (1 + count(*) FILTER (s >= o)) / (1 + count(*)) AS p FROM s, o""")
+@query("""WITH p AS (SELECT doc_id AS id, quality - toxic AS d FROM labels), s AS (SELECT b, sum(d * CASE WHEN ('0x' || substr(md5(id || ':42:' || b), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM p, range(1000) t(b) GROUP BY b), o AS (SELECT sum(d) AS o FROM p)
+SELECT any_value(o)::BIGINT AS observed, count(*) FILTER (s >= o) AS n_as_large, CASE WHEN any_value(o) > 0 THEN (1 + count(*) FILTER (s >= o)) / (1 + count(*)) END AS p FROM s, o""")
 def paired_permutation(spark, d):
-    return stats.permutation_test(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic", "quality"), "toxic", "quality", 100)
+    return stats.permutation_test(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic", "quality"), "toxic", "quality", 1000)
 
 
 PAIRED = "SELECT o_orderpriority AS k, (o_orderkey % 7)::INT - 3 AS d FROM orders"

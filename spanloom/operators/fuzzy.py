@@ -3,11 +3,12 @@
 With at most k edits, one of k + 1 pieces of the span's tokens stands unchanged
 in the document. Pieces join the documents' token runs of the same length by
 hash; around each such seed the window that can hold a match is verified by
-dynamic programming, one (span, window) at a time in Arrow batches.
+dynamic programming, thousands of (span, window) pairs at a time in Arrow batches.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,41 @@ def closest(needle: list[str], hay: list[str], most: int) -> tuple[int, int, int
     return (best[0], best[2], best[1]) if best else None
 
 
+def closest_of_each(needles: list[list[str]], hays: list[list[str]], most: list[int], rows: int = 2048) -> list[tuple[int, int, int] | None]:
+    """:func:`closest` for many pairs at once: each step of the table is one array operation over ``rows`` pairs.
+
+    Cost and start are one number, so the lesser of two entries is the lesser number. Pairs go by size, so little is padded.
+    """
+    out: list[tuple[int, int, int] | None] = [None] * len(needles)
+    order = sorted(range(len(needles)), key=lambda r: (len(needles[r]), len(hays[r])))
+    for lo in range(0, len(order), rows):
+        part = order[lo : lo + rows]
+        codes: dict[str, int] = {}
+        m = np.array([len(needles[r]) for r in part])
+        n = np.array([len(hays[r]) for r in part])
+        needle, hay = np.full((len(part), max(1, m.max())), -1), np.full((len(part), max(1, n.max())), -2)
+        for k, r in enumerate(part):
+            needle[k, : m[k]] = [codes.setdefault(w, len(codes)) for w in needles[r]]
+            hay[k, : n[k]] = [codes.setdefault(w, len(codes)) for w in hays[r]]
+        limit, every, far = np.array([most[r] for r in part]), np.arange(len(part)), 1 << 30
+        old = np.tile(np.arange(needle.shape[1] + 1, dtype=np.int64) * far, (len(part), 1))
+        best, end = np.full(len(part), np.iinfo(np.int64).max), np.zeros(len(part), dtype=np.int64)
+        for i in range(hay.shape[1]):
+            new = np.empty_like(old)
+            new[:, 0] = i + 1
+            for j in range(1, old.shape[1]):
+                new[:, j] = np.minimum(old[:, j - 1] + (needle[:, j - 1] != hay[:, i]) * far, np.minimum(old[:, j], new[:, j - 1]) + far)
+            old = new
+            last = new[every, m]
+            # A lower cost wins, then the first end, so a later end needs a lower cost.
+            better = (last // far <= limit) & (last % far <= i) & (i < n) & (last // far < best // far)
+            best, end = np.where(better, last, best), np.where(better, i + 1, end)
+        for k, r in enumerate(part):
+            if end[k]:
+                out[r] = (int(best[k] // far), int(best[k] % far), int(end[k]))
+    return out
+
+
 def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: int = 10, within: list[str] | None = None) -> DataFrame:
     """Best match per span: ``(span_id, doc_id, start_pos, end_pos, content, total_count, best_dist)``.
 
@@ -68,10 +104,9 @@ def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: in
 
     def verify(batches):
         for batch in batches:
-            rows, out = batch.to_pylist(), []
-            for r in rows:
-                found = closest(r["needle"], r["words"], r["k"])
-                out.append((r["starts"][found[1]], r["ends"][found[2] - 1], found[0]) if found else (None, None, None))
+            rows = batch.to_pylist()
+            found = closest_of_each([r["needle"] for r in rows], [r["words"] for r in rows], [r["k"] for r in rows])
+            out = [(r["starts"][f[1]], r["ends"][f[2] - 1], f[0]) if f else (None, None, None) for r, f in zip(rows, found, strict=True)]
             cols = [batch.column(0), batch.column(1)] + [pa.array([o[j] for o in out], pa.int32()) for j in range(3)]
             yield pa.RecordBatch.from_arrays(cols, ["span_id", "doc_id", "start_pos", "end_pos", "best_dist"])
 

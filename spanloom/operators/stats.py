@@ -34,35 +34,47 @@ def bootstrap_macro(results: DataFrame, value: str, group: str, draws: int, seed
 
 
 def permutation_test(paired: DataFrame, a: str, b: str, draws: int, seed: int = 42) -> DataFrame:
-    """One-sided paired test of mean(b) > mean(a): signs flip by hash; p = (1 + draws at least as large) / (1 + draws)."""
+    """One-sided paired test of mean(b) > mean(a): signs flip by hash; p = (1 + draws at least as large) / (1 + draws).
+
+    ``p`` is null unless b is better on the whole.
+    """
     d = paired.select("id", (F.col(b) - F.col(a)).alias("d"))
     observed = d.agg(F.sum("d").alias("obs"))
     flips = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     sign = F.when(F.pmod(hash_int(F.col("id"), F.lit(seed), F.col("draw")), F.lit(2)) == 0, 1).otherwise(-1)
     sums = flips.groupBy("draw").agg(F.sum(F.col("d") * sign).alias("s"))
-    return sums.join(F.broadcast(observed), F.lit(True)).agg(F.first("obs").alias("observed"), F.count_if(F.col("s") >= F.col("obs")).alias("n_as_large"), ((1 + F.count_if(F.col("s") >= F.col("obs"))) / (1 + F.count("*"))).alias("p"))
+    return sums.join(F.broadcast(observed), F.lit(True)).agg(F.first("obs").alias("observed"), F.count_if(F.col("s") >= F.col("obs")).alias("n_as_large"), F.when(F.first("obs") > 0, (1 + F.count_if(F.col("s") >= F.col("obs"))) / (1 + F.count("*"))).alias("p"))
 
 
-def average_rank(value: Column, keys: list[str]) -> Column:
-    """Rank with ties averaged. One group is one window partition: meant for result tables, not corpora."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def average_rank(value: str, keys: list[str], weight: str = "_w") -> Column:
+    """Rank with ties averaged, over rows that stand for ``weight`` rows each: windows hold distinct values, not all rows."""
+    upto = F.sum(weight).over(Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum(weight).over(Window.partitionBy(*keys, value))
+    return upto - same + (same + 1) / 2
 
 
 def wilcoxon(paired: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Signed-rank sums of b - a with zeros ranked and then left out (Pratt), and the normal approximation's z."""
-    d = paired.select(*keys, (F.col(b) - F.col(a)).alias("d")).withColumn("_abs", F.abs("d"))
-    ranked = d.withColumn("r", average_rank(F.col("_abs"), keys))
-    sums = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.count("*").alias("n"), F.count_if(F.col("d") == 0).alias("n_zero"), F.sum(F.when(F.col("d") != 0, F.col("r") * F.col("r"))).alias("_ss"))
+    d = paired.groupBy(*keys, (F.col(b) - F.col(a)).alias("d")).agg(F.count("*").alias("_w")).withColumn("_abs", F.abs("d"))
+    ranked = d.withColumn("r", average_rank("_abs", keys))
+    total = lambda c: F.sum(c * F.col("_w"))
+    sums = ranked.groupBy(*keys).agg(total(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), total(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum("_w").alias("n"), F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("_w"))), F.lit(0)).alias("n_zero"), total(F.when(F.col("d") != 0, F.col("r") * F.col("r"))).alias("_ss"))
     n, z = F.col("n"), F.col("n_zero")
     mean = (n * (n + 1) - z * (z + 1)) / 4
     return sums.withColumn("z", F.when(F.col("_ss") > 0, (F.col("w_plus") - mean) / F.sqrt(F.col("_ss") / 4))).drop("_ss")
 
 
 def correlations(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """Pearson and Spearman correlation per key."""
-    ranked = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranked = ranked.withColumn("rx", average_rank(F.col("x"), keys)).withColumn("ry", average_rank(F.col("y"), keys))
-    return ranked.groupBy(*keys).agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    """Pearson and Spearman correlation per key, from counts of distinct (x, y) values; rows without either value count for nothing."""
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("_w"))
+    ranked = cells.withColumn("rx", average_rank("x", keys)).withColumn("ry", average_rank("y", keys))
+    every = Window.partitionBy(*keys)
+    # Around the means, so that sums of squares stay small.
+    for c in ("x", "y", "rx", "ry"):
+        ranked = ranked.withColumn(c, F.col(c) - F.sum(F.col(c) * F.col("_w")).over(every) / F.sum("_w").over(every))
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("_w"))
+    corr = lambda a, b: F.when((dot(a, a) > 0) & (dot(b, b) > 0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
+    return ranked.groupBy(*keys).agg(corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"))
 
 
 def kendall_tau_b(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:

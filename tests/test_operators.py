@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -71,6 +72,12 @@ def test_fuzzy(spark):
     assert set(default) == {2} and default[2]["best_dist"] == 1  # fewer than 7 tokens may not differ
 
 
+def test_closest_of_each_is_closest():
+    r = random.Random(9)
+    pairs = [([r.choice("abc") for _ in range(r.randint(1, 9))], [r.choice("abc") for _ in range(r.randint(0, 14))], r.randint(0, 4)) for _ in range(400)]
+    assert fuzzy.closest_of_each(*map(list, zip(*pairs, strict=True)), rows=64) == [fuzzy.closest(*p) for p in pairs]
+
+
 def test_repairs():
     assert repair.parse_spans('["a", "b"') == ["a", "b"]
     assert repair.parse_spans('{"a", "b"}') == ["a", "b"]
