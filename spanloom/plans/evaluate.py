@@ -31,18 +31,21 @@ def ground_predictions(parsed: DataFrame, docs: DataFrame, fuzzy: bool = True) -
     """
     each = parsed.select("sample_id", F.posexplode("spans").alias("span_ord", "span")).where("span is not null")
     wanted = each.withColumn("blank", F.length(strip(F.col("span"))) == 0)
-    here = wanted.where(~F.col("blank")).join(docs, "sample_id")
-    hits = None
-    rest = here
+    # Both verbatim modes in one pass; the earlier mode wins, whichever document it hits.
+    forms = docs.select("sample_id", "doc_id", *[form(F.col("text")).alias(mode) for mode, form in MODES.items()])
+    here = wanted.where(~F.col("blank")).join(forms, "sample_id")
+    found = []
     for mode, form in MODES.items():
-        needle, hay = form(F.col("span")), form(F.col("text"))
-        hit = rest.withColumn("at", F.call_function("locate", needle, hay)).where("at > 0")
-        hit = hit.groupBy("sample_id", "span_ord").agg(F.min(F.struct("doc_id", (F.col("at") - 1).alias("start_pos"), (F.col("at") - 1 + F.length(needle)).alias("end_pos"))).alias("m"), F.count("*").alias("total_count"))
-        hit = hit.select("sample_id", "span_ord", "m.doc_id", "m.start_pos", "m.end_pos", F.lit(mode).alias("mode"), "total_count")
-        hits = hit if hits is None else hits.unionByName(hit)
-        rest = rest.join(hit.select("sample_id", "span_ord"), ["sample_id", "span_ord"], "left_anti")
+        needle = form(F.col("span"))
+        at = F.call_function("locate", needle, F.col(mode))
+        place = F.struct("doc_id", (at - 1).alias("start_pos"), (at - 1 + F.length(needle)).alias("end_pos"))
+        found += [F.min(F.when(at > 0, place)).alias(mode), F.count_if(at > 0).alias(f"n_{mode}")]
+    tried = here.groupBy("sample_id", "span_ord", "span").agg(*found)
+    first = F.coalesce(*[F.when(F.col(m).isNotNull(), F.struct(F.col(f"{m}.doc_id"), F.col(f"{m}.start_pos"), F.col(f"{m}.end_pos"), F.lit(m).alias("mode"), F.col(f"n_{m}").alias("total_count"))) for m in MODES]).alias("m")
+    tried = tried.select("sample_id", "span_ord", "span", first)
+    hits = tried.where("m is not null").select("sample_id", "span_ord", "m.doc_id", "m.start_pos", "m.end_pos", "m.mode", "m.total_count")
     if fuzzy:
-        left = rest.select("sample_id", F.struct("sample_id", "span_ord").alias("span_id"), "span").distinct()
+        left = tried.where("m is null").select("sample_id", F.struct("sample_id", "span_ord").alias("span_id"), "span")
         own = docs.select("sample_id", F.struct("sample_id", "doc_id").alias("doc_id"), "text")
         near = fuzzy_match(left, own, within=["sample_id"])
         near = near.select("span_id.sample_id", "span_id.span_ord", "doc_id.doc_id", "start_pos", "end_pos", F.lit("fuzzy_match").alias("mode"), "total_count")
