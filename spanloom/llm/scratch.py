@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -25,16 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps whose DataFrames are gone; otherwise they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's own setting: shuffle files go when their query ends, not when the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """Writes intermediate tables as Parquet under one folder and rereads them.
 
-    Each ``save`` first releases the shuffles of the steps before. A reread table depends on files alone, so a lost executor costs only the
+    The shuffles of a ``save`` go when it ends. A reread table depends on files alone, so a lost executor costs only the
     tasks that ran there. ``drop`` removes tables no later step needs; those a
     returned DataFrame still reads stay until the application's folder goes.
     """
@@ -45,11 +42,15 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
-        release(self.spark)
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{label}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out

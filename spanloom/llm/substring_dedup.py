@@ -300,4 +300,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = lambda hits: docs.join(hits, ["doc_id", "tag"], "left").select("doc_id", "text", "tag", "hits")
     first = scratch.save(reply(docs.mapInArrow(symbols, PACKED_SCHEMA), blocks, True), "shared")
     second = scratch.save(reply(told(first).mapInArrow(windows, PACKED_SCHEMA), blocks, False), "repeats")
+    scratch.drop(first)
     return told(second).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
