@@ -239,10 +239,11 @@ def predict_single_documents(spark, d):
     return out.select(F.col("sample_id").alias("doc_id"), F.size("selections").cast("long").alias("n"), F.size(F.filter("selections", lambda x: x.isNotNull())).cast("long").alias("found"), F.md5(F.array_join("selections", "|", "-")).alias("digest"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], ' ') AS w FROM documents), p AS (SELECT item_id AS prefix_id, string_split(text, ' ')[1:2] AS p FROM benchmark), r AS (SELECT DISTINCT w[i:i + 1] AS run, w[i + 2] AS token FROM w, range(1, 20000) t(i) WHERE i + 2 <= len(w))
+@query("""WITH w AS (SELECT string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents), p AS (SELECT item_id AS prefix_id, string_split(text, ' ')[1:2] AS p FROM benchmark),
+r AS (SELECT DISTINCT w[i:i + 1] AS run, w[i + 2] AS token FROM (SELECT w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM w))
 SELECT prefix_id, token FROM p JOIN r ON r.run = p.p GROUP BY ALL""")
 def next_tokens(spark, d):
-    docs = docs_of(spark, d).select("doc_id", F.split(F.split("text", "\n")[0], " ").alias("tokens"))
+    docs = docs_of(spark, d).select("doc_id", F.split("text", " |\n").alias("tokens"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("prefix_id"), F.slice(F.split("text", " "), 1, 2).alias("prefix"))
     return prompts.next_tokens(docs, asked)
 

@@ -102,5 +102,5 @@ def next_tokens(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
     """
     widths = prefixes.agg(F.collect_set(F.size("prefix")).alias("widths"))
     runs = documents.crossJoin(F.broadcast(widths)).select("tokens", F.explode("widths").alias("w")).where("size(tokens) > w")
-    runs = runs.select(F.explode(F.expr("transform(sequence(0, size(tokens) - w - 1), i -> named_struct('run', slice(tokens, i + 1, w), 'token', tokens[i + w]))")).alias("r")).select("r.run", "r.token").distinct()
+    runs = runs.select(F.explode(F.expr("transform(sequence(0, size(tokens) - w - 1), i -> named_struct('run', slice(tokens, i + 1, w), 'token', tokens[i + w]))")).alias("r")).select("r.run", "r.token")
     return runs.join(prefixes, F.xxhash64("run") == F.xxhash64("prefix")).where("run = prefix").select("prefix_id", "token").distinct()
