@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .decontaminate import find_leaks
 from .html_extract import extract
 from .language import identify
@@ -74,6 +75,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(rows.unionByName(added)), arranged=True)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -85,9 +93,23 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
+    "op13_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+p AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS k,
+  replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') AS escaped FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE WHEN (k = 1 AND role <> 'assistant') OR (before IN ('system', 'assistant') AND role = 'user') OR (before = 'user' AND role = 'assistant') THEN NULL
+  ELSE '''' || role || ''' after ' || coalesce(before, 'start') END AS fault FROM p)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(role) + 2 + length(escaped) + 8)::BIGINT AS formatted_chars,
+  (count(fault) + (last(role ORDER BY k) <> 'assistant')::INT)::BIGINT AS n_faults,
+  coalesce(first(fault ORDER BY k) FILTER (fault IS NOT NULL), CASE WHEN last(role ORDER BY k) <> 'assistant' THEN 'ends after ' || last(role ORDER BY k) END) AS first_fault
+FROM f GROUP BY conv_id""",
     "op7_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
