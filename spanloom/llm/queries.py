@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster, with_inertia
 from .chat import format_conversations, read_back
 from .decontaminate import find_leaks
 from .html_extract import extract
@@ -75,6 +78,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = cluster(table(spark, sf_dir, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    named = F.get(F.array(*map(F.lit, digests)).cast("array<string>"), "cluster")
+    return with_inertia(found).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", named.alias("centroid_sha256"))
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -93,10 +103,30 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op12_centroids": op12_centroids,
     "op13_chat_format": op13_chat_format,
 }
 
+def op12_sql(k: int = 16, rounds: int = 3) -> str:
+    """Rounds of assignment and means, written out; integer arithmetic throughout."""
+    floor_div = "(s - ((s % n) + n) % n) // n"
+    steps = [f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INT AS cluster, x AS c FROM (SELECT x, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM e ORDER BY h, x LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM e, c{r}),
+a{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id, x ORDER BY distance, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""t{r} AS (SELECT cluster, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS v, unnest(range(64)) AS i FROM a{r}) GROUP BY ALL),
+m{r} AS (SELECT cluster, list({floor_div} ORDER BY i) AS c FROM t{r} GROUP BY cluster),
+c{r + 1} AS (SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.cluster = c{r}.cluster)""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, a.cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON f.cluster = a.cluster"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_centroids": op12_sql(),
     "op13_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
 p AS (SELECT *, lag(role) OVER w AS before, row_number() OVER w AS k,
