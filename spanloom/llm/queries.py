@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .centroids import cluster, with_inertia
 from .chat import format_conversations, read_back
 from .decontaminate import find_leaks
+from .divergence import source_divergence
 from .html_extract import extract
 from .language import identify
 from .line_dedup import drop_similar_lines
@@ -78,6 +79,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centroids = cluster(table(spark, sf_dir, "embeddings"))
     digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_source_divergence": op11_source_divergence,
     "op12_centroids": op12_centroids,
     "op13_chat_format": op13_chat_format,
 }
@@ -126,6 +132,22 @@ FROM a{rounds} a JOIN c{rounds} f ON f.cluster = a.cluster"""
 
 
 ORACLE: dict[str, str] = {
+    "op11_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, sum(coalesce(c.n, 0)::HUGEINT) OVER (PARTITION BY g.lang, g.source) AS total, v.v
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + (1000000000 * (n + 5)) // (total + 5 * v) AS p FROM f),
+l AS (SELECT lang, term, 1 + (1000000000 * (sum(n)::HUGEINT + 5)) // (sum(sum(n)) OVER (PARTITION BY lang)::HUGEINT + 5 * any_value(v)) AS q FROM f GROUP BY lang, term),
+x AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS t, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) s ON s.lang = a.lang AND s.s = a.source AND s.t = b.source),
+y AS (SELECT p.lang, p.source, p.term AS item, p.p - l.q AS value FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE n > 0 AND p.p > l.q),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM x UNION ALL SELECT lang, source, 'term', item, value FROM y)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u
+QUALIFY part = 'pair' OR rank <= 50""",
     "op12_centroids": op12_sql(),
     "op13_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
