@@ -349,7 +349,10 @@ def rating_recode_hist(spark, d):
 # ---------------------------------------------------------------- parsing and cleaning
 
 
-ANSWER = r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM documents"""
+#: Articles beside any sign that is no letter or digit; the pattern eats what stands between two of them, so it runs twice.
+_NO_ARTICLE = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}])(?:a|an|the)([^\p{{L}}\p{{N}}]|$)', '\1 \2', 'g')"
+ANSWER_OF = lambda c: f"array_to_string(list_filter(regexp_split_to_array({_NO_ARTICLE.format(_NO_ARTICLE.format(rf"regexp_replace(lower({c}), '[!-/:-@\[-`{{-~]', '', 'g')"))}, '\\s+'), lambda w: w <> ''), ' ')"
+ANSWER = f"SELECT doc_id, {ANSWER_OF('text')} AS answer FROM documents"
 
 
 @query(ANSWER)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import IDS, LINES, docs_of, query, rater_ids, rater_spans, table
+from .catalog import ANSWER_OF, IDS, LINES, docs_of, query, rater_ids, rater_spans, table
 from .functions import repair
 from .functions import text as tx
 from .operators import loaders, prompts, reports
@@ -14,6 +14,9 @@ TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M
 WORDS = lambda c: TOKENS.format(c)
 ENDS = "list_transform(range(1, len({0}) + 1), lambda k: list_sum(list_transform({0}[1:k], lambda x: length(x) + 1))::INT - CASE WHEN k = len({0}) THEN 1 ELSE 0 END)"
 
+#: Overlap of two bags {0} and {1} of words.
+BAG = "coalesce(list_sum(list_transform(list_distinct({0}), lambda u: least(len(list_filter({0}, lambda z: z = u)), len(list_filter({1}, lambda z: z = u))))), 0)::BIGINT"
+
 # ---------------------------------------------------------------- loaders
 
 
@@ -156,13 +159,19 @@ def answer_groups_best(spark, d):
     return _answer_groups(spark, d, "best")
 
 
-@query("""SELECT 's' || c_custkey AS sample_id, i AS ord, CASE WHEN i = 1 THEN true ELSE false END AS differs, CASE i WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END AS f1 FROM customer, (VALUES (0), (1), (2)) v(i)""")
+@query(f"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents),
+e AS (SELECT doc_id, i, l[i + 1] AS a, CASE (i + doc_id) % 4 WHEN 0 THEN ((i + doc_id) % 6)::VARCHAR WHEN 1 THEN l[len(l) - i] WHEN 2 THEN l[i + 1] || ' ' || l[i + 1] ELSE 'The ' || l[i + 1][1:20] END AS b FROM l, LATERAL (SELECT unnest(range(len(l))) AS i)),
+w AS (SELECT doc_id, i, b, list_filter(string_split({ANSWER_OF('a')}, ' '), lambda x: x <> '') AS x, list_filter(string_split({ANSWER_OF('b')}, ' '), lambda x: x <> '') AS y FROM e),
+s AS (SELECT *, {BAG.format('x', 'y')} AS o, len(x) AS n, len(y) AS m FROM w),
+f AS (SELECT *, CASE WHEN n = 0 AND m = 0 THEN 1.0::DOUBLE WHEN o = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * o / (n + m) END AS f, CASE WHEN n = 0 AND m = 0 THEN 1.0::DOUBLE WHEN o = 0 THEN 0.0::DOUBLE ELSE o / n END AS r FROM s)
+SELECT 's' || doc_id AS sample_id, i::INT AS ord, NOT regexp_full_match(b, '[0-5]') AND f < 0.5 AND r < 0.5 AS differs, round(f, 9) AS f1, round(r, 9) AS recall FROM f""")
 def translate_instructions(spark, d):
-    rows = table(spark, d, "customer").select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("sample_id"))
-    given = rows.withColumn("instructions", F.array(F.lit("Select the names."), F.lit("Select dates here"), F.lit("Find all the places now")))
-    back = rows.withColumn("instructions", F.array(F.lit("3"), F.lit("quite other words"), F.lit("find places now!, please all the more")))
-    out = loaders.translate_instructions(given, back)
-    return out.select("sample_id", "ord", "differs", F.round("f1", 1).alias("f1"))
+    """A document's lines against numbers, its lines from the end, each line said twice and beginnings of lines."""
+    lines = docs_of(spark, d).select("doc_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("sample_id"), F.filter(F.split("text", "\n"), lambda x: x != "").alias("instructions"))
+    k = lambda i: (i + F.col("doc_id")) % 4
+    other = lambda x, i: F.when(k(i) == 0, ((i + F.col("doc_id")) % 6).cast("string")).when(k(i) == 1, F.get("instructions", F.size("instructions") - 1 - i)).when(k(i) == 2, F.concat(x, F.lit(" "), x)).otherwise(F.concat(F.lit("The "), F.substr(x, F.lit(1), F.lit(20))))
+    out = loaders.translate_instructions(lines.select("sample_id", "instructions"), lines.select("sample_id", F.transform("instructions", other).alias("instructions")))
+    return out.select("sample_id", "ord", "differs", F.round("f1", 9).alias("f1"), F.round("recall", 9).alias("recall"))
 
 
 @query("""WITH a AS (SELECT doc_id, i FROM documents, (VALUES (0), (1)) v(i)) SELECT 's' || doc_id || '.inst-' || i AS inst_id, 'Negative' AS group_id, 0 AS n FROM a WHERE doc_id % 5 = 0
@@ -331,14 +340,15 @@ def span_scatter_tokens(spark, d):
     return out.select("group_id.doc_id", "group_id.rater", "n_spans", F.round("scatter", 12).alias("scatter"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, role, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn AS a_id, b.turn AS b_id, a.role = b.role AS same, len(list_intersect(a.w, b.w)) AS o, len(a.w) AS n, len(b.w) AS m FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn)
+@query(f"""WITH w AS (SELECT conv_id, turn, role, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS w FROM conversations),
+p AS (SELECT a.conv_id, a.turn AS a_id, b.turn AS b_id, a.role = b.role AS same, {BAG.format('a.w', 'b.w')} AS o, len(a.w) AS n, len(b.w) AS m FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn < b.turn)
 SELECT conv_id AS sample_id, a_id, b_id, CASE WHEN NOT same THEN 0.0::DOUBLE WHEN n = 0 AND m = 0 THEN 1.0::DOUBLE WHEN o = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * o / (n + m) END AS f1 FROM p""")
 def pairwise_similarity(spark, d):
     """Turns of a conversation against each other; the role stands for the document."""
-    words = F.filter(F.split(F.lower("text"), " "), lambda x: x != "")
-    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", F.col("role").alias("doc_id"), words.alias("words"))
-    out = reports.pairwise_similarity(rows.withColumnRenamed("turn", "a_id"), rows.withColumnRenamed("turn", "b_id"))
-    return out.where("a_id < b_id")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("sample_id"), "turn", F.col("role").alias("doc_id"), F.col("text").alias("content"))
+    words = lambda c: F.filter(F.split(F.lower(c), " "), lambda x: x != "")
+    out = reports.pairwise_similarity(rows.withColumnRenamed("turn", "a_id"), rows.withColumnRenamed("turn", "b_id"), tokenizer=words)
+    return out.where("a_id < b_id").withColumnRenamed("score", "f1")
 
 
 @query("""WITH r AS (SELECT l_returnflag, l_linenumber AS v, l_orderkey % 4 = 0 AS neg FROM lineitem), c AS (SELECT l_returnflag, CASE WHEN v IN (1, 2) THEN 1 WHEN v = 3 THEN 2 ELSE 3 END AS g FROM r WHERE NOT neg AND v BETWEEN 1 AND 5) SELECT l_returnflag, count(*) AS n, round(avg(g), 9) AS mean, round(stddev_pop(g), 9) AS sd, round(var_pop(g), 9) AS var FROM c GROUP BY 1""")

@@ -31,9 +31,10 @@ def token_count(text: Column) -> Column:
 
 
 def normalize_answer(c: Column) -> Column:
-    """Lower case without ASCII punctuation, articles and surplus white space."""
+    """Lower case without ASCII punctuation, articles (between signs that are no letter, digit or underscore) and surplus white space."""
     plain = F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", "")
-    return F.array_join(F.filter(F.split(plain, r"(?U)\s+"), lambda w: ~w.isin("", "a", "an", "the")), " ")
+    bare = F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " ")
+    return F.array_join(F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != ""), " ")
 
 
 def remove_preamble(c: Column) -> Column:

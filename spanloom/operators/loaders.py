@@ -244,20 +244,19 @@ def translate_instructions(given: DataFrame, returned: DataFrame) -> DataFrame:
     """Given instructions and those a model returned, by place: ``(sample_id, ord, instruction, model_instruction, f1, recall, differs)``.
 
     ``given(sample_id, instructions)`` and ``returned(sample_id, instructions)`` must have equal lengths (else an error).
-    A returned number 0 to 5 stands for its place; others differ if F1 and recall of their normalized words are under a half.
+    A returned number 0 to 5 stands for its place; others differ if F1 and recall of their normalized words, repeats counted, are under a half.
     """
+    from ..functions.bags import bag_scores, numbered
     from ..functions.text import normalize_answer
 
     both = given.join(returned.withColumnRenamed("instructions", "back"), "sample_id")
     zipped = F.when(F.size("instructions") == F.size("back"), F.arrays_zip(F.col("instructions").alias("a"), F.col("back").alias("b"))).otherwise(F.raise_error(F.lit("instruction lists differ in length")))
     each = both.select("sample_id", F.posexplode(zipped.cast("array<struct<a:string,b:string>>")).alias("ord", "x")).select("sample_id", "ord", F.col("x.a").alias("instruction"), F.col("x.b").alias("model_instruction"))
-    unigrams = lambda c: F.filter(F.array_distinct(F.split(normalize_answer(F.col(c)), " ")), lambda w: w != "")
-    each = each.withColumn("_a", unigrams("instruction")).withColumn("_b", unigrams("model_instruction"))
-    overlap, n, m = F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b")
-    f1 = F.when((n == 0) & (m == 0), 1.0).when(overlap == 0, 0.0).otherwise(2 * overlap / (n + m))
-    recall = F.when((n == 0) & (m == 0), 1.0).when(overlap == 0, 0.0).otherwise(overlap / n)
+    words = lambda c: numbered(F.filter(F.split(normalize_answer(F.col(c)), " "), lambda w: w != ""))
+    each = each.withColumn("_a", words("instruction")).withColumn("_b", words("model_instruction"))
+    scores = bag_scores(F.col("_a"), F.col("_b"))
+    out = each.withColumn("f1", scores["f1"]).withColumn("recall", scores["recall"]).drop("_a", "_b")
     named = F.col("model_instruction").rlike("^[0-5]$")
-    out = each.withColumn("f1", f1).withColumn("recall", recall).drop("_a", "_b")
     return out.withColumn("differs", ~named & (F.col("f1") < 0.5) & (F.col("recall") < 0.5))
 
 

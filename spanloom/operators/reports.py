@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.bags import bag_f1, numbered
 from ..functions.text import token_count
 from .metrics import t_quantile
 
@@ -116,15 +119,17 @@ def sample_statistics(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("compression", F.col("selected_words") / F.col("source_words"))
 
 
-def pairwise_similarity(a: DataFrame, b: DataFrame, by_document: bool = True) -> DataFrame:
-    """Unigram F1 of every pair of ``a(a_id, doc_id, words)`` and ``b(b_id, doc_id, words)`` of a sample (``sample_id``).
+def pairwise_similarity(a: DataFrame, b: DataFrame, by_document: bool = True, tokenizer: Callable[[Column], Column] | None = None, metric: Callable[[Column, Column], Column] = bag_f1) -> DataFrame:
+    """Similarity of every pair of ``a(a_id, doc_id, content)`` and ``b(b_id, doc_id, content)`` of a sample (``sample_id``).
 
-    With ``by_document``, pairs of different documents score 0.
+    ``tokenizer`` makes items of a content (none: it is an array already), ``metric`` a number of two arrays whose items
+    are numbered among their equals. With ``by_document``, pairs of different documents score 0.
     """
-    both = a.select("sample_id", "a_id", F.col("doc_id").alias("a_doc"), F.array_distinct("words").alias("x")).join(b.select("sample_id", "b_id", F.col("doc_id").alias("b_doc"), F.array_distinct("words").alias("y")), "sample_id")
-    o, n, m = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
-    f1 = F.when((n == 0) & (m == 0), 1.0).when(o == 0, 0.0).otherwise(2 * o / (n + m))
-    return both.select("sample_id", "a_id", "b_id", (F.when(F.col("a_doc") != F.col("b_doc"), 0.0).otherwise(f1) if by_document else f1).alias("f1"))
+    items = tokenizer or (lambda c: c)
+    side = lambda rows, k, name: rows.select("sample_id", f"{k}_id", F.col("doc_id").alias(f"{k}_doc"), numbered(items(F.col("content"))).alias(name))
+    both = side(a, "a", "x").join(side(b, "b", "y"), "sample_id")
+    score = metric(F.col("x"), F.col("y"))
+    return both.select("sample_id", "a_id", "b_id", (F.when(F.col("a_doc") != F.col("b_doc"), 0.0).otherwise(score) if by_document else score).alias("score"))
 
 
 def matching_samples(topics: DataFrame, samples: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom import catalog
 from spanloom.functions import repair
 from spanloom.functions import text as tx
-from spanloom.operators import agreement, fuzzy, grounding, metrics, spans
+from spanloom.operators import agreement, fuzzy, grounding, loaders, metrics, reports, spans
 from spanloom.plans.evaluate import evaluate, validate
 from spanloom.sources import files
 from spanloom.streaming.rowwise import parse_stream
@@ -267,7 +267,23 @@ def test_evaluation_grounds_every_line(spark, whole):
 def test_answers_of_all_languages(spark, whole):
     got = {r["doc_id"]: r["answer"] for r in catalog.QUERIES["normalize_answer"](spark, whole).collect()}
     plain = lambda t: re.sub(r"[!-/:-@\[-`{-~]", "", t.lower())
-    assert got == {i: " ".join(w for w in plain(t).split() if w not in ("a", "an", "the")) for i, _, t in WHOLE}
+    assert got == {i: " ".join(re.sub(r"\b(a|an|the)\b", " ", plain(t)).split()) for i, _, t in WHOLE}
+    odd = ["\u201cThe cat\u201d an\u00e9 a\u2014the b", "a a a\u00a0the theme", "the_x the\u0301 a1 \u00e9a"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", tx.normalize_answer(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == {t: " ".join(re.sub(r"\b(a|an|the)\b", " ", plain(t)).split()) for t in odd}
+
+
+def test_bags_count_repeats(spark):
+    a = spark.createDataFrame([("s", 1, 0, ["a", "a", "a", "b"]), ("s", 2, 0, [])], "sample_id string, a_id int, doc_id int, content array<string>")
+    b = spark.createDataFrame([("s", 1, 0, ["a", "c"]), ("s", 2, 0, []), ("s", 3, 1, ["a"])], "sample_id string, b_id int, doc_id int, content array<string>")
+    got = {(r["a_id"], r["b_id"]): r["score"] for r in reports.pairwise_similarity(a, b).collect()}
+    assert got == pytest.approx({(1, 1): 1 / 3, (1, 2): 0.0, (2, 1): 0.0, (2, 2): 1.0, (1, 3): 0.0, (2, 3): 0.0})
+    free = reports.pairwise_similarity(a, b, by_document=False, metric=lambda x, y: F.size(F.array_intersect(x, y)))
+    assert {(r["a_id"], r["b_id"]): r["score"] for r in free.collect()}[1, 3] == 1
+    given = spark.createDataFrame([("s", ["find find find dates now"])], "sample_id string, instructions array<string>")
+    back = spark.createDataFrame([("s", ["find x y z"])], "sample_id string, instructions array<string>")
+    r = loaders.translate_instructions(given, back).first()
+    assert (r["f1"], r["recall"], r["differs"]) == (pytest.approx(2 / 9), pytest.approx(0.2), True)
 
 
 def test_cleaning_keeps_rows_with_quotes_and_stops(spark, whole):
