@@ -531,17 +531,37 @@ def macro_average(spark, d):
     return stats.macro_average(table(spark, d, "events"), "value", "event_type").select(F.round("macro", 6).alias("macro"), "n_groups")
 
 
-@query("""WITH p AS (SELECT lang, doc_id, quality AS v, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id)),
-k AS (SELECT lang, b AS draw, ('0x' || substr(md5(lang || ':42:' || b || ':' || pos), 1, 8))::BIGINT % n AS pos FROM p, range(1000) t(b)),
-m AS (SELECT k.lang, draw, sum(v)::DOUBLE / count(*) AS m FROM k JOIN p ON p.lang = k.lang AND p.pos = k.pos GROUP BY ALL), a AS (SELECT draw, avg(m) AS m FROM m GROUP BY draw)
+#: The chain of integer operations behind random picks, from the number {0} to one below {1}.
+CHAIN = "(({0} * {0} + 1226874159 * {0} + 1343714438) % 2147483647)"
+
+
+def picked(start: str, size: str, rows: str, kept: str) -> str:
+    """``kept`` and ``pick`` of each of ``rows``."""
+    return f"SELECT {kept}, x2 * {size} // 2147483647 AS pick FROM (SELECT *, {CHAIN.format('x1')} AS x2 FROM (SELECT *, {CHAIN.format('x0')} AS x1 FROM (SELECT *, ({start}) % 2147483647 AS x0 FROM {rows})))"
+
+
+def draws_sql(values: str, group: str, draws: int) -> str:
+    """The macro average of each draw from ``values(g, id, v)``, whose groups have one cell each."""
+    return f"""v AS ({values}), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id, v) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, ('0x' || substr(md5({group}), 1, 7))::BIGINT AS code FROM v),
+q AS (SELECT g, code, n, pos AS place, b AS draw FROM p, range({draws}) t(b)),
+k AS ({picked('42 * 48271 + code + draw * 1583458089 + place * 784588716', 'n', 'q', 'g, draw')}),
+m AS (SELECT k.g, draw, sum(v)::DOUBLE / count(*) AS m FROM k JOIN p ON p.g = k.g AND p.pos = k.pick GROUP BY ALL)"""
+
+
+QUALITY = "SELECT lang AS g, doc_id AS id, quality::DOUBLE AS v FROM labels JOIN documents USING (doc_id)"
+
+
+@query(f"""WITH {draws_sql(QUALITY, 'g', 1000)}, a AS (SELECT draw, avg(m) AS m FROM m GROUP BY draw)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM a""")
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("lang", F.col("doc_id").alias("id"), "quality")
     return stats.bootstrap_macro(rows, "quality", "lang", 1000).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "draws")
 
 
-@query("""WITH p AS (SELECT doc_id AS id, quality - toxic AS d FROM labels), s AS (SELECT b, sum(d * CASE WHEN ('0x' || substr(md5(id || ':42:' || b), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM p, range(1000) t(b) GROUP BY b), o AS (SELECT sum(d) AS o FROM p)
-SELECT any_value(o)::BIGINT AS observed, count(*) FILTER (s >= o) AS n_as_large, CASE WHEN any_value(o) > 0 THEN (1 + count(*) FILTER (s >= o)) / (1 + count(*)) END AS p FROM s, o""")
+@query(f"""WITH p AS (SELECT doc_id AS id, (quality - toxic)::DOUBLE AS d, ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT AS code FROM labels),
+q AS (SELECT d, code, b AS draw FROM p, range(1000) t(b)), k AS ({picked('42 * 48271 + code + draw * 1583458089', '2147483647', 'q', 'd, draw')}),
+s AS (SELECT draw, sum(CASE WHEN pick % 2 = 0 THEN d ELSE -d END) AS s FROM k GROUP BY draw), o AS (SELECT sum(d) AS o FROM p)
+SELECT any_value(o) AS observed, count(*) FILTER (s >= o) AS n_as_large, CASE WHEN any_value(o) > 0 THEN (1 + count(*) FILTER (s >= o)) / (1 + count(*)) END AS p FROM s, o""")
 def paired_permutation(spark, d):
     return stats.permutation_test(table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic", "quality"), "toxic", "quality", 1000)
 
@@ -553,7 +573,7 @@ PAIRED = "SELECT o_orderpriority AS k, (o_orderkey % 7)::INT - 3 AS d FROM order
 SELECT k, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, count(*) AS n, count(*) FILTER (d = 0) AS n_zero FROM r GROUP BY k""")
 def wilcoxon_signed_rank(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.lit(3).alias("a"), (F.col("o_orderkey") % 7).cast("int").alias("b"))
-    return stats.wilcoxon(rows, "a", "b", ["k"]).drop("z")
+    return stats.wilcoxon(rows, "a", "b", ["k"]).drop("z", "p")
 
 
 @query("""WITH r AS (SELECT l_returnflag, l_quantity AS x, l_linenumber::DOUBLE AS y, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY l_linenumber) + (count(*) OVER (PARTITION BY l_returnflag, l_linenumber) - 1) / 2.0 AS ry FROM lineitem)
@@ -650,3 +670,4 @@ def replay_missing(spark, d):
 
 
 from . import catalog_data  # noqa: E402, F401  registers its queries here
+from . import catalog_analysis  # noqa: E402, F401

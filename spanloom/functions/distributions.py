@@ -100,3 +100,15 @@ def t_tail(t: Column, dof: Column) -> Column:
     """P(T > t) of Student's distribution."""
     half = lambda u: incomplete_beta(dof / (dof + u * u), dof / 2, F.lit(0.5)) / 2
     return let(t.cast("double"), lambda u: let(half(u), lambda h: F.when(u >= 0, h).otherwise(1 - h)))
+
+
+def t_quantile(p: float, dof: Column) -> Column:
+    """The t with P(T <= t) = p for ``p`` above a half, by Newton's steps from the normal's, which come from below."""
+    q = 1 - p
+
+    def solve(nu: Column) -> Column:
+        scale = log_gamma((nu + 1) / 2) - log_gamma(nu / 2) - F.ln(nu * math.pi) / 2
+        density = lambda t: F.exp(scale - (nu + 1) / 2 * F.log1p(t * t / nu))
+        return F.aggregate(steps(24), normal_quantile(F.lit(p)), lambda t, _: t + (t_tail(t, nu) - q) / density(t))
+
+    return let(dof.cast("double"), solve)

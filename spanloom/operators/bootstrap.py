@@ -116,6 +116,51 @@ def draw_sums(rows: DataFrame, value: str, keys: list[str], id_col: str, draws:
     return ready.mapInArrow(run, f"{kinds}, n long, sums array<double>")
 
 
+def macro_draws(results: DataFrame, value: str, group: str, id_col: str, keys: list[str], draws: int, seed: int) -> DataFrame:
+    """``(*keys, draw, d)``: the macro average over groups in each draw."""
+    by = [*keys, group]
+    sums = draw_sums(results, value, by, id_col, draws, seed).select(*by, "n", F.posexplode("sums").alias("draw", "s"))
+    return sums.groupBy(*by, "n", "draw").agg(F.sum("s").alias("s")).groupBy(*keys, "draw").agg(F.avg(F.col("s") / F.col("n")).alias("d"))
+
+
+def flip_sums(paired: DataFrame, d: str, keys: list[str], id_col: str, draws: int, seed: int) -> DataFrame:
+    """``(*keys, draw, s)``: the sum of ``d`` with each row's sign thrown anew in each draw; vectors of draws are added up in each task."""
+    code = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 7), 16, 10).cast("long")
+    rows = paired.select(*keys, code.alias("_code"), F.col(d).cast("double").alias("_d"))
+    k = len(keys)
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        draw = np.arange(draws)
+
+        def flush():
+            named = [pa.concat_arrays([h[0][c] for h in held.values()]) for c in range(k)]
+            out = pa.RecordBatch.from_arrays([*named, pa.array([h[1] for h in held.values()], pa.list_(pa.float64()))], [*keys, "sums"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(k)), strict=True) if k else [()] * batch.num_rows):
+                groups.setdefault(key, []).append(i)
+            codes, ds = batch.column(k).to_numpy(zero_copy_only=False), batch.column(k + 1).to_numpy(zero_copy_only=False)
+            for key, at in groups.items():
+                if key not in held:
+                    held[key] = [[batch.column(c).slice(at[0], 1) for c in range(k)], np.zeros(draws)]
+                for lo in range(0, len(at), 128):
+                    part = np.array(at[lo : lo + 128])
+                    sign = 1 - 2 * (picks(seed, codes[part][:, None], 0, draw[None, :], 0, PRIME) & 1)
+                    held[key][1] += ds[part] @ sign
+                if len(held) > HELD_GROUPS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    kinds = "".join(f"`{c}` {paired.schema[c].dataType.simpleString()}, " for c in keys)
+    vectors = rows.where("_d is not null").mapInArrow(run, f"{kinds}sums array<double>")
+    return vectors.select(*keys, F.posexplode("sums").alias("draw", "s")).groupBy(*keys, "draw").agg(F.sum("s").alias("s"))
+
+
 def bootstrap_bca(results: DataFrame, value: str, group: str, id_col: str, keys: list[str] | None = None, draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """The macro average over groups and its BCa interval: ``(*keys, macro, low, high, below, acceleration, draws)``.
 
@@ -132,8 +177,7 @@ def bootstrap_bca(results: DataFrame, value: str, group: str, id_col: str, keys:
     per_key = moments.groupBy(*keys).agg(F.avg("m").alias("macro"), F.count("*").alias("k"), spread(3, F.col("g1") * F.pow("m2", F.lit(1.5))).alias("top"), spread(2, F.col("m2")).alias("bot"))
     # The number of groups divides both sums alike and falls out of the ratio.
     per_key = per_key.select(*keys, "macro", F.when(F.col("bot") > 0, F.col("top") / (6 * F.pow("bot", F.lit(1.5)))).otherwise(0.0).alias("acceleration"))
-    sums = draw_sums(results, value, by, id_col, draws, seed).select(*by, "n", F.posexplode("sums").alias("draw", "s"))
-    macro = sums.groupBy(*by, "n", "draw").agg(F.sum("s").alias("s")).groupBy(*keys, "draw").agg(F.avg(F.col("s") / F.col("n")).alias("d"))
+    macro = macro_draws(results, value, group, id_col, keys, draws, seed)
 
     def joined(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.join(b, keys) if keys else a.join(F.broadcast(b), F.lit(True))  # without keys b is one row

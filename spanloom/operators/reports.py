@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bags import bag_f1, numbered
+from ..functions.distributions import t_quantile
 from ..functions.text import token_count
-from .metrics import t_quantile
 
 #: Data sets whose own metric is the token F1, and those with a metric of their own.
 OWN_METRIC = ("AspectNews", "DebateSum", "SciFact", "OpenAsp")
@@ -26,11 +26,7 @@ def percent(c: Column) -> Column:
 def interval(rows: DataFrame, value: str, keys: list[str], confidence: float = 0.9) -> DataFrame:
     """``(*keys, n, mean, half_width)`` of Student's interval; nulls count as 0, a single value has no width."""
     stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.coalesce(value, F.lit(0.0))).alias("mean"), F.stddev_samp(F.coalesce(value, F.lit(0.0))).alias("sd"))
-    sizes = [r[0] for r in stats.select("n").distinct().collect()]  # one number a group size
-    t = F.lit(None).cast("double")
-    for n in sizes:
-        if n > 1:
-            t = F.when(F.col("n") == n, F.lit(t_quantile((1 + confidence) / 2, n - 1))).otherwise(t)
+    t = F.when(F.col("n") > 1, t_quantile((1 + confidence) / 2, F.col("n") - 1))
     return stats.select(*keys, "n", "mean", (F.col("sd") / F.sqrt("n") * t).alias("half_width"))
 
 
@@ -82,6 +78,23 @@ def model_pairs(scores: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return left.join(F.broadcast(wanted), "a").join(right, ["b", "dataset", "sample_id"]).select("a", "b", "dataset", "sample_id", "score_a", "score_b")
 
 
+def paired_tests(scores: DataFrame, pairs: list[tuple[str, str]], draws: int = 1000, confidence: float = 0.9) -> DataFrame:
+    """All tests of all pairs of models on all data sets in one plan: a row ``(a, b, dataset)``.
+
+    Means and half-widths of both, whether a's interval lies above b's (``apart``), the signed-rank test of a > b (``w_plus``,
+    ``z``, ``p_signed_rank``) and the sign-flip test of a > b (``p_permutation``, null unless a is better).
+    """
+    from .stats import permutation_test, wilcoxon
+
+    keys = ["a", "b", "dataset"]
+    paired = model_pairs(scores, pairs).withColumnRenamed("sample_id", "id")
+    sides = [interval(paired, f"score_{x}", keys, confidence).select(*keys, F.col("mean").alias(f"mean_{x}"), F.col("half_width").alias(f"ci_{x}")) for x in "ab"]
+    ranks = wilcoxon(paired, "score_b", "score_a", keys).select(*keys, "n", "w_plus", "z", F.col("p").alias("p_signed_rank"))
+    flips = permutation_test(paired, "score_b", "score_a", draws, keys=keys).select(*keys, F.col("p").alias("p_permutation"))
+    apart = F.col("mean_a") - F.col("ci_a") > F.col("mean_b") + F.col("ci_b")
+    return sides[0].join(sides[1], keys).join(ranks, keys).join(flips, keys).withColumn("apart", apart)
+
+
 def grid(rows: DataFrame, datasets: list[str], values: list[str]) -> DataFrame:
     """A row a model with a block of columns a data set; failed rows (``error`` not null) count as -1."""
     clean = rows.select("model", "dataset", *[F.when(F.col("error").isNotNull(), -1.0).otherwise(F.col(v)).alias(v) for v in values])

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.distributions import normal_tail
+
 
 def hash_int(*parts: Column) -> Column:
     """A 32-bit number from the MD5 of parts joined by colons; the same in any engine with MD5."""
@@ -19,31 +21,27 @@ def macro_average(results: DataFrame, value: str, group: str, keys: list[str] |
 
 
 def bootstrap_macro(results: DataFrame, value: str, group: str, draws: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the macro average over ``draws`` resamples within groups.
+    """Percentile interval of the macro average over ``draws`` resamples within groups; rows have an ``id``."""
+    from .bootstrap import macro_draws
 
-    A draw is a number from 0 to draws - 1 exploded on each row position, and a
-    hash picks the row it stands for; only (draw, group) sums leave the map side.
-    """
-    order = Window.partitionBy(group).orderBy("id")
-    placed = results.select(group, "id", F.col(value).alias("v")).withColumn("pos", F.row_number().over(order) - 1).withColumn("size", F.count("*").over(Window.partitionBy(group)))
-    picks = placed.select(group, "pos", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picks.select(group, "draw", F.pmod(hash_int(F.col(group), F.lit(seed), F.col("draw"), F.col("pos")), F.col("size")).cast("int").alias("pos"))
-    means = picks.groupBy(group, "draw", "pos").count().join(placed.select(group, "pos", "v"), [group, "pos"]).groupBy(group, "draw").agg((F.sum(F.col("v") * F.col("count")) / F.sum("count")).alias("m"))
-    macro = means.groupBy("draw").agg(F.avg("m").alias("m"))
-    return macro.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"), F.count("*").alias("draws"))
+    macro = macro_draws(results, value, group, "id", [], draws, seed)
+    return macro.agg(F.percentile("d", alpha / 2).alias("low"), F.percentile("d", 1 - alpha / 2).alias("high"), F.count("*").alias("draws"))
 
 
-def permutation_test(paired: DataFrame, a: str, b: str, draws: int, seed: int = 42) -> DataFrame:
+def permutation_test(paired: DataFrame, a: str, b: str, draws: int, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
     """One-sided paired test of mean(b) > mean(a): signs flip by hash; p = (1 + draws at least as large) / (1 + draws).
 
-    ``p`` is null unless b is better on the whole.
+    ``p`` is null unless b is better on the whole. Rows have an ``id``; sums that differ by rounding alone are equal.
     """
-    d = paired.select("id", (F.col(b) - F.col(a)).alias("d"))
-    observed = d.agg(F.sum("d").alias("obs"))
-    flips = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    sign = F.when(F.pmod(hash_int(F.col("id"), F.lit(seed), F.col("draw")), F.lit(2)) == 0, 1).otherwise(-1)
-    sums = flips.groupBy("draw").agg(F.sum(F.col("d") * sign).alias("s"))
-    return sums.join(F.broadcast(observed), F.lit(True)).agg(F.first("obs").alias("observed"), F.count_if(F.col("s") >= F.col("obs")).alias("n_as_large"), F.when(F.first("obs") > 0, (1 + F.count_if(F.col("s") >= F.col("obs"))) / (1 + F.count("*"))).alias("p"))
+    from .bootstrap import flip_sums
+
+    keys = keys or []
+    d = paired.select(*keys, "id", (F.col(b) - F.col(a)).cast("double").alias("d"))
+    observed = d.groupBy(*keys).agg(F.sum("d").alias("obs"), F.sum(F.abs("d")).alias("size"))
+    sums = flip_sums(d, "d", keys, "id", draws, seed)
+    both = sums.join(observed, keys) if keys else sums.join(F.broadcast(observed), F.lit(True))  # without keys one row
+    large = F.count_if(F.col("s") >= F.col("obs") - 1e-12 * F.col("size"))
+    return both.groupBy(*keys).agg(F.first("obs").alias("observed"), large.alias("n_as_large"), F.when(F.first("obs") > 0, (1 + large) / (1 + F.count("*"))).alias("p"))
 
 
 def average_rank(value: str, keys: list[str], weight: str = "_w") -> Column:
@@ -54,14 +52,14 @@ def average_rank(value: str, keys: list[str], weight: str = "_w") -> Column:
 
 
 def wilcoxon(paired: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Signed-rank sums of b - a with zeros ranked and then left out (Pratt), and the normal approximation's z."""
+    """Signed-rank sums of b - a with zeros ranked and then left out (Pratt), the normal approximation's z and its p for b > a."""
     d = paired.groupBy(*keys, (F.col(b) - F.col(a)).alias("d")).agg(F.count("*").alias("_w")).withColumn("_abs", F.abs("d"))
     ranked = d.withColumn("r", average_rank("_abs", keys))
     total = lambda c: F.sum(c * F.col("_w"))
     sums = ranked.groupBy(*keys).agg(total(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), total(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum("_w").alias("n"), F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("_w"))), F.lit(0)).alias("n_zero"), total(F.when(F.col("d") != 0, F.col("r") * F.col("r"))).alias("_ss"))
     n, z = F.col("n"), F.col("n_zero")
     mean = (n * (n + 1) - z * (z + 1)) / 4
-    return sums.withColumn("z", F.when(F.col("_ss") > 0, (F.col("w_plus") - mean) / F.sqrt(F.col("_ss") / 4))).drop("_ss")
+    return sums.withColumn("z", F.when(F.col("_ss") > 0, (F.col("w_plus") - mean) / F.sqrt(F.col("_ss") / 4))).withColumn("p", normal_tail(F.col("z"))).drop("_ss")
 
 
 def correlations(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
@@ -95,8 +93,3 @@ def backfill(results: DataFrame, model: str, dataset: str, suffix: str = "-sd",
     known = have.where(F.col(model).endswith(suffix)).select(model).distinct()
     missing = twins.join(known, model, "left_semi").join(have, [model, dataset], "left_anti")
     return results.unionByName(missing.select(*results.columns))
-
-
-def complete_models(results: DataFrame, model: str, dataset: str, datasets: list[str]) -> DataFrame:
-    """Models that have all the datasets."""
-    return results.where(F.col(dataset).isin(datasets)).groupBy(model).agg(F.countDistinct(dataset).alias("n")).where(F.col("n") == len(datasets)).select(model)
