@@ -16,7 +16,7 @@ from .functions import repair
 from .functions import text as tx
 from .operators import agreement, build, fuzzy, grounding, metrics, spans, stats
 from .plans.evaluate import evaluate
-from .sources import files
+from .sources import cards, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -647,7 +647,8 @@ def parse_repair(spark, d):
 
 @query()
 def html_cards(spark, d):
-    return files.html_cards(table(spark, d, "pages"), heading="h1", mark="b")
+    """Headings, paragraphs and bold runs of the given pages."""
+    return cards.cards(table(spark, d, "pages"), heading="h1", mark="b")
 
 
 @query()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import docs_of, draws_sql, query, table
-from .operators import bootstrap, reports
+from .functions import variants
+from .operators import bootstrap, masking, reports, rouge
+from .sources import cards
 
 # ---------------------------------------------------------------- statistics
 
@@ -76,3 +78,104 @@ def paired_scores(spark, d):
 def paired_tests(spark, d):
     """All tests at once; signed ranks have a twin of their own, intervals too, and sign flips in ``paired_permutation``."""
     return paired_scores(spark, d)
+
+# ---------------------------------------------------------------- typed selections
+
+
+def mixed_selections(spark, d):
+    """A document's lines as a selection of eight kinds in turn, as JSON."""
+    lines, k = F.split("text", "\n"), F.col("doc_id") % 8
+    said = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    span = lambda s: F.struct(F.lit(0).alias("doc_id"), F.lit(0).alias("start_pos"), F.length(s).alias("end_pos"), s.alias("content"), F.lit("exact").alias("mode"))
+    json = (
+        F.when(k == 1, "[]").when(k == 2, F.to_json(F.transform(lines, span))).when(k == 3, said(F.concat(F.lit("Selected Content:\n"), F.to_json(lines))))
+        .when(k == 4, said(F.concat(F.lit("no list "), F.regexp_replace("text", r'[\[\]"]', "")))).when(k == 5, F.to_json(lines)).when(k == 6, '{"doc_id":0}').when(k == 7, F.concat(F.lit('["x",'), F.length("text").cast("string"), F.lit("]")))
+    )
+    return docs_of(spark, d).select("doc_id", json.alias("j"))
+
+
+MIXED = r"""l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+j AS (SELECT doc_id, (CASE doc_id % 8 WHEN 1 THEN '[]' WHEN 2 THEN to_json(list_transform(l, lambda s: {'doc_id': 0, 'start_pos': 0, 'end_pos': length(s), 'content': s, 'mode': 'exact'}))::VARCHAR WHEN 3 THEN to_json('Selected Content:' || chr(10) || to_json(l)::VARCHAR)::VARCHAR
+  WHEN 4 THEN to_json('no list ' || regexp_replace(text, '[\[\]"]', '', 'g'))::VARCHAR WHEN 5 THEN to_json(l)::VARCHAR WHEN 6 THEN '{"doc_id":0}' WHEN 7 THEN '["x",' || length(text) || ']' END)::JSON AS j FROM l),
+t AS (SELECT doc_id, j, json_type(j) AS t, CASE WHEN json_type(j) = 'ARRAY' THEN list_transform(range(json_array_length(j)::BIGINT), lambda i: json_type(j -> i)) END AS e, CASE WHEN json_type(j) = 'VARCHAR' THEN replace(j ->> '$', 'Selected Content:' || chr(10), '') END AS s FROM j),
+k AS (SELECT *, CASE WHEN j IS NULL OR t = 'NULL' THEN 'missing' WHEN t = 'ARRAY' AND len(e) = 0 THEN 'empty' WHEN t = 'ARRAY' AND len(list_filter(e, lambda x: x <> 'OBJECT')) = 0 AND json_exists(j, '$[0].content') THEN 'grounded' WHEN t = 'ARRAY' AND len(list_filter(e, lambda x: x <> 'VARCHAR')) = 0 THEN 'parsed'
+  WHEN t = 'VARCHAR' AND json_valid(s) AND json_type(s) = 'ARRAY' THEN 'parsed' ELSE 'unreadable' END AS kind FROM t)"""
+
+
+@query(f"""WITH {MIXED} SELECT doc_id, kind, CASE kind WHEN 'empty' THEN 0 WHEN 'grounded' THEN json_array_length(j) WHEN 'parsed' THEN json_array_length(CASE WHEN t = 'VARCHAR' THEN s::JSON ELSE j END) END::BIGINT AS n,
+CASE WHEN kind = 'parsed' THEN md5(array_to_string(from_json(CASE WHEN t = 'VARCHAR' THEN s::JSON ELSE j END, '["VARCHAR"]'), '|')) WHEN kind = 'grounded' THEN md5(array_to_string(list_transform(range(json_array_length(j)::BIGINT), lambda i: (j -> i) ->> 'content'), '|')) END AS digest,
+CASE WHEN kind = 'grounded' THEN list_sum(list_transform(range(json_array_length(j)::BIGINT), lambda i: ((j -> i) ->> 'end_pos')::BIGINT))::BIGINT END AS ends FROM k""")
+def typed_selections(spark, d):
+    s = mixed_selections(spark, d).select("doc_id", variants.typed_selection(F.col("j")).alias("s"))
+    content = F.array_join(F.transform("s.spans", lambda x: x["content"]), "|")
+    n = F.coalesce(F.when(F.col("s.texts").isNotNull(), F.size("s.texts")), F.when(F.col("s.spans").isNotNull(), F.size("s.spans"))).cast("long")
+    digest = F.when(F.col("s.kind") == "parsed", F.md5(F.array_join("s.texts", "|"))).when(F.col("s.kind") == "grounded", F.md5(content))
+    ends = F.when(F.col("s.kind") == "grounded", F.aggregate("s.spans", F.lit(0).cast("long"), lambda a, x: a + x["end_pos"]))
+    return s.select("doc_id", "s.kind", n.alias("n"), digest.alias("digest"), ends.alias("ends"))
+
+
+# ---------------------------------------------------------------- cards
+
+
+def card_pages(spark, d):
+    """Three lines of a document a card: heading, citation, and a text of which every third word is marked."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split("text", "\n")
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: i % 3 == 0)
+    marked = lambda c: F.array_join(F.transform(F.split(c, " "), lambda w, i: F.when(i % 3 == 1, F.concat(F.lit("<U>"), w, F.lit("</u>"))).otherwise(w)), " ")
+    at = lambda i, k: escaped(F.get(lines, i + k))
+    card = lambda i: F.concat(F.lit("<h4>"), at(i, 0), F.lit("</h4>"), F.coalesce(F.concat(F.lit("<p class=c>"), at(i, 1)), F.lit("")), F.coalesce(F.concat(F.lit("<p>"), marked(at(i, 2)), F.lit("</p>")), F.lit("")))
+    return docs_of(spark, d).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><body>"), F.array_join(F.transform(starts, card), "\n"), F.lit("</body></html>")).alias("html"))
+
+
+SPACED = r"len(regexp_extract_all({0}, '[^\s\p{{Z}}]+'))"
+
+
+@query(rf"""WITH l AS (SELECT doc_id AS page_id, string_split(text, chr(10)) AS l FROM documents),
+c AS (SELECT page_id, (i // 3)::INT AS card, l[i + 1] AS abstract, l[i + 2] AS citation, l[i + 3] AS document, string_split(l[i + 3], ' ') AS w FROM l, LATERAL (SELECT unnest(range(0, len(l), 3)) AS i)),
+e AS (SELECT *, list_filter(w, lambda x, i: i % 3 = 2) AS u, list_filter(range(0, len(w)), lambda i: i % 3 = 1) AS ix FROM c),
+s AS (SELECT *, array_to_string(u, ' ') AS extract, list_sum(list_transform(ix, lambda i: coalesce(list_sum(list_transform(w[1:i], lambda x: length(x) + 1)), 0))) AS starts FROM e),
+n AS (SELECT *, {SPACED.format('document')} AS dw, {SPACED.format('abstract')} AS aw, {SPACED.format('extract')} AS ew FROM s),
+r AS (SELECT *, CASE WHEN dw >= 20 THEN row_number() OVER (PARTITION BY document, dw >= 20 ORDER BY page_id, card) END AS copy FROM n),
+j AS (SELECT *, CASE WHEN citation IS NULL THEN 'no_paragraph' WHEN document IS NULL THEN 'empty' WHEN dw < 20 THEN 'too_short' WHEN copy > 1 THEN 'duplicate' WHEN ew <= 10 OR aw <= 3 THEN 'too_short' WHEN aw >= dw OR ew >= dw THEN 'too_long' ELSE 'valid' END AS status FROM r)
+SELECT page_id, card, status, CASE WHEN status = 'valid' THEN (row_number() OVER (PARTITION BY page_id, status = 'valid' ORDER BY card) - 1)::INT END AS card_id, md5(extract) AS extract, CASE WHEN document IS NOT NULL THEN len(u) END::BIGINT AS n_spans, CASE WHEN len(u) > 0 THEN starts END::BIGINT AS starts FROM j""")
+def debate_cards(spark, d):
+    judged = cards.judge_cards(cards.cards(card_pages(spark, d)))
+    starts = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["start_pos"])
+    return judged.select("page_id", "card", "status", "card_id", F.md5("extract").alias("extract"), F.when(F.col("document").isNotNull(), F.size("spans")).cast("long").alias("n_spans"), F.when(F.size("spans") > 0, starts).alias("starts"))
+
+
+@query("SELECT 'total' AS status, count(*) AS n FROM pages WHERE html LIKE '%<h1>%' UNION ALL SELECT 'no_paragraph', count(*) FROM pages WHERE html LIKE '%<h1>%' AND NOT regexp_matches(split_part(html, '<h1>', 2), '<p[ >]') HAVING count(*) > 0")
+def card_counts_no_paragraph(spark, d):
+    """Headings of the given pages and those without a paragraph after them."""
+    judged = cards.judge_cards(cards.cards(table(spark, d, "pages"), heading="h1", mark="b"))
+    return cards.skip_counts(judged).where("status in ('total', 'no_paragraph')")
+
+
+# ---------------------------------------------------------------- training labels
+
+TOKEN = r"<\|im_start\|>|<\|im_end\|>|[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}]"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, role, unnest(k) AS token, unnest(range(len(k))) AS i FROM (SELECT *, regexp_extract_all('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>', '{TOKEN}') AS k FROM conversations)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS pos, ('0x' || substr(md5(token), 1, 7))::INT AS id FROM t),
+c AS (SELECT *, bool_or(token = '<|im_end|>') OVER (PARTITION BY conv_id, turn) AS whole FROM p WHERE pos <= 200),
+n AS (SELECT *, lead(role) OVER w AS next_role, lead(whole) OVER w AS next_whole FROM (SELECT DISTINCT conv_id, turn, role, whole FROM c) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT c.conv_id, c.pos, c.id, c.whole AND (c.role <> 'assistant' OR (c.token = '<|im_end|>' AND coalesce(n.next_whole AND n.next_role <> 'assistant', false))) AS masked FROM c JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn)
+SELECT conv_id, count(*) AS n_tokens, count(*) FILTER (masked) AS n_masked, md5(string_agg(CASE WHEN masked THEN '-100' ELSE id::VARCHAR END, ',' ORDER BY pos)) AS labels, any_value(total) > count(*) FILTER (ended) AS too_long
+FROM m JOIN (SELECT conv_id, pos, token = '<|im_end|>' AS ended FROM p) e USING (conv_id, pos) JOIN (SELECT conv_id, count(*) AS total FROM conversations GROUP BY 1) USING (conv_id) GROUP BY conv_id""")
+def masked_labels(spark, d):
+    """Labels of the first 200 tokens of each conversation."""
+    out = masking.conversation_labels(table(spark, d, "conversations"), ["conv_id"], seq_length=200)
+    masked = F.size(F.filter("labels", lambda x: x == masking.IGNORE)).cast("long")
+    return out.select("conv_id", F.size("labels").cast("long").alias("n_tokens"), masked.alias("n_masked"), F.md5(F.array_join("labels", ",")).alias("labels"), "too_long")
+
+
+# ---------------------------------------------------------------- ROUGE
+
+
+@query()
+def rouge_stemmed(spark, d):
+    """All of ROUGE between the first and the second half of each whole text; the tests hold it against tables of a plain version."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    return rouge.rouge(docs_of(spark, d), ["doc_id"], F.substr("text", F.lit(1), half), F.substr("text", half + 1))

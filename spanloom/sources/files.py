@@ -1,10 +1,9 @@
-"""Readers and sinks: JSON lines, whole files, mail folders, HTML cards, completions and result caches."""
+"""Readers and sinks: JSON lines, whole files, mail folders, completions and result caches."""
 
 from __future__ import annotations
 
 import email
 import email.policy
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,66 +73,6 @@ def read_mail(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, _MAIL)
 
 
-class _Cards(HTMLParser):
-    """Cards of a page: a heading, a citation paragraph, a text paragraph with marked runs."""
-
-    def __init__(self, heading: str, mark: str):
-        super().__init__(convert_charrefs=True)
-        self.heading, self.mark = heading, mark
-        self.cards: list[dict] = []
-        self.where = ""
-        self.marked = 0
-        self.begun = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag == self.heading:
-            self.cards.append({"abstract": "", "paragraphs": [], "spans": []})
-            self.where = "abstract"
-        elif tag == "p" and self.cards:
-            self.cards[-1]["paragraphs"].append("")
-            self.where = "p"
-        elif tag == self.mark and self.where == "p":
-            self.marked += 1
-            self.begun = len(self.cards[-1]["paragraphs"][-1])
-
-    def handle_endtag(self, tag):
-        if tag in (self.heading, "p"):
-            self.where = ""
-            self.marked = 0
-        elif tag == self.mark and self.marked and self.where == "p":
-            self.marked -= 1
-            card = self.cards[-1]
-            text = card["paragraphs"][-1]
-            if len(card["paragraphs"]) == 2 and len(text) > self.begun:
-                card["spans"].append((self.begun, len(text), text[self.begun :]))
-
-    def handle_data(self, data):
-        if self.where == "abstract":
-            self.cards[-1]["abstract"] += data
-        elif self.where == "p" and self.cards:
-            self.cards[-1]["paragraphs"][-1] += data
-
-
-CARD = "page_id long, card int, abstract string, citation string, document string, spans array<struct<start_pos:int,end_pos:int,content:string>>"
-
-
-def html_cards(pages: DataFrame, heading: str = "h4", mark: str = "u", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Cards of each page: after a heading the first paragraph is the citation, the second the document with its marked spans."""
-
-    def parse(batches):
-        for df in batches:
-            rows = []
-            for page, text in zip(df["page_id"], df["html"], strict=True):
-                p = _Cards(heading, mark)
-                p.feed(text or "")
-                for k, c in enumerate(p.cards):
-                    if len(c["paragraphs"]) >= 2:
-                        rows.append((page, k, " ".join(c["abstract"].split()), c["paragraphs"][0].strip(), c["paragraphs"][1], [{"start_pos": a, "end_pos": b, "content": s} for a, b, s in c["spans"]]))
-            yield pd.DataFrame(rows, columns=["page_id", "card", "abstract", "citation", "document", "spans"])
-
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(parse, CARD)
-
-
 def cache_key(arguments: Column) -> Column:
     """The URL-safe base64 SHA-1 of a call's arguments."""
     return F.translate(F.base64(F.unhex(F.sha1(F.to_json(arguments)))), "+/", "-_")

@@ -181,14 +181,6 @@ def test_kappa_perfect(spark):
     assert agreement.kappa(rows.where("x = 0"), "x", "y", 3).first()["kappa"] is None
 
 
-def test_html_cards(spark):
-    page = "<h4>Short <b>claim</b></h4><p>Author 2010</p><p>Plain <u>marked run</u> and <u>more</u>.</p><h4>No text</h4><p>cite</p>"
-    rows = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
-    (card,) = files.html_cards(rows).collect()
-    assert card["abstract"] == "Short claim" and card["document"] == "Plain marked run and more."
-    assert [(s["start_pos"], s["end_pos"], s["content"]) for s in card["spans"]] == [(6, 16, "marked run"), (21, 25, "more")]
-
-
 def test_jsonl_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("x", "[]")], "sample_id string, selection string")
     files.write_jsonl(rows, str(tmp_path / "p"))
