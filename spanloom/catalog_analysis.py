@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import docs_of, draws_sql, query, table
+from .catalog import LINES, TOK, docs_of, draws_sql, query, rater_spans, table
 from .functions import variants
-from .operators import bootstrap, masking, reports, rouge
+from .operators import bootstrap, filtering, masking, reports, rouge
 from .sources import cards
 
 # ---------------------------------------------------------------- statistics
@@ -179,3 +179,50 @@ def rouge_stemmed(spark, d):
     """All of ROUGE between the first and the second half of each whole text; the tests hold it against tables of a plain version."""
     half = F.floor(F.length("text") / 2).cast("int")
     return rouge.rouge(docs_of(spark, d), ["doc_id"], F.substr("text", F.lit(1), half), F.substr("text", half + 1))
+
+# ---------------------------------------------------------------- annotated samples
+
+FILTERED = f"""{TOK}, {LINES}, near AS (SELECT doc_id, tok, lead(start_pos) OVER w AS nx, lag(end_pos) OVER w AS pv FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY tok)),
+g AS (SELECT doc_id AS sample, rater, line_no, start_pos, end_pos, (doc_id + rater + line_no) % 5 = 0 AS lost FROM spans WHERE doc_id % 9 <> 0),
+z AS (SELECT sample, rater, count(*) FILTER (NOT lost) AS n FROM g GROUP BY ALL),
+c AS (SELECT sample, count(*) FILTER (n > 0) AS n_groups, count(*) FILTER (n = 0) AS n_dropped FROM z GROUP BY sample),
+ids AS (SELECT DISTINCT s.sample, s.rater, k.tok FROM g s JOIN near k ON k.doc_id = s.sample AND (k.nx > s.start_pos OR k.nx IS NULL) AND (k.pv < s.end_pos OR k.pv IS NULL) WHERE NOT lost),
+v AS (SELECT sample, tok FROM ids GROUP BY ALL HAVING count(*) >= 3), m AS (SELECT sample, count(*) AS n_merged FROM v GROUP BY sample),
+sz AS (SELECT sample, rater, count(*) AS t FROM ids GROUP BY ALL), rs AS (SELECT z.sample, z.rater, coalesce(t, 0) AS t FROM z LEFT JOIN sz USING (sample, rater) WHERE n > 0),
+ov AS (SELECT x.sample, x.rater AS a, y.rater AS b, count(*) AS o FROM ids x JOIN ids y ON x.sample = y.sample AND x.tok = y.tok AND x.rater < y.rater GROUP BY ALL),
+ag AS (SELECT x.sample, avg(CASE WHEN x.t = 0 AND y.t = 0 THEN 1.0::DOUBLE WHEN coalesce(o, 0) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * o / (x.t + y.t) END) AS agreement
+  FROM rs x JOIN rs y ON y.sample = x.sample AND x.rater < y.rater LEFT JOIN ov ON ov.sample = x.sample AND ov.a = x.rater AND ov.b = y.rater GROUP BY x.sample),
+j AS (SELECT doc_id AS sample, doc_id % 9 = 0 AS neg, source, coalesce(n_groups, 0) AS n_groups, coalesce(n_dropped, 0) AS n_dropped, agreement, coalesce(n_merged, 0) AS n_merged FROM documents d LEFT JOIN c ON c.sample = doc_id LEFT JOIN m ON m.sample = doc_id LEFT JOIN ag ON ag.sample = doc_id),
+r AS (SELECT *, CASE WHEN neg THEN NULL WHEN n_groups < 2 THEN 'partial_annotators' WHEN agreement < 0.15 THEN 'low_agreement' WHEN n_merged = 0 THEN 'empty_merge' END AS reason FROM j),
+f AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY source ORDER BY reason IS NOT NULL, sample) > 8 THEN 'beyond_first' ELSE reason END AS status FROM r)"""
+
+
+def annotated(spark, d):
+    docs = docs_of(spark, d).withColumn("sample_id", F.col("doc_id"))
+    samples = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), (F.col("doc_id") % 9 == 0).alias("is_negative"), F.col("source").alias("set_id"), F.col("doc_id").alias("ord"))
+    lost = (F.col("doc_id") + F.col("rater") + F.col("line_no")) % 5 == 0
+    groups = rater_spans(docs).select(F.col("doc_id").alias("sample_id"), F.col("rater").alias("group_id"), F.when(lost, -1).otherwise(0).alias("doc_id"), "start_pos", "end_pos")
+    named = groups.withColumn("group_id", F.concat(F.lit("m"), F.col("group_id").cast("string")))
+    return filtering.filter_annotated(samples, named, docs.select("sample_id", F.lit(0).alias("doc_id"), "text"), raters=2, least_votes=3, least_agreement=0.15, first=8)
+
+
+@query(f"WITH {FILTERED} SELECT sample AS sample_id, n_groups, n_dropped, round(agreement, 9) AS agreement, n_merged, status FROM f")
+def filter_decisions(spark, d):
+    _, decisions = annotated(spark, d)
+    return decisions.select("sample_id", "n_groups", "n_dropped", F.round("agreement", 9).alias("agreement"), "n_merged", "status")
+
+
+@query(f"""WITH {FILTERED}, isl AS (SELECT sample, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM (SELECT v.sample, t.start_pos, t.end_pos, v.tok - row_number() OVER (PARTITION BY v.sample ORDER BY v.tok) AS gr FROM v JOIN tok t ON t.doc_id = v.sample AND t.tok = v.tok) GROUP BY sample, gr),
+o AS (SELECT g.sample, 'm' || g.rater AS group_id, g.start_pos, g.end_pos FROM g JOIN f ON f.sample = g.sample AND f.status IS NULL WHERE NOT lost
+  UNION ALL SELECT i.sample, 'Merged', i.start_pos, i.end_pos FROM isl i JOIN f ON f.sample = i.sample AND f.status IS NULL
+  UNION ALL SELECT s.doc_id, 'm' || s.rater, s.start_pos, s.end_pos FROM spans s JOIN f ON f.sample = s.doc_id AND f.status IS NULL WHERE f.neg)
+SELECT sample AS sample_id, group_id, count(*) AS n, sum(start_pos)::BIGINT AS sum_start, sum(end_pos)::BIGINT AS sum_end FROM o GROUP BY ALL""")
+def filter_merged(spark, d):
+    kept, _ = annotated(spark, d)
+    return kept.groupBy("sample_id", "group_id").agg(F.count("*").alias("n"), F.sum("start_pos").alias("sum_start"), F.sum("end_pos").alias("sum_end"))
+
+
+@query(f"""WITH {FILTERED} SELECT count(*) AS samples, count(*) FILTER (status IS NULL) AS kept, count(*) FILTER (status = 'partial_annotators') AS partial_annotators, count(*) FILTER (status = 'low_agreement') AS low_agreement, count(*) FILTER (status = 'empty_merge') AS empty_merge, count(*) FILTER (status = 'beyond_first') AS beyond_first, sum(n_dropped)::BIGINT AS dropped_groups FROM f""")
+def filter_counters(spark, d):
+    _, decisions = annotated(spark, d)
+    return decisions.agg(*filtering.counters())

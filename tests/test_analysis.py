@@ -168,3 +168,39 @@ STEMS = {
 
 def test_stems():
     assert {w: rouge.stem(w) for w in STEMS} == STEMS
+
+
+def test_filter_of_annotated_samples(spark):
+    text = "one two three four five six"
+    docs = spark.createDataFrame([(s, 0, text) for s in "abcdefgh"], "sample_id string, doc_id int, text string")
+    samples = spark.createDataFrame([(s, s == "g", "set" if s in "abcdef" else s, i) for i, s in enumerate("abcdefgh")], "sample_id string, is_negative boolean, set_id string, ord int")
+    two, one, lost, none = (0, 0, 7), (0, 0, 3), (-1, -1, -1), (None, None, None)
+    spans = {
+        "a": {"x": [two], "y": [one], "z": [two, lost]},  # two votes for both words
+        "b": {"x": [two], "y": [lost], "z": [two]},  # a group is left empty
+        "c": {"x": [one], "y": [(0, 4, 7)], "z": [(0, 8, 13)]},  # nothing in common
+        "d": {"x": [one], "y": [one], "z": [one]},
+        "e": {"x": [two], "y": [two], "z": [none]},  # an annotator who chose nothing
+        "f": {"x": [one], "y": [one], "z": [one]},
+        "g": {"x": [lost], "y": [none]},
+    }
+    rows = [(s, g, *p) for s, groups in spans.items() for g, places in groups.items() for p in places]
+    groups = spark.createDataFrame(rows, "sample_id string, group_id string, doc_id int, start_pos int, end_pos int").repartition(3)
+    from pyspark.sql import Observation
+
+    from spanloom.operators import filtering
+
+    seen = Observation()
+    kept, decisions = filtering.filter_annotated(samples, groups, docs, least_votes=2, least_agreement=0.5, first=2, observation=seen)
+    got = {r["sample_id"]: (r["n_groups"], r["n_dropped"], r["status"]) for r in decisions.collect()}
+    assert got == {"a": (3, 0, None), "b": (2, 1, "partial_annotators"), "c": (3, 0, "low_agreement"), "d": (3, 0, None), "e": (2, 1, "partial_annotators"), "f": (3, 0, "beyond_first"), "g": (0, 0, None), "h": (0, 0, "partial_annotators")}
+    assert seen.get == {"samples": 8, "kept": 3, "partial_annotators": 3, "low_agreement": 1, "empty_merge": 0, "beyond_first": 1, "dropped_groups": 2}
+    assert {(r["sample_id"], r["group_id"], r["start_pos"], r["end_pos"]) for r in kept.collect()} == {("a", "x", 0, 7), ("a", "y", 0, 3), ("a", "z", 0, 7), ("a", "Merged", 0, 7), *(("d", g, 0, 3) for g in ("x", "y", "z", "Merged")), ("g", "x", -1, -1), ("g", "y", None, None)}
+    # Emptied groups may stay, empty answers too; voters may be few.
+    kept, decisions = filtering.filter_annotated(samples, groups, docs, least_votes=2, keep_emptied=True, skip_empty=False, voters=["x", "y"])
+    got = {r["sample_id"]: (r["n_groups"], r["n_merged"], r["status"]) for r in decisions.collect()}
+    assert got == {"a": (3, 1, None), "b": (3, 0, None), "c": (3, 0, None), "d": (3, 1, None), "e": (3, 2, None), "f": (3, 1, None), "g": (0, 0, None), "h": (0, 0, "partial_annotators")}
+    rows = {(r["sample_id"], r["group_id"], r["start_pos"]) for r in kept.where("sample_id in ('b', 'e')").collect()}
+    assert rows == {("b", "x", 0), ("b", "y", None), ("b", "z", 0), ("b", "Merged", None), ("e", "x", 0), ("e", "y", 0), ("e", "z", None), ("e", "Merged", 0)}
+    kept, _ = filtering.filter_annotated(samples, groups, docs, drop_ungrounded=False)
+    assert {(r["group_id"], r["start_pos"]) for r in kept.where("sample_id = 'b'").collect()} == {("x", 0), ("y", -1), ("z", 0), ("Merged", 0)}
