@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .catalog import LINES, TOK, docs_of, draws_sql, query, rater_spans, table
 from .functions import variants
-from .operators import bootstrap, filtering, masking, reports, rouge
+from .operators import bootstrap, build, filtering, masking, reports, rouge
+from .operators.spans import by_header
+from .plans.evaluate import ground_instructions
+from .plans.presets import build_preset
+from .plans.stages import Stages, shared_root
 from .sources import cards
 
 # ---------------------------------------------------------------- statistics
@@ -226,3 +231,91 @@ def filter_merged(spark, d):
 def filter_counters(spark, d):
     _, decisions = annotated(spark, d)
     return decisions.agg(*filtering.counters())
+
+# ---------------------------------------------------------------- grounding, headers and training rows
+
+
+@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT doc_id, text, l, array_to_string(list_reverse(l), chr(10)) AS back FROM l),
+e AS (SELECT doc_id, text, back, i, l[i + 1] AS span FROM r, LATERAL (SELECT unnest(range(len(l))) AS i)),
+p AS (SELECT doc_id, i, span, CASE WHEN i % 3 = 1 THEN 1 ELSE 0 END AS d, instr(CASE WHEN i % 3 = 1 THEN back ELSE text END, span) - 1 AS s FROM e)
+SELECT doc_id AS sample_id, 'part ' || (i % 2) AS instruction, (i // 2)::INT AS span_ord, CASE WHEN regexp_matches(span, '^[\\s\\p{Z}]*$') THEN -1 ELSE d END AS doc_id, CASE WHEN regexp_matches(span, '^[\\s\\p{Z}]*$') THEN -1 ELSE s END::INT AS start_pos FROM p""")
+def grounded_instructions(spark, d):
+    """Every line of a document under two instructions, in two documents of a sample: the text and its lines from the end; a third of the lines hint at the second."""
+    lines = F.split("text", "\n")
+    rows = docs_of(spark, d)
+    docs = rows.select(F.col("doc_id").alias("sample_id"), F.posexplode(F.array(F.col("text"), F.array_join(F.reverse(lines), "\n"))).alias("doc_id", "text"))
+    hint = lambda i: F.when(i % 3 == 1, 1).when(i % 3 == 2, 0).cast("int")
+    spans = F.transform(lines, lambda x, i: F.struct(x.alias("span"), hint(i).alias("hint"), i.alias("i")))
+    part = lambda k: F.transform(F.filter(spans, lambda s: s["i"] % 2 == k), lambda s: F.struct(s["span"].alias("span"), s["hint"].alias("hint")))
+    maps = rows.select(F.col("doc_id").alias("sample_id"), F.create_map(F.lit("part 0"), part(0), F.lit("part 1"), part(1)).alias("selections"))
+    return ground_instructions(maps, docs, fuzzy=False).select("sample_id", "instruction", "span_ord", "doc_id", "start_pos")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, line_no, line, line_no // 4 AS part FROM lines),
+h AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY line_no) AS body FROM n GROUP BY ALL),
+s AS (SELECT n.doc_id, n.part, n.line_no, sum(length(m.line) + 1) AS s FROM n LEFT JOIN n m ON m.doc_id = n.doc_id AND m.part = n.part AND m.line_no < n.line_no GROUP BY ALL)
+SELECT s.doc_id AS sample_id, s.line_no, s.part::INT AS doc_id, coalesce(s, 0)::INT AS start_pos, (coalesce(s, 0) + length(l.line))::INT AS end_pos FROM s JOIN lines l USING (doc_id, line_no) WHERE length(l.line) > 0""")
+def header_offsets(spark, d):
+    """Four lines a document under numbered headers, and every line's place in the joined text rebased to its own document."""
+    lines = F.split("text", "\n")
+    header = lambda k: F.concat(F.lit("\n-~- Document #"), k.cast("string"), F.lit(" -~-\n\n"))
+    rows = docs_of(spark, d).select(F.col("doc_id").alias("sample_id"), lines.alias("l"))
+    text = F.array_join(F.transform("l", lambda x, i: F.concat(F.when(i % 4 == 0, header(F.floor(i / 4).cast("int"))).otherwise(F.lit("\n")), x)), "")
+    texts = rows.select("sample_id", "l", text.alias("text"))
+    lead = lambda x, i: F.when(i % 4 == 0, F.length(header(F.floor(i / 4).cast("int")))).otherwise(1)
+    each = texts.select("sample_id", F.posexplode(F.transform("l", lambda x, i: F.struct(lead(x, i).alias("before"), F.length(x).alias("n")))).alias("line_no", "x"))
+    ends = F.sum(F.col("x.before") + F.col("x.n")).over(Window.partitionBy("sample_id").orderBy("line_no")).cast("int")
+    spans = each.select("sample_id", "line_no", (ends - F.col("x.n")).alias("start_pos"), ends.alias("end_pos")).where("end_pos > start_pos")
+    return by_header(spans, texts.select("sample_id", "text"), r"\n?-~- Document #(\d+) -~-\n\n")
+
+
+@query("""WITH c AS (SELECT source AS dataset, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 = 7 THEN 'dev' ELSE 'test' END AS split, n_chars AS tokens FROM documents)
+SELECT CASE grouping(dataset) * 2 + grouping(split) WHEN 0 THEN 'both' WHEN 1 THEN 'dataset' WHEN 2 THEN 'split' ELSE 'all' END AS level, dataset, split, count(*) AS samples, sum(tokens)::BIGINT AS tokens FROM c GROUP BY GROUPING SETS ((), (dataset), (split), (dataset, split))""")
+def token_totals(spark, d):
+    k = F.col("doc_id") % 10
+    costs = table(spark, d, "documents").select(F.col("source").alias("dataset"), F.when(k < 7, "train").when(k == 7, "dev").otherwise("test").alias("split"), F.col("n_chars").alias("tokens"))
+    return build.token_totals(costs)
+
+
+@query("""WITH n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN doc_id::VARCHAR ELSE coalesce(lang, 'none') || '.' || doc_id END AS id FROM documents), s AS (SELECT id, CASE WHEN contains(id, '.') THEN split_part(id, '.', 1) ELSE 'NEG' END AS s FROM n),
+z AS (SELECT s, count(*) AS n, sum(count(*)) OVER () AS t FROM s GROUP BY s), e AS (SELECT s, n * floor(t * 0.3::DOUBLE) / t AS e, floor(t * 0.3::DOUBLE) AS want FROM z),
+q AS (SELECT s, floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, s) <= want - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS q FROM e),
+r AS (SELECT id, s, row_number() OVER (PARTITION BY s ORDER BY md5(id || ':42'), id) AS r FROM s)
+SELECT id AS sample_id, row_number() OVER (ORDER BY md5(id || ':42'), id) AS place FROM r JOIN q USING (s) WHERE r <= q""")
+def training_rows(spark, d):
+    """Three tenths of the documents by language, in a random order whose places are told by the partitions' sizes."""
+    lang = F.concat(F.coalesce("lang", F.lit("none")), F.lit("."))
+    ids = table(spark, d, "documents").select(F.concat(F.when(F.col("doc_id") % 11 == 0, "").otherwise(lang), F.col("doc_id").cast("string")).alias("sample_id"))
+    rows = build.training_share(ids, "sample_id", 0.3)
+    order = build.numbered_draws(rows.withColumn("all", F.lit(0)), "all", "sample_id", 42)
+    return order.select("sample_id", (F.col("_p") + 1).alias("place"))
+
+
+SETS = "sets AS (SELECT DISTINCT doc_id // 3 AS set_id, CASE WHEN (doc_id // 3) % 2 = 0 THEN 'text' ELSE 'code' END AS type FROM documents)"
+
+
+def preset_sources(spark, d):
+    """Documents as samples, three of neighbouring ids a set, annotated by three models."""
+    docs = docs_of(spark, d)
+    named = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    set_id = F.floor(F.col("doc_id") / 3)
+    samples = docs.select(named(F.col("doc_id")).alias("sample_id"), set_id.alias("set_id"), F.col("doc_id").alias("ord"), F.when(set_id % 2 == 0, "text").otherwise("code").alias("type"), (F.col("doc_id") % 9 == 0).alias("is_negative"), F.lit("Select lines.").alias("instruction"))
+    models = F.element_at(F.array(*map(F.lit, ("Claude3-Opus", "GPT4", "Gemini-1.5"))), (F.col("rater") + 1).cast("int"))
+    groups = rater_spans(docs).select(named(F.col("doc_id")).alias("sample_id"), models.alias("group_id"), F.lit(0).alias("doc_id"), F.col("start_pos").cast("int").alias("start_pos"), F.col("end_pos").cast("int").alias("end_pos"))
+    return {"samples": samples, "groups": groups, "docs": docs.select(named(F.col("doc_id")).alias("sample_id"), F.lit(0).alias("doc_id"), "text")}
+
+
+@query(f"""WITH {TOK}, {LINES}, {SETS}, near AS (SELECT doc_id, tok, lead(start_pos) OVER w AS nx, lag(end_pos) OVER w AS pv FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY tok)),
+ids AS (SELECT DISTINCT s.doc_id, s.rater, k.tok FROM spans s JOIN near k ON k.doc_id = s.doc_id AND (k.nx > s.start_pos OR k.nx IS NULL) AND (k.pv < s.end_pos OR k.pv IS NULL) WHERE s.doc_id % 9 <> 0),
+c AS (SELECT doc_id, count(DISTINCT rater) AS n FROM spans GROUP BY doc_id), v AS (SELECT doc_id, tok FROM ids GROUP BY ALL HAVING count(*) >= 2),
+isl AS (SELECT doc_id, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM (SELECT v.doc_id, t.start_pos, t.end_pos, v.tok - row_number() OVER (PARTITION BY v.doc_id ORDER BY v.tok) AS gr FROM v JOIN tok t ON t.doc_id = v.doc_id AND t.tok = v.tok) GROUP BY doc_id, gr),
+o AS (SELECT set_id, row_number() OVER (PARTITION BY type ORDER BY md5(set_id || ':42'), set_id) - 1 AS p, count(*) OVER (PARTITION BY type) AS n FROM sets),
+f AS (SELECT set_id, CASE WHEN p < floor(n * 0.7) THEN 'train' WHEN p < floor(n * 0.7) + floor(n * 0.1) THEN 'dev' ELSE 'test' END AS split FROM o)
+SELECT 's' || d.doc_id AS sample_id, f.split, CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE 'Merged' END AS group_id, count(i.start_pos) AS n, coalesce(sum(i.start_pos), 0)::BIGINT AS sum_start, coalesce(sum(i.end_pos), 0)::BIGINT AS sum_end
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN f ON f.set_id = d.doc_id // 3 LEFT JOIN isl i ON i.doc_id = d.doc_id WHERE c.n = 3 OR (d.doc_id % 9 = 0 AND c.n > 0) GROUP BY d.doc_id, f.split""")
+def preset_majority(spark, d):
+    """The preset by majority from annotated documents to its answers, through written stages."""
+    stages = Stages(spark, shared_root(spark, "presets"), preset_sources(spark, d))
+    out = build_preset(stages, "majority", "You select.")["answers"]
+    total = lambda c: F.aggregate("selections", F.lit(0).cast("long"), lambda a, s: a + s[c])
+    return out.select("sample_id", "split", "group_id", F.size("selections").cast("long").alias("n"), total("start_pos").alias("sum_start"), total("end_pos").alias("sum_end"))

@@ -155,3 +155,18 @@ def _running_of(v: Column, block: int = 64) -> Column:
     two = F.transform(F.array(v), lambda a: F.struct(a.alias("a"), sums(a).alias("b")))
     three = F.transform(two, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), sums(s["b"]).alias("c")))
     return F.get(F.transform(three, places), F.lit(0))
+
+
+def match_places(text: Column, pattern: str) -> Column:
+    """``array<struct<start_pos, end_pos, content>>`` of all matches of a pattern (none of them empty), left to right.
+
+    Matches and the pieces between them alternate, so their lengths give all places without searching again.
+    """
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.struct(found.alias("f"), F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + F.length(g)).alias("n"))
+
+    def placed(x: Column) -> Column:
+        ends = F.when(F.size(x["f"]) > 0, _running_of(x["n"])).otherwise(F.array().cast("array<int>"))
+        return F.zip_with(x["f"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start_pos"), e.alias("end_pos"), m.alias("content")))
+
+    return F.get(F.transform(F.array(both), placed), F.lit(0))

@@ -110,3 +110,52 @@ def restored_ok(restored: DataFrame, known: DataFrame, key: str, salt: str) -> D
     """``(key, ok)``: whether each restored text has the salted SHA-512 digest recorded for it; a key without one is not ok."""
     both = restored.join(known, key, "left")
     return both.select(key, F.coalesce(F.sha2(F.concat(F.lit(salt), "text"), 512) == F.col("digest"), F.lit(False)).alias("ok"))
+
+
+def token_totals(costs: DataFrame, total: str = "tokens") -> DataFrame:
+    """Sums of ``costs(dataset, split, tokens)`` in one aggregation: ``(level, dataset, split, samples, tokens)``.
+
+    ``level`` is ``all``, ``dataset``, ``split`` or ``both``; the rows ``both`` of the split ``test`` are each data set's test alone.
+    """
+    d, s = F.col("dataset"), F.col("split")
+    sums = costs.groupingSets([[], [d], [s], [d, s]], d, s).agg(F.count("*").alias("samples"), F.sum(total).alias(total), F.grouping_id().alias("_g"))
+    level = F.element_at(F.array(*map(F.lit, ("both", "dataset", "split", "all"))), (F.col("_g") + 1).cast("int"))
+    return sums.select(level.alias("level"), "dataset", "split", "samples", total)
+
+
+def id_stratum(key: Column) -> Column:
+    """What stands before an id's first stop; ids without one are ``NEG``."""
+    return F.when(F.contains(key, F.lit(".")), F.split(key, r"\.", 2)[0]).otherwise("NEG")
+
+
+def training_share(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """A share of the rows, each stratum (:func:`id_stratum`) by its part, to the row: largest remainders settle who gets the last ones.
+
+    Of a stratum the first rows in draw order are taken; rows that repeat an id are told apart by nothing and come in any order.
+    """
+    named = rows.withColumn("_s", id_stratum(F.col(key)))
+    sizes = named.groupBy("_s").agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_t"))
+    # A row a stratum; strata are names of data sets.
+    exact = sizes.join(F.broadcast(total), F.lit(True)).withColumn("_e", F.col("_n") * F.floor(F.col("_t") * share) / F.col("_t")).withColumn("_f", F.floor("_e"))
+    left = exact.agg((F.first(F.floor(F.col("_t") * share)) - F.sum("_f")).alias("_left"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("_e") - F.col("_f")), "_s"))
+    quota = exact.withColumn("_p", place).join(F.broadcast(left), F.lit(True)).select("_s", (F.col("_f") + (F.col("_p") <= F.col("_left")).cast("int")).alias("_q"))
+    return numbered_draws(named, "_s", key, seed).join(F.broadcast(quota), "_s").where("_p < _q").drop("_s", "_p", "_q")
+
+
+def numbered_draws(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
+    """``df`` with the place ``_p`` of each row in its stratum's draw order, from counts of hash cells: no stratum lies in one task."""
+    keyed = df.withColumn("_o", draw_order(F.col(key), seed)).withColumn("_b", F.substring("_o", 1, 3))
+    cells = keyed.groupBy(stratum, "_b").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o", key)) - 1
+    return keyed.withColumn("_at", at).join(cells.select(stratum, "_b", before.alias("_before")), [stratum, "_b"]).withColumn("_p", F.col("_at") + F.col("_before")).drop("_o", "_b", "_at", "_before")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """Rows in a repeatable random order over balanced partitions: ranges of the draw's hash, sorted within."""
+    order = draw_order(F.col(key), seed)
+    spread = rows.withColumn("_o", order)
+    spread = spread.repartitionByRange(partitions, "_o", key) if partitions else spread.repartitionByRange("_o", key)
+    return spread.sortWithinPartitions("_o", key).drop("_o")

@@ -70,11 +70,12 @@ def closest_of_each(needles: list[list[str]], hays: list[list[str]], most: list[
     return out
 
 
-def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: int = 10, within: list[str] | None = None) -> DataFrame:
+def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: int = 10, within: list[str] | None = None, hints: DataFrame | None = None) -> DataFrame:
     """Best match per span: ``(span_id, doc_id, start_pos, end_pos, content, total_count, best_dist)``.
 
     A span of n tokens may differ in ``min(int(n * share), most)`` tokens; spans
-    that may not differ at all match nothing. Best is least distance, then first document, then first end.
+    that may not differ at all match nothing. Best is least distance, then the document
+    that ``hints(span_id, doc_id)`` names, then first document, then first end.
     With ``within``, columns of both sides, a span is searched in the documents that agree in them alone.
     Runs of all lengths that pieces have come from one pass over the documents' tokens.
     """
@@ -115,7 +116,11 @@ def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: in
     # Overlapping hits of one document are one match, the closest.
     near_by = Window.partitionBy("span_id", "doc_id").orderBy("start_pos", "end_pos")
     apart = hits.withColumn("_new", (F.col("start_pos") >= F.coalesce(F.max("end_pos").over(near_by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    counted = apart.groupBy("span_id").agg(F.sum("_new").alias("total_count"), F.min(F.struct("best_dist", "doc_id", "end_pos", "start_pos")).alias("m"))
+    far = F.lit(0).alias("far")
+    if hints is not None:
+        apart = apart.join(hints.select("span_id", F.col("doc_id").alias("_hint")), "span_id", "left")
+        far = F.when(F.col("doc_id").eqNullSafe(F.col("_hint")), 0).otherwise(1).alias("far")
+    counted = apart.groupBy("span_id").agg(F.sum("_new").alias("total_count"), F.min(F.struct("best_dist", far, "doc_id", "end_pos", "start_pos")).alias("m"))
     best = counted.select("span_id", "total_count", "m.best_dist", "m.doc_id", "m.start_pos", "m.end_pos")
     content = F.expr("substr(text, start_pos + 1, end_pos - start_pos)")
     return best.join(docs.select("doc_id", "text"), "doc_id").select("span_id", "doc_id", "start_pos", "end_pos", content.alias("content"), "total_count", "best_dist")

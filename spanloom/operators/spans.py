@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import PIECES
+from ..functions.text import PIECES, match_places
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,3 +146,26 @@ def nearest_gap(spans: DataFrame, keys: list[str]) -> DataFrame:
     after = F.lead("s").over(order) - F.col("e")
     gaps = each.select(*keys, F.greatest(F.lit(0), F.least(before, after)).alias("g"), F.least(before, after).alias("m")).where("m is not null")
     return gaps.groupBy(*keys).agg(F.sum("g").alias("gap_sum"), F.count("*").alias("n_spans"))
+
+
+def by_header(spans: DataFrame, texts: DataFrame, pattern: str, key: str = "sample_id") -> DataFrame:
+    """Spans of a text of several documents as spans of the documents: ``spans`` with ``doc_id`` and rebased offsets.
+
+    ``texts(key, text)`` sets each document under a header that matches ``pattern``, whose first group is the document's number.
+    A span belongs to the last header that ends no later than the span does. In a text that does not begin with a
+    header (white space aside) spans are of document 0 and keep their offsets; where no header stands before a span, its document is null.
+    """
+    found = texts.select(key, F.col("text").rlike(rf"(?s)\A(?U:\s)*(?:{pattern})").alias("_many"), match_places(F.col("text"), pattern).alias("_h"))
+    several = found.select(key, F.explode("_h").alias("h"), "_many").where("_many")
+    number = F.regexp_extract("h.content", pattern, 1).cast("int")
+    kind = T.StructType().add("at", "integer").add("doc_id", "integer")
+    marks = several.select(key, F.col("h.end_pos").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("h.end_pos").alias("at"), number.alias("doc_id")).alias("_m"), *[F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in spans.columns if c != key])
+    rest = [c for c in spans.columns if c != key]
+    asked = spans.select(key, F.col("end_pos").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_m"), *rest)
+    # At one place headers come first: one that ends where a span ends stands before it.
+    so_far = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = marks.unionByName(asked).withColumn("_l", F.max("_m").over(so_far)).where("_kind = 1")
+    both = last.join(found.select(key, "_many"), key, "left")
+    doc, shift = F.when(F.col("_many"), F.col("_l.doc_id")).otherwise(0), F.when(F.col("_many"), F.col("_l.at")).otherwise(0)
+    moved = [(F.col(c) - shift).alias(c) if c in ("start_pos", "end_pos") else F.col(c) for c in rest if c != "doc_id"]
+    return both.select(key, doc.alias("doc_id"), *moved)

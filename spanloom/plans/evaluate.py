@@ -23,37 +23,59 @@ def validate(samples: DataFrame, predictions: DataFrame, allow_partial: bool = F
         raise ValueError("samples without a prediction")
 
 
-def ground_predictions(parsed: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Spans of ``parsed(sample_id, spans)`` grounded in their sample's ``docs(sample_id, doc_id, text)`` only.
+def ground_keyed(wanted: DataFrame, docs: DataFrame, keys: list[str], fuzzy: bool = True) -> DataFrame:
+    """Spans of ``wanted(sample_id, *keys, span[, hint])`` grounded in their sample's ``docs(sample_id, doc_id, text)`` only, in one pass.
 
     The keys of spans and documents hold the sample's id, so samples never mix. Blank
-    spans (white space of any kind) are ``whitespace`` before any mode is tried.
+    spans (white space of any kind) are ``whitespace`` before any mode is tried. Where a span stands in several documents,
+    the one its ``hint`` names is taken, else the first.
     """
-    each = parsed.select("sample_id", F.posexplode("spans").alias("span_ord", "span")).where("span is not null")
-    wanted = each.withColumn("blank", F.length(strip(F.col("span"))) == 0)
+    hinted = "hint" in wanted.columns
+    hint = F.col("hint") if hinted else F.lit(None).cast(docs.schema["doc_id"].dataType)
+    asked = wanted.select("sample_id", *keys, "span", hint.alias("hint")).withColumn("blank", F.length(strip(F.col("span"))) == 0)
     # Both verbatim modes in one pass; the earlier mode wins, whichever document it hits.
     forms = docs.select("sample_id", "doc_id", *[form(F.col("text")).alias(mode) for mode, form in MODES.items()])
-    here = wanted.where(~F.col("blank")).join(forms, "sample_id")
+    here = asked.where(~F.col("blank")).join(forms, "sample_id")
     found = []
     for mode, form in MODES.items():
         needle = form(F.col("span"))
         at = F.call_function("locate", needle, F.col(mode))
-        place = F.struct("doc_id", (at - 1).alias("start_pos"), (at - 1 + F.length(needle)).alias("end_pos"))
+        far = F.when(F.col("doc_id").eqNullSafe(F.col("hint")), 0).otherwise(1)
+        place = F.struct(far.alias("far"), "doc_id", (at - 1).alias("start_pos"), (at - 1 + F.length(needle)).alias("end_pos"))
         found += [F.min(F.when(at > 0, place)).alias(mode), F.count_if(at > 0).alias(f"n_{mode}")]
-    tried = here.groupBy("sample_id", "span_ord", "span").agg(*found)
+    tried = here.groupBy("sample_id", *keys, "span", "hint").agg(*found)
     first = F.coalesce(*[F.when(F.col(m).isNotNull(), F.struct(F.col(f"{m}.doc_id"), F.col(f"{m}.start_pos"), F.col(f"{m}.end_pos"), F.lit(m).alias("mode"), F.col(f"n_{m}").alias("total_count"))) for m in MODES]).alias("m")
-    tried = tried.select("sample_id", "span_ord", "span", first)
-    hits = tried.where("m is not null").select("sample_id", "span_ord", "m.doc_id", "m.start_pos", "m.end_pos", "m.mode", "m.total_count")
+    tried = tried.select("sample_id", *keys, "span", "hint", first)
+    hits = tried.where("m is not null").select("sample_id", *keys, "m.doc_id", "m.start_pos", "m.end_pos", "m.mode", "m.total_count")
     if fuzzy:
-        left = tried.where("m is null").select("sample_id", F.struct("sample_id", "span_ord").alias("span_id"), "span")
+        left = tried.where("m is null").select("sample_id", F.struct("sample_id", *keys).alias("span_id"), "span", "hint")
         own = docs.select("sample_id", F.struct("sample_id", "doc_id").alias("doc_id"), "text")
-        near = fuzzy_match(left, own, within=["sample_id"])
-        near = near.select("span_id.sample_id", "span_id.span_ord", "doc_id.doc_id", "start_pos", "end_pos", F.lit("fuzzy_match").alias("mode"), "total_count")
+        hints = left.where("hint is not null").select("span_id", F.struct("sample_id", F.col("hint").alias("doc_id")).alias("doc_id")) if hinted else None
+        near = fuzzy_match(left.drop("hint"), own, within=["sample_id"], hints=hints)
+        near = near.select("span_id.sample_id", *[f"span_id.{k}" for k in keys], "doc_id.doc_id", "start_pos", "end_pos", F.lit("fuzzy_match").alias("mode"), "total_count")
         hits = hits.unionByName(near)
-    out = wanted.select("sample_id", "span_ord", "span", "blank").join(hits, ["sample_id", "span_ord"], "left")
+    out = asked.select("sample_id", *keys, "span", "blank").join(hits, ["sample_id", *keys], "left")
     mode = F.when(F.col("mode").isNotNull(), F.col("mode")).when(F.col("blank"), "whitespace").otherwise("hallucination")
     minus = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    return out.select("sample_id", "span_ord", "span", minus("doc_id"), minus("start_pos"), minus("end_pos"), mode.alias("mode"))
+    return out.select("sample_id", *keys, "span", minus("doc_id"), minus("start_pos"), minus("end_pos"), mode.alias("mode"))
+
+
+def ground_predictions(parsed: DataFrame, docs: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Spans of ``parsed(sample_id, spans)``, told by their place ``span_ord``; see :func:`ground_keyed`."""
+    each = parsed.select("sample_id", F.posexplode("spans").alias("span_ord", "span")).where("span is not null")
+    return ground_keyed(each, docs, ["span_ord"], fuzzy)
+
+
+def ground_instructions(maps: DataFrame, docs: DataFrame, keys: list[str] | None = None, fuzzy: bool = True) -> DataFrame:
+    """Spans of ``maps(sample_id, *keys, selections)`` with ``selections map<instruction, array<struct<span, hint>>>`` or ``array<span>``.
+
+    ``(sample_id, *keys, instruction, span_ord, span, doc_id, start_pos, end_pos, mode)``; null spans count for nothing.
+    """
+    keys = keys or []
+    each = maps.select("sample_id", *keys, F.explode("selections").alias("instruction", "_s")).select("sample_id", *keys, "instruction", F.posexplode("_s").alias("span_ord", "_x"))
+    parts = ["_x.span", "_x.hint"] if "struct" in each.schema["_x"].dataType.simpleString() else [F.col("_x").alias("span")]
+    wanted = each.select("sample_id", *keys, "instruction", "span_ord", *parts).where("span is not null")
+    return ground_keyed(wanted, docs, [*keys, "instruction", "span_ord"], fuzzy)
 
 
 def _token_ids(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
