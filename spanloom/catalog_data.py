@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .catalog import ANSWER_OF, IDS, LINES, docs_of, query, rater_ids, rater_spans, table
 from .functions import repair
 from .functions import text as tx
-from .operators import loaders, prompts, reports
+from .operators import loaders, prompts, reports, sampling
+from .plans import icl
 from .sources import files
 
 TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s\p{{Z}}]'))"
@@ -41,25 +42,71 @@ def annotated_articles(spark, d):
     return docs.select("sample_id").join(each, "sample_id", "left").select("sample_id", zero("n_sel"), zero("sum_start"), zero("sum_end"), F.md5(F.coalesce(F.array_join("c.c", "|"), F.lit(""))).alias("digest"))
 
 
-@query(f"""WITH {LINES} SELECT 'Topics.t' || s.doc_id || '/' || lang AS sample_id, count(*) AS n_sel, sum(s.start_pos)::BIGINT AS sum_start, sum(length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')))::BIGINT AS n_chars FROM spans s JOIN documents d ON d.doc_id = s.doc_id WHERE rater = 0 AND lang IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {LINES} SELECT 'Topics.t' || s.doc_id || '/' || lang AS sample_id, count(*) AS n_sel, sum(s.start_pos)::BIGINT AS sum_start, sum(length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')))::BIGINT AS n_chars FROM spans s JOIN (SELECT * REPLACE (coalesce(lang, 'none') AS lang) FROM documents) d ON d.doc_id = s.doc_id WHERE rater = 0 GROUP BY 1""")
 def aspect_topics(spark, d):
-    rows = table(spark, d, "documents").where("lang is not null")
+    rows = table(spark, d, "documents").fillna("none", ["lang"])
     spans = rater_spans(docs_of(spark, d)).where("rater = 0").groupBy("doc_id").agg(F.collect_list(F.struct(F.lit(0).alias("doc_id"), F.col("start_pos").alias("start_char"), F.col("end_pos").alias("end_char"), F.col("content").alias("span_text"))).alias("selected_sentences"))
     raw = rows.join(spans, "doc_id").select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("topic_id"), F.col("lang").alias("aspect_label"), F.array(F.struct(F.lit(0).alias("doc_id"), F.lit("f").alias("doc_filename"), F.col("text").alias("doc_text"))).alias("documents"), "selected_sentences")
     _, refs = loaders.aspect_topics(raw, "Topics")
     return refs.groupBy("sample_id").agg(F.count("*").alias("n_sel"), F.sum("start_pos").alias("sum_start"), F.sum(F.length("content")).alias("n_chars"))
 
 
-@query("""WITH c AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS s FROM documents), t AS (SELECT doc_id, s, array_to_string(s, chr(10)) AS text FROM c)
-SELECT 'Claims.' || doc_id AS sample_id, 0 AS doc_id, strpos(text, s[1]) - 1 AS start_pos, strpos(text, s[1]) - 1 + length(s[1]) AS end_pos, s[1] AS content FROM t
-UNION ALL SELECT 'Claims.' || doc_id, 0, strpos(text, s[len(s)]) - 1, strpos(text, s[len(s)]) - 1 + length(s[len(s)]), s[len(s)] FROM t WHERE len(s) > 1""")
+CLAIMS = r"""c AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS s FROM documents), t AS (SELECT doc_id, s, array_to_string(s, chr(10)) AS text FROM c),
+e AS (SELECT doc_id, text, i, s[i + 1] AS content FROM t, LATERAL (SELECT unnest(range(len(s))) AS i))"""
+
+
+@query(f"WITH {CLAIMS} SELECT 'Claims.' || doc_id AS sample_id, 0 AS doc_id, i::INT AS sel_ord, strpos(text, content) - 1 AS start_pos, strpos(text, content) - 1 + length(content) AS end_pos, content FROM e")
 def claim_evidence(spark, d):
-    """A claim of each document with its first and last line as evidence, citing another document too."""
+    """A claim of each document with all its lines as evidence, citing another document too."""
+    return loaders.claims(*raw_claims(spark, d), "Claims")[1].select("sample_id", "doc_id", "sel_ord", "start_pos", "end_pos", "content")
+
+
+def raw_claims(spark, d):
     docs = docs_of(spark, d).select("doc_id", F.split("text", "\n").alias("abstract"))
     corpus = docs.select("doc_id", F.lit("title").alias("title"), "abstract")
-    last = F.size("abstract") - 1
-    raw = docs.select(F.col("doc_id").alias("id"), F.lit("x").alias("claim"), F.array(F.struct("doc_id", F.when(last > 0, F.array(F.lit(0), last)).otherwise(F.array(F.lit(0))).alias("sentences"))).alias("evidence"), F.array("doc_id", F.col("doc_id") + 1).alias("cited_doc_ids"))
-    return loaders.claims(raw, corpus, "Claims")[1].select("sample_id", "doc_id", "start_pos", "end_pos", "content")
+    lines = F.sequence(F.lit(0), F.size("abstract") - 1)
+    raw = docs.select(F.col("doc_id").alias("id"), F.lit("x").alias("claim"), F.array(F.struct("doc_id", lines.alias("sentences"))).alias("evidence"), F.array("doc_id", F.col("doc_id") + 1).alias("cited_doc_ids"))
+    return raw, corpus
+
+
+@query(f"""WITH {CLAIMS}, k AS (SELECT doc_id, CASE WHEN content = '' OR (length(text) - length(replace(text, content, ''))) <> length(content) THEN 1 ELSE 0 END AS bad FROM e),
+r AS (SELECT doc_id, 'sentence' AS rule, sum(bad)::BIGINT AS n FROM k GROUP BY doc_id HAVING sum(bad) > 0 UNION ALL SELECT a.doc_id, 'corpus', 1 FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE b.doc_id IS NULL) SELECT 'Claims.' || doc_id AS sample_id, rule, n FROM r""")
+def claim_rules(spark, d):
+    """Lines that do not stand in their document exactly once, and claims that cite a document outside of the corpus."""
+    return loaders.claim_violations(*raw_claims(spark, d), "Claims")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) <= floor(count(*) OVER () * 0.85) THEN 'train' ELSE 'dev' END AS split FROM documents""")
+def claim_splits(spark, d):
+    return loaders.claim_splits(docs_of(spark, d).select(F.col("doc_id").alias("id"))).select("id", "split")
+
+
+@query(rf"""WITH {LINES} SELECT d.doc_id::VARCHAR AS sample_id, regexp_replace(d.text[1:80], '[\s\p{{Z}}]+', ' ', 'g') AS argument, count(s.start_pos) AS n, coalesce(sum(s.start_pos), 0)::BIGINT AS sum_start, md5(coalesce(string_agg(s.content, '|' ORDER BY s.start_pos), '')) AS digest FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id AND s.rater = 1 GROUP BY d.doc_id, d.text""")
+def debate_samples(spark, d):
+    """Documents as debates: their beginning for an abstract, the spans of rater 1 for an extract."""
+    docs = docs_of(spark, d)
+    spans = rater_spans(docs).where("rater = 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "content"))).alias("s"))
+    spans = spans.withColumn("spans", F.transform("s", lambda x: F.struct(x["content"].alias("content"), x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"))))
+    raw = docs.join(spans, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.substr("text", F.lit(1), F.lit(80)).alias("abstract"), "spans")
+    made, refs = loaders.debates(raw)
+    each = refs.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("start_pos").alias("sum_start"), F.array_sort(F.collect_list(F.struct("sel_ord", "content"))).alias("c"))
+    return made.join(each, "sample_id", "left").select("sample_id", "argument", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("sum_start", F.lit(0).cast("long")).alias("sum_start"), F.md5(F.coalesce(F.array_join("c.content", "|"), F.lit(""))).alias("digest"))
+
+
+@query(f"""WITH {LINES}, g AS (SELECT doc_id AS sample, r AS rater FROM documents, (VALUES (0), (1), (2)) v(r)), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rater ORDER BY start_pos) - 1 AS k FROM spans)
+SELECT 's' || g.sample AS sample_id, g.rater AS group_ord, 'm' || g.rater AS group_id, o.k::INT AS sel_ord, o.start_pos::INT AS start_pos, o.end_pos::INT AS end_pos, d.text = '' AS blank FROM g JOIN documents d ON d.doc_id = g.sample LEFT JOIN o ON o.doc_id = g.sample AND o.rater = g.rater""")
+def long_forms(spark, d):
+    """Nested samples to their long forms: all selections of all groups, empty groups kept, beside their document."""
+    docs = docs_of(spark, d)
+    each = rater_spans(docs).groupBy("doc_id", "rater").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "content"))).alias("s"))
+    groups = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("rater")).join(each, ["doc_id", "rater"], "left")
+    span = lambda x: F.struct(F.lit(0).alias("doc_id"), x["start_pos"].cast("int").alias("start_pos"), x["end_pos"].cast("int").alias("end_pos"), x["content"].alias("content"))
+    group = F.struct("rater", F.concat(F.lit("m"), F.col("rater").cast("string")).alias("id"), F.transform("s", span).alias("selections"))
+    nested = groups.groupBy("doc_id").agg(F.array_sort(F.collect_list(group)).alias("selections"))
+    doc = F.struct(F.lit(0).alias("id"), F.col("text"), F.lit("f").alias("filename"), F.lit(None).cast("array<int>").alias("chunks_pos"))
+    samples = nested.join(docs, "doc_id").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("id"), "selections", F.array(doc).alias("docs"))
+    refs, texts = files.sample_references(samples), files.sample_docs(samples)
+    return refs.join(texts.select("sample_id", (F.col("text") == "").alias("blank")), "sample_id").select("sample_id", "group_ord", "group_id", "sel_ord", "start_pos", "end_pos", "blank")
 
 
 @query(f"""WITH {LINES}, c AS (SELECT doc_id, list(struct_pack(s := start_pos::INT, e := end_pos::INT) ORDER BY start_pos) AS p FROM spans WHERE rater = 1 GROUP BY doc_id), x AS (SELECT doc_id, unnest(p) AS p FROM c)
@@ -110,17 +157,41 @@ def year_splits(spark, d):
     return loaders.year_splits(cards(spark, d).withColumn("year", (F.col("doc_id") % 7 + 2013).cast("int"))).select("doc_id", "split")
 
 
-@query(f"""WITH f AS (SELECT doc_id, lang, {WORDS('text')} AS word_count FROM documents WHERE word_count BETWEEN 100 AND 900), o AS (SELECT *, row_number() OVER (PARTITION BY lang = 'en' ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM f WHERE lang IS NOT NULL)
+@query(f"""WITH f AS (SELECT doc_id, lang, {WORDS('text')} AS word_count FROM (SELECT * REPLACE (coalesce(lang, 'none') AS lang) FROM documents) WHERE word_count BETWEEN 100 AND 900), o AS (SELECT *, row_number() OVER (PARTITION BY lang = 'en' ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM f)
 SELECT doc_id, word_count FROM o WHERE lang = 'en' AND r <= 26 OR lang <> 'en' AND r <= 25""")
 def word_range_sample(spark, d):
-    rows = table(spark, d, "documents").where("lang is not null")
+    rows = table(spark, d, "documents").fillna("none", ["lang"])
     return loaders.word_range_sample(rows, 51, least=100, most=900, stratum=F.col("lang") == "en").select("doc_id", F.col("word_count").cast("long").alias("word_count"))
 
 
-@query("""WITH o AS (SELECT doc_id, lang AS type, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) AS r FROM documents WHERE lang IN ('en', 'de', 'fr')) SELECT doc_id, type, r > 35 AS is_negative FROM o WHERE r <= 40""")
+POOL = rf"""b AS (SELECT 'pg-19.' || doc_id AS id, 'book' AS type, 1 AS n, {WORDS('text')} AS w, 0 AS half FROM documents WHERE lang = 'en'),
+m AS (SELECT 'enron.c/' || doc_id || '/1.' AS id, 'email' AS type, 1 AS n, {WORDS('text')} AS w, (doc_id % 2)::INT + 1 AS half FROM documents WHERE lang = 'de'),
+k AS (SELECT doc_id, text, list_concat(['T'], string_split(text, chr(10) || chr(10)))[1:30] AS p FROM documents WHERE lang = 'fr'),
+i AS (SELECT 'wiki.' || doc_id AS id, 'wiki' AS type, 1 AS n, {WORDS("array_to_string(p, chr(10) || chr(10))")} AS w, 0 AS half FROM k),
+a AS (SELECT 'pubmed.' || doc_id AS id, 'abstract' AS type, 1 AS n, {WORDS('text')} AS w, 0 AS half FROM documents WHERE lang = 'es' OR lang IS NULL),
+c AS (SELECT conv_id, count(*) AS n, sum({WORDS('text')}) AS w FROM conversations GROUP BY conv_id),
+x AS (SELECT * FROM b UNION ALL SELECT * FROM m UNION ALL SELECT * FROM i UNION ALL SELECT * FROM a UNION ALL SELECT 'multinews.multinews.' || conv_id, 'news_article', n, w, 0 FROM c UNION ALL SELECT 'tripadvisor.' || conv_id, 'hotel_reviews', n, w, 0 FROM c UNION ALL SELECT 'github.' || conv_id, 'code', n, w, 0 FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY type, half ORDER BY md5(id || ':42'), id) AS r FROM x WHERE w BETWEEN 60 AND 900),
+o AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY md5(id || ':42'), id) - 1 AS place FROM r WHERE r <= CASE half WHEN 0 THEN 31 WHEN 1 THEN 15 ELSE 16 END)"""
+
+
+@query(f"WITH {POOL} SELECT type, id, n::BIGINT AS n_docs, w::BIGINT AS word_count, place::INT AS place, place BETWEEN 20 AND 24 AS is_negative FROM o")
 def tagging_pool(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "lang")
-    return loaders.tagging_pool({x: rows.where(F.col("lang") == x).drop("lang") for x in ("en", "de", "fr")}, 40, 5)
+    """Seven sources from all documents, by language, and from all conversations, three times over."""
+    docs, lang = table(spark, d, "documents").select("doc_id", "text", "lang"), F.col("lang")
+    talk = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    content = F.col("text").alias("content")
+    sources = {
+        "books": docs.where(lang == "en").select(F.col("doc_id").alias("id"), content),
+        "emails": docs.where(lang == "de").select(F.concat(F.lit("mail/a/b/c/"), F.col("doc_id").cast("string"), F.lit("/1.")).alias("id"), content, (F.col("doc_id") % 2).alias("chain_count")),
+        "wiki": docs.where(lang == "fr").select(F.col("doc_id").alias("id"), F.lit("T").alias("title"), "text"),
+        "abstracts": docs.where((lang == "es") | lang.isNull()).select(F.col("doc_id").alias("id"), F.lit("two words").alias("title"), content),
+        "news": talk.select(F.col("conv_id").alias("instance_id"), F.transform("t", lambda x: F.struct(F.split(x["text"], "\n").alias("text"))).alias("documents")),
+        "reviews": talk.select(F.col("conv_id").alias("hotel_id"), F.transform("t", lambda x: F.struct(x["text"].alias("content"), F.lit("“t”").alias("title"), x["turn"].alias("review_id"))).alias("reviews")),
+        "code": talk.select(F.col("conv_id").alias("cluster_id"), F.lit("r").alias("repo_name"), F.transform("t", lambda x: F.struct(x["text"].alias("content"), F.lit("f").alias("filename"))).alias("documents")),
+    }
+    out = sampling.sample_pool(sources, n=31, least=60, most=900, negative=5, negatives_from=20)
+    return out.select("type", "id", F.size("documents").cast("long").alias("n_docs"), F.col("word_count").cast("long").alias("word_count"), "place", "is_negative")
 
 
 GROUPS = f"""{LINES}, g AS (SELECT 's' || doc_id AS sample_id, doc_id % 9 = 0 AS is_negative, 'm' || rater AS group_id, CASE WHEN (doc_id + rater + line_no) % 5 = 0 THEN -1 ELSE 0 END AS doc_id, start_pos, end_pos FROM spans)"""
@@ -189,7 +260,7 @@ def selection_samples(spark, d):
 
 
 def samples(spark, d):
-    rows = table(spark, d, "documents").where("lang is not null")
+    rows = table(spark, d, "documents").fillna("none", ["lang"])
     doc = F.array(F.struct(F.lit(0).alias("id"), F.col("text")))
     spans = rater_spans(docs_of(spark, d)).where("rater = 0").groupBy("doc_id").agg(F.collect_list(F.struct(F.lit(0).alias("doc_id"), "start_pos", "end_pos", "content")).alias("selections"))
     empty = F.array().cast("array<struct<doc_id:int,start_pos:int,end_pos:int,content:string>>")
@@ -199,7 +270,7 @@ def samples(spark, d):
 PROMPT_DOC = "'Doc #0:' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10)"
 
 
-@query(f"""SELECT 's' || doc_id AS sample_id, 'You select text.' AS system, CASE WHEN doc_id % 3 = 0 THEN 'Which parts are ' || lang || '?' ELSE 'Find ' || lang || ' text.' END || chr(10) || chr(10) || {PROMPT_DOC} AS prompt, 3 AS turns FROM documents WHERE lang IS NOT NULL""")
+@query(f"""SELECT 's' || doc_id AS sample_id, 'You select text.' AS system, CASE WHEN doc_id % 3 = 0 THEN 'Which parts are ' || lang || '?' ELSE 'Find ' || lang || ' text.' END || chr(10) || chr(10) || {PROMPT_DOC} AS prompt, 3 AS turns FROM (SELECT * REPLACE (coalesce(lang, 'none') AS lang) FROM documents)""")
 def prompt_items(spark, d):
     rows = samples(spark, d)
     others = rows.where("doc_id % 3 = 0").select("sample_id", F.lit("Which parts are {lang}?").alias("paraphrase"))
@@ -208,7 +279,7 @@ def prompt_items(spark, d):
 
 
 @query(f"""SELECT 's' || doc_id AS sample_id, 'Find ' || lang || ' text.' || chr(10) || chr(10) || 'Below is an example of an input and the correct selected content:' || chr(10) || chr(10) || 'Language: xx' || chr(10) || 'Input Document(s):' || chr(10) || chr(10) || 'Doc #0:' || chr(10) || 'an example' || chr(10) || chr(10) || chr(10) || 'Selected Content:' || chr(10) || chr(10) || '[' || chr(10) || '    "example"' || chr(10) || ']' || chr(10) || chr(10)
- || '--- END OF EXAMPLES ---' || chr(10) || chr(10) || 'Now, select content from the below document(s):' || chr(10) || chr(10) || 'Language: ' || lang || chr(10) || 'Input Document(s):' || chr(10) || chr(10) || {PROMPT_DOC} || 'You''re selected content answer is:' || chr(10) || chr(10) AS prompt FROM documents WHERE lang IS NOT NULL""")
+ || '--- END OF EXAMPLES ---' || chr(10) || chr(10) || 'Now, select content from the below document(s):' || chr(10) || chr(10) || 'Language: ' || lang || chr(10) || 'Input Document(s):' || chr(10) || chr(10) || {PROMPT_DOC} || 'You''re selected content answer is:' || chr(10) || chr(10) AS prompt FROM (SELECT * REPLACE (coalesce(lang, 'none') AS lang) FROM documents)""")
 def example_prompts(spark, d):
     from .operators.build import answer
 
@@ -218,7 +289,26 @@ def example_prompts(spark, d):
     return samples(spark, d).select("sample_id", text.alias("prompt"))
 
 
-@query(f"""WITH {LINES}, e AS (SELECT doc_id, string_agg('0<D>' || content || '<S>', '' ORDER BY start_pos) AS x FROM spans WHERE rater = 0 GROUP BY doc_id) SELECT 's' || d.doc_id AS sample_id, md5(coalesce(x, '999<D>No relevant content found<S>')) AS digest FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id WHERE lang IS NOT NULL""")
+ICL_EXAMPLE = "'Item ' || item_id || chr(10) || 'Input Document(s):' || chr(10) || chr(10) || 'Doc #0:' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || chr(10) || 'Selected Content:' || chr(10) || chr(10) || '[' || chr(10) || '    ' || to_json(text[1:9])::VARCHAR || chr(10) || ']' || chr(10) || chr(10)"
+
+
+@query(f"""WITH p AS (SELECT item_id, {ICL_EXAMPLE} AS shown, row_number() OVER (ORDER BY md5(item_id || ':42'), item_id) AS r FROM benchmark), e AS (SELECT string_agg(shown, '' ORDER BY r) AS shown FROM p WHERE r <= 2)
+SELECT d.doc_id AS sample_id, md5('Select text.' || chr(10) || chr(10) || 'Below are examples of an input and the correct selected content:' || chr(10) || chr(10) || e.shown || '--- END OF EXAMPLES ---' || chr(10) || chr(10) || 'Now, select content from the below document(s):' || chr(10) || chr(10) || 'Document' || chr(10) || 'Input Document(s):' || chr(10) || chr(10) || {PROMPT_DOC} || 'You''re selected content answer is:' || chr(10) || chr(10)) AS prompt,
+CASE WHEN bool_or(d.doc_id % 3 > 0) OVER (PARTITION BY regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) THEN '["x"]' END AS selection FROM documents d, e""")
+def predict_icl(spark, d):
+    """Every document with two worked examples from the benchmark; two thirds of the completions are recorded (equal prompts share one)."""
+    span = F.array(F.struct(F.lit(0).alias("doc_id"), F.lit(0).alias("start_pos"), F.lit(9).alias("end_pos"), F.substr("text", F.lit(1), F.lit(9)).alias("content")))
+    doc = lambda c: F.array(F.struct(F.lit(0).alias("id"), c.alias("text")))
+    pool = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("sample_id"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("item"), doc(F.col("text")).alias("docs"), span.alias("selections"))
+    asked = docs_of(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), "doc_id", F.lit("Select text.").alias("instruction"), F.lit("Document").alias("item"), doc(F.col("text")).alias("docs"))
+    none = spark.createDataFrame([], "key string, completion string")
+    keyed = icl.predict_with_examples(asked, pool, none, "m1", "You select.").select("sample_id", files.cache_key(F.struct(F.lit("m1").alias("model"), "conversations")).alias("key"))
+    record = keyed.where(F.substr("sample_id", F.lit(2)).cast("long") % 3 > 0).select("key", F.lit('["x"]').alias("completion")).distinct()
+    out = icl.predict_with_examples(asked, pool, record, "m1", "You select.")
+    return out.select(F.substr("sample_id", F.lit(2)).cast("long").alias("sample_id"), F.md5(F.get("conversations", F.lit(1))["content"]).alias("prompt"), "selection")
+
+
+@query(f"""WITH {LINES}, e AS (SELECT doc_id, string_agg('0<D>' || content || '<S>', '' ORDER BY start_pos) AS x FROM spans WHERE rater = 0 GROUP BY doc_id) SELECT 's' || d.doc_id AS sample_id, md5(coalesce(x, '999<D>No relevant content found<S>')) AS digest FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""")
 def encoded_answers(spark, d):
     return samples(spark, d).select("sample_id", F.md5(prompts.encoded_answer(F.array_sort("selections"))).alias("digest"))
 

@@ -105,7 +105,7 @@ def document_number(name: Column) -> Column:
 
 def split_addresses(c: Column) -> Column:
     """The distinct addresses of a comma-separated header, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), strip), lambda x: x != ""))
 
 
 def choose_wording(c: Column, is_code: Column) -> Column:

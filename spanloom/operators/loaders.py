@@ -88,6 +88,37 @@ def claims(raw: DataFrame, corpus: DataFrame, prefix: str) -> tuple[DataFrame, D
     return docs.drop("source_id", "s"), refs
 
 
+def claim_violations(raw: DataFrame, corpus: DataFrame, prefix: str) -> DataFrame:
+    """``(sample_id, rule, n)`` of broken rules: ``sentence`` (not exactly once in its document), ``cited`` (documents are not the distinct cited ones), ``corpus`` (a cited document is missing or there more than once)."""
+    docs, refs = claims(raw, corpus, prefix)
+    both = refs.join(docs.select("sample_id", "doc_id", "text"), ["sample_id", "doc_id"])
+    times = F.try_divide(F.length("text") - F.length(F.replace("text", F.col("content"), F.lit(""))), F.length("content"))
+    rules = [both.where(~F.coalesce(times == 1, F.lit(False))).select("sample_id", F.lit("sentence").alias("rule"))]
+    keyed = raw.select(F.concat(F.lit(f"{prefix}."), F.col("id").cast("string")).alias("sample_id"), "cited_doc_ids", F.array_union(F.transform("evidence", lambda e: e["doc_id"]), "cited_doc_ids").alias("all"))
+    rules.append(keyed.where(F.size("all") != F.size(F.array_distinct("cited_doc_ids"))).select("sample_id", F.lit("cited").alias("rule")))
+    held = corpus.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rules.append(keyed.select("sample_id", F.explode("all").alias("doc_id")).join(held, "doc_id", "left").where("coalesce(n, 0) <> 1").select("sample_id", F.lit("corpus").alias("rule")))
+    out = rules[0].unionByName(rules[1]).unionByName(rules[2])
+    return out.groupBy("sample_id", "rule").agg(F.count("*").alias("n"))
+
+
+def claim_splits(raw: DataFrame, key: str = "id", share: float = 0.85, seed: int = 42) -> DataFrame:
+    """``raw`` with ``split``: the first 85 % of the rows in draw order are ``train``, the others ``dev``."""
+    from .build import numbered_draws
+
+    placed = numbered_draws(raw.withColumn("_all", F.lit(0)), "_all", key, seed)
+    total = raw.agg(F.floor(F.count("*") * share).alias("_t"))
+    return placed.join(F.broadcast(total), F.lit(True)).withColumn("split", F.when(F.col("_p") < F.col("_t"), "train").otherwise("dev")).drop("_all", "_p", "_t")
+
+
+def debates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``raw(id, document, abstract, spans array<struct<content, start_pos, end_pos>>)``: ``(docs, refs)``, docs with the ``argument``."""
+    key = F.col("id").cast("string").alias("sample_id")
+    docs = raw.select(key, F.lit(0).alias("doc_id"), F.col("document").alias("text"), F.lit(None).cast("string").alias("filename"), F.lit(None).cast("array<int>").alias("chunks_pos"), F.regexp_replace("abstract", r"(?U)\s+", " ").alias("argument"))
+    each = raw.select(key, F.lit(0).alias("group_ord"), F.posexplode("spans").alias("sel_ord", "s"), F.lit(0).alias("doc_id"))
+    return docs, each.select("sample_id", "group_ord", "sel_ord", "doc_id", "s.start_pos", "s.end_pos", "s.content", F.lit(None).cast("int").alias("importance"))
+
+
 def claim_text(c: Column) -> Column:
     """A claim without the stops and white space around it."""
     return strip(F.regexp_replace(strip(c), r"^\.+|\.+$", ""))
@@ -187,22 +218,6 @@ def word_range_sample(docs: DataFrame, n: int, id_col: str = "doc_id", text_col:
     return yes.unionByName(no)
 
 
-def first_paragraphs(text: Column, title: Column, n: int = 30) -> Column:
-    """A title and the first ``n`` paragraphs of a text, a line each."""
-    return F.concat(title, F.lit("\n"), F.array_join(F.slice(F.split(text, "\n"), 1, n), "\n"))
-
-
-def tagging_pool(sources: dict[str, DataFrame], n: int = 500, negative: int = 25, id_col: str = "doc_id") -> DataFrame:
-    """``n`` rows of each source, typed, of which the last ``negative`` in random order are negatives."""
-    out = None
-    for kind, rows in sources.items():
-        place = F.row_number().over(Window.partitionBy(F.lit(kind)).orderBy(*seeded_order(id_col)))
-        part = rows.orderBy(*seeded_order(id_col)).limit(n).withColumn("_p", place)
-        part = part.withColumn("type", F.lit(kind)).withColumn("is_negative", F.col("_p") > n - negative).drop("_p")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def filter_groups(groups: DataFrame, raters: int = 3, drop_ungrounded: bool = True, keep_emptied: bool = False) -> DataFrame:
     """Annotator spans ``(sample_id, is_negative, group_id, doc_id, start_pos, end_pos)`` of the samples worth merging.
 
@@ -218,11 +233,6 @@ def filter_groups(groups: DataFrame, raters: int = 3, drop_ungrounded: bool = Tr
     return groups.where("is_negative").unionByName(kept.join(enough, "sample_id", "left_semi").select(*groups.columns))
 
 
-def first_per_set(samples: DataFrame, set_col: str, order_col: str, k: int) -> DataFrame:
-    """The first ``k`` samples of each document set."""
-    return samples.withColumn("_r", F.row_number().over(Window.partitionBy(set_col).orderBy(order_col))).where(F.col("_r") <= k).drop("_r")
-
-
 def answer_group(groups: DataFrame, medoids: DataFrame, mode: str = "merge", annotated: str = "ReverseInstructions") -> DataFrame:
     """Which group's spans answer each sample: ``(sample_id, group_id)``; negatives of the ``annotated`` dataset have none.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import split_addresses, token_count
+
 SELECTION = "struct<doc_id:int,start_pos:int,end_pos:int,content:string,metadata:struct<total_count:int,best_dist:int,mode:string,importance:int>>"
 SAMPLE = f"id string, source_dataset string, selections array<struct<id:string,selections:array<{SELECTION}>>>, docs array<struct<id:int,text:string,filename:string,chunks_pos:array<int>,metadata:map<string,string>>>, instruction_context map<string,string>, type string"
 
@@ -41,6 +43,28 @@ def read_texts(spark: SparkSession, path: str, id_pattern: str = r"([^/]+)\.txt$
     return raw.select(F.regexp_extract("path", id_pattern, 1).alias("id"), "text", "path")
 
 
+def read_topics(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """Files ``test<topic>/<number>.txt`` as ``(topic_id, doc_id, text)``; an error if a topic's numbers are not 0, 1 and so on, each once."""
+    raw = read_texts(spark, path, r"/test(\d{1,2})/[0-5]\.txt$")
+    docs = raw.where("id <> ''").select(F.col("id").cast("int").alias("topic_id"), F.regexp_extract("path", r"([0-5])\.txt$", 1).cast("int").alias("doc_id"), "text")
+    if check:
+        broken = docs.groupBy("topic_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.max("doc_id").alias("last")).where("n <> d or last <> n - 1")
+        found = [r["topic_id"] for r in broken.select("topic_id").orderBy("topic_id").limit(10).collect()]
+        if found:
+            raise ValueError(f"documents of topics {found} are not numbered without gaps")
+    return docs
+
+
+def read_sheets(spark: SparkSession, paths: dict[str, str], schema: str, keys: list[str]) -> DataFrame:
+    """Sheets of one form, a CSV file each, side by side: ``keys`` and every other column once a sheet, named ``<column>_<sheet>``; rows that a sheet lacks are null there."""
+    out = None
+    for name, path in paths.items():
+        sheet = read_csv(spark, path, schema)
+        sheet = sheet.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in sheet.columns if c not in keys])
+        out = sheet if out is None else out.join(sheet, keys, "full")
+    return out
+
+
 def sample_docs(samples: DataFrame) -> DataFrame:
     return samples.select(F.col("id").alias("sample_id"), F.explode("docs").alias("d")).select("sample_id", F.col("d.id").alias("doc_id"), "d.text", "d.filename", "d.chunks_pos")
 
@@ -52,11 +76,15 @@ def sample_references(samples: DataFrame) -> DataFrame:
     return each.select("sample_id", "group_ord", "group_id", "sel_ord", "s.doc_id", "s.start_pos", "s.end_pos", "s.content")
 
 
-_MAIL = "user string, message_id string, subject string, sender string, recipients string, body string, chain_count int"
+_MAIL = "id string, user string, message_id string, subject string, sender string, recipients string, body string, chain_count int"
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:
-    """A mail folder, one message a file: headers, joined plain-text parts and quoted messages counted."""
+    """A mail folder, one message a file: headers, addresses, joined plain-text parts, words and quoted messages counted.
+
+    ``id`` is the last three parts of the path, ``from_address`` the first address of the sender, ``to_addresses`` the distinct ones
+    of the recipients (null without any).
+    """
 
     def parse(batches):
         for df in batches:
@@ -66,11 +94,13 @@ def read_mail(spark: SparkSession, path: str) -> DataFrame:
                 parts = [p.get_payload(decode=True) or b"" for p in m.walk() if p.get_content_type() == "text/plain"]
                 body = "\n".join(p.decode("utf-8", "replace") for p in parts)
                 folder = where.rstrip("/").split("/")
-                rows.append((folder[-3] if len(folder) > 3 else "", m.get("Message-ID"), m.get("Subject"), m.get("From"), m.get("To"), body, body.count("-----Original Message-----")))
-            yield pd.DataFrame(rows, columns=["user", "message_id", "subject", "sender", "recipients", "body", "chain_count"])
+                rows.append(("/".join(folder[-3:]), folder[-3] if len(folder) > 3 else "", m.get("Message-ID"), m.get("Subject"), m.get("From"), m.get("To"), body, body.count("-----Original Message-----")))
+            yield pd.DataFrame(rows, columns=["id", "user", "message_id", "subject", "sender", "recipients", "body", "chain_count"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(parse, _MAIL)
+    read = files.select("path", "content").mapInPandas(parse, _MAIL)
+    listed = lambda c: F.when(F.trim(c) != "", split_addresses(F.col(c)))
+    return read.withColumns({"from_address": F.get(listed("sender"), F.lit(0)), "to_addresses": listed("recipients"), "word_count": token_count(F.col("body"))})
 
 
 def cache_key(arguments: Column) -> Column:
@@ -111,8 +141,6 @@ def write_eval_rows(rows: DataFrame, path: str) -> None:
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """A folder of books ``<number>.txt`` as ``(id, text, word_count)``, by id."""
-    from ..functions.text import token_count
-
     return read_texts(spark, path, r"(\d+)\.txt$").where("id <> ''").select(F.col("id").cast("long").alias("id"), "text", token_count(F.col("text")).alias("word_count")).orderBy("id")
 
 
