@@ -9,6 +9,10 @@ whose capacity falls with their distance in the tree; their scale is fitted on
 the same pages. A maximum flow separates content from boilerplate at the least
 total cost; the content blocks are the text.
 
+Names of classes are a weak hint: a part that holds most of a page's prose is no furniture,
+whatever it is called, and readers' comments without a name are told by their making:
+siblings of one shape, each with a line like a name and a date.
+
 Pages are independent: one task holds one page at a time. Time is near linear in
 a page's length, however deep its tags nest. A null or empty page
 and a page without content give an empty text. Unclosed, stray and cut-off tags
@@ -35,7 +39,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style textarea noscript iframe template svg math object canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style textarea noscript iframe template svg object canvas audio video xmp noembed noframes annotation annotation-xml".split())
+#: What runs to the end of the page if it is not closed; of others an unclosed tag alone is skipped.
+TO_THE_END = frozenset(("script", "style", "template", "xmp"))
 NEVER = frozenset("head title button select option optgroup datalist dialog".split()) | RAW
 ASIDE = frozenset("nav footer aside form menu header fieldset search".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,6 +52,8 @@ FURNITURE = frozenset(
     "widget rail tags tagcloud byline meta toc alert notice notices gdpr consent rss feed complementary contentinfo navigation teaser teasers poll".split()
 )
 FURNITURE_START = ("advert", "adsense", "sponsor", "promo", "banner", "sidebar", "breadcrumb", "comment", "disqus", "reply", "replies", "respond", "cookie", "newsletter", "subscri", "recommend", "paginat", "navbar", "navigat", "footer", "outbrain", "taboola", "disclaimer", "feedback", "dropdown", "offcanvas", "lightbox", "paywall")
+#: Beginnings of words that mark readers' comments.
+DISCUSSION = ("comment", "disqus", "respond", "replies", "discussion", "talkback", "thread")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([A-Za-z][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -54,12 +62,18 @@ _RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|copyright|cookie|pri
 _END = re.compile(r"[.!?…。！？:;\"'»”)]\s*$")
 
 
+#: What a line of an author, a date or a reply has.
+_SIGNED = re.compile(r"\b(?:ago|says|said|wrote|replied|reply|posted|commented)\b|\b\d{1,2}:\d\d\b|\b(?:19|20)\d\d\b|\b\d{1,2}[./-]\d{1,2}[./-]", re.I)
+#: Elements that hold a comment.
+THREADED = frozenset(("div", "li", "article", "section"))
+#: The shares of a page's prose from which a part is its text in spite of its name, or of a name of comments.
+MOST, NEARLY_ALL = 0.5, 0.8
 #: Edges over longer ways in the tree have no capacity worth counting.
 FAR = 40
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "marked", "never", "aside", "article", "holds", "owner", "context")
+    __slots__ = ("tag", "parent", "depth", "marked", "never", "aside", "article", "holds", "owner", "context", "shape", "prose", "parts", "signed", "thread")
 
     def __init__(self, tag: str, parent: Element | None, attrs: str):
         self.tag, self.parent = tag, parent
@@ -70,17 +84,24 @@ class Element:
         self.marked = 0
         self.holds = False  # an article, main or h1 below
         self.owner = self if tag in BLOCK or parent is None else parent.owner
-        self.context: tuple[bool, bool, bool] | None = None
+        self.context: tuple[bool, bool, bool, bool] | None = None
+        self.shape = tag  # tells siblings that are made alike
+        self.prose = 0.0  # the share of the page's prose below
+        self.parts = 0  # blocks below
+        self.signed = False  # a line like an author's or a date below
+        self.thread = False  # one of several signed siblings of one shape
         if attrs and tag not in ("html", "body"):
             self._read(attrs)
 
     def _read(self, attrs: str) -> None:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "class":
+                self.shape = f"{self.tag}.{value}"
             if name in ("class", "id", "role"):
                 words = [w.lower() for part in re.split(r"[^A-Za-z0-9]+", value) for w in (_WORD.findall(part) or [part])]
                 whole = [w.lower() for w in re.split(r"[\s_-]+", value) if w]
-                if any(w.startswith(("comment", "disqus", "respond", "replies")) for w in whole + words):
+                if any(w.startswith(DISCUSSION) for w in whole + words):
                     self.marked = 2
                 elif any(w in FURNITURE or w.startswith(FURNITURE_START) for w in whole + words):
                     self.marked = max(self.marked, 1)
@@ -98,18 +119,23 @@ class Element:
                 break
             e = e.parent
 
-    def surroundings(self) -> tuple[bool, bool, bool]:
-        """Whether it stands in page furniture, beside the text, and in an article; known once the page is read."""
+    def surroundings(self) -> tuple[bool, bool, bool, bool]:
+        """Whether it stands in page furniture, beside the text, in an article, and among readers' comments; known once the page is read.
+
+        A part that holds most of the page's prose is no furniture, whatever its name.
+        """
         chain, e = [], self
         while e is not None and e.context is None:
             chain.append(e)
             e = e.parent
-        furniture, aside, inside = e.context if e is not None else (False, False, False)
+        furniture, aside, inside, thread = e.context if e is not None else (False, False, False, False)
         for x in reversed(chain):
-            inside = inside or x.article and not x.marked
-            furniture = furniture or x.marked == 2 and not (x.holds and x.tag in ("body", "html")) or x.marked == 1 and not x.holds and not x.article
-            aside = aside or x.aside and not x.holds and not (x.tag == "header" and inside)
-            x.context = furniture, aside, inside
+            inside = inside or x.article and (not x.marked or x.prose >= MOST)
+            named = x.marked == 2 and not (x.holds and (x.tag in ("body", "html") or x.prose >= MOST)) and x.prose < NEARLY_ALL or x.marked == 1 and not x.holds and not x.article and x.prose < MOST
+            furniture = furniture or named
+            aside = aside or x.aside and not x.holds and not (x.tag == "header" and inside) and x.prose < MOST
+            thread = thread or x.thread and x.prose < MOST
+            x.context = furniture, aside, inside, thread
         return self.context
 
 
@@ -127,6 +153,7 @@ def blocks_of(page: str) -> list[Block]:
     opened: dict[str, list[int]] = {}  # where the open elements of a tag stand on the stack
     open_blocks: list[int] = []
     linked = 0  # characters inside links in the block so far
+    unclosed: set[str] = set()  # raw tags without an end in the rest of the page
 
     def end() -> None:
         nonlocal linked
@@ -177,9 +204,15 @@ def blocks_of(page: str) -> list[Block]:
                 close(k)
             continue
         if name in RAW:
-            if not attrs.rstrip().endswith("/") or name not in ("svg", "math"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else n
+            if not attrs.rstrip().endswith("/") or name != "svg":
+                if name not in unclosed:
+                    stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                    if stop:
+                        at = stop.end()
+                    elif name in TO_THE_END:
+                        at = n
+                    else:
+                        unclosed.add(name)
             continue
         if name == "br":
             held.append(" ")
@@ -205,21 +238,55 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def weigh(blocks: list[Block]) -> None:
+    """Tells each element above a block its share of the page's prose, and which are signed siblings of one shape with more to say.
+
+    Prose are blocks of some words that are no links. Elements are visited once, the deepest first.
+    """
+    seen: dict[int, Element] = {}
+    for b in blocks:
+        words = b.text.count(" ") + 1
+        if words >= 8 and b.links * 2 < b.chars:
+            b.element.prose += b.chars
+        b.element.parts += 1
+        b.element.signed = b.element.signed or words <= 8 and b.text[-1] not in ".!?…" and _SIGNED.search(b.text) is not None
+        e = b.element
+        while e is not None and id(e) not in seen:
+            seen[id(e)] = e
+            e = e.parent
+    order = sorted(seen.values(), key=lambda e: -e.depth)
+    alike: dict[tuple[int, str], list[Element]] = {}
+    for e in order:
+        if e.parent is not None:
+            e.parent.prose += e.prose
+            e.parent.parts += e.parts
+            e.parent.signed = e.parent.signed or e.signed
+            if e.signed and e.parts > 1 and e.tag in THREADED:
+                alike.setdefault((id(e.parent), e.shape), []).append(e)
+    total = order[-1].prose if order else 0.0
+    for group in alike.values():
+        for e in group:
+            e.thread = len(group) > 1 and not e.holds
+    for e in order:
+        e.prose /= total or 1.0
+
+
 #: What the classifier sees of a block, besides a constant.
-FEATURES = ("furniture", "aside", "inside", "beside an article", "link share", "mostly links", "words", "few words", "ends a sentence", "h1", "paragraph", "item outside", "rights or sign-up", "after h1")
+FEATURES = ("furniture", "aside", "comment", "inside", "beside an article", "link share", "mostly links", "words", "few words", "ends a sentence", "h1", "paragraph", "item outside", "rights or sign-up", "after h1")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """A row of ``FEATURES`` and a 1 for each block."""
+    weigh(blocks)
     around = [b.element.surroundings() for b in blocks]
-    has_article = any(inside for _, _, inside in around)
+    has_article = any(inside for _, _, inside, _ in around)
     out = np.ones((len(blocks), len(FEATURES) + 1))
     title = False
-    for row, b, (furniture, aside, inside) in zip(out, blocks, around, strict=True):
+    for row, b, (furniture, aside, inside, thread) in zip(out, blocks, around, strict=True):
         words, tag, links = b.text.count(" ") + 1, b.element.tag, b.links / max(1, b.chars)
         title = title or tag == "h1"
         row[:-1] = (
-            furniture, aside, inside, has_article and not inside, links, links > 0.5, min(30, words) / 10, words < 6 and not inside, _END.search(b.text) is not None,
+            furniture, aside, thread, inside, has_article and not inside, links, links > 0.5, min(30, words) / 10, words < 6 and not inside, _END.search(b.text) is not None,
             tag == "h1", tag in ("p", "blockquote", "pre", "h2", "h3"), tag == "li" and not inside, not inside and _RIGHTS.search(b.text) is not None, title,
         )
     return out

@@ -1,8 +1,9 @@
 """Labelled pages for the block classifier of HTML extraction, and its fit.
 
-Pages are made from random layouts: an article in a named or unnamed container,
-among menus, headers, adverts, notices, sidebars, forms, comments and footers that
-tell their role by element, by class, or by their text alone. The label of a block
+Pages are made from random layouts: an article in a named or unnamed container (some
+with names that sound like furniture), among menus, headers, adverts, notices, sidebars,
+forms, comments and footers that tell their role by element, by class, or by their text
+and their place alone. The label of a block
 is known from its making. The classifier is a logistic regression on ``PAGES``
 pages; the scale of the smoothness edges is the one with the fewest wrong blocks on
 as many other pages.
@@ -20,7 +21,8 @@ from .html_extract import blocks_of, content_of, features
 #: Pages to fit on, and pages to choose the scale of the edges on.
 PAGES = 400
 SCALES = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0)
-#: Names that sites give their parts.
+#: Names that sites give their parts. Half of the parts have a name of random letters instead, so that what they hold and
+#: where they stand tells them apart; some articles have a name that sounds like furniture.
 CONTAINERS = ("<article>", "<main>", '<div id="content">', '<div class="post-body">', '<div class="story">', "<div>", "<div>", "<section>")
 ADVERTS = ('<div class="ad">', '<div class="ad-box">', '<div id="sponsor">', '<div class="promo">', '<div class="banner">', "<aside>", "<div>")
 SIDES = ("<aside>", '<div class="sidebar">', '<div id="related">', '<section class="recommended">', '<div class="widget">', "<div>")
@@ -28,6 +30,7 @@ NOTICES = ('<div class="cookie-notice">', '<div id="consent">', '<div class="ale
 COMMENTS = ('<section id="comments">', '<div class="comment-list">', '<div id="disqus">', '<div class="replies">')
 HEADS = ("<header>", '<div class="masthead">', '<div id="header">')
 FEET = ("<footer>", '<div class="footer">', '<div id="legal">', "<div>")
+MISLEADING = ("rail-travel", "reply-brief", "feedback-loops", "alert-levels", "navigation-history", "comment-on-trade", "sponsor-law", "feed-prices")
 SLOGANS = ("We use cookies to improve things.", "Sign up for our newsletter", "All rights reserved.", "Privacy policy", "Log in", "Subscribe now", "© 2020 by us")
 
 
@@ -55,6 +58,30 @@ class PageMaker:
     def put(self, opening: str, *inside: str) -> None:
         self.parts += [opening, *inside, f"</{opening[1:].split()[0].rstrip('>')}>"]
 
+    def named(self, openings: tuple[str, ...]) -> str:
+        """One of the openings; half of those that tell their part by a name get one of random letters."""
+        opening = self.random.choice(openings)
+        if "=" in opening and self.random.random() < 0.5:
+            return f'<{opening[1:].split()[0]} class="{self.words(1, 1)}">'
+        return opening
+
+    def signed(self) -> str:
+        """A reader's name with a time, in one of several forms."""
+        r = self.random
+        who, when = self.words(1, 2), r.choice([f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(2005, 2024)}", f"{r.randint(2, 59)} minutes ago", f"{r.randint(10, 23)}:{r.randint(10, 59)}", f"{self.words(1, 1)} {r.randint(2005, 2024)}"])
+        return r.choice([f"<span>{who}</span> {when}<br>", f"<p>{who} {when}</p>", f"<div>{who} wrote {when}</div>", f"<h4>{who}</h4><p>{when}</p>"])
+
+    def comments(self) -> None:
+        r = self.random
+        opening, one = self.named(COMMENTS), r.choice(["<div>", f'<div class="{self.words(1, 1)}">', "<li>", "<article>"])
+        n, plain = r.randint(2, 6), r.random() < 0.3 and "=" in opening and any(opening == c for c in COMMENTS)
+        inside = [f"<p>{self.sentence(4, 50)}</p>" if plain else f"{one}{self.signed()}<p>{self.sentence(4, 50)}</p></{one[1:].split()[0].rstrip('>')}>" for _ in range(n)]
+        self.put(opening, *(["<h3>" + self.words(1, 3) + "</h3>"] if r.random() < 0.4 else []), *inside)
+
+    def beside(self) -> None:
+        """A remark beside the text, inside the article."""
+        self.put("<aside>", f"<p>{self.sentence(4, 40)}</p>")
+
     def links(self, n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="#">{self.words(1, 4)}</a></li>' for _ in range(n)) + "</ul>"
 
@@ -64,11 +91,11 @@ class PageMaker:
     def advert(self) -> None:
         inside = self.random.random()
         text = self.sentence(3, 14)
-        self.put(self.random.choice(ADVERTS), f"<p>{text}</p>" if inside < 0.2 else text if inside < 0.5 else f'<a href="#">{self.words(2, 8)}</a>')
+        self.put(self.named(ADVERTS) if inside > 0.5 else self.random.choice(ADVERTS), f"<p>{text}</p>" if inside < 0.2 else text if inside < 0.5 else f'<a href="#">{self.words(2, 8)}</a>')
 
     def article(self) -> None:
         r = self.random
-        container = r.choice(CONTAINERS)
+        container = f'<{r.choice(["div", "section", "article"])} class="{r.choice(MISLEADING)}">' if r.random() < 0.1 else r.choice(CONTAINERS)
         self.parts.append(container)
         if r.random() < 0.85:
             self.put("<h1>", self.text(2, 10))
@@ -85,9 +112,11 @@ class PageMaker:
             elif kind < 0.92:
                 self.put("<blockquote>", self.text(5, 40))
             elif kind < 0.95:
-                self.put("<div>", self.text(4, 40))
-            else:
+                self.put("<div>", self.text(1, 4) if r.random() < 0.5 else self.text(4, 40))
+            elif kind < 0.98:
                 self.advert()
+            else:
+                self.beside()
         self.parts.append(f"</{container[1:].split()[0].rstrip('>')}>")
 
     def page(self) -> str:
@@ -102,13 +131,13 @@ class PageMaker:
             self.advert()
         self.article()
         if r.random() < 0.4:
-            self.put(r.choice(COMMENTS), *(f"<p>{self.sentence(4, 50)}</p>" for _ in range(r.randint(1, 5))))
+            self.comments()
         if r.random() < 0.4:
-            self.put(r.choice(SIDES), f"<h3>{self.words(1, 3)}</h3>", self.links(r.randint(2, 6)))
+            self.put(self.named(SIDES), f"<h3>{self.words(1, 3)}</h3>", self.links(r.randint(2, 6)))
         if r.random() < 0.3:
             self.put("<form>", self.wrap(r.choice(SLOGANS)))
         if r.random() < 0.8:
-            self.put(r.choice(FEET), self.wrap(r.choice(SLOGANS)), self.wrap(self.words(2, 8)) if r.random() < 0.5 else "")
+            self.put(self.named(FEET), self.wrap(r.choice(SLOGANS)), self.wrap(self.words(2, 8)) if r.random() < 0.5 else "")
         return f"<html><body>{''.join(self.parts)}</body></html>"
 
 

@@ -105,6 +105,54 @@ def test_main_text():
     assert main_text("<article>" + "<p>Some words of text here." * 3000 + "</article>").count("\n") == 2999
 
 
+FIRST, SECOND, THIRD = (
+    "The council met on Tuesday to settle what should become of the old harbour and the sheds that stand along it.",
+    "Most of those who spoke wanted the sheds kept, though nobody could tell who would pay for their roofs.",
+    "A decision is to be made in spring, after the engineers have looked at the walls once more.",
+)
+BODY = f"<p>{FIRST}</p><p>{SECOND}</p><h2>What comes next</h2><p>{THIRD}</p>"
+TEXT = "\n".join([FIRST, SECOND, "What comes next", THIRD])
+MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">World news</a></li><li><a href="/c">Sport</a></li></ul>'
+FOOT = '<div class="xq"><span>© 2021 The Example</span><br><a href="/p">Privacy policy</a></div>'
+THREAD = "".join(f"<div><span>{who}</span> <b>{when}</b><br><p>{said}</p></div>" for who, when, said in [("ann", "3 hours ago", "I used to play in those sheds when I was a child and would hate to see them go."), ("bob k", "yesterday 12:40", "They should have been pulled down years ago, if you ask me, and so should the crane."), ("cy", "12.4.2021", "Nice.")])
+
+
+@pytest.mark.parametrize("name", ["rail-travel", "reply-brief", "feedback-loops", "comment-on-trade", "navigation-history", "content", "kzzt"])
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_names_do_not_empty_articles(name, tag):
+    for head, body in (("<h1>Harbour sheds</h1>", BODY), ("", f"<h1>Harbour sheds</h1>{BODY}")):
+        assert main_text(f'<html><body><div class="q">{MENU}</div>{head}<{tag} class="{name}">{body}</{tag}>{FOOT}</body></html>') == f"Harbour sheds\n{TEXT}"
+
+
+@pytest.mark.parametrize("opening,closing", [('<section class="discussion"><div class="thread">', "</div></section>"), ("<section><div>", "</div></section>"), ('<div class="qqx">', "</div>"), ("<div>", "</div>")])
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_comments_go_whatever_their_container(opening, closing, article):
+    page = f"<body><div>{MENU}</div><{article}><h1>Harbour sheds</h1>{BODY}</{article}>{opening}{THREAD}{closing}{FOOT}</body>"
+    assert main_text(page) == f"Harbour sheds\n{TEXT}"
+    inside = f"<body><div>{MENU}</div><{article}><h1>Harbour sheds</h1>{BODY}{opening}{THREAD}{closing}</{article}>{FOOT}</body>"
+    assert main_text(inside) == f"Harbour sheds\n{TEXT}"
+
+
+def test_sidebars_go_inside_articles_too():
+    aside = "<aside><h3>Harbour in numbers</h3><p>There are eleven sheds, the oldest of which was built in the year of the great storm.</p></aside>"
+    assert main_text(f"<body><article><h1>Harbour sheds</h1><p>{FIRST}</p>{aside}<p>{SECOND}</p></article></body>") == f"Harbour sheds\n{FIRST}\n{SECOND}"
+
+
+def test_dates_and_lists_of_an_article_stay():
+    years = "".join(f"<li>In {y} the roof of shed {k} was mended by the town.</li>" for k, y in enumerate((1901, 1925, 1960)))
+    parts = "".join(f"<section><h2>Shed {k}</h2><p>Built in {1900 + k}.</p><p>{t}</p></section>" for k, t in enumerate((FIRST, SECOND, THIRD)))
+    got = main_text(f"<body><main><h1>Harbour sheds</h1><p>{FIRST}</p><ul>{years}</ul>{parts}</main>{FOOT}</body>")
+    assert got.count("\n") == 13 and "Built in 1902." in got and "In 1960 the roof" in got
+
+
+def test_raw_tags_without_an_end():
+    for tag in ("<svg>", "<object data=x>", "<noscript>", "<svg><path d='M0'>"):
+        assert main_text(f"<article><p>{FIRST}{tag}</p><p>{SECOND}</p></article>") == f"{FIRST}\n{SECOND}"
+    assert main_text(f"<article><p>{FIRST}</p><p>{SECOND}</p></article><script>var x = 1; track(") == f"{FIRST}\n{SECOND}"
+    assert main_text(f"<article><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, the sheds stand as they stood before.</p><p>{FIRST}</p></article>").startswith("Where x=1 holds, the sheds")
+    assert main_text(f"<article><p>{FIRST}<svg><text>no</text></svg> And on.</p><p>{SECOND}</p></article>") == f"{FIRST} And on.\n{SECOND}"
+
+
 def test_edges_change_labels():
     """A short piece without a sentence's end, between paragraphs of an unnamed container, is content by its neighbours alone."""
     long = "Some plain words that go on for long enough to be told as a text of the page, one after another."
