@@ -8,13 +8,16 @@ where another block begins. Marked runs are spans of the document by running off
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from collections import deque
+from collections.abc import Iterator
+from html import unescape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Tags that end an open paragraph.
+#: Tags that end an open paragraph; headings and paragraphs among them.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 div ul ol dl table form blockquote pre section article aside header footer nav main hr address fieldset".split())
 SILENT = frozenset(("script", "style"))
 CARD = "card: int, abstract: string, citation: string, document: string, spans: array<struct<start_pos:int,end_pos:int,content:string>>"
@@ -35,68 +38,61 @@ class _Paragraph:
             self.depth = 0
 
 
-class _Reader(HTMLParser):
-    """Cards in the order of their headings, once no earlier one can change."""
-
-    def __init__(self, heading: str, mark: str):
-        super().__init__(convert_charrefs=True)
-        self.heading, self.mark = heading, mark
-        self.cards, self.open_heading, self.paragraph, self.silent, self.waiting = [], None, None, 0, []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
-            self.silent += 1
-            return
-        if tag in BLOCKS:
-            self._end_paragraph()
-        if tag == self.heading:
-            card = {"abstract": [], "paragraphs": []}
-            self.cards.append(card)
-            self.waiting.append(card)
-            self.open_heading = card
-        elif tag == "p":
-            self.paragraph = _Paragraph()
-            for card in self.waiting:
-                card["paragraphs"].append(self.paragraph)
-            self.waiting = [c for c in self.waiting if len(c["paragraphs"]) < 2]
-        elif tag == self.mark and self.paragraph:
-            if not self.paragraph.depth:
-                self.paragraph.begun = self.paragraph.size
-            self.paragraph.depth += 1
-
-    def handle_endtag(self, tag):
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == self.heading:
-            self.open_heading = None
-        elif tag == self.mark and self.paragraph and self.paragraph.depth:
-            self.paragraph.depth -= 1
-            if not self.paragraph.depth:
-                self.paragraph.spans.append((self.paragraph.begun, self.paragraph.size))
-        elif tag in BLOCKS:
-            self._end_paragraph()
-
-    def handle_data(self, data):
-        if self.silent:
-            return
-        if self.open_heading:
-            self.open_heading["abstract"].append(data)
-        if self.paragraph:
-            self.paragraph.parts.append(data)
-            self.paragraph.size += len(data)
-
-    def _end_paragraph(self):
-        if self.paragraph:
-            self.paragraph.close()
-            self.paragraph = None
-
-    def done(self, at_end: bool = False) -> list[dict]:
-        """Cards whose two paragraphs are complete, from the front."""
-        n = 0
-        while n < len(self.cards) and (at_end or (self.cards[n] is not self.open_heading and len(self.cards[n]["paragraphs"]) == 2 and self.cards[n]["paragraphs"][1] is not self.paragraph)):
-            n += 1
-        ready, self.cards = self.cards[:n], self.cards[n:]
-        return ready
+#: A comment, a declaration, or a tag whose quoted values may hold anything.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.S)
+
+
+def read_cards(page: str, heading: str, mark: str) -> Iterator[dict]:
+    """Cards ``{abstract, paragraphs}`` in the order of their headings, each once its two paragraphs are complete."""
+    cards, waiting = deque(), []
+    title = paragraph = None
+    last, at = 0, 0
+    while True:
+        m = _TAG.search(page, at)
+        lo = m.start() if m else len(page)
+        if lo > last:
+            text = unescape(page[last:lo])
+            if title is not None:
+                title["abstract"].append(text)
+            if paragraph is not None:
+                paragraph.parts.append(text)
+                paragraph.size += len(text)
+        if not m:
+            break
+        last = at = m.end()
+        if not m[2]:
+            continue
+        tag, ends = m[2].lower(), m[1]
+        if tag == mark and tag not in BLOCKS:
+            if paragraph is not None and (not ends or paragraph.depth):
+                paragraph.depth += -1 if ends else 1
+                if ends and not paragraph.depth:
+                    paragraph.spans.append((paragraph.begun, paragraph.size))
+                elif not ends and paragraph.depth == 1:
+                    paragraph.begun = paragraph.size
+        elif tag in SILENT:
+            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if not ends else None
+            last = at = stop.end() if stop else at if ends else len(page)
+        elif tag in BLOCKS or tag == heading:
+            if paragraph is not None:
+                paragraph.close()
+                paragraph = None
+            if ends:
+                title = None if tag == heading else title
+            elif tag == heading:
+                title = {"abstract": [], "paragraphs": []}
+                cards.append(title)
+                waiting.append(title)
+            elif tag == "p":
+                paragraph = _Paragraph()
+                for card in waiting:
+                    card["paragraphs"].append(paragraph)
+                waiting = [c for c in waiting if len(c["paragraphs"]) < 2]
+            while cards and cards[0] is not title and len(cards[0]["paragraphs"]) == 2 and cards[0]["paragraphs"][1] is not paragraph:
+                yield cards.popleft()
+    if paragraph is not None:
+        paragraph.close()
+    yield from cards
 
 
 @F.udtf(returnType=CARD)
@@ -104,19 +100,9 @@ class HtmlCards:
     """``html_cards(html, heading, mark)``: a row a heading; citation and document are null where a page ends before them."""
 
     def eval(self, html: str, heading: str, mark: str):
-        if html is None:
-            return
-        reader, k = _Reader(heading, mark), 0
-        for lo in range(0, max(1, len(html)), 1 << 14):
-            reader.feed(html[lo : lo + (1 << 14)])
-            for card in reader.done():
+        if html is not None:
+            for k, card in enumerate(read_cards(html, heading, mark)):
                 yield self.row(k, card)
-                k += 1
-        reader.close()
-        reader._end_paragraph()
-        for card in reader.done(at_end=True):
-            yield self.row(k, card)
-            k += 1
 
     @staticmethod
     def row(k, card):
