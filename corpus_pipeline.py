@@ -33,6 +33,13 @@ def row_name() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def has_words() -> Column:
     return F.coalesce(F.length(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", "")) > 0, F.lit(False))
 
@@ -43,26 +50,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_similar_lines(docs)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("given"))  # names of the stage's own stay free
+    out = drop_similar_lines(packed)
     stays = (F.col("n_removed") == 0) | (F.length(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", "")) > 0)
-    return out.where(stays).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.where(stays).select(*[own.get(c, F.col("given").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.withColumn("_name", row_name())
-    once = Scratch(spark, "copies").save(named.where(has_words()).dropDuplicates(["_name"]), "once")
-    groups = ngram_jaccard_components(once, id_col="_name").select(F.col("doc_id").alias("_name"), "component_id")
-    groups = groups.join(once.select("_name", "doc_id"), "_name")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_name")).alias("m"), F.count("*").alias("n"))
-    gone = groups.join(first.where("n > 1"), "component_id").where("_name <> m._name").select("_name")
-    return once.join(gone, "_name", "left_anti").unionByName(named.where(~has_words())).select(*docs.columns)
+    name = fresh(docs, "_name")
+    named = docs.withColumn(name, row_name())
+    once = Scratch(spark, "copies").save(named.where(has_words()).dropDuplicates([name]), "once")
+    groups = ngram_jaccard_components(once.select(name, "text"), id_col=name).select(F.col("doc_id").alias(name), "component_id")
+    groups = groups.join(once.select(name, "doc_id"), name)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(name).alias("row"))).alias("m"), F.count("*").alias("n"))
+    gone = groups.join(first.where("n > 1"), "component_id").where(F.col(name) != F.col("m.row")).select(name)
+    return once.join(gone, name, "left_anti").unionByName(named.where(~has_words())).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    name = fresh(docs, "_name")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = find_leaks(docs.select(row_name().alias("_name"), "text"), benchmark, id_col="_name")
-    gone = leaks.select(F.col("doc_id").alias("_name")).distinct()
-    return docs.withColumn("_name", row_name()).join(gone, "_name", "left_anti").select(*docs.columns)
+    leaks = find_leaks(docs.select(row_name().alias(name), "text"), benchmark, id_col=name)
+    gone = leaks.select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, row_name()).join(gone, name, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
