@@ -486,6 +486,18 @@ def test_stages_take_odd_tables(spark, small, stage):
     assert run(spark, Scratch(spark, "test").save(docs.where("false")), SMALL).count() == 0
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_of_any_name(spark, small, stage):
+    """Columns named like the stages' own come back as they were, in their places."""
+    names = ["_name", "_name_", "n_lines", "n_removed", "component_id", "row", "given", "rest", "m", "n", "kept", "id", "word"]
+    docs = small.orderBy("doc_id").limit(60)
+    wide = docs.select(*[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in names], *docs.columns)
+    out = corpus_pipeline.STAGES[stage][1](spark, Scratch(spark, "test").save(wide.unionByName(wide.limit(3))), SMALL)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert len(rows) > 5 and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in names)
+
+
 def test_pipeline(spark, small):
     from .test_dedup import brute_components, brute_lines
 
