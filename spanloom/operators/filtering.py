@@ -6,18 +6,16 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import agreement, spans
+from . import agreement, ranges
 
 #: Why a sample goes, in the order of the rules; ``beyond_first`` are samples past the first ones of their document set.
 REASONS = ("partial_annotators", "low_agreement", "empty_merge", "beyond_first")
 MERGED = "Merged"
 
 
-def sample_tokens(rows: DataFrame, docs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The tokens of ``docs(sample_id, doc_id, text)`` and the distinct ``(*keys, doc_id, tok)`` that rows cover; doc_id holds the sample's id."""
-    tokens = spans.tokenize(docs.select(F.struct("sample_id", "doc_id").alias("doc_id"), "text"))
-    placed = rows.where("doc_id >= 0").withColumn("doc_id", F.struct("sample_id", "doc_id"))
-    return tokens, spans.covered_tokens(placed, tokens, keys)
+def sample_ranges(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The token ranges ``(*keys, doc_id, lo, hi, start_pos, end_pos)`` of rows over ``docs(sample_id, doc_id, text)``; ``keys`` hold the sample's id."""
+    return ranges.token_ranges(rows.where("doc_id >= 0"), docs, keys, on=["sample_id", "doc_id"])
 
 
 def filter_annotated(
@@ -55,11 +53,11 @@ def filter_annotated(
     counts = left.groupBy("sample_id").agg(F.count_if("stays").alias("n_groups"), F.count_if(~F.col("stays")).alias("n_dropped"))
     held = left.where("stays").select(*key, "n")
 
-    tokens, ids = sample_tokens(places, docs, key)
-    votes = ids if voters is None else ids.where(F.col("group_id").isin(voters))
-    chosen = spans.vote(votes, ["sample_id"], "group_id", least_votes)
-    merged = chosen.groupBy("sample_id").agg(F.count("*").alias("n_merged"))
-    pairs = agreement.pair_scores(ids.select("sample_id", F.col("group_id").alias("rater"), "doc_id", "tok"), held.select("sample_id", F.col("group_id").alias("rater")))
+    chosen = sample_ranges(places, docs, key)
+    votes = chosen if voters is None else chosen.where(F.col("group_id").isin(voters))
+    answer = ranges.vote_ranges(votes, ["sample_id", "doc_id"], least_votes)
+    merged = answer.groupBy("sample_id").agg(F.sum("n_tokens").alias("n_merged"))
+    pairs = ranges.pair_scores(chosen, held, rater="group_id")
 
     joined = samples.join(counts, "sample_id", "left").join(agreement.sample_agreement(pairs), "sample_id", "left").join(merged, "sample_id", "left")
     joined = joined.fillna(0, ["n_groups", "n_dropped", "n_merged"])
@@ -78,7 +76,7 @@ def filter_annotated(
     own = places.unionByName(rated.where("doc_id is null"), allowMissingColumns=True) if not drop_ungrounded else places
     empty = held.where("n = 0").select(*key, *[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in fields[2:]])
     own = own.select(*fields) if not drop_ungrounded else own.select(*fields).unionByName(empty)
-    answer = spans.tokens_to_spans(chosen, tokens, ["sample_id"]).select("sample_id", F.lit(MERGED).alias("group_id"), F.col("doc_id.doc_id").alias("doc_id"), "start_pos", "end_pos")
+    answer = answer.select("sample_id", F.lit(MERGED).alias("group_id"), "doc_id", "start_pos", "end_pos")
     none = good.where("not is_negative").join(merged.select("sample_id"), "sample_id", "left_anti").select("sample_id", F.lit(MERGED).alias("group_id"), *[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in fields[2:]])
     positive = own.unionByName(answer).join(good.where("not is_negative").select("sample_id"), "sample_id", "left_semi").unionByName(none)
     negative = groups.select(*fields).join(good.where("is_negative").select("sample_id"), "sample_id", "left_semi")

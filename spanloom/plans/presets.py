@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import agreement, build, filtering, loaders
+from ..operators import agreement, build, filtering, loaders, ranges
 from ..operators.prompts import conversation
 from .stages import Stage, Stages
 
@@ -60,11 +60,15 @@ def answers(samples: DataFrame, kept: DataFrame, docs: DataFrame, splits: DataFr
     """
     stays = kept.select("sample_id", "group_id").distinct().join(samples.select("sample_id", "is_negative"), "sample_id")
     if mode == "best":
-        _, ids = filtering.sample_tokens(kept.where(F.col("group_id") != filtering.MERGED), docs, ["sample_id", "group_id"])
+        own = kept.where(F.col("group_id") != filtering.MERGED)
         # Raters as numbers in the order of their names, as medoids are told by number.
-        names = stays.where(F.col("group_id") != filtering.MERGED).groupBy("sample_id").agg(F.sort_array(F.collect_set("group_id")).alias("_names"))
+        names = own.groupBy("sample_id").agg(F.sort_array(F.collect_set("group_id")).alias("_names"))
         number = lambda rows: rows.join(names, "sample_id").withColumn("rater", F.array_position("_names", F.col("group_id")).cast("int"))
-        pairs = agreement.pair_scores(number(ids).select("sample_id", "rater", "doc_id", "tok"), number(stays.where(F.col("group_id") != filtering.MERGED)).select("sample_id", "rater"), with_self=True, ordered=True)
+        chosen = number(filtering.sample_ranges(own, docs, ["sample_id", "group_id"]))
+        raters = number(own.select("sample_id", "group_id").distinct())
+        half = ranges.pair_scores(chosen, raters).select("sample_id", "a", "b", "f1")
+        self_ = raters.select("sample_id", F.col("rater").alias("a"), F.col("rater").alias("b"), F.lit(1.0).alias("f1"))
+        pairs = half.unionByName(half.select("sample_id", F.col("b").alias("a"), F.col("a").alias("b"), "f1")).unionByName(self_)
         medoids = agreement.medoid(pairs).join(names, "sample_id").select("sample_id", F.element_at("_names", F.col("rater")).alias("group_id"))
     else:
         medoids = stays.where("false").select("sample_id", "group_id")

@@ -290,3 +290,31 @@ def test_cleaning_keeps_rows_with_quotes_and_stops(spark, whole):
 
     got = {r["doc_id"]: r["cleaned"] for r in catalog.QUERIES["clean_text"](spark, whole).collect()}
     assert got == {i: clean(f'```\n"{t}".\n```') for i, _, t in WHOLE}
+
+
+def test_ranges_are_the_tokens_of_spans(spark):
+    from spanloom.operators import ranges
+
+    rng = random.Random(4)
+    alphabet = "ab1_ \n\t .,é́あ\U0001f600​-" * 2 + "      "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(60)] + ["", "   "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-5, None)], "doc_id int, text string")
+    rows = [(i, r, s, s + rng.randrange(12)) for i, t in enumerate(texts) for r in "xyz" for s in rng.sample(range(len(t) + 1), min(3, len(t)))] + [(0, "x", -1, -1), (-5, "x", 0, 1)]
+    places = spark.createDataFrame(rows, "doc_id int, rater string, start_pos int, end_pos int").repartition(3)
+    tokens = spans.tokenize(docs)
+    ids = spans.covered_tokens(places, tokens, ["rater"])
+    got = ranges.token_ranges(places, docs, ["rater"])
+    bounds = {(r["doc_id"], r["tok"]): (r["start_pos"], r["end_pos"]) for r in tokens.collect()}
+    want = {(r["rater"], r["doc_id"], r["tok"]) for r in ids.collect()}
+    found = [r for r in got.collect()]
+    assert {(r["rater"], r["doc_id"], t) for r in found for t in range(r["lo"], r["hi"] + 1)} == want and sum(r["hi"] - r["lo"] + 1 for r in found) == len(want)
+    assert all((r["start_pos"], r["end_pos"]) == (bounds[r["doc_id"], r["lo"]][0], bounds[r["doc_id"], r["hi"]][1]) for r in found)
+    for least in (0, 1, 2, 3):
+        voted = spans.tokens_to_spans(spans.vote(ids, [], "rater", least), tokens, [])
+        assert {(r["doc_id"], r["start_pos"], r["end_pos"]) for r in ranges.vote_ranges(got, ["doc_id"], least).select("doc_id", "start_pos", "end_pos").collect()} == {(r["doc_id"], r["start_pos"], r["end_pos"]) for r in voted.collect()}
+    raters = spark.createDataFrame([(s, r) for s in range(-1, 5) for r in "wxyz"], "sample_id int, rater string")
+    sample = (F.col("doc_id") % 5).alias("sample_id")
+    old = agreement.pair_scores(ids.where("doc_id >= 0").select(sample, "rater", "doc_id", "tok"), raters)
+    new = ranges.pair_scores(got.where("doc_id >= 0").select("*", sample), raters)
+    columns = ["sample_id", "a", "b", "overlap", "n_a", "n_b", "f1"]
+    assert sorted(new.select(columns).collect()) == sorted(old.select(columns).collect())
