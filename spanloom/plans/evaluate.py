@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.repair import parse_selection_lenient
@@ -33,22 +33,24 @@ def ground_keyed(wanted: DataFrame, docs: DataFrame, keys: list[str], fuzzy: boo
     hinted = "hint" in wanted.columns
     hint = F.col("hint") if hinted else F.lit(None).cast(docs.schema["doc_id"].dataType)
     asked = wanted.select("sample_id", *keys, "span", hint.alias("hint")).withColumn("blank", F.length(strip(F.col("span"))) == 0)
-    # Both verbatim modes in one pass; the earlier mode wins, whichever document it hits.
+    # A sample's spans come to each of its documents as one list, so a text stands in one row and travels once; both
+    # verbatim modes are tried there, and the earlier mode wins, whichever document it hits.
+    key = F.struct("sample_id", *keys)
+    listed = asked.where(~F.col("blank")).groupBy("sample_id").agg(F.collect_list(F.struct(key.alias("k"), "span", "hint")).alias("_spans"))
     forms = docs.select("sample_id", "doc_id", *[form(F.col("text")).alias(mode) for mode, form in MODES.items()])
-    here = asked.where(~F.col("blank")).join(forms, "sample_id")
-    found = []
-    for mode, form in MODES.items():
-        needle = form(F.col("span"))
-        at = F.call_function("locate", needle, F.col(mode))
-        far = F.when(F.col("doc_id").eqNullSafe(F.col("hint")), 0).otherwise(1)
-        place = F.struct(far.alias("far"), "doc_id", (at - 1).alias("start_pos"), (at - 1 + F.length(needle)).alias("end_pos"))
-        found += [F.min(F.when(at > 0, place)).alias(mode), F.count_if(at > 0).alias(f"n_{mode}")]
-    tried = here.groupBy("sample_id", *keys, "span", "hint").agg(*found)
+
+    def places(s: Column) -> Column:
+        far = F.when(F.col("doc_id").eqNullSafe(s["hint"]), 0).otherwise(1)
+        at = {mode: F.call_function("locate", form(s["span"]), F.col(mode)) for mode, form in MODES.items()}
+        place = lambda mode: F.struct(far.alias("far"), F.col("doc_id"), (at[mode] - 1).alias("start_pos"), (at[mode] - 1 + F.length(MODES[mode](s["span"]))).alias("end_pos"))
+        return F.struct(s["k"].alias("k"), *[F.when(at[mode] > 0, place(mode)).alias(mode) for mode in MODES])
+
+    here = listed.join(forms, "sample_id").select(F.explode(F.transform("_spans", places)).alias("x")).select("x.*")
+    found = here.where(" or ".join(f"{m} is not null" for m in MODES)).groupBy("k").agg(*[c for m in MODES for c in (F.min(m).alias(m), F.count(m).alias(f"n_{m}"))])
     first = F.coalesce(*[F.when(F.col(m).isNotNull(), F.struct(F.col(f"{m}.doc_id"), F.col(f"{m}.start_pos"), F.col(f"{m}.end_pos"), F.lit(m).alias("mode"), F.col(f"n_{m}").alias("total_count"))) for m in MODES]).alias("m")
-    tried = tried.select("sample_id", *keys, "span", "hint", first)
-    hits = tried.where("m is not null").select("sample_id", *keys, "m.doc_id", "m.start_pos", "m.end_pos", "m.mode", "m.total_count")
+    hits = found.select(first, *[F.col("k")[k].alias(k) for k in ("sample_id", *keys)]).select("sample_id", *keys, "m.doc_id", "m.start_pos", "m.end_pos", "m.mode", "m.total_count")
     if fuzzy:
-        left = tried.where("m is null").select("sample_id", F.struct("sample_id", *keys).alias("span_id"), "span", "hint")
+        left = asked.where(~F.col("blank")).join(hits.select("sample_id", *keys), ["sample_id", *keys], "left_anti").select("sample_id", key.alias("span_id"), "span", "hint")
         own = docs.select("sample_id", F.struct("sample_id", "doc_id").alias("doc_id"), "text")
         hints = left.where("hint is not null").select("span_id", F.struct("sample_id", F.col("hint").alias("doc_id")).alias("doc_id")) if hinted else None
         near = fuzzy_match(left.drop("hint"), own, within=["sample_id"], hints=hints)
