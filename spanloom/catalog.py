@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .functions import repair
 from .functions import text as tx
-from .operators import agreement, build, fuzzy, grounding, metrics, spans, stats
+from .operators import agreement, build, fuzzy, grounding, metrics, ranges, spans, stats
 from .plans.evaluate import evaluate
 from .sources import cards, files
 
@@ -56,6 +56,10 @@ def rater_ids(docs: DataFrame) -> DataFrame:
     return spans.covered_tokens(rater_spans(docs), spans.tokenize(docs), ["rater"]).withColumn("sample_id", F.col("doc_id"))
 
 
+def rater_ranges(docs: DataFrame) -> DataFrame:
+    return ranges.token_ranges(rater_spans(docs).drop("content"), docs, ["rater"]).withColumn("sample_id", F.col("doc_id"))
+
+
 def all_raters(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("sample_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("rater"))
 
@@ -158,7 +162,7 @@ def tokens_to_spans(spark, d):
 @query(f"WITH {IDS}, v AS (SELECT doc_id, tok FROM ids GROUP BY doc_id, tok HAVING count(DISTINCT rater) >= 2), isl AS ({ISLANDS.format(keys='g', part='x.doc_id', ids='v')}) SELECT doc_id, start_pos, end_pos FROM isl")
 def majority_vote(spark, d):
     docs = docs_of(spark, d)
-    return spans.tokens_to_spans(spans.vote(rater_ids(docs), [], "rater", 2), spans.tokenize(docs), [])
+    return ranges.vote_ranges(rater_ranges(docs), ["doc_id"], 2).select("doc_id", "start_pos", "end_pos")
 
 
 MERGE = """SELECT doc_id, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS g FROM
@@ -232,10 +236,10 @@ def pairwise_f1(spark, d):
 
 def scored_groups(spark, d):
     docs = docs_of(spark, d)
-    ids = rater_ids(docs)
+    ids = rater_ranges(docs)
     groups = docs.select(F.col("doc_id").alias("sample_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("group_ord"))
     refs = ids.where("rater < 2").withColumnRenamed("rater", "group_ord")
-    return metrics.score_groups(refs, ids.where("rater = 2"), groups)
+    return ranges.score_groups(refs, ids.where("rater = 2").select("sample_id", "doc_id", "lo", "hi", "start_pos", "end_pos"), groups)
 
 
 SCORES = PAIRS + """, g AS (SELECT sample_id, a AS group_ord, n_a AS n_ref, n_b AS n_pred, overlap, f1,
@@ -297,14 +301,14 @@ def rouge2(spark, d):
 @query(f"WITH {PAIRS} SELECT sample_id, round(avg(f1), 9) AS agreement FROM scored WHERE a < b GROUP BY sample_id")
 def ila_by_sample(spark, d):
     docs = docs_of(spark, d)
-    return agreement.sample_agreement(agreement.pair_scores(rater_ids(docs), all_raters(docs))).select("sample_id", F.round("agreement", 9).alias("agreement"))
+    return agreement.sample_agreement(ranges.pair_scores(rater_ranges(docs), all_raters(docs))).select("sample_id", F.round("agreement", 9).alias("agreement"))
 
 
 @query(f"""WITH {PAIRS}, p AS (SELECT * FROM scored WHERE a < b), l AS (SELECT f1, 'all' AS level, '' AS name FROM p UNION ALL SELECT f1, 'rater', a::VARCHAR FROM p UNION ALL SELECT f1, 'rater', b::VARCHAR FROM p UNION ALL SELECT f1, 'pair', a || '-' || b FROM p)
 SELECT level, name, round(avg(f1), 9) AS f1, count(*) AS n FROM l GROUP BY level, name""")
 def ila_report(spark, d):
     docs = docs_of(spark, d)
-    return agreement.agreement_report(agreement.pair_scores(rater_ids(docs), all_raters(docs))).select("level", "name", F.round("f1", 9).alias("f1"), "n")
+    return agreement.agreement_report(ranges.pair_scores(rater_ranges(docs), all_raters(docs))).select("level", "name", F.round("f1", 9).alias("f1"), "n")
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT sample_id, a, round(avg(f1), 9) AS f1 FROM scored GROUP BY ALL) SELECT sample_id, a AS rater, f1 FROM m QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY f1 DESC, a) = 1")

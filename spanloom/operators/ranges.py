@@ -133,3 +133,22 @@ def pair_scores(ranges: DataFrame, raters: DataFrame, sample: str = "sample_id",
         scored = scored.join(size.select(sample, F.col(rater).alias(side), F.col("n").alias(f"n_{side}")), [sample, side], "left")
     scored = scored.fillna(0, ["overlap", "n_a", "n_b"]).select(sample, "a", "b", "overlap", "n_a", "n_b")
     return scored.withColumn("f1", prf(F.col("overlap"), F.col("n_a"), F.col("n_b"))["f1"])
+
+
+def score_groups(refs: DataFrame, preds: DataFrame, groups: DataFrame) -> DataFrame:
+    """Token scores of each sample's prediction against each of its reference groups: ``(*groups, n_ref, n_pred, overlap, precision, ...)``.
+
+    ``groups(sample_id, group_ord)`` lists the references (empty ones included); ranges are ``refs(sample_id, group_ord, doc_id, ...)`` and
+    ``preds(sample_id, doc_id, ...)``. A prediction's ranges go to each group; where both are open, they overlap.
+    """
+    from .metrics import prf
+
+    place = ["lo", "hi", "start_pos", "end_pos"]
+    by = ["sample_id", "group_ord", "doc_id"]
+    dealt = preds.join(groups.select("sample_id", "group_ord"), "sample_id").select(*by, *place)
+    counted = _counted(refs.select(*by, *place).unionByName(dealt), by).withColumn("_to", F.lead("at").over(Window.partitionBy(*by).orderBy("at")))
+    shared = counted.where("open >= 2").groupBy("sample_id", "group_ord").agg(F.sum(F.col("_to") - F.col("at")).alias("overlap"))
+    n_ref, n_pred = sizes(refs, ["sample_id", "group_ord"]).withColumnRenamed("n", "n_ref"), sizes(preds, ["sample_id"]).withColumnRenamed("n", "n_pred")
+    sized = groups.join(n_ref, ["sample_id", "group_ord"], "left").join(n_pred, "sample_id", "left").join(shared, ["sample_id", "group_ord"], "left")
+    sized = sized.select(*groups.columns, "n_ref", "n_pred", "overlap").fillna(0, ["n_ref", "n_pred", "overlap"])
+    return sized.select("*", *[c.alias(k) for k, c in prf(F.col("overlap"), F.col("n_ref"), F.col("n_pred")).items()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.repair import parse_selection_lenient
 from ..functions.text import error_share, strip
-from ..operators import metrics, spans
+from ..operators import metrics, ranges
 from ..operators.fuzzy import fuzzy_match
 from ..operators.grounding import MODES
 
@@ -80,13 +80,6 @@ def ground_instructions(maps: DataFrame, docs: DataFrame, keys: list[str] | None
     return ground_keyed(wanted, docs, [*keys, "instruction", "span_ord"], fuzzy)
 
 
-def _token_ids(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct ``(*keys, doc_id, tok)`` of grounded rows; doc_id holds the sample's id."""
-    tokens = spans.tokenize(docs.select(F.struct("sample_id", "doc_id").alias("doc_id"), "text"))
-    placed = rows.where("doc_id >= 0").withColumn("doc_id", F.struct("sample_id", "doc_id"))
-    return spans.covered_tokens(placed, tokens, keys)
-
-
 def evaluate(docs: DataFrame, references: DataFrame, predictions: DataFrame, fuzzy: bool = True) -> dict[str, DataFrame]:
     """``scores`` (best reference group per sample), ``summary``, ``modes`` and ``errors``.
 
@@ -98,9 +91,10 @@ def evaluate(docs: DataFrame, references: DataFrame, predictions: DataFrame, fuz
     parsed = predictions.select("sample_id", parse_selection_lenient(F.col("selection")).alias("spans"))
     grounded = ground_predictions(parsed, docs, fuzzy)
     groups = references.select("sample_id", "group_ord").distinct().join(predictions.select("sample_id"), "sample_id", "left_semi")
-    ref_ids = _token_ids(references.where("doc_id is not null"), docs, ["sample_id", "group_ord"])
-    pred_ids = _token_ids(grounded, docs, ["sample_id"])
-    scores = metrics.best_group(metrics.score_groups(ref_ids, pred_ids, groups))
+    here = ["sample_id", "doc_id"]
+    refs = ranges.token_ranges(references.where("doc_id >= 0"), docs, ["sample_id", "group_ord"], on=here)
+    preds = ranges.token_ranges(grounded.where("doc_id >= 0"), docs, ["sample_id"], on=here)
+    scores = metrics.best_group(ranges.score_groups(refs, preds, groups))
     modes = grounded.groupBy("mode").agg(F.count("*").alias("n"))
     errors = parsed.agg(F.sum(error_share(F.col("spans"))).alias("errors"), (F.sum(error_share(F.col("spans"))) / F.count("*")).alias("error_ratio"))
     return {"scores": scores, "summary": metrics.summary(scores), "modes": modes, "errors": errors, "grounded": grounded}
