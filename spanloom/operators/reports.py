@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..functions.bags import bag_f1, numbered
 from ..functions.distributions import t_quantile
@@ -101,21 +103,47 @@ def grid(rows: DataFrame, datasets: list[str], values: list[str]) -> DataFrame:
     return clean.groupBy("model").pivot("dataset", datasets).agg(*[F.first(v).alias(v) for v in values])
 
 
+def nearest_other(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each span the least of |lo - other hi| and |hi - other lo| over all others; needs two spans at least."""
+
+    def nearest(asked: np.ndarray, among: np.ndarray) -> np.ndarray:
+        order = np.argsort(among, kind="stable")
+        values, rank = among[order], np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        at, best = np.searchsorted(values, asked), np.full(len(asked), np.iinfo(np.int64).max)
+        for step in (-2, -1, 0, 1):  # two on either side, of which one may be the span's own
+            place = at + step
+            fit = (place >= 0) & (place < len(values)) & (place != rank)
+            best[fit] = np.minimum(best[fit], np.abs(asked[fit] - values[place[fit]]))
+        return best
+
+    return np.minimum(nearest(lo, hi), nearest(hi, lo))
+
+
 def scatter(spans: DataFrame, doc_tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over spans of the way to the nearest other span of its group: ``(*keys, n_spans, scatter)``.
 
-    The way is the tokens between their far ends, by the document's tokens and by its characters; spans alone in their
-    document among others have 1, a single span of a group none. ``spans(*keys, doc_id, lo, hi)`` are first and last
-    tokens, ``doc_tokens(doc_id, n_tokens, n_chars)`` sizes. Spans must not overlap: then neighbours in order are nearest.
+    The way is the tokens between their far ends, by the document's tokens and by its characters, the least over all other
+    spans of the document, which may overlap; spans alone in their document among others have 1, a single span of a group
+    none. ``spans(*keys, doc_id, lo, hi)`` are first and last tokens, ``doc_tokens(doc_id, n_tokens, n_chars)`` sizes.
     """
-    order = Window.partitionBy(*keys, "doc_id").orderBy("lo", "hi")
-    every = Window.partitionBy(*keys)
-    lag, lead = F.lag(F.struct("lo", "hi")).over(order), F.lead(F.struct("lo", "hi")).over(order)
-    both = spans.withColumn("_p", lag).withColumn("_n", lead).withColumn("_all", F.count("*").over(every)).join(doc_tokens, "doc_id")
-    gap = lambda o: F.least(F.abs(F.col("lo") - F.col(f"{o}.hi")), F.abs(F.col("hi") - F.col(f"{o}.lo")))
-    near = F.least(gap("_p"), gap("_n")) / F.col("n_tokens") / F.col("n_chars")
-    far = F.when(F.col("_all") > 1, F.coalesce(near, F.lit(1.0)))
-    return both.groupBy(*keys).agg(F.count("*").alias("n_spans"), F.avg(far).alias("scatter"))
+    place = F.struct(*keys, "doc_id").alias("g")
+    grouped = spans.groupBy(place).agg(F.collect_list(F.col("lo").cast("long")).alias("lo"), F.collect_list(F.col("hi").cast("long")).alias("hi"))
+
+    def run(batches):
+        for batch in batches:
+            ways = []
+            for lo, hi in zip(batch.column(1), batch.column(2), strict=True):
+                lo, hi = (x.values.to_numpy() for x in (lo, hi))
+                ways.append(nearest_other(lo, hi).tolist() if len(lo) > 1 else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, batch.column(1))), pa.int64()), pa.array(ways, pa.list_(pa.int64()))], ["g", "n", "ways"])
+
+    schema = T.StructType([grouped.schema["g"], T.StructField("n", T.LongType()), T.StructField("ways", T.ArrayType(T.LongType()))])
+    near = grouped.mapInArrow(run, schema).select(*[F.col("g")[k].alias(k) for k in keys], F.col("g.doc_id").alias("doc_id"), "n", F.aggregate("ways", F.lit(0.0), lambda a, x: a + x).alias("way"))
+    both = near.join(doc_tokens, "doc_id")
+    far = F.when(F.col("n") > 1, F.col("way") / F.col("n_tokens") / F.col("n_chars")).otherwise(1.0)
+    sums = both.groupBy(*keys).agg(F.sum("n").alias("n_spans"), F.sum(far).alias("_far"))
+    return sums.select(*keys, "n_spans", F.when(F.col("n_spans") > 1, F.col("_far") / F.col("n_spans")).alias("scatter"))
 
 
 def sample_statistics(refs: DataFrame, docs: DataFrame) -> DataFrame:

@@ -318,3 +318,19 @@ def test_ranges_are_the_tokens_of_spans(spark):
     new = ranges.pair_scores(got.where("doc_id >= 0").select("*", sample), raters)
     columns = ["sample_id", "a", "b", "overlap", "n_a", "n_b", "f1"]
     assert sorted(new.select(columns).collect()) == sorted(old.select(columns).collect())
+
+
+def test_scatter_over_all_other_spans(spark):
+    rng = random.Random(8)
+    rows = [(g, d, lo, lo + rng.randrange(9)) for g in range(25) for d in range(3) for lo in rng.choices(range(30), k=rng.randrange(6))]
+    sizes = spark.createDataFrame([(d, 50 + d, 300) for d in range(3)], "doc_id int, n_tokens int, n_chars int")
+    got = {r["g"]: (r["n_spans"], r["scatter"]) for r in reports.scatter(spark.createDataFrame(rows, "g int, doc_id int, lo int, hi int").repartition(3), sizes, ["g"]).collect()}
+    for g in range(25):
+        mine = [r for r in rows if r[0] == g]
+        ways = []
+        for i, (_, d, lo, hi) in enumerate(mine):
+            others = [min(abs(lo - h), abs(hi - o)) for j, (_, e, o, h) in enumerate(mine) if j != i and e == d]
+            ways.append(min(others) / (50 + d) / 300 if others else 1.0)
+        if mine:
+            assert got[g][0] == len(mine) and got[g][1] == (pytest.approx(sum(ways) / len(ways)) if len(mine) > 1 else None)
+    assert set(got) == {r[0] for r in rows}
