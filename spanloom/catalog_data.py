@@ -452,14 +452,15 @@ def consolidated_ratings(spark, d):
     return out.select("l_returnflag", "n", *[F.round(c, 9).alias(c) for c in ("mean", "sd", "var")])
 
 
-@query("""SELECT r_name AS topic, r_name || '/' || n_name AS sample_id, n_name || '!' AS instruction FROM nation JOIN region ON r_regionkey = n_regionkey""")
+@query("""SELECT 't' || c_nationkey AS topic, 't' || c_nationkey || '/' || c_custkey AS sample_id, c_mktsegment || ' ' || c_custkey // 3 AS instruction FROM customer
+UNION ALL SELECT 't' || a.c_nationkey, 't' || b.c_nationkey || '/' || b.c_custkey, b.c_mktsegment || ' ' || b.c_custkey // 3 FROM customer a JOIN customer b ON b.c_custkey // 3 = a.c_custkey // 3 AND b.c_mktsegment = a.c_mktsegment AND b.c_custkey <> a.c_custkey WHERE starts_with('t' || b.c_nationkey || '/' || b.c_custkey, 't' || a.c_nationkey)""")
 def matching_samples(spark, d):
-    """Every topic asks every instruction; one sample of each instruction has the topic's id."""
-    regions = table(spark, d, "region").select("r_regionkey", "r_name")
-    nations = table(spark, d, "nation").join(regions, F.col("r_regionkey") == F.col("n_regionkey"))
-    held = nations.select(F.concat("r_name", F.lit("/"), "n_name").alias("sample_id"), F.concat("n_name", F.lit("!")).alias("instruction"))
-    topics = regions.select(F.col("r_name").alias("topic")).join(held.select("instruction"))
-    return reports.matching_samples(topics, held).select("topic", "sample_id", "instruction")
+    """Customers as samples and as annotators' rows: an instruction is shared by neighbouring ids of one segment, a topic by the customers of a nation."""
+    said = F.concat("c_mktsegment", F.lit(" "), F.floor(F.col("c_custkey") / 3).cast("string")).alias("instruction")
+    topic = F.concat(F.lit("t"), F.col("c_nationkey").cast("string"))
+    rows = table(spark, d, "customer")
+    held = rows.select(F.concat(topic, F.lit("/"), F.col("c_custkey").cast("string")).alias("sample_id"), said)
+    return reports.matching_samples(rows.select(topic.alias("topic"), said), held).select("topic", "sample_id", "instruction")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de') AND source = 'src1' ORDER BY doc_id LIMIT 30")

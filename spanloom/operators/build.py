@@ -47,15 +47,11 @@ def stratified_split(df: DataFrame, stratum: str, key: str, shares: tuple[float,
 
     Positions come from counts of hash cells, so a stratum is spread over many tasks.
     """
-    keyed = df.withColumn("_o", draw_order(F.col(key), seed)).withColumn("_b", F.substring("_o", 1, 2))
-    cells = keyed.groupBy(stratum, "_b").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(stratum, "_b", before.alias("_before"), F.sum("count").over(Window.partitionBy(stratum)).alias("_n"))
-    at = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o", key)) - 1
-    placed = keyed.withColumn("_at", at).join(cells, [stratum, "_b"]).withColumn("_p", F.col("_at") + F.col("_before"))
+    counts = df.groupBy(stratum).agg(F.count("*").alias("_n"))
+    placed = numbered_draws(df, stratum, key, seed).join(counts.withColumnRenamed(stratum, "_s"), F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
     first, second = F.floor(F.col("_n") * shares[0]), F.floor(F.col("_n") * shares[1])
     split = F.when(F.col("_p") < first, names[0]).when(F.col("_p") < first + second, names[1]).otherwise(names[2])
-    return placed.withColumn("split", split).drop("_o", "_b", "_at", "_before", "_n", "_p")
+    return placed.withColumn("split", split).drop("_n", "_p")
 
 
 def flag_negatives(df: DataFrame, order: str, first: int, count: int) -> DataFrame:
@@ -133,24 +129,25 @@ def training_share(rows: DataFrame, key: str, share: float, seed: int = 42) -> D
 
     Of a stratum the first rows in draw order are taken; rows that repeat an id are told apart by nothing and come in any order.
     """
-    named = rows.withColumn("_s", id_stratum(F.col(key)))
-    sizes = named.groupBy("_s").agg(F.count("*").alias("_n"))
+    named = rows.withColumn("_set", id_stratum(F.col(key)))
+    sizes = named.groupBy("_set").agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_t"))
     # A row a stratum; strata are names of data sets.
     exact = sizes.join(F.broadcast(total), F.lit(True)).withColumn("_e", F.col("_n") * F.floor(F.col("_t") * share) / F.col("_t")).withColumn("_f", F.floor("_e"))
     left = exact.agg((F.first(F.floor(F.col("_t") * share)) - F.sum("_f")).alias("_left"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("_e") - F.col("_f")), "_s"))
-    quota = exact.withColumn("_p", place).join(F.broadcast(left), F.lit(True)).select("_s", (F.col("_f") + (F.col("_p") <= F.col("_left")).cast("int")).alias("_q"))
-    return numbered_draws(named, "_s", key, seed).join(F.broadcast(quota), "_s").where("_p < _q").drop("_s", "_p", "_q")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("_e") - F.col("_f")), "_set"))
+    quota = exact.withColumn("_p", place).join(F.broadcast(left), F.lit(True)).select("_set", (F.col("_f") + (F.col("_p") <= F.col("_left")).cast("int")).alias("_q"))
+    return numbered_draws(named, "_set", key, seed).join(F.broadcast(quota), "_set").where("_p < _q").drop("_set", "_p", "_q")
 
 
 def numbered_draws(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
-    """``df`` with the place ``_p`` of each row in its stratum's draw order, from counts of hash cells: no stratum lies in one task."""
+    """``df`` with the place ``_p`` of each row in its stratum's draw order, from counts of 4,096 hash cells: no stratum lies in one task."""
     keyed = df.withColumn("_o", draw_order(F.col(key), seed)).withColumn("_b", F.substring("_o", 1, 3))
     cells = keyed.groupBy(stratum, "_b").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(stratum).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_o", key)) - 1
-    return keyed.withColumn("_at", at).join(cells.select(stratum, "_b", before.alias("_before")), [stratum, "_b"]).withColumn("_p", F.col("_at") + F.col("_before")).drop("_o", "_b", "_at", "_before")
+    placed = keyed.withColumn("_at", at).join(cells.select(F.col(stratum).alias("_s"), F.col("_b").alias("_c"), before.alias("_before")), (F.col("_b") == F.col("_c")) & F.col(stratum).eqNullSafe(F.col("_s")))
+    return placed.withColumn("_p", F.col("_at") + F.col("_before")).drop("_o", "_b", "_at", "_before", "_s", "_c")
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42, partitions: int | None = None) -> DataFrame:
