@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def numbered(items: pd.Series) -> pd.Series:
-    """Each item with how many equals stand before it; linear, unlike what array expressions can say."""
-
-    def one(row):
-        seen, out = Counter(), []
-        for x in row:
-            out.append(f"{seen[x]}:{x}")
-            seen[x] += 1
-        return out
-
-    return items.map(lambda row: None if row is None else one(row))
+def numbered_lists(lists: pa.Array) -> pa.Array:
+    """Each item behind the number of equals that stand before it in its list."""
+    lists = lists.cast(pa.list_(pa.string()))
+    items = lists.flatten()
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    codes = items.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key = np.repeat(np.arange(len(lists)), size) * (codes.max(initial=0) + 1) + codes
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], np.diff(key[order]) > 0])[: len(key)]
+    place = np.empty(len(key), dtype=np.int64)
+    at = np.arange(len(key))
+    place[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    named = pc.binary_join_element_wise(pa.array(place).cast(pa.string()), pc.fill_null(items, ""), ":")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), named, mask=pc.is_null(lists) if lists.null_count else None)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def numbered(items: pa.Array) -> pa.Array:
+    """:func:`numbered_lists` of a column; a null item counts as an empty one."""
+    return numbered_lists(items)
 
 
 def bag_scores(ref: Column, pred: Column) -> dict[str, Column]:
