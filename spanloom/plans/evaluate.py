@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.repair import parse_selection_lenient
 from ..functions.text import error_share, strip
@@ -36,17 +38,38 @@ def ground_keyed(wanted: DataFrame, docs: DataFrame, keys: list[str], fuzzy: boo
     # A sample's spans come to each of its documents as one list, so a text stands in one row and travels once; both
     # verbatim modes are tried there, and the earlier mode wins, whichever document it hits.
     key = F.struct("sample_id", *keys)
-    listed = asked.where(~F.col("blank")).groupBy("sample_id").agg(F.collect_list(F.struct(key.alias("k"), "span", "hint")).alias("_spans"))
+    shapes = [form(F.col("span")).alias(mode) for mode, form in MODES.items()]
+    listed = asked.where(~F.col("blank")).groupBy("sample_id").agg(F.collect_list(F.struct(key.alias("k"), "hint", *shapes)).alias("_spans"))
     forms = docs.select("sample_id", "doc_id", *[form(F.col("text")).alias(mode) for mode, form in MODES.items()])
 
-    def places(s: Column) -> Column:
-        far = F.when(F.col("doc_id").eqNullSafe(s["hint"]), 0).otherwise(1)
-        at = {mode: F.call_function("locate", form(s["span"]), F.col(mode)) for mode, form in MODES.items()}
-        place = lambda mode: F.struct(far.alias("far"), F.col("doc_id"), (at[mode] - 1).alias("start_pos"), (at[mode] - 1 + F.length(MODES[mode](s["span"]))).alias("end_pos"))
-        return F.struct(s["k"].alias("k"), *[F.when(at[mode] > 0, place(mode)).alias(mode) for mode in MODES])
-
-    here = listed.join(forms, "sample_id").select(F.explode(F.transform("_spans", places)).alias("x")).select("x.*")
-    found = here.where(" or ".join(f"{m} is not null" for m in MODES)).groupBy("k").agg(*[c for m in MODES for c in (F.min(m).alias(m), F.count(m).alias(f"n_{m}"))])
+    both = listed.join(forms, "sample_id").select("doc_id", F.col("_spans.k").alias("k"), F.col("_spans.hint").alias("hint"), *[F.col(f"_spans.{m}").alias(f"span_{m}") for m in MODES], *MODES)
+
+    def search(batches):
+        """Each span's place by the first mode that has one: where an earlier mode hits in a document, later ones decide nothing there."""
+        n = len(MODES)
+        for batch in batches:
+            rows, items, found, first_item = [], [], [], 0
+            for i in range(batch.num_rows):
+                wanted = [batch.column(3 + m)[i].as_py() for m in range(n)]
+                texts = [batch.column(3 + n + m)[i].as_py() for m in range(n)]
+                for j in range(len(wanted[0])):
+                    for m in range(n):
+                        at = texts[m].find(wanted[m][j]) if texts[m] is not None and wanted[m][j] is not None else -1
+                        if at >= 0:
+                            rows.append(i)
+                            items.append(first_item + j)
+                            found.append((m, at, at + len(wanted[m][j])))
+                            break
+                first_item += len(wanted[0])
+            docs_, items = batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int64())
+            k, hint = (batch.column(c).flatten().take(items) for c in (1, 2))
+            numbers = [pa.array([f[c] for f in found], pa.int32()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([k, hint, docs_, *numbers], ["k", "hint", "doc_id", "mode", "start_pos", "end_pos"])
+
+    schema = T.StructType([T.StructField("k", both.schema["k"].dataType.elementType), T.StructField("hint", both.schema["hint"].dataType.elementType), both.schema["doc_id"], *[T.StructField(c, T.IntegerType()) for c in ("mode", "start_pos", "end_pos")]])
+    place = F.struct(F.when(F.col("doc_id").eqNullSafe(F.col("hint")), 0).otherwise(1).alias("far"), "doc_id", "start_pos", "end_pos")
+    here = both.mapInArrow(search, schema).select("k", *[F.when(F.col("mode") == i, place).alias(m) for i, m in enumerate(MODES)])
+    found = here.groupBy("k").agg(*[c for m in MODES for c in (F.min(m).alias(m), F.count(m).alias(f"n_{m}"))])
     first = F.coalesce(*[F.when(F.col(m).isNotNull(), F.struct(F.col(f"{m}.doc_id"), F.col(f"{m}.start_pos"), F.col(f"{m}.end_pos"), F.lit(m).alias("mode"), F.col(f"n_{m}").alias("total_count"))) for m in MODES]).alias("m")
     hits = found.select(first, *[F.col("k")[k].alias(k) for k in ("sample_id", *keys)]).select("sample_id", *keys, "m.doc_id", "m.start_pos", "m.end_pos", "m.mode", "m.total_count")
     if fuzzy:
