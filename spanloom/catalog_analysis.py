@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -315,7 +317,7 @@ SELECT 's' || d.doc_id AS sample_id, f.split, CASE WHEN d.doc_id % 9 = 0 THEN NU
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN f ON f.set_id = d.doc_id // 3 LEFT JOIN isl i ON i.doc_id = d.doc_id WHERE c.n = 3 OR (d.doc_id % 9 = 0 AND c.n > 0) GROUP BY d.doc_id, f.split""")
 def preset_majority(spark, d):
     """The preset by majority from annotated documents to its answers, through written stages."""
-    stages = Stages(spark, shared_root(spark, "presets"), preset_sources(spark, d))
+    stages = Stages(spark, shared_root(spark, f"presets-{uuid.uuid4().hex[:12]}"), preset_sources(spark, d))  # a folder of its own: the query does all its work
     out = build_preset(stages, "majority", "You select.")["answers"]
     total = lambda c: F.aggregate("selections", F.lit(0).cast("long"), lambda a, s: a + s[c])
     return out.select("sample_id", "split", "group_id", F.size("selections").cast("long").alias("n"), total("start_pos").alias("sum_start"), total("end_pos").alias("sum_end"))
