@@ -522,7 +522,7 @@ def conversation_cost(spark, d):
 @query(f"""WITH {LINES}, s AS (SELECT doc_id, rater, count(*) AS n_sel, sum(end_pos - start_pos) AS sel_chars, sum((end_pos - start_pos) * (end_pos - start_pos)) AS sq FROM spans GROUP BY ALL)
 SELECT lang, rater, count(*) AS n_samples, sum(n_sel)::BIGINT AS n_sel, round(avg(sel_chars::DOUBLE / n_chars), 9) AS compression, round(avg(sq::DOUBLE / sel_chars), 6) AS density, median(n_sel) AS median_sel FROM s JOIN documents d ON d.doc_id = s.doc_id GROUP BY lang, rater""")
 def dataset_stats(spark, d):
-    s = rater_spans(docs_of(spark, d)).withColumn("w", F.col("end_pos") - F.col("start_pos")).groupBy("doc_id", "rater").agg(F.count("*").alias("n_sel"), F.sum("w").alias("sel_chars"), F.sum(F.col("w") * F.col("w")).alias("sq"))
+    s = rater_spans(docs_of(spark, d)).withColumn("w", (F.col("end_pos") - F.col("start_pos")).cast("long")).groupBy("doc_id", "rater").agg(F.count("*").alias("n_sel"), F.sum("w").alias("sel_chars"), F.sum(F.col("w") * F.col("w")).alias("sq"))
     both = s.join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     return both.groupBy("lang", "rater").agg(F.count("*").alias("n_samples"), F.sum("n_sel").alias("n_sel"), F.round(F.avg(F.col("sel_chars") / F.col("n_chars")), 9).alias("compression"), F.round(F.avg(F.col("sq") / F.col("sel_chars")), 6).alias("density"), F.median("n_sel").alias("median_sel"))
 

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom import catalog
 from spanloom.functions import variants
 from spanloom.operators import masking, rouge
 from spanloom.sources import cards
@@ -204,3 +205,11 @@ def test_filter_of_annotated_samples(spark):
     assert rows == {("b", "x", 0), ("b", "y", None), ("b", "z", 0), ("b", "Merged", None), ("e", "x", 0), ("e", "y", 0), ("e", "z", None), ("e", "Merged", 0)}
     kept, _ = filtering.filter_annotated(samples, groups, docs, drop_ungrounded=False)
     assert {(r["group_id"], r["start_pos"]) for r in kept.where("sample_id = 'b'").collect()} == {("x", 0), ("y", -1), ("z", 0), ("Merged", 0)}
+
+
+def test_lengths_are_squared_beyond_integers(spark, tmp_path):
+    texts = ["x" * 60_000 + "\nab\n" + "y" * 50_000, "z" * 70_000]
+    rows = [(3 * k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["rater"]: r for r in catalog.QUERIES["dataset_stats"](spark, str(tmp_path)).collect()}
+    assert got[0]["density"] == 65_000 and got[0]["n_sel"] == 2
