@@ -1,12 +1,11 @@
-"""Bias-corrected and accelerated bootstrap of macro averages, in one pass over the rows.
+"""Bias-corrected and accelerated bootstrap of macro averages, in one pass over the picks.
 
-A resample of a group's n rows takes n of them with repeats. Rows lie in cells of bounded size (by a hash of their id); a
-cell's share of each draw is split off the group's n picks along a binary tree of cells by binomials that every cell works
-out alike, then the cell picks that often among its own rows: the same distribution as picking from the whole group.
-Each task adds its cells' sums to one vector of ``draws`` numbers a group, and only those vectors are shuffled. The cost
-is rows x draws additions in arrays, never rows x draws rows.
+A resample of a group's n rows takes n of them with repeats. The picks are a chain of integer operations that any engine
+repeats, whatever the group's size. A group's values lie in blocks of up to ``CELL_ROWS`` rows in the order of their ids; its draws are
+dealt out in up to ``PARTS`` parts, so a task makes the picks of some draws and adds up those that fall in one block. Only
+vectors of the draws' sums leave it. The cost is rows x draws additions in arrays (once more for each further block of a
+group), never rows x draws rows.
 
-In a group of one cell (up to ``CELL_ROWS`` rows) the picks are a chain of integer operations that any engine repeats.
 Rows of equal group, id and value are weighted, not repeated. Null values count as 0. Groups of one row have no spread.
 """
 
@@ -19,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.distributions import normal_cdf, normal_quantile
-from .stats import hash_int
 
-CELL_ROWS = 4096
+#: Rows of a block (8 MB of values), parts of a group's draws at most, picks that a part is worth, and tasks that the parts are dealt to.
+CELL_ROWS, PARTS, PART_PICKS, TASKS = 1 << 20, 64, 1 << 24, 256
+#: Picks made at a time, to stay in a core's cache.
+AT_ONCE = 1 << 15
 #: Vectors a task holds before it sends them on.
 HELD_GROUPS = 64
 #: The modulus and multipliers of the picks.
@@ -38,7 +39,7 @@ def picks(seed: int, code: int, cell: int, draws: np.ndarray, places: np.ndarray
 
 
 def cell_counts(path: list[int], cell: int, seed: int, code: int, draws: int) -> np.ndarray:
-    """How many of the group's picks fall in a cell in each draw; ``path`` are the sizes of the tree's nodes from the group to the cell."""
+    """For shares that no other engine repeats: how many of the group's picks fall in a cell in each draw; ``path`` are the sizes of the tree's nodes from the group to the cell."""
     count, levels = np.full(draws, path[0], dtype=np.int64), len(path) - 1
     for level in range(levels):
         node, right = cell >> (levels - level), cell >> (levels - level - 1) & 1
@@ -48,78 +49,69 @@ def cell_counts(path: list[int], cell: int, seed: int, code: int, draws: int) ->
     return count
 
 
-def cell_sums(values: np.ndarray, weights: np.ndarray, count: np.ndarray, seed: int, code: int, cell: int) -> np.ndarray:
-    """The sum of each draw's picks from one cell."""
-    ends, size = np.cumsum(weights), int(weights.sum())
-    every = values if len(values) == size else None
-    out, lo = np.zeros(len(count)), 0
-    while lo < len(count):  # about a million picks at a time
-        hi = max(lo + 1, min(len(count), lo + (1 << 20) // max(1, int(count[lo : lo + 256].max()))))
-        n = count[lo:hi]
-        first = np.concatenate([[0], np.cumsum(n)])
-        draw = np.repeat(np.arange(lo, hi), n)
-        at = picks(seed, code, cell, draw, np.arange(first[-1]) - first[draw - lo], size)
-        taken = every[at] if every is not None else values[np.searchsorted(ends, at, side="right")]
-        out[lo:hi] = np.add.reduceat(np.append(taken, 0.0), first[:-1]) * (n > 0)
-        lo = hi
+def block_sums(values: np.ndarray, weights: np.ndarray, before: int, size: int, draws: range, seed: int, code: int) -> np.ndarray:
+    """Each draw's sum of the group's picks that fall in a block, whose first row is the group's row ``before``."""
+    ends = np.cumsum(weights)
+    total, prime, thirty = int(ends[-1]), np.uint64(PRIME), np.uint64(31)
+    flat = np.repeat(values, weights) if total <= 2 * len(values) + AT_ONCE else None
+    whole = before == 0 and total == size
+    bases = (seed * BY_SEED + code + np.array(draws, dtype=np.int64) * BY_DRAW).astype(np.uint64) % prime
+    out, many = np.zeros(len(draws)), max(1, AT_ONCE // size)
+    for lo in range(0, size, AT_ONCE):
+        step = np.arange(lo, min(size, lo + AT_ONCE), dtype=np.uint64) * np.uint64(BY_PLACE) % prime
+        for k in range(0, len(draws), many):
+            x = step[None, :] + bases[k : k + many, None]
+            x = np.minimum(x, x - prime)  # what is below 0 is far above
+            for _ in range(2):
+                x = x * (x + np.uint64(MIX)) + np.uint64(ADD)
+                x = (x & prime) + (x >> thirty)
+                x = (x & prime) + (x >> thirty)
+                x = np.minimum(x, x - prime)
+            at = (x * np.uint64(size) // prime).astype(np.int64)
+            inside = None
+            if not whole:
+                at -= before
+                inside = (at >= 0) & (at < total)
+                at = np.where(inside, at, 0)
+            taken = flat[at] if flat is not None else values[np.searchsorted(ends, at, side="right")]
+            out[k : k + many] += (taken if inside is None else np.where(inside, taken, 0.0)).sum(axis=1)
     return out
 
 
 def draw_sums(rows: DataFrame, value: str, keys: list[str], id_col: str, draws: int, seed: int) -> DataFrame:
-    """``(*keys, n, sums)``: vectors of the draws' sums of each group, one a task and group; ``n`` is the group's size."""
+    """``(*keys, n, first, sums)``: sums of the draws from ``first`` on, one vector a part and block of each group; ``n`` is the group's size."""
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    weighed = rows.groupBy(*keys, F.col(id_col).alias("_id"), v.alias("_v")).agg(F.count("*").alias("_w"))
-    sizes = weighed.groupBy(*keys).agg(F.sum("_w").alias("n"), F.count("*").alias("_rows"))
-    levels = F.ceil(F.log2(F.greatest(F.ceil(F.col("_rows") / CELL_ROWS), F.lit(1)))).cast("int")
-    named = sizes.select(F.struct(*keys).alias("_g"), "n", levels.alias("_levels"))
-    placed = weighed.select(F.struct(*keys).alias("_g"), "_id", "_v", "_w").join(named, "_g")
-    cell = F.pmod(hash_int(F.lit(seed), F.col("_id"), F.col("_v")), F.expr("shiftleft(1L, _levels)"))
-    cells = placed.withColumn("_cell", cell).groupBy("_g", "n", "_levels", "_cell").agg(F.array_sort(F.collect_list(F.struct("_id", "_v", "_w"))).alias("_r"))
-    # The sizes of all nodes above each cell.
-    counts = cells.select("_g", "_levels", "_cell", F.aggregate("_r", F.lit(0).cast("long"), lambda s, r: s + r["_w"]).alias("_s"))
-    level = F.explode(F.sequence(F.lit(0), F.col("_levels"))).alias("_l")
-    at = lambda df: df.select("*", level).withColumn("_node", F.expr("shiftright(_cell, _levels - _l)"))
-    nodes = at(counts).groupBy("_g", "_l", "_node").agg(F.sum("_s").alias("_size"))
-    paths = at(counts).join(nodes, ["_g", "_l", "_node"]).groupBy("_g", "_cell").agg(F.array_sort(F.collect_list(F.struct("_l", "_size"))).alias("_p"))
+    group = F.struct(*keys).alias("_g")
+    weighed = rows.groupBy(group, F.col(id_col).alias("_id"), v.alias("_v")).agg(F.count("*").alias("_w"))
+    order = Window.partitionBy("_g").orderBy("_id", "_v")
+    placed = weighed.select("_g", "_v", "_w", F.row_number().over(order).alias("_r"), (F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w")).alias("_at"))
+    row = F.struct("_r", "_v", "_w")
+    blocks = placed.groupBy("_g", F.floor((F.col("_r") - 1) / CELL_ROWS).alias("_block")).agg(F.min("_at").alias("_before"), F.array_sort(F.collect_list(row)).alias("_x"))
+    sizes = weighed.groupBy("_g").agg(F.sum("_w").alias("n"))
+    named = sizes.select("_g", "n", F.least(F.lit(PARTS), F.lit(draws), F.ceil(F.col("n") * draws / PART_PICKS)).cast("int").alias("_parts"))
     code = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(f"_g.{k}").cast("string") for k in keys])), 1, 7), 16, 10).cast("long")
-    ready = cells.join(paths, ["_g", "_cell"]).select(*[F.col(f"_g.{k}").alias(k) for k in keys], "n", code.alias("_code"), "_cell", F.col("_p._size").alias("_path"), F.col("_r._v").alias("_v"), F.col("_r._w").alias("_w"))
+    dealt = blocks.join(named, "_g").select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    first = lambda k: F.floor(k * F.lit(draws) / F.col("_parts")).cast("int")
+    ready = dealt.select(*[F.col(f"_g.{k}").alias(k) for k in keys], "n", first(F.col("_part")).alias("first"), first(F.col("_part") + 1).alias("_next"), code.alias("_code"), "_before", F.col("_x._v").alias("_v"), F.col("_x._w").alias("_w")).repartition(TASKS, *keys, "first", "_before")
 
     def run(batches):
-        held: dict[tuple, list] = {}
-        schema = None
-
-        def flush():
-            parts = [pa.concat_arrays([h[0][c] for h in held.values()]) for c in range(len(keys) + 1)]
-            out = pa.RecordBatch.from_arrays([*parts, pa.array([h[1] for h in held.values()], pa.list_(pa.float64()))], schema)
-            held.clear()
-            return out
-
+        k = len(keys)
         for batch in batches:
-            schema = [*keys, "n", "sums"]
-            k = len(keys)
+            sums = []
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                group, named = tuple(row.column(c)[0].as_py() for c in range(k)), [row.column(c) for c in range(k + 1)]
-                code, at, path = row.column(k + 1)[0].as_py(), row.column(k + 2)[0].as_py(), row.column(k + 3)[0].as_py()
-                values, weights = (np.asarray(row.column(k + c).flatten().to_numpy(zero_copy_only=False)) for c in (4, 5))
-                sums = cell_sums(values, weights, cell_counts(path, at, seed, code, draws), seed, code, at)
-                if group in held:
-                    held[group][1] += sums
-                else:
-                    held[group] = [named, sums]
-                if len(held) > HELD_GROUPS:
-                    yield flush()
-        if held:
-            yield flush()
+                n, lo, hi, code, before = (batch.column(k + c)[i].as_py() for c in range(5))
+                values, weights = (batch.column(k + c)[i].values.to_numpy(zero_copy_only=False) for c in (5, 6))
+                sums.append(block_sums(values, weights, before, n, range(lo, hi), seed, code))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 2], pa.array(sums, pa.list_(pa.float64()))], [*keys, "n", "first", "sums"])
 
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return ready.mapInArrow(run, f"{kinds}, n long, sums array<double>")
+    return ready.mapInArrow(run, f"{kinds}, n long, first int, sums array<double>")
 
 
 def macro_draws(results: DataFrame, value: str, group: str, id_col: str, keys: list[str], draws: int, seed: int) -> DataFrame:
     """``(*keys, draw, d)``: the macro average over groups in each draw."""
     by = [*keys, group]
-    sums = draw_sums(results, value, by, id_col, draws, seed).select(*by, "n", F.posexplode("sums").alias("draw", "s"))
+    sums = draw_sums(results, value, by, id_col, draws, seed).select(*by, "n", "first", F.posexplode("sums").alias("_k", "s")).withColumn("draw", F.col("first") + F.col("_k"))
     return sums.groupBy(*by, "n", "draw").agg(F.sum("s").alias("s")).groupBy(*keys, "draw").agg(F.avg(F.col("s") / F.col("n")).alias("d"))
 
 

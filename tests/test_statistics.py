@@ -109,3 +109,13 @@ def test_cells_share_out_every_draw(spark, monkeypatch):
     sd = every.std() / math.sqrt(len(every))
     assert r["macro"] == pytest.approx(every.mean()) and 0.45 < r["below"] < 0.55
     assert r["low"] == pytest.approx(every.mean() - 1.96 * sd, abs=0.15 * sd) and r["high"] == pytest.approx(every.mean() + 1.96 * sd, abs=0.15 * sd)
+
+
+def test_large_groups_take_the_picks_of_sql(spark):
+    """Groups beyond 4,096 rows, one with repeated rows, against the plain version draw by draw."""
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.integers(0, 900, 5000).astype(float), "b": np.repeat(rng.integers(0, 900, 30).astype(float), 150)}
+    rows = [("a", i, float(x)) for i, x in enumerate(groups["a"])] + [("b", i // 150, float(x)) for i, x in enumerate(groups["b"])]
+    df = spark.createDataFrame(rows, "data string, id int, score double").repartition(3)
+    sums = {(r["data"], r["draw"]): r["s"] for r in bootstrap.draw_sums(df, "score", ["data"], "id", 40, 42).select("data", "first", F.posexplode("sums").alias("k", "s")).selectExpr("data", "first + k as draw", "s").collect()}
+    assert sums == {(g, b): v[plain_picks(42, g, b, len(v))].sum() for g, v in groups.items() for b in range(40)}
