@@ -116,8 +116,9 @@ def rouge_n_local(pairs: DataFrame, key: str, ref: Column, pred: Column, n: int)
         grams = lambda words: Counter(zip(*(words[i:] for i in range(n)), strict=False))
         for batch in batches:
             out = []
-            for r, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                a, b = grams(r or []), grams(p or [])
+            for i in range(batch.num_rows):  # words of one row at a time
+                words = (batch.column(c)[i].values for c in (1, 2))
+                a, b = (grams(w.to_numpy(zero_copy_only=False).tolist() if w is not None else []) for w in words)
                 out.append((sum(min(c, b[g]) for g, c in a.items()), a.total(), b.total()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[j] for x in out], pa.int64()) for j in range(3)]], [key, "overlap", "n_ref", "n_pred"])
 
