@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalize
-from .spans import tokenize
+from .spans import token_arrays
 
 
 def closest(needle: list[str], hay: list[str], most: int) -> tuple[int, int, int] | None:
@@ -81,17 +81,16 @@ def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: in
     """
     within = within or []
     form = lambda df, c: df.withColumn("_n", normalize(F.col(c)))
-    needles = tokenize(form(spans, "span").select(F.col("span_id").alias("doc_id"), F.col("_n").alias("text"))).withColumnRenamed("doc_id", "span_id")
-    needles = needles.groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("tok", "text"))).alias("t")).select("span_id", F.col("t.text").alias("needle"))
+    needles = token_arrays(form(spans, "span").select(F.col("span_id").alias("doc_id"), F.col("_n").alias("text"))).select(F.col("doc_id").alias("span_id"), F.col("words").alias("needle"))
     needles = needles.withColumn("k", F.least(F.floor(F.size("needle") * share), F.lit(most)).cast("int")).where("k > 0")
     needles = needles.withColumn("width", F.expr("cast(size(needle) div (k + 1) as int)")).where("width > 0")
     if within:
         needles = needles.join(spans.select("span_id", *within), "span_id")
     seeds = needles.select("span_id", *within, "width", F.explode(F.expr("transform(sequence(0, k), i -> named_struct('off', i * width, 'h', xxhash64(array_join(slice(needle, i * width + 1, width), ' '))))")).alias("s"))
     seeds = seeds.select("span_id", *within, "width", "s.off", "s.h")
-    hay = tokenize(form(docs, "text").select("doc_id", F.col("_n").alias("text")))
-    packed = hay.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok", "text", "start_pos", "end_pos"))).alias("t"))
-    packed = packed.select("doc_id", F.col("t.text").alias("words"), F.col("t.start_pos").alias("starts"), F.col("t.end_pos").alias("ends"))
+    # Documents are cut into arrays where they stand; with ``within``, only those that some needle is looked for in.
+    asked = docs.join(needles.select(*within).distinct(), within, "left_semi") if within else docs
+    packed = token_arrays(form(asked, "text").select("doc_id", F.col("_n").alias("text")))
     if within:
         packed = packed.join(docs.select("doc_id", *within), "doc_id")
     # The few lengths in use are a one-row table, or one row for each value of ``within``.

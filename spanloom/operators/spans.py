@@ -7,25 +7,64 @@ document meet only its own spans.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import PIECES, match_places
+from ..functions.text import match_places
 
+#: Tokens of one document that are handed on together.
+TOKENS_AT_ONCE = 1 << 16
+#: Documents whose tokens are handed on as arrays together.
+DOCUMENTS_AT_ONCE = 128
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a token, numbered from 0 in its document.
 
-    Whole documents are dealt by id, so their pieces need no shuffle of their own.
-    """
-    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-    pieces = dealt.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("i", "text"))
-    so_far = Window.partitionBy("doc_id").orderBy("i")
-    placed = pieces.withColumn("end_pos", F.sum(F.length("text")).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
-    solid = placed.where(~F.col("text").rlike(r"^[\s\p{Z}]"))
-    return solid.select("doc_id", (F.row_number().over(so_far) - 1).alias("tok"), "text", (F.col("end_pos") - F.length("text")).alias("start_pos"), "end_pos")
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a token, numbered from 0 in its document; texts are cut in arrays in the task that holds them."""
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+
+    def run(batches):
+        from .ranges import token_bounds
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                starts, ends = token_bounds(text)
+                for lo in range(0, len(starts), TOKENS_AT_ONCE):
+                    s, e = starts[lo : lo + TOKENS_AT_ONCE], ends[lo : lo + TOKENS_AT_ONCE]
+                    named = batch.column(0).take(pa.array(np.full(len(s), i)))
+                    words = pa.array([text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([named, pa.array(np.arange(lo, lo + len(s), dtype=np.int32)), words, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["doc_id", "tok", "text", "start_pos", "end_pos"])
+
+    schema = T.StructType([given.schema["doc_id"], T.StructField("tok", T.IntegerType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("start_pos", "end_pos")]])
+    return given.mapInArrow(run, schema)
+
+
+def token_arrays(docs: DataFrame) -> DataFrame:
+    """``(doc_id, words, starts, ends)`` of ``docs(doc_id, text)`` that have tokens, a row a document, where it stands."""
+    given = docs.select("doc_id", "text").where("text is not null")
+
+    def run(batches):
+        from .ranges import token_bounds
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+                rows, words, starts, ends = [], [], [], []
+                for i in range(at, min(at + DOCUMENTS_AT_ONCE, batch.num_rows)):
+                    text = batch.column(1)[i].as_py()
+                    s, e = token_bounds(text)
+                    if len(s):
+                        rows.append(i)
+                        words.append([text[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+                        starts.append(s.astype(np.int32))
+                        ends.append(e.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc_id", "words", "starts", "ends"])
+
+    whole = T.ArrayType(T.IntegerType())
+    return given.mapInArrow(run, T.StructType([given.schema["doc_id"], T.StructField("words", T.ArrayType(T.StringType())), T.StructField("starts", whole), T.StructField("ends", whole)]))
 
 
 def covered_tokens(spans: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -334,3 +334,25 @@ def test_scatter_over_all_other_spans(spark):
         if mine:
             assert got[g][0] == len(mine) and got[g][1] == (pytest.approx(sum(ways) / len(ways)) if len(mine) > 1 else None)
     assert set(got) == {r[0] for r in rows}
+
+
+def test_ordered_pairs_of_ranges_are_those_of_tokens(spark):
+    """Both ways round and with themselves, raters without a choice and a sample of two documents included."""
+    from spanloom.operators import ranges
+
+    docs = spark.createDataFrame([(0, "a b c d e"), (1, "f g"), (2, "h")], "doc_id int, text string")
+    places = spark.createDataFrame([("s", 0, 0, 0, 5), ("s", 1, 0, 4, 9), ("s", 0, 1, 0, 3), ("s", 1, 1, 2, 3), ("t", 1, 2, 0, 1)], "sample_id string, rater int, doc_id int, start_pos int, end_pos int")
+    raters = spark.createDataFrame([(s, r) for s in ("s", "t", "u") for r in (0, 1, 2)], "sample_id string, rater int")
+    ids = spans.covered_tokens(places, spans.tokenize(docs), ["sample_id", "rater"])
+    chosen = ranges.token_ranges(places, docs, ["sample_id", "rater"])
+    for kind in ({}, {"ordered": True}, {"with_self": True, "ordered": True}):
+        got, want = (sorted(map(tuple, x.select("sample_id", "a", "b", "overlap", "n_a", "n_b", "f1").collect())) for x in (ranges.pair_scores(chosen, raters, **kind), agreement.pair_scores(ids, raters, **kind)))
+        assert got == want and len(got) == {0: 9, 1: 18, 2: 27}[len(kind)]
+
+
+def test_rows_are_read_by_parts(spark):
+    """Token rows and lines are made where texts stand, and no plan of them has a shuffle."""
+    docs = spark.createDataFrame([(1, "a b\n\nc"), (2, ""), (3, None), (4, "\n")], "doc_id int, text string")
+    for rows in (spans.tokenize(docs), catalog.line_table(docs)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in catalog.line_table(docs).orderBy("doc_id", "line_no").collect()] == [(1, 0, "a b", 0), (1, 1, "", 4), (1, 2, "c", 5), (2, 0, "", 0), (4, 0, "", 0), (4, 1, "", 1)]
