@@ -8,8 +8,10 @@ numbered from 0.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import chunk_ends, strip, token_count
@@ -17,6 +19,8 @@ from ..functions.text import chunk_ends, strip, token_count
 ARTICLE = "struct<paragraphs:array<array<struct<text:string>>>>"
 #: An article's first two paragraphs are its title, at most eleven more are shown to annotators.
 TITLE_PARAGRAPHS, SHOWN = 2, 11
+#: Ranges of a number that rows are counted by.
+CELLS = 4096
 
 
 def annotation_ids(answers: Column) -> Column:
@@ -46,6 +50,16 @@ def sentence_spans(chosen: DataFrame, docs: DataFrame) -> DataFrame:
     return placed.select("sample_id", "group_ord", "sel_ord", "doc_id", "start_pos", "end_pos", content.alias("content"), "importance")
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with their place ``_p`` from 0 in the order of a number; counts of ``CELLS`` equal ranges of it spread the work."""
+    span = rows.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
+    celled = rows.crossJoin(F.broadcast(span)).withColumn("_c", F.coalesce(F.floor((F.col(order).cast("double") - F.col("_lo")) * CELLS / (F.col("_hi") - F.col("_lo") + 1)), F.lit(-1))).drop("_lo", "_hi")
+    before = Window.partitionBy(F.lit(0)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # over cells
+    starts = celled.groupBy("_c").agg(F.count("*").alias("_k")).select("_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_first"))
+    here = F.row_number().over(Window.partitionBy("_c").orderBy(order)) - 1
+    return celled.withColumn("_r", here).join(starts, "_c").withColumn("_p", F.col("_first") + F.col("_r")).drop("_c", "_r", "_first")
+
+
 def annotated_articles(tasks: DataFrame, prefix: str, first: int = 0) -> tuple[DataFrame, DataFrame]:
     """``tasks(row, task_id, article, answers)``, one row an annotator, both payloads as JSON.
 
@@ -53,9 +67,9 @@ def annotated_articles(tasks: DataFrame, prefix: str, first: int = 0) -> tuple[D
     """
     parsed = tasks.select("row", "task_id", F.from_json("article", ARTICLE)["paragraphs"].alias("p"), F.from_json("answers", "array<map<string,string>>")[0].alias("a"))
     heads = parsed.groupBy("task_id").agg(F.min("row").alias("head"), F.min_by("p", "row").alias("p"))
-    number = Window.partitionBy(F.lit(0)).orderBy("head")  # over tasks, a few hundred rows
     texts = F.transform(F.slice("p", TITLE_PARAGRAPHS + 1, SHOWN), lambda x: strip(F.concat(x[0]["text"], x[1]["text"])))
-    samples = heads.select("task_id", F.concat(F.lit(f"{prefix}_"), (F.row_number().over(number) + first - 1).cast("string")).alias("sample_id"), texts.alias("s"))
+    numbers = numbered(tasks.groupBy("task_id").agg(F.min("row").alias("head")), "head")
+    samples = heads.join(numbers.select("task_id", "_p"), "task_id").select("task_id", F.concat(F.lit(f"{prefix}_"), (F.col("_p") + first).cast("string")).alias("sample_id"), texts.alias("s"))
     docs = samples.select("sample_id", F.lit(0).alias("doc_id"), *_document("s"), F.lit(None).cast("string").alias("filename"))
     groups = parsed.withColumn("group_ord", F.row_number().over(Window.partitionBy("task_id").orderBy("row")) - 1).join(samples.select("task_id", "sample_id"), "task_id")
     chosen = groups.select("sample_id", "group_ord", F.lit(0).alias("doc_id"), F.posexplode(annotation_ids(F.col("a"))).alias("sel_ord", "x")).select("*", "x.sentence", "x.importance")
@@ -149,6 +163,11 @@ def ordered_selections(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return refs.withColumn("sel_ord", F.row_number().over(order) - 1).join(counts, ["sample_id", "content"], "left").withColumn("total_count", F.coalesce("total_count", F.lit(0)))
 
 
+def _is_slice(text: str | None, start_pos: int | None, end_pos: int | None, content: str | None) -> bool:
+    """Whether a span's content stands at its place."""
+    return None not in (text, start_pos, end_pos, content) and start_pos >= 0 and text[start_pos : max(start_pos, end_pos)] == content
+
+
 def sample_violations(refs: DataFrame, docs: DataFrame, sentences: bool = False, ungrounded_ok: bool = False) -> DataFrame:
     """``(sample_id, rule, n)`` of the broken rules: none for sound samples.
 
@@ -156,22 +175,38 @@ def sample_violations(refs: DataFrame, docs: DataFrame, sentences: bool = False,
     from 0 without gaps. For sentence samples too: edge: a span begins and ends with a sentence; rising: sentence ends
     rise; length: the last one is the text's length.
     """
-    both = refs.where("doc_id >= 0").join(docs.select("sample_id", "doc_id", "text", "chunks_pos"), ["sample_id", "doc_id"], "left")
-    rules = [both.where("not coalesce(substr(text, start_pos + 1, end_pos - start_pos) = content, false)").select("sample_id", F.lit("content").alias("rule"))]
+    each = refs.where("doc_id >= 0").groupBy("sample_id", "doc_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "content")).alias("_s"))
+    both = each.join(docs.select("sample_id", "doc_id", "text", "chunks_pos", F.lit(True).alias("_d")), ["sample_id", "doc_id"], "full").select("sample_id", "_s", "text", "chunks_pos", F.coalesce("_d", F.lit(False)).alias("_d"))
+
+    def run(batches):
+        for batch in batches:
+            rows, names, counts = [], [], []
+            for i in range(batch.num_rows):
+                spans, text, ends, known = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
+                spans = spans or []
+                bad = {"content": sum(not _is_slice(text, **x) for x in spans)}
+                if sentences:
+                    whole = set(zip([0, *(ends or [])], [*(e - 1 for e in (ends or [])[:-1]), *(ends or [])[-1:]], strict=False))
+                    bad["edge"] = sum((x["start_pos"], x["end_pos"]) not in whole for x in spans)
+                    bad["rising"] = known and any(None not in (a, b) and b <= a for a, b in zip(ends or [], (ends or [])[1:], strict=False))
+                    bad["length"] = known and not (ends and text is not None and ends[-1] == len(text))
+                for rule, n in bad.items():
+                    if n:
+                        rows.append(i)
+                        names.append(rule)
+                        counts.append(int(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["sample_id", "rule", "n"])
+
+    found = both.mapInArrow(run, T.StructType([both.schema["sample_id"], T.StructField("rule", T.StringType()), T.StructField("n", T.LongType())]))
+    rules = []
     if not ungrounded_ok:
         rules.append(refs.where("doc_id < 0").select("sample_id", F.lit("grounded").alias("rule")))
     ids = docs.groupBy("sample_id").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"))
     rules.append(ids.where("lo <> 0 or hi <> n - 1 or d <> n").select("sample_id", F.lit("number").alias("rule")))
-    if sentences:
-        last = F.size("chunks_pos") - 1
-        inner = F.transform("chunks_pos", lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get("chunks_pos", i - 1)).alias("s"), F.when(i == last, e).otherwise(e - 1).alias("e")))
-        rules.append(both.where(~F.coalesce(F.array_contains(inner, F.struct(F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))), F.lit(False))).select("sample_id", F.lit("edge").alias("rule")))
-        rules.append(docs.where("exists(transform(chunks_pos, (e, i) -> i > 0 and e <= chunks_pos[i - 1]), x -> x)").select("sample_id", F.lit("rising").alias("rule")))
-        rules.append(docs.where("not coalesce(element_at(chunks_pos, -1) = length(text), false)").select("sample_id", F.lit("length").alias("rule")))
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("sample_id", "rule").agg(F.count("*").alias("n"))
+    out = found
+    for r in rules:
+        out = out.unionByName(r.withColumn("n", F.lit(1).cast("long")))
+    return out.groupBy("sample_id", "rule").agg(F.sum("n").alias("n"))
 
 
 def card_filters(cards: DataFrame, least_words: int = 20) -> DataFrame:

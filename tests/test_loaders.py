@@ -112,3 +112,21 @@ def test_sentence_ends_of_many_sentences(spark):
         want.append(at)
     want[-1] -= 1
     assert ends == want
+
+
+def test_numbers_need_no_single_task(spark):
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate([5, -3, 900, None, 17, 6, 10**12, 18])], "k int, v long")
+    got = loaders.numbered(rows, "v")
+    assert [r["v"] for r in sorted(got.collect(), key=lambda r: r["_p"])] == [None, -3, 5, 6, 17, 18, 900, 10**12]
+    assert sorted(r["_p"] for r in got.collect()) == list(range(8))
+
+
+def test_violations_of_many_spans_of_a_document(spark):
+    text = "\n".join(["ab"] * 300)
+    ends = [3 * k + 3 for k in range(299)] + [899]
+    docs = spark.createDataFrame([("s", 0, text, ends)], "sample_id string, doc_id int, text string, chunks_pos array<int>")
+    spans = [("s", 0, 3 * k, 3 * k + 2, "ab") for k in range(300)] + [("s", 0, 1, 2, "b"), ("s", 0, 0, 2, "xx"), ("s", 0, -1, 2, "ab"), ("s", 1, 0, 2, "ab"), ("s", -1, -1, -1, "q"), ("s", 0, 0, None, "ab")]
+    refs = spark.createDataFrame(spans, "sample_id string, doc_id int, start_pos int, end_pos int, content string")
+    found = loaders.sample_violations(refs, docs, sentences=True)
+    assert {(r["sample_id"], r["rule"]): r["n"] for r in found.collect()} == {("s", "content"): 4, ("s", "edge"): 4, ("s", "grounded"): 1}
+    assert "ArrayContains" not in found._jdf.queryExecution().analyzed().toString()
