@@ -41,9 +41,12 @@ def docs_of(spark, d):
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    ends = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return each.withColumn("start_pos", (ends - F.length("line") - 1).cast("int"))
+    """Lines with their numbers and first positions, told in the task that holds the text."""
+    lines = docs.select("doc_id", F.split("text", "\n").alias("_l"))
+    placed = F.zip_with("_l", tx.chunk_ends(F.col("_l")), lambda x, e: F.struct(x.alias("line"), e.alias("e")))
+    each = lines.select("doc_id", F.size("_l").alias("_n"), F.posexplode(placed).alias("line_no", "x"))
+    start = F.col("x.e") - F.length("x.line") - F.when(F.col("line_no") == F.col("_n") - 1, 0).otherwise(1)
+    return each.select("doc_id", "line_no", "x.line", start.alias("start_pos"))
 
 
 def rater_spans(docs: DataFrame) -> DataFrame:
@@ -147,7 +150,8 @@ def token_counts(spark, d):
 
 @query(f"WITH {IDS} SELECT doc_id, rater, count(*) AS n_tokens, sum(tok) AS sum_tok FROM ids GROUP BY doc_id, rater")
 def span_to_tokens(spark, d):
-    return rater_ids(docs_of(spark, d)).groupBy("doc_id", "rater").agg(F.count("*").alias("n_tokens"), F.sum("tok").alias("sum_tok"))
+    n = (F.col("hi") - F.col("lo") + 1).cast("long")
+    return rater_ranges(docs_of(spark, d)).groupBy("doc_id", "rater").agg(F.sum(n).alias("n_tokens"), F.sum(F.expr("(hi - lo + 1L) * (lo + hi) div 2")).alias("sum_tok"))
 
 
 ISLANDS = """SELECT {keys}, doc_id, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM (SELECT x.*, t.start_pos, t.end_pos, x.tok - row_number() OVER (PARTITION BY {part} ORDER BY x.tok) AS g FROM {ids} x JOIN tok t ON t.doc_id = x.doc_id AND t.tok = x.tok) GROUP BY ALL"""
@@ -155,8 +159,7 @@ ISLANDS = """SELECT {keys}, doc_id, min(start_pos) AS start_pos, max(end_pos) AS
 
 @query(f"WITH {IDS}, isl AS ({ISLANDS.format(keys='rater, g', part='x.doc_id, x.rater', ids='ids')}) SELECT doc_id, rater, start_pos, end_pos FROM isl")
 def tokens_to_spans(spark, d):
-    docs = docs_of(spark, d)
-    return spans.tokens_to_spans(rater_ids(docs).drop("sample_id"), spans.tokenize(docs), ["rater"])
+    return rater_ranges(docs_of(spark, d)).select("doc_id", "rater", "start_pos", "end_pos")
 
 
 @query(f"WITH {IDS}, v AS (SELECT doc_id, tok FROM ids GROUP BY doc_id, tok HAVING count(DISTINCT rater) >= 2), isl AS ({ISLANDS.format(keys='g', part='x.doc_id', ids='v')}) SELECT doc_id, start_pos, end_pos FROM isl")
@@ -231,7 +234,7 @@ def integrity_violations(spark, d):
 @query(f"WITH {PAIRS} SELECT sample_id, a, b, overlap, n_a, n_b, f1 FROM scored WHERE a < b")
 def pairwise_f1(spark, d):
     docs = docs_of(spark, d)
-    return agreement.pair_scores(rater_ids(docs), all_raters(docs))
+    return ranges.pair_scores(rater_ranges(docs), all_raters(docs))
 
 
 def scored_groups(spark, d):
@@ -314,14 +317,14 @@ def ila_report(spark, d):
 @query(f"WITH {PAIRS}, m AS (SELECT sample_id, a, round(avg(f1), 9) AS f1 FROM scored GROUP BY ALL) SELECT sample_id, a AS rater, f1 FROM m QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY f1 DESC, a) = 1")
 def medoid_selection(spark, d):
     docs = docs_of(spark, d)
-    pairs = agreement.pair_scores(rater_ids(docs), all_raters(docs), with_self=True, ordered=True)
+    pairs = ranges.pair_scores(rater_ranges(docs), all_raters(docs), with_self=True, ordered=True)
     return agreement.medoid(pairs.withColumn("f1", F.col("f1"))).select("sample_id", "rater", F.round("f1", 9).alias("f1"))
 
 
 @query(f"WITH {PAIRS} SELECT a, round(avg(f1) FILTER (b = 0), 9) AS r0, round(avg(f1) FILTER (b = 1), 9) AS r1, round(avg(f1) FILTER (b = 2), 9) AS r2 FROM scored GROUP BY a")
 def agreement_matrix(spark, d):
     docs = docs_of(spark, d)
-    pairs = agreement.pair_scores(rater_ids(docs), all_raters(docs), with_self=True, ordered=True)
+    pairs = ranges.pair_scores(rater_ranges(docs), all_raters(docs), with_self=True, ordered=True)
     return pairs.groupBy("a").pivot("b", [0, 1, 2]).agg(F.round(F.avg("f1"), 9)).toDF("a", "r0", "r1", "r2")
 
 
