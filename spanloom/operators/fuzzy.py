@@ -88,9 +88,8 @@ def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: in
         needles = needles.join(spans.select("span_id", *within), "span_id")
     seeds = needles.select("span_id", *within, "width", F.explode(F.expr("transform(sequence(0, k), i -> named_struct('off', i * width, 'h', xxhash64(array_join(slice(needle, i * width + 1, width), ' '))))")).alias("s"))
     seeds = seeds.select("span_id", *within, "width", "s.off", "s.h")
-    # Documents are cut into arrays where they stand; with ``within``, only those that some needle is looked for in.
-    asked = docs.join(needles.select(*within).distinct(), within, "left_semi") if within else docs
-    packed = token_arrays(form(asked, "text").select("doc_id", F.col("_n").alias("text")))
+    # Documents are cut into arrays where they stand.
+    packed = token_arrays(form(docs, "text").select("doc_id", F.col("_n").alias("text")))
     if within:
         packed = packed.join(docs.select("doc_id", *within), "doc_id")
     # The few lengths in use are a one-row table, or one row for each value of ``within``.
