@@ -364,19 +364,35 @@ def tiles(dealt: DataFrame, share: int) -> DataFrame:
     return dealt.select(*key, "early", "late", "x", "xi", "line").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "x long, xi long").distinct()
 
 
+def able(members: DataFrame, counts: DataFrame, share: int) -> DataFrame:
+    """The ``members(y, yi, x, xi, n, keys)`` of hubs that may share enough keys with some line.
+
+    A line shares with another at most its keys of larger groups and the most keys that small groups show it to share
+    with one line (``small`` of ``counts``). A similar line has ``share`` percent of its size at least. So a line that has just a
+    few keys in common with a growing crowd is dealt to no tile.
+    """
+    ends = counts.where("small > 0").select("x", "xi", "small").unionByName(counts.where("small > 0").selectExpr("y as x", "yi as xi", "small"))
+    small = ends.groupBy("x", "xi").agg(F.max("small").alias("small"))
+    large = members.groupBy("x", "xi").agg(F.sum("keys").alias("large"), F.max("n").alias("size"))
+    enough = large.join(small, ["x", "xi"], "left").where(f"large + coalesce(small, 0) > {share} * size div {100 * SPARE}").select("x", "xi")
+    return members.join(enough, ["x", "xi"]).select("y", "yi", "x", "xi", "n")
+
+
 def similar_lines(met: DataFrame, texts: DataFrame, share: int, scratch: Scratch) -> DataFrame:
     """The lines ``(x, xi)`` among the first ones of each set that have an earlier similar line."""
     possible_ = f"greatest(n, o) >= {FULL} or {share} * greatest(n, o) <= 100 * least(n, o) and least(p, q) + least(n - p, o - q) >= ceil({share} * (n + o) / {100 + share})"
     hubs = met.where(f"kind = {HUB}").selectExpr("key", "y", "yi", "n as o", "p as q")
     aside = met.where(f"kind = {ASIDE}").select("key", "x", "xi", "n", "p").join(hubs, "key").where("x <> y or xi <> yi")
-    star = met.where(f"kind = {STAR}").select("x", "xi", "y", "yi").unionByName(aside.where(possible_).select("x", "xi", "y", "yi")).withColumn("n", F.lit(0).cast("long"))
-    pairs = met.where(f"kind = {PAIR}").select("x", "xi", "y", "yi", "n").unionByName(star)
+    star = met.where(f"kind = {STAR}").select("x", "xi", "y", "yi").unionByName(aside.where(possible_).select("x", "xi", "y", "yi")).withColumn("n", F.lit(0).cast("long")).withColumn("small", F.lit(0))
+    pairs = met.where(f"kind = {PAIR}").select("x", "xi", "y", "yi", "n", F.lit(1).alias("small")).unionByName(star)
     # Similar lines that a larger group keeps below their number are members of its hub and meet in the tiles.
-    pairs = pairs.groupBy("x", "xi", "y", "yi").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"c > n div {SPARE}").select("x", "xi", "y", "yi")
-    pairs = scratch.save(pairs, "pairs")
+    counts = scratch.save(pairs.groupBy("x", "xi", "y", "yi").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.sum("small").alias("small")), "pairs")
+    pairs = counts.where(f"c > n div {SPARE}").select("x", "xi", "y", "yi")
     members = met.where(f"kind = {MEMBER}").select("y", "yi", "x", "xi", "n").unionByName(aside.select("y", "yi", "x", "xi", "n"))
-    members = scratch.save(members.groupBy("y", "yi", "x", "xi").agg(F.max("n").alias("n")), "members")
+    grouped = scratch.save(members.groupBy("y", "yi", "x", "xi").agg(F.max("n").alias("n"), F.count("*").alias("keys")), "grouped")
     scratch.drop(met)
+    members = scratch.save(able(grouped, counts, share), "members")
+    scratch.drop(grouped)
 
     # The lines that any of them names are cut out of the texts once.
     ends = [pairs.select("x", "xi", F.lit(True).alias("paired")), pairs.selectExpr("y as x", "yi as xi", "true as paired"), members.selectExpr("x", "xi", "false as paired"), members.selectExpr("y as x", "yi as xi", "false as paired")]
@@ -391,7 +407,7 @@ def similar_lines(met: DataFrame, texts: DataFrame, share: int, scratch: Scratch
     sets = lines.where("paired").select("x", "xi", F.array_distinct(words_of(F.col("line"))).alias("a"))
     both = pairs.join(sets, ["x", "xi"]).join(sets.toDF("y", "yi", "b"), ["y", "yi"])
     both = both.select("x", "xi", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("s"))
-    settled = scratch.save(both.where(f"100 * s >= {share} * (n + m - s)").select("x", "xi").distinct(), "settled")
+    settled = scratch.save(both.where(f"{100 + share} * s >= {share} * (n + m)").select("x", "xi").distinct(), "settled")
 
     flagged = members.join(settled.withColumn("settled", F.lit(True)), ["x", "xi"], "left")
     flagged = scratch.save(flagged.select("y", "yi", "x", "xi", "n", (F.col("settled").isNull() & ((F.col("x") != F.col("y")) | (F.col("xi") != F.col("yi")))).alias("late")), "late")
@@ -406,7 +422,7 @@ def similar_lines(met: DataFrame, texts: DataFrame, share: int, scratch: Scratch
     dealt = flagged.join(sizes, ["y", "yi"]).withColumn("ma", place("as")).withColumn("mb", place("bs"))
     dealt = dealt.select("y", "yi", "x", "xi", F.explode(F.concat(down, across)).alias("c")).select("y", "yi", "c.a", "c.b", "c.early", "c.late", "x", "xi")
     gone = scratch.save(settled.unionByName(tiles(dealt.join(lines.drop("paired"), ["x", "xi"]), share)), "gone")
-    for table in (pairs, members, lines, settled, flagged, sizes):
+    for table in (counts, members, lines, settled, flagged, sizes):
         scratch.drop(table)
     return gone
 
