@@ -70,6 +70,60 @@ def closest_of_each(needles: list[list[str]], hays: list[list[str]], most: list[
     return out
 
 
+def nearest(spans: list[str], text: str, share: float = 0.15, most: int = 10, windows: int = 4096) -> list[tuple[int, int, int] | None]:
+    """``(distance, start, end)`` of each span's best match in one text, both normalised: what :func:`fuzzy_match` finds there.
+
+    For tasks that hold a text beside its spans: the text's runs stay in the task, and ``windows`` windows are verified at a time.
+    """
+    from .ranges import token_bounds
+
+    codes: dict[str, int] = {}
+    code = lambda t, s, e: [codes.setdefault(t[a:b], len(codes)) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+    starts, ends = token_bounds(text)
+    hay = code(text, starts, ends)
+    needles, limit = {}, {}
+    pieces: dict[int, list[tuple[int, int]]] = {}
+    for j, span in enumerate(spans):
+        needle = code(span, *token_bounds(span))
+        k = min(int(len(needle) * share), most)
+        if k > 0:
+            needles[j], limit[j], width = needle, k, len(needle) // (k + 1)
+            pieces.setdefault(width, []).extend((j, i * width) for i in range(k + 1))
+    best: list[tuple[int, int, int] | None] = [None] * len(spans)
+    weight = np.random.default_rng(0).integers(0, 1 << 63, len(codes), dtype=np.uint64)
+    low: dict[int, list[np.ndarray]] = {}
+    for width, some in pieces.items():
+        if len(hay) < width:
+            continue
+        factor = [np.uint64(pow(0x9E3779B97F4A7C15, t, 1 << 64)) for t in range(width)]
+        w = weight[np.array(hay, dtype=np.int64)]
+        run = sum(w[t : len(w) - width + 1 + t] * factor[t] for t in range(width))
+        w = weight[np.array([needles[j][off : off + width] for j, off in some], dtype=np.int64)]
+        piece = sum(w[:, t] * factor[t] for t in range(width))
+        order = np.argsort(run, kind="stable")
+        first, last = np.searchsorted(run[order], piece, "left"), np.searchsorted(run[order], piece, "right")
+        for x in np.flatnonzero(last > first).tolist():
+            j, off = some[x]
+            low.setdefault(j, []).append(np.maximum(order[first[x] : last[x]] - off - limit[j], 0))
+
+    def verify(part: list[tuple[int, int]]) -> None:
+        found = closest_of_each([needles[j] for j, _ in part], [hay[lo : lo + len(needles[j]) + 2 * limit[j]] for j, lo in part], [limit[j] for j, _ in part])
+        for (j, lo), f in zip(part, found, strict=True):
+            if f:
+                hit = (f[0], int(ends[lo + f[2] - 1]), int(starts[lo + f[1]]))
+                best[j] = hit if best[j] is None else min(best[j], hit)
+
+    part: list[tuple[int, int]] = []
+    for j, lows in low.items():
+        for lo in np.unique(np.concatenate(lows)).tolist():
+            part.append((j, lo))
+            if len(part) == windows:
+                verify(part)
+                part = []
+    verify(part)
+    return [(b[0], b[2], b[1]) if b else None for b in best]
+
+
 def fuzzy_match(spans: DataFrame, docs: DataFrame, share: float = 0.15, most: int = 10, within: list[str] | None = None, hints: DataFrame | None = None) -> DataFrame:
     """Best match per span: ``(span_id, doc_id, start_pos, end_pos, content, total_count, best_dist)``.
 

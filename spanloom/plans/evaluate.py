@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.repair import parse_selection_lenient
 from ..functions.text import error_share, strip
 from ..operators import metrics, ranges
-from ..operators.fuzzy import fuzzy_match
+from ..operators.fuzzy import fuzzy_match, nearest
 from ..operators.grounding import MODES
 
 
@@ -103,6 +104,104 @@ def ground_instructions(maps: DataFrame, docs: DataFrame, keys: list[str] | None
     return ground_keyed(wanted, docs, [*keys, "instruction", "span_ord"], fuzzy)
 
 
+def score_predictions(docs: DataFrame, references: DataFrame, parsed: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Token scores of each sample's spans against each of its reference groups, as ``ranges.score_groups`` tells them.
+
+    Spans ``parsed(sample_id, spans)`` and references come to each of their sample's documents, so a text travels once; its
+    spans are found, searched for near matches and cut into ranges of tokens there. Only numbers go on: a sample's documents
+    decide together where a span stands, by mode, distance and document, as in :func:`ground_keyed`.
+    """
+    told = parsed.select("sample_id", F.transform("spans", lambda s: F.when(F.length(strip(s)) > 0, s)).alias("spans"))
+    listed = references.groupBy("sample_id").agg(F.collect_list(F.struct("group_ord", "doc_id", "start_pos", "end_pos")).alias("refs"))
+    both = told.join(listed, "sample_id").join(docs.select("sample_id", "doc_id", "text"), "sample_id", "left")
+    normal = MODES["normalized_match"]
+    both = both.withColumn("groups", F.sort_array(F.array_distinct("refs.group_ord")))
+    number = F.transform("refs", lambda r: (F.array_position("groups", r["group_ord"]) - 1).cast("int")).alias("g")
+    both = both.select("sample_id", "doc_id", "groups", "text", normal(F.col("text")).alias("normal"), "spans", F.transform("spans", normal).alias("normals"), number, *[F.col(f"refs.{c}").alias(c) for c in ("start_pos", "end_pos")], F.col("refs.doc_id").alias("at"))
+    names = ["item", "level", "lo", "hi", "ref", "ref_lo", "ref_hi"]
+
+    def search(batches):
+        """A document's hits as lists of span, level (the mode; near matches by distance after it) and tokens, and its references' ranges."""
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                doc, text, plain, spans, normals, g, start, end, at = (batch.column(c)[i].as_py() for c in (1, *range(3, 11)))
+                hits, refs = [], []
+                rows.append((hits, refs))
+                if text is None:
+                    continue
+                found: dict[str, tuple[int, int, int] | None] = {}
+                missed: dict[str, str] = {}
+                for s, n in zip(spans or [], normals or [], strict=True):
+                    if s is None or s in found:
+                        continue
+                    for mode, (hay, needle) in enumerate(((text, s), (plain, n))):
+                        if (place := hay.find(needle)) >= 0:
+                            found[s] = (mode, place, place + len(needle))
+                            break
+                    else:
+                        found[s], missed[s] = None, n
+                if fuzzy and missed:
+                    for s, near in zip(missed, nearest(list(missed.values()), plain), strict=True):
+                        found[s] = near and (len(MODES) + near[0], near[1], near[2])
+                here = [(j, *found[s]) for j, s in enumerate(spans or []) if s is not None and found[s]]
+                starts, ends = ranges.token_bounds(text)
+                if not len(starts):
+                    hits += [(j, level, 0, -1) for j, level, _, _ in here]
+                    continue
+                if here:
+                    lo, hi = ranges.covered(starts, ends, np.array([h[2] for h in here]), np.array([h[3] for h in here]))
+                    hits += [(h[0], h[1], a, b) for h, a, b in zip(here, lo.tolist(), hi.tolist(), strict=True)]
+                own: dict[int, list[tuple[int, int]]] = {}
+                for k, s, e, a in zip(g or [], start or [], end or [], at or [], strict=True):
+                    if k is not None and a is not None and a == doc and a >= 0 and s is not None and s >= 0 and e is not None:
+                        own.setdefault(k, []).append((s, e))
+                for k, places in own.items():
+                    lo, hi = ranges.covered(starts, ends, *np.array(places).T)
+                    some = lo <= hi
+                    refs += [(k, a, b) for a, b in ranges.disjoint(lo[some].tolist(), hi[some].tolist())]
+            columns = [pa.array([[x[c] for x in r[side]] for r in rows], pa.list_(pa.int32())) for side, n in ((0, 4), (1, 3)) for c in range(n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], ["sample_id", "doc_id", "groups", *names])
+
+    whole = T.ArrayType(T.IntegerType())
+    placed = both.mapInArrow(search, T.StructType([*[T.StructField(c, both.schema[c].dataType) for c in ("sample_id", "doc_id", "groups")], *[T.StructField(c, whole) for c in names]]))
+    joined = placed.groupBy("sample_id").agg(F.first("groups").alias("groups"), F.collect_list(F.struct("doc_id", *names)).alias("docs"))
+
+    def score(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                chosen: dict[int, tuple] = {}
+                refs: dict[tuple, list[tuple[int, int]]] = {}
+                for d in batch.column(2)[i].as_py():
+                    doc = d["doc_id"]
+                    for item, level, lo, hi in zip(*(d[c] for c in names[:4]), strict=True):
+                        rank = (level, doc is not None, 0 if doc is None else doc)
+                        if item not in chosen or rank < chosen[item][0]:
+                            chosen[item] = (rank, doc, lo, hi)
+                    for k, lo, hi in zip(*(d[c] for c in names[4:]), strict=True):
+                        refs.setdefault((k, doc), []).append((lo, hi))
+                preds: dict = {}
+                for _, doc, lo, hi in chosen.values():
+                    if doc is not None and doc >= 0 and lo <= hi:
+                        preds.setdefault(doc, []).append((lo, hi))
+                preds = {doc: ranges.disjoint(*zip(*places, strict=True)) for doc, places in preds.items()}
+                n_ref, overlap = [[0] * len(batch.column(1)[i]) for _ in range(2)]
+                for (k, doc), places in refs.items():
+                    own = ranges.disjoint(*zip(*places, strict=True))
+                    n_ref[k] += sum(b - a + 1 for a, b in own)
+                    overlap[k] += ranges.shared(own, preds.get(doc, []))
+                out.append((n_ref, sum(b - a + 1 for p in preds.values() for a, b in p), overlap))
+            columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["sample_id", "groups", "n_ref", "n_pred", "overlap"])
+
+    counts = T.ArrayType(T.LongType())
+    scored = joined.mapInArrow(score, T.StructType([*[T.StructField(c, both.schema[c].dataType) for c in ("sample_id", "groups")], T.StructField("n_ref", counts), T.StructField("n_pred", T.LongType()), T.StructField("overlap", counts)]))
+    each = scored.select("sample_id", "n_pred", F.explode(F.arrays_zip("groups", "n_ref", "overlap")).alias("x"))
+    sized = each.select("sample_id", F.col("x.groups").alias("group_ord"), "x.n_ref", "n_pred", "x.overlap")
+    return sized.select("*", *[c.alias(k) for k, c in metrics.prf(F.col("overlap"), F.col("n_ref"), F.col("n_pred")).items()])
+
+
 def evaluate(docs: DataFrame, references: DataFrame, predictions: DataFrame, fuzzy: bool = True) -> dict[str, DataFrame]:
     """``scores`` (best reference group per sample), ``summary``, ``modes`` and ``errors``.
 
@@ -113,11 +212,7 @@ def evaluate(docs: DataFrame, references: DataFrame, predictions: DataFrame, fuz
     """
     parsed = predictions.select("sample_id", parse_selection_lenient(F.col("selection")).alias("spans"))
     grounded = ground_predictions(parsed, docs, fuzzy)
-    groups = references.select("sample_id", "group_ord").distinct().join(predictions.select("sample_id"), "sample_id", "left_semi")
-    here = ["sample_id", "doc_id"]
-    refs = ranges.token_ranges(references.where("doc_id >= 0"), docs, ["sample_id", "group_ord"], on=here)
-    preds = ranges.token_ranges(grounded.where("doc_id >= 0"), docs, ["sample_id"], on=here)
-    scores = metrics.best_group(ranges.score_groups(refs, preds, groups))
+    scores = metrics.best_group(score_predictions(docs, references, parsed, fuzzy))
     modes = grounded.groupBy("mode").agg(F.count("*").alias("n"))
     errors = parsed.agg(F.sum(error_share(F.col("spans"))).alias("errors"), (F.sum(error_share(F.col("spans"))) / F.count("*")).alias("error_ratio"))
     return {"scores": scores, "summary": metrics.summary(scores), "modes": modes, "errors": errors, "grounded": grounded}
