@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distributions import let
+
 #: Pieces of a text: runs of letters, marks, digits and underscore; single other signs; runs of white space.
 PIECES = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}]|[\s\p{Z}]+"
 _EDGES = r"(?U)^\s+|\s+$"
@@ -45,10 +47,9 @@ def remove_preamble(c: Column) -> Column:
 
 def crop_fence(c: Column) -> Column:
     """What stands inside a text's only code fence, if the text ends with it; else the stripped text."""
-    s = strip(c)
     opener = r"(?m)^\s*```\w*\s"
-    inside = F.regexp_extract(s, r"(?s)(?m:^\s*```\w*\s)(.*)```$", 1)
-    return F.when((F.regexp_count(s, F.lit(opener)) == 1) & s.endswith("```") & F.rlike(s, F.lit(r"(?s)(?m:^\s*```\w*\s)(.*)```$")), strip(inside)).otherwise(s)
+    inside = lambda s: F.regexp_extract(s, r"(?s)(?m:^\s*```\w*\s)(.*)```$", 1)
+    return let(strip(c), lambda s: F.when(s.endswith("```") & (F.regexp_count(s, F.lit(opener)) == 1) & F.rlike(s, F.lit(r"(?s)(?m:^\s*```\w*\s)(.*)```$")), strip(inside(s))).otherwise(s))
 
 
 def parse_list(c: Column) -> Column:

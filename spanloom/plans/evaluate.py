@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.repair import parse_selection_lenient
-from ..functions.text import error_share, strip
+from ..functions.repair import repaired
+from ..functions.text import error_share, parse_selection, strip
 from ..operators import metrics, ranges
 from ..operators.fuzzy import fuzzy_match, nearest
 from ..operators.grounding import MODES
@@ -111,7 +111,7 @@ def score_predictions(docs: DataFrame, references: DataFrame, parsed: DataFrame,
     spans are found, searched for near matches and cut into ranges of tokens there. Only numbers go on: a sample's documents
     decide together where a span stands, by mode, distance and document, as in :func:`ground_keyed`.
     """
-    told = parsed.select("sample_id", F.transform("spans", lambda s: F.when(F.length(strip(s)) > 0, s)).alias("spans"))
+    told = parsed.select("sample_id", F.transform("spans", lambda s: F.when(s.rlike(r"(?U)\S"), s)).alias("spans"))
     listed = references.groupBy("sample_id").agg(F.collect_list(F.struct("group_ord", "doc_id", "start_pos", "end_pos")).alias("refs"))
     both = told.join(listed, "sample_id").join(docs.select("sample_id", "doc_id", "text"), "sample_id", "left")
     normal = MODES["normalized_match"]
@@ -210,7 +210,8 @@ def evaluate(docs: DataFrame, references: DataFrame, predictions: DataFrame, fuz
     ``predictions(sample_id, selection)`` with raw completions. An unparsable
     completion counts as an error and scores as an empty prediction.
     """
-    parsed = predictions.select("sample_id", parse_selection_lenient(F.col("selection")).alias("spans"))
+    read = predictions.select("sample_id", "selection", parse_selection(F.col("selection")).alias("_fast"))
+    parsed = read.select("sample_id", repaired(F.col("_fast"), F.col("selection")).alias("spans"))
     grounded = ground_predictions(parsed, docs, fuzzy)
     scores = metrics.best_group(score_predictions(docs, references, parsed, fuzzy))
     modes = grounded.groupBy("mode").agg(F.count("*").alias("n"))
